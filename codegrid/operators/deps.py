@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rules import EXTENSIONS
-from .extract import extract_imports, extract_types, extract_units
 
 # languages whose imports are resolved; rule 3 (package -> all its files)
 # applies to the first four only
@@ -32,39 +31,39 @@ def analyzable(files: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ D1
-def type_entries(files: DataFrame) -> DataFrame:
-    """Index entries: (repo, key, file, pos) with full and short keys.
+def type_entries(types: DataFrame, units: DataFrame) -> DataFrame:
+    """Index entries (repo, key, file, pos, kind, name), full and short keys.
 
     ``pos`` orders entries as they are inserted: file order, classes then
     interfaces, header order, full name before short name."""
-    units = extract_units(files).select("repo", "file", "namespace")
     kinds = F.create_map(*[x for k, v in INDEXED_KINDS.items() for x in (F.lit(k), F.lit(v))])
-    t = (extract_types(files)
-         .where(F.col("kind").isin(*INDEXED_KINDS) & ~F.col("language").isin(*NOT_INDEXED_LANGS))
-         .join(units, ["repo", "file"], "left")
+    t = (types.where(F.col("kind").isin(*INDEXED_KINDS) & ~F.col("language").isin(*NOT_INDEXED_LANGS))
+         .join(units.select("repo", "file", "namespace"), ["repo", "file"], "left")
          .withColumn("kind_ord", kinds[F.col("kind")]))
     ns = F.col("namespace")
     full = (F.when(ns.isNull(), F.col("name"))
             .when(F.col("language").isin(*DOTTED), F.concat(ns, F.lit("."), F.col("name")))
             .when(F.col("language") == "php", F.concat(F.lit("\\"), ns, F.lit("\\"), F.col("name")))
             .otherwise(F.col("name")))
-    pos = lambda short: F.struct(F.col("file"), F.col("kind_ord"), F.col("ord"), F.lit(short).alias("short"))
+
+    def pos(short: int):
+        return F.struct(F.col("file"), F.col("kind_ord"), F.col("ord"), F.lit(short).alias("short"))
     return (t.select("repo", full.alias("key"), "file", pos(0).alias("pos"), "kind", "name")
             .unionByName(t.select("repo", F.col("name").alias("key"), "file", pos(1).alias("pos"),
                                   "kind", "name")))
 
 
-def build_type_index(files: DataFrame) -> DataFrame:
+def build_type_index(entries: DataFrame) -> DataFrame:
     """type_index(repo, key, file, first_pos): last writer wins the value,
     the first insertion fixes the key's position (dict semantics)."""
-    return (type_entries(files).groupBy("repo", "key")
+    return (entries.groupBy("repo", "key")
             .agg(F.max_by("file", "pos").alias("file"), F.min("pos").alias("first_pos")))
 
 
 # ------------------------------------------------------------------ D2
-def build_package_index(files: DataFrame) -> DataFrame:
+def build_package_index(units: DataFrame) -> DataFrame:
     """(repo, package, file): every file of a namespace / package."""
-    return (extract_units(files).where(F.col("namespace").isNotNull())
+    return (units.where(F.col("namespace").isNotNull())
             .select("repo", F.col("namespace").alias("package"), "file"))
 
 
@@ -80,23 +79,32 @@ def resolve_distinct(wanted: DataFrame, index: DataFrame, packages: DataFrame) -
 
     Returns (repo, imp, pkg_rule, rule, target); rule 1 exact key, 2 last
     dotted segment, 3 package -> all files, 4 first index key (insertion
-    order) containing the import."""
-    idx = index.select("repo", F.col("key"), F.col("file").alias("target"), "first_pos")
+    order) containing the import. Rules 1-3 are probed side by side (each
+    gives at most one hit per import), the lowest rule wins, and only then
+    rule 3 fans out to the package's files and rule 4 runs on the rest."""
+    idx = index.select("repo", "key", F.col("file").alias("target"))
     r1 = (wanted.join(idx, (wanted.repo == idx.repo) & (wanted.imp == idx.key))
           .select(wanted.repo, "imp", "pkg_rule", F.lit(1).alias("rule"), "target"))
-    left = wanted.join(r1.select("repo", "imp", "pkg_rule"), ["repo", "imp", "pkg_rule"], "left_anti")
-    dotted = left.where(F.col("imp").contains(".")).withColumn(
+    dotted = wanted.where(F.col("imp").contains(".")).withColumn(
         "last", F.element_at(F.split("imp", r"\."), -1))
     r2 = (dotted.join(idx, (dotted.repo == idx.repo) & (dotted["last"] == idx.key))
           .select(dotted.repo, "imp", "pkg_rule", F.lit(2).alias("rule"), "target"))
-    left = left.join(r2.select("repo", "imp", "pkg_rule"), ["repo", "imp", "pkg_rule"], "left_anti")
-    pk = left.where("pkg_rule")
-    r3 = (pk.join(packages, (pk.repo == packages.repo) & (pk.imp == packages.package))
-          .select(pk.repo, "imp", "pkg_rule", F.lit(3).alias("rule"), F.col("file").alias("target")))
-    left = left.join(r3.select("repo", "imp", "pkg_rule").distinct(), ["repo", "imp", "pkg_rule"],
-                     "left_anti")
+    pkgs = packages.select("repo", "package").distinct()
+    pk = wanted.where("pkg_rule")
+    r3 = (pk.join(pkgs, (pk.repo == pkgs.repo) & (pk.imp == pkgs.package))
+          .select(pk.repo, "imp", "pkg_rule", F.lit(3).alias("rule"),
+                  F.lit(None).cast("string").alias("target")))
+    best = (r1.unionByName(r2).unionByName(r3)
+            .groupBy("repo", "imp", "pkg_rule")
+            .agg(F.min(F.struct("rule", "target")).alias("b"))
+            .select("repo", "imp", "pkg_rule", "b.rule", "b.target"))
+    single = best.where(F.col("rule") < 3)
+    fan = (best.where(F.col("rule") == 3).drop("target")
+           .join(packages.select("repo", F.col("package").alias("imp"), F.col("file").alias("target")),
+                 ["repo", "imp"]))
+    left = wanted.join(best.select("repo", "imp", "pkg_rule"), ["repo", "imp", "pkg_rule"], "left_anti")
     r4 = substring_match(left, index)
-    return r1.unionByName(r2).unionByName(r3).unionByName(r4)
+    return single.unionByName(fan.select(*single.columns)).unionByName(r4)
 
 
 def substring_match(left: DataFrame, index: DataFrame) -> DataFrame:
@@ -113,27 +121,22 @@ def substring_match(left: DataFrame, index: DataFrame) -> DataFrame:
                      F.explode(F.sequence(F.lit(1), F.length("key") - F.col("m") + 1)).alias("i"))
     subs = subs.select("repo", F.expr("substring(key, i, m)").alias("imp"),
                        F.struct("first_pos", "file").alias("cand"))
+    subs = subs.join(want.select("repo", "imp").distinct(), ["repo", "imp"], "left_semi")
     best = subs.groupBy("repo", "imp").agg(F.min("cand").alias("cand"))
     return (want.join(best, ["repo", "imp"])
             .select("repo", "imp", "pkg_rule", F.lit(4).alias("rule"),
                     F.col("cand.file").alias("target")))
 
 
-def resolve_imports(files: DataFrame, imports: DataFrame | None = None,
-                    index: DataFrame | None = None) -> DataFrame:
+def resolve_imports(imports: DataFrame, index: DataFrame, packages: DataFrame) -> DataFrame:
     """resolved(repo, file, ord, import, rule, target) for every import
     that resolves (JS/TS imports never do)."""
-    files = analyzable(files)
-    if imports is None:
-        imports = extract_imports(files)
-    if index is None:
-        index = build_type_index(files)
     imps = (imports.where(F.col("language").isin(*RESOLVING))
             .select("repo", "file", "ord", "import",
                     _clean_import(F.col("import")).alias("imp"),
                     F.col("language").isin(*PACKAGE_RULE).alias("pkg_rule")))
     wanted = imps.select("repo", "imp", "pkg_rule").distinct()
-    res = resolve_distinct(wanted, index, build_package_index(files))
+    res = resolve_distinct(wanted, index, packages)
     return (imps.join(res, ["repo", "imp", "pkg_rule"])
             .select("repo", "file", "ord", "import", "rule", "target"))
 
@@ -153,19 +156,16 @@ def external_dependencies(imports: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ D6
-def graph_nodes(files: DataFrame, edges: DataFrame, index_entries: DataFrame | None = None) -> DataFrame:
+def graph_nodes(units: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
     """nodes(repo, file, language, package, class_names, dependency_count,
-    dependent_count)."""
-    files = analyzable(files)
-    units = extract_units(files).select("repo", "file", "language", F.col("namespace").alias("package"))
-    if index_entries is None:
-        index_entries = type_entries(files)
-    classes = (index_entries.where(F.col("pos.short") == 0).groupBy("repo", "file")
+    dependent_count); ``units`` has one row per analysed file."""
+    classes = (entries.where(F.col("pos.short") == 0).groupBy("repo", "file")
                .agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("c"))
                .select("repo", "file", F.array_join(F.col("c.name"), ",").alias("class_names")))
     out_deg = edges.groupBy("repo", F.col("source").alias("file")).agg(F.count("*").alias("dependency_count"))
     in_deg = edges.groupBy("repo", F.col("target").alias("file")).agg(F.count("*").alias("dependent_count"))
-    return (units.join(classes, ["repo", "file"], "left")
+    return (units.select("repo", "file", "language", F.col("namespace").alias("package"))
+            .join(classes, ["repo", "file"], "left")
             .join(out_deg, ["repo", "file"], "left").join(in_deg, ["repo", "file"], "left")
             .select("repo", "file", "language", "package",
                     F.coalesce("class_names", F.lit("")).alias("class_names"),
@@ -192,15 +192,16 @@ def highly_coupled_files(nodes: DataFrame, threshold: int = 5, k: int | None = N
 
 
 # ------------------------------------------------------------------ D7
-def graph_metrics(files: DataFrame, nodes: DataFrame, edges: DataFrame, index: DataFrame,
+def graph_metrics(nodes: DataFrame, edges: DataFrame, index: DataFrame, entries: DataFrame,
                   external: DataFrame, threshold: int = 5) -> DataFrame:
-    """One row per repo with the summary counts."""
+    """One row per repo with the summary counts. ``class_count`` counts
+    index keys (full + short names), ``distinct_type_count`` the types."""
     n = nodes.groupBy("repo").agg(
         F.count("*").alias("file_count"),
         F.count_if((F.col("dependency_count") == 0) & (F.col("dependent_count") == 0)).alias("orphan_count"),
         F.count_if(F.col("dependency_count") + F.col("dependent_count") >= threshold).alias("coupled_count"))
     idx = index.groupBy("repo").agg(F.count("*").alias("class_count"))
-    types = (type_entries(files).where(F.col("pos.short") == 0)
+    types = (entries.where(F.col("pos.short") == 0)
              .groupBy("repo").agg(F.count("*").alias("distinct_type_count")))
     e = edges.groupBy("repo").agg(F.count("*").alias("dependency_count"))
     x = external.groupBy("repo").agg(F.count("*").alias("external_dependency_count"))
@@ -208,3 +209,204 @@ def graph_metrics(files: DataFrame, nodes: DataFrame, edges: DataFrame, index: D
     cols = ["file_count", "class_count", "distinct_type_count", "dependency_count",
             "external_dependency_count", "orphan_count", "coupled_count"]
     return out.select("repo", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in cols])
+
+
+# ------------------------------------------------------------------ D8
+def _simple_edges(edges: DataFrame) -> DataFrame:
+    return (edges.select("repo", F.col("source").alias("src"), F.col("target").alias("dst"))
+            .where(F.col("src") != F.col("dst")).distinct())
+
+
+def trim_acyclic(e: DataFrame, checkpoint) -> DataFrame:
+    """Drop edges touching a node without in- or out-edges, until stable
+    (such nodes lie on no cycle)."""
+    n = e.count()
+    while True:
+        outs = e.select("repo", F.col("src").alias("node")).distinct()
+        ins = e.select("repo", F.col("dst").alias("node")).distinct()
+        keep = outs.join(ins, ["repo", "node"])
+        e2 = (e.join(keep.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi")
+              .join(keep.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi"))
+        e2 = checkpoint(e2.select("repo", "src", "dst"))
+        n2 = e2.count()
+        if n2 == n:
+            return e2
+        e, n = e2, n2
+
+
+def strongly_connected(edges: DataFrame, checkpoint) -> DataFrame:
+    """(repo, file, scc) for every file in a strongly connected component
+    of two or more files; ``scc`` is its smallest file.
+
+    Forward-backward colouring: colours (min reachable-from label) are
+    propagated along edges until stable; each colour's root collects its
+    component by backward propagation inside the colour; found components
+    are removed and the rest is coloured again. Every round is a join and an
+    aggregation; each intermediate is checkpointed to keep plans small."""
+    e = trim_acyclic(_simple_edges(edges), checkpoint)
+    found = None
+    while e.count() > 0:
+        nodes = (e.select("repo", F.col("src").alias("node"))
+                 .union(e.select("repo", F.col("dst").alias("node"))).distinct())
+        col = checkpoint(nodes.withColumn("color", F.col("node")))
+        while True:
+            prop = (e.join(col.withColumnRenamed("node", "src"), ["repo", "src"])
+                    .select("repo", F.col("dst").alias("node"), F.col("color").alias("c2")))
+            new = (col.join(prop.groupBy("repo", "node").agg(F.min("c2").alias("c2")),
+                            ["repo", "node"], "left")
+                   .select("repo", "node", F.least("color", F.coalesce("c2", "color")).alias("color"),
+                           (F.col("c2") < F.col("color")).alias("changed")))
+            new = checkpoint(new)
+            if new.where("changed").limit(1).count() == 0:
+                col = new.drop("changed")
+                break
+            col = new.drop("changed")
+        # backward from each root, staying inside its colour
+        ec = (e.join(col.withColumnRenamed("node", "src").withColumnRenamed("color", "cs"), ["repo", "src"])
+              .join(col.withColumnRenamed("node", "dst").withColumnRenamed("color", "cd"), ["repo", "dst"])
+              .where(F.col("cs") == F.col("cd")).select("repo", "src", "dst", F.col("cs").alias("color")))
+        ec = checkpoint(ec)
+        mark = checkpoint(col.where(F.col("node") == F.col("color")))
+        frontier = mark
+        while True:
+            step = (ec.join(frontier.withColumnRenamed("node", "dst"), ["repo", "dst", "color"])
+                    .select("repo", F.col("src").alias("node"), "color"))
+            fresh = checkpoint(step.distinct().join(mark, ["repo", "node", "color"], "left_anti"))
+            if fresh.limit(1).count() == 0:
+                break
+            mark = checkpoint(mark.unionByName(fresh))
+            frontier = fresh
+        comp = mark.select("repo", F.col("node").alias("file"), F.col("color").alias("scc"))
+        found = comp if found is None else found.unionByName(comp)
+        found = checkpoint(found)
+        gone = comp.select("repo", F.col("file").alias("node"))
+        e = checkpoint(e.join(gone.withColumnRenamed("node", "src"), ["repo", "src"], "left_anti")
+                       .join(gone.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_anti"))
+    if found is None:
+        spark = edges.sparkSession
+        return spark.createDataFrame([], "repo string, file string, scc string")
+    sizes = found.groupBy("repo", "scc").agg(F.count("*").alias("n"))
+    return found.join(sizes.where(F.col("n") > 1), ["repo", "scc"], "left_semi")
+
+
+def files_in_cycles(edges: DataFrame, checkpoint) -> DataFrame:
+    """(repo, file) for files on a cycle: non-trivial SCC or self-loop."""
+    loops = edges.where(F.col("source") == F.col("target")).select("repo", F.col("source").alias("file"))
+    return strongly_connected(edges, checkpoint).select("repo", "file").union(loops).distinct()
+
+
+def simple_cycles(edges: DataFrame, max_len: int = 3) -> DataFrame:
+    """Every simple cycle of up to ``max_len`` files (1..3), rotated
+    so that its smallest file comes first: (repo, cycle_len, cycle, pos, file)."""
+    e = edges.select("repo", F.col("source").alias("a"), F.col("target").alias("b")).distinct()
+    out = [e.where(F.col("a") == F.col("b")).select("repo", F.array("a").alias("c"))]
+    if max_len >= 2:
+        back = e.select("repo", F.col("a").alias("b"), F.col("b").alias("a"))
+        out.append(e.where(F.col("a") < F.col("b")).join(back, ["repo", "a", "b"])
+                   .select("repo", F.array("a", "b").alias("c")))
+    if max_len >= 3:
+        e1 = e.where(F.col("a") < F.col("b"))
+        e2 = e.select("repo", F.col("a").alias("b"), F.col("b").alias("c"))
+        e3 = e.select("repo", F.col("a").alias("c"), F.col("b").alias("a"))
+        out.append(e1.join(e2, ["repo", "b"]).where((F.col("c") > F.col("a")) & (F.col("c") != F.col("b")))
+                   .join(e3, ["repo", "c", "a"]).select("repo", F.array("a", "b", "c").alias("c")))
+    if max_len > 3:
+        raise ValueError("cycles longer than 3 are not enumerated")
+    cyc = out[0]
+    for o in out[1:]:
+        cyc = cyc.unionByName(o)
+    return cyc.select("repo", F.size("c").cast("long").alias("cycle_len"),
+                      F.array_join("c", " -> ").alias("cycle"),
+                      F.posexplode("c").alias("pos", "file")).withColumn("pos", F.col("pos").cast("long"))
+
+
+# ------------------------------------------------------------------ D11
+def sample_graph(edges: DataFrame, max_sources: int = 20, max_targets: int = 5) -> DataFrame:
+    """First ``max_sources`` sources (by file) x first ``max_targets``
+    targets each, per repo. Both cuts are rank filters, which Spark turns
+    into window group limits applied before the shuffle."""
+    srcs = edges.select("repo", "source").distinct()
+    top = (srcs.withColumn("r", F.row_number().over(Window.partitionBy("repo").orderBy("source")))
+           .where(F.col("r") <= max_sources).drop("r"))
+    w = Window.partitionBy("repo", "source").orderBy("target")
+    return (edges.join(top, ["repo", "source"], "left_semi")
+            .withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_targets).drop("r")
+            .select("repo", "source", "target"))
+
+
+# ------------------------------------------------------------------ D12
+def display_id(path) -> "F.Column":
+    """Diagram node id: non-word runs -> ``_``, trimmed, ``_`` prefix when it
+    does not start with a letter, at most 50 characters, ``node`` if empty."""
+    s = F.regexp_replace(F.regexp_replace(path, r"(?U)[^\w]", "_"), "_+", "_")
+    s = F.regexp_replace(s, "^_+|_+$", "")
+    s = F.when(s.rlike(r"^[^\p{L}_]"), F.concat(F.lit("_"), s)).otherwise(s)
+    return F.when(s == "", F.lit("node")).otherwise(F.substring(s, 1, 50))
+
+
+def display_label(path) -> "F.Column":
+    name = F.element_at(F.split(path, "/"), -1)
+    s = F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    s = F.regexp_replace(s, "[\r\n]", " ")
+    return F.when(s == "", F.lit("file")).otherwise(F.substring(s, 1, 40))
+
+
+def merge_by_display_id(edges: DataFrame) -> DataFrame:
+    """(repo, src_id, src_label, dst_id, dst_label): edges whose display ids
+    coincide collapse to the first (by source, target)."""
+    d = edges.select("repo", display_id(F.col("source")).alias("src_id"),
+                     display_id(F.col("target")).alias("dst_id"),
+                     F.struct("source", "target").alias("e"))
+    best = d.groupBy("repo", "src_id", "dst_id").agg(F.min("e").alias("e"))
+    return best.select("repo", "src_id", display_label(F.col("e.source")).alias("src_label"),
+                       "dst_id", display_label(F.col("e.target")).alias("dst_label"))
+
+
+# ------------------------------------------------------------------ D13
+def export_lines(nodes: DataFrame, edges: DataFrame, fmt: str = "mermaid") -> DataFrame:
+    """(repo, format, section, sort_key, line): one text line per row;
+    writing them ordered by (section, sort_key) gives the file. Header and
+    footer rows are one per repo."""
+    repos = nodes.select("repo").distinct()
+
+    def fixed(section, lines):
+        rows = [F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(lines)]
+        return repos.select("repo", F.lit(section).alias("section"),
+                            F.explode(F.array(*rows)).alias("x")).select(
+            "repo", "section", F.lpad(F.col("x.i").cast("string"), 6, "0").alias("sort_key"),
+            F.col("x.t").alias("line"))
+
+    if fmt == "mermaid":
+        m = merge_by_display_id(edges)
+        body = m.select("repo", F.lit(1).alias("section"),
+                        F.concat_ws("\u0001", "src_id", "dst_id").alias("sort_key"),
+                        F.format_string('  %s["%s"] --> %s["%s"]', "src_id", "src_label",
+                                        "dst_id", "dst_label").alias("line"))
+        out = fixed(0, ["graph LR"]).unionByName(body)
+    elif fmt == "dot":
+        def dot_id(c):
+            return F.translate(c, "/\\.", "___")
+        name = F.element_at(F.split("file", "/"), -1)
+        label = F.when(F.coalesce(F.col("package"), F.lit("")) != "",
+                       F.concat(name, F.lit("\\n("), F.col("package"), F.lit(")"))).otherwise(name)
+        node_rows = nodes.select("repo", F.lit(1).alias("section"), F.col("file").alias("sort_key"),
+                                 F.format_string('  "%s" [label="%s"];', dot_id(F.col("file")), label)
+                                 .alias("line"))
+        edge_rows = edges.select("repo", F.lit(3).alias("section"),
+                                 F.concat_ws("\u0001", "source", "target").alias("sort_key"),
+                                 F.format_string('  "%s" -> "%s";', dot_id(F.col("source")),
+                                                 dot_id(F.col("target"))).alias("line"))
+        out = (fixed(0, ["digraph Dependencies {", "  rankdir=LR;", "  node [shape=box, style=rounded];", ""])
+               .unionByName(node_rows).unionByName(fixed(2, [""])).unionByName(edge_rows)
+               .unionByName(fixed(4, ["}"])))
+    else:
+        raise ValueError(f"unknown graph format {fmt!r}")
+    return out.select("repo", F.lit(fmt).alias("format"), "section", "sort_key", "line")
+
+
+def write_graph(lines: DataFrame, path: str) -> None:
+    """Write export lines as text, one folder per repo, in file order."""
+    # a global range-partitioned sort keeps a huge repo spread over many
+    # tasks; part files of one repo folder are in order
+    (lines.orderBy("repo", "section", "sort_key")
+     .select("repo", "line").write.mode("overwrite").partitionBy("repo").text(path))

@@ -120,3 +120,65 @@ SELECT 'parts' AS repo, file, dependency_count, dependent_count,
        dependency_count + dependent_count AS total_coupling
 FROM nodes WHERE dependency_count + dependent_count >= 5
 """)
+
+# distinct file -> file edges of fx_java
+EDGE_CTE = """
+, e AS (SELECT DISTINCT s.file AS a, t.file AS b FROM tg JOIN f s ON s.p = tg.p JOIN f t ON t.p = tg.q)
+"""
+
+ORACLES["dep_in_cycle"] = _java(EDGE_CTE + """
+, reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
+SELECT DISTINCT 'parts' AS repo, a AS file FROM reach WHERE a = b
+""").replace("WITH np AS", "WITH RECURSIVE np AS", 1)
+
+ORACLES["dep_cycles"] = _java(EDGE_CTE + """
+, allc AS (
+  SELECT [a] AS c FROM e WHERE a = b
+  UNION ALL
+  SELECT [e1.a, e1.b] FROM e e1 JOIN e e2 ON e2.a = e1.b AND e2.b = e1.a WHERE e1.a < e1.b
+  UNION ALL
+  SELECT [e1.a, e1.b, e2.b] FROM e e1 JOIN e e2 ON e2.a = e1.b JOIN e e3 ON e3.a = e2.b AND e3.b = e1.a
+  WHERE e1.a < e1.b AND e2.b > e1.a AND e2.b <> e1.b)
+SELECT 'parts' AS repo, CAST(len(c) AS BIGINT) AS cycle_len, array_to_string(c, ' -> ') AS cycle,
+       CAST(i - 1 AS BIGINT) AS pos, c[i] AS file
+FROM (SELECT c, unnest(generate_series(1, len(c))) AS i FROM allc)
+""")
+
+ORACLES["dep_sample"] = _java(EDGE_CTE + """
+, src AS (SELECT a FROM (SELECT DISTINCT a FROM e) ORDER BY a LIMIT 20),
+x AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) AS r FROM e WHERE a IN (SELECT a FROM src))
+SELECT 'parts' AS repo, a AS source, b AS target FROM x WHERE r <= 5
+""")
+
+DISPLAY_CTE = """
+, d AS (SELECT a, b,
+               regexp_replace(a, '[^A-Za-z0-9_]', '_', 'g') AS src_id,
+               regexp_replace(b, '[^A-Za-z0-9_]', '_', 'g') AS dst_id,
+               regexp_extract(a, '[^/]*$') AS src_label, regexp_extract(b, '[^/]*$') AS dst_label
+        FROM e)
+"""
+
+ORACLES["dep_display_edges"] = _java(EDGE_CTE + DISPLAY_CTE + """
+SELECT 'parts' AS repo, src_id, src_label, dst_id, dst_label FROM d
+""")
+
+ORACLES["dep_export_lines"] = _java(EDGE_CTE + DISPLAY_CTE + """
+SELECT 'parts' AS repo, 'mermaid' AS format, 0 AS section, '000000' AS sort_key, 'graph LR' AS line
+UNION ALL
+SELECT 'parts', 'mermaid', 1, concat(src_id, chr(1), dst_id),
+       concat('  ', src_id, '["', src_label, '"] --> ', dst_id, '["', dst_label, '"]') FROM d
+UNION ALL SELECT 'parts', 'dot', 0, '000000', 'digraph Dependencies {'
+UNION ALL SELECT 'parts', 'dot', 0, '000001', '  rankdir=LR;'
+UNION ALL SELECT 'parts', 'dot', 0, '000002', '  node [shape=box, style=rounded];'
+UNION ALL SELECT 'parts', 'dot', 0, '000003', ''
+UNION ALL
+SELECT 'parts', 'dot', 1, file,
+       concat('  "', replace(replace(file, '/', '_'), '.', '_'), '" [label="',
+              regexp_extract(file, '[^/]*$'), '\\n(com.brand', b, ')"];') FROM f
+UNION ALL SELECT 'parts', 'dot', 2, '000000', ''
+UNION ALL
+SELECT 'parts', 'dot', 3, concat(a, chr(1), b),
+       concat('  "', replace(replace(a, '/', '_'), '.', '_'), '" -> "',
+              replace(replace(b, '/', '_'), '.', '_'), '";') FROM e
+UNION ALL SELECT 'parts', 'dot', 4, '000000', '}'
+""")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import deps, extract
 from ..sources import fixtures
+from .materialize import checkpoint
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -27,14 +28,30 @@ def register(name: str):
 
 
 # ---------------------------------------------------------------- shared graph
-def java_graph(spark: SparkSession, sf_dir: str, rule_imports: bool = False):
-    files = deps.analyzable(fixtures.fx_java(spark, sf_dir, rule_imports))
-    imports = extract.extract_imports(files)
-    entries = deps.type_entries(files)
-    index = deps.build_type_index(files)
-    resolved = deps.resolve_imports(files, imports, index)
-    edges = deps.dependency_edges(resolved)
-    return files, imports, entries, index, resolved, edges
+class Graph:
+    """Symbol tables of one corpus, extracted once and checkpointed, and
+    the dependency graph built from them."""
+
+    def __init__(self, files: DataFrame):
+        self.files = deps.analyzable(files)
+        self.units = checkpoint(extract.extract_units(self.files))
+        self.imports = checkpoint(extract.extract_imports(self.files))
+        self.types = checkpoint(extract.extract_types(self.files))
+        self.entries = deps.type_entries(self.types, self.units)
+        self.index = checkpoint(deps.build_type_index(self.entries))
+        self.packages = deps.build_package_index(self.units)
+        self.resolved = checkpoint(deps.resolve_imports(self.imports, self.index, self.packages))
+        self.edges = checkpoint(deps.dependency_edges(self.resolved))
+
+    def nodes(self) -> DataFrame:
+        return deps.graph_nodes(self.units, self.edges, self.entries)
+
+    def external(self) -> DataFrame:
+        return deps.external_dependencies(self.imports, self.resolved)
+
+
+def java_graph(spark: SparkSession, sf_dir: str, rule_imports: bool = False) -> Graph:
+    return Graph(fixtures.fx_java(spark, sf_dir, rule_imports))
 
 
 # ---------------------------------------------------------------- P: symbols
@@ -61,62 +78,83 @@ def q_sym_heritage(spark, d):
 # ---------------------------------------------------------------- D: graph
 @register("dep_type_index")
 def q_dep_type_index(spark, d):
-    files = fixtures.fx_java(spark, d)
-    return deps.build_type_index(files).select("repo", "key", "file")
+    g = java_graph(spark, d)
+    return g.index.select("repo", "key", "file")
 
 
 @register("dep_package_index")
 def q_dep_package_index(spark, d):
-    return deps.build_package_index(fixtures.fx_java(spark, d))
+    return deps.build_package_index(extract.extract_units(fixtures.fx_java(spark, d)))
 
 
 @register("dep_resolve")
 def q_dep_resolve(spark, d):
-    _, _, _, _, resolved, _ = java_graph(spark, d, rule_imports=True)
-    return resolved.select("repo", "file", "import", "rule", "target")
+    return java_graph(spark, d, rule_imports=True).resolved.select(
+        "repo", "file", "import", "rule", "target")
 
 
 @register("dep_edges")
 def q_dep_edges(spark, d):
-    return java_graph(spark, d)[5]
+    return java_graph(spark, d).edges
 
 
 @register("dep_external")
 def q_dep_external(spark, d):
-    files, imports, _, index, resolved, _ = java_graph(spark, d)
-    return deps.external_dependencies(imports, resolved)
+    return java_graph(spark, d).external()
 
 
 @register("dep_nodes")
 def q_dep_nodes(spark, d):
-    files, _, entries, _, _, edges = java_graph(spark, d)
-    return deps.graph_nodes(files, edges, entries)
+    return java_graph(spark, d).nodes()
 
 
 @register("dep_metrics")
 def q_dep_metrics(spark, d):
-    files, imports, entries, index, resolved, edges = java_graph(spark, d)
-    nodes = deps.graph_nodes(files, edges, entries)
-    external = deps.external_dependencies(imports, resolved)
-    return deps.graph_metrics(files, nodes, edges, index, external)
+    g = java_graph(spark, d)
+    return deps.graph_metrics(g.nodes(), g.edges, g.index, g.entries, g.external())
+
+
+@register("dep_in_cycle")
+def q_dep_in_cycle(spark, d):
+    return deps.files_in_cycles(java_graph(spark, d).edges, checkpoint)
+
+
+@register("dep_cycles")
+def q_dep_cycles(spark, d):
+    return deps.simple_cycles(java_graph(spark, d).edges, 3)
 
 
 @register("dep_orphans")
 def q_dep_orphans(spark, d):
-    files, _, entries, _, _, edges = java_graph(spark, d)
-    return deps.orphaned_files(deps.graph_nodes(files, edges, entries))
+    return deps.orphaned_files(java_graph(spark, d).nodes())
 
 
 @register("dep_coupled")
 def q_dep_coupled(spark, d):
-    files, _, entries, _, _, edges = java_graph(spark, d)
-    return deps.highly_coupled_files(deps.graph_nodes(files, edges, entries))
+    return deps.highly_coupled_files(java_graph(spark, d).nodes())
+
+
+@register("dep_sample")
+def q_dep_sample(spark, d):
+    return deps.sample_graph(java_graph(spark, d).edges)
+
+
+@register("dep_display_edges")
+def q_dep_display_edges(spark, d):
+    return deps.merge_by_display_id(java_graph(spark, d).edges)
+
+
+@register("dep_export_lines")
+def q_dep_export_lines(spark, d):
+    g = java_graph(spark, d)
+    nodes = g.nodes()
+    return deps.export_lines(nodes, g.edges, "mermaid").unionByName(
+        deps.export_lines(nodes, g.edges, "dot"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most coupled source files (top 10 per repo)."""
-    files, _, entries, _, _, edges = java_graph(spark, sf_dir)
-    return deps.highly_coupled_files(deps.graph_nodes(files, edges, entries), k=10)
+    return deps.highly_coupled_files(java_graph(spark, sf_dir).nodes(), k=10)
 
 
 def sort_cols(df: DataFrame) -> DataFrame:
