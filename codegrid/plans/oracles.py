@@ -182,3 +182,49 @@ SELECT 'parts', 'dot', 3, concat(a, chr(1), b),
               replace(replace(b, '/', '_'), '.', '_'), '";') FROM e
 UNION ALL SELECT 'parts', 'dot', 4, '000000', '}'
 """)
+
+# ---------------------------------------------------------------- fx_docs
+DOCS_CTE = """
+WITH dx AS (
+  SELECT doc_id AS d, source AS repo, text, lang,
+         ['.java','.cs','.vb','.fs','.php','.js','.ts','.html','.json','.YAML','.txt','.min.js'][doc_id % 12 + 1] AS ext12,
+         CASE WHEN doc_id % 17 = 0 THEN 'node_modules/' WHEN doc_id % 19 = 0 THEN 'cabin/'
+              WHEN doc_id % 23 = 0 THEN 'rebuild/' ELSE '' END AS dir
+  FROM documents),
+fx AS (
+  SELECT d, repo, text, concat(dir, lang, '/doc_', d, ext12) AS relative_path,
+         concat('doc_', d, ext12) AS name,
+         CASE WHEN ext12 = '.min.js' THEN '.js' ELSE lower(ext12) END AS ext,
+         ['java','csharp','vbnet','fsharp','php','javascript','typescript','markup','config','config',
+          'unknown','javascript'][d % 12 + 1] AS language,
+         CAST(strlen(text) AS BIGINT) AS size_bytes,
+         (d % 17 = 0 OR d % 19 = 0 OR d % 23 = 0 OR d % 12 = 11) AS excluded
+  FROM dx)
+"""
+
+
+def _docs(sql: str) -> str:
+    return DOCS_CTE + sql
+
+
+ORACLES["src_filter_paths"] = _docs("SELECT repo, relative_path FROM fx WHERE NOT excluded")
+ORACLES["src_filter_size"] = _docs("SELECT repo, relative_path, size_bytes FROM fx WHERE size_bytes <= 10485")
+ORACLES["src_detect_language"] = _docs("SELECT repo, relative_path, ext, language FROM fx")
+ORACLES["src_domains"] = _docs("""
+SELECT 'java-only' AS domain, repo, relative_path FROM fx WHERE d % 12 = 0 AND NOT excluded
+UNION ALL
+SELECT 'web', repo, relative_path FROM fx WHERE d % 12 IN (5, 6, 7, 11) AND d % 17 <> 0
+""")
+ORACLES["src_drop_unsupported"] = _docs("SELECT repo, relative_path, language FROM fx WHERE language <> 'unknown'")
+ORACLES["src_read_tree"] = _docs("""
+SELECT 'corpus' AS repo, concat(repo, '/main/', relative_path) AS relative_path, language, size_bytes,
+       md5(text) AS content_md5
+FROM fx WHERE NOT excluded AND language <> 'unknown'
+""")
+ORACLES["src_read_one"] = _docs("""
+SELECT name, language, size_bytes, md5(text) AS content_md5 FROM fx WHERE NOT excluded
+""")
+ORACLES["src_repo_snapshots"] = _docs("""
+SELECT repo, 'main' AS branch, relative_path, language, size_bytes, md5(text) AS content_md5
+FROM fx WHERE NOT excluded AND language <> 'unknown'
+""")

@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import deps, extract
-from ..sources import fixtures
+import uuid
+
+from ..sources import filters, fixtures, tree
+from ..session import ensure_checkpoint_dir
 from .materialize import checkpoint
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +57,79 @@ def java_graph(spark: SparkSession, sf_dir: str, rule_imports: bool = False) ->
     return Graph(fixtures.fx_java(spark, sf_dir, rule_imports))
 
 
+# ---------------------------------------------------------------- S: sources
+DOMAIN_PROFILES = [
+    {"name": "java-only", "include_patterns": ["**/*.java"]},
+    {"name": "web", "include_patterns": ["**/*.js", "**/*.ts", "**/*.html"],
+     "exclude_patterns": ["**/node_modules/**"]},
+]
+_CORPUS_ROOTS: dict[tuple, str] = {}
+
+
+def docs_corpus_root(spark: SparkSession, sf_dir: str) -> str:
+    """fx_docs written once per session as real files under the shared
+    checkpoint folder: ``<root>/<source>/main/<relative_path>``."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CORPUS_ROOTS:
+        base = ensure_checkpoint_dir(spark).rstrip("/")
+        root = f"{base}/corpus-{uuid.uuid4().hex}-d"
+        docs = fixtures.fx_docs(spark, sf_dir)
+        tree.write_corpus(docs.withColumn("repo", F.concat("repo", F.lit("/main"))), root)
+        _CORPUS_ROOTS[key] = root
+    return _CORPUS_ROOTS[key]
+
+
+def _md5(df: DataFrame) -> DataFrame:
+    return df.withColumn("content_md5", F.md5("content"))
+
+
+@register("src_filter_paths")
+def q_src_filter_paths(spark, d):
+    return filters.filter_paths(fixtures.fx_docs(spark, d)).select("repo", "relative_path")
+
+
+@register("src_filter_size")
+def q_src_filter_size(spark, d):
+    return filters.filter_size(fixtures.fx_docs(spark, d), 0.01).select("repo", "relative_path", "size_bytes")
+
+
+@register("src_detect_language")
+def q_src_detect_language(spark, d):
+    return filters.detect_language(fixtures.fx_docs(spark, d)).select("repo", "relative_path", "ext", "language")
+
+
+@register("src_domains")
+def q_src_domains(spark, d):
+    return (filters.apply_domain_profiles(fixtures.fx_docs(spark, d), DOMAIN_PROFILES)
+            .select("domain", "repo", "relative_path"))
+
+
+@register("src_drop_unsupported")
+def q_src_drop_unsupported(spark, d):
+    return filters.drop_unsupported(fixtures.fx_docs(spark, d)).select("repo", "relative_path", "language")
+
+
+@register("src_read_tree")
+def q_src_read_tree(spark, d):
+    root = docs_corpus_root(spark, d)
+    return _md5(tree.read_source_tree(spark, root, repo="corpus")).select(
+        "repo", "relative_path", "language", "size_bytes", "content_md5")
+
+
+@register("src_read_one")
+def q_src_read_one(spark, d):
+    root = docs_corpus_root(spark, d)
+    return _md5(tree.read_single_file(spark, root + "/*/main/*/*")).select(
+        "name", "language", "size_bytes", "content_md5")
+
+
+@register("src_repo_snapshots")
+def q_src_repo_snapshots(spark, d):
+    root = docs_corpus_root(spark, d)
+    return _md5(tree.read_repo_snapshots(spark, root)).select(
+        "repo", "branch", "relative_path", "language", "size_bytes", "content_md5")
+
+
 # ---------------------------------------------------------------- P: symbols
 @register("sym_units")
 def q_sym_units(spark, d):

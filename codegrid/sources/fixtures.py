@@ -73,3 +73,20 @@ def fx_java(spark: SparkSession, sf_dir: str, rule_imports: bool = False) -> Dat
     return files_from(rows, F.lit("parts"),
                       F.concat(F.lit("src/brand"), _s(b), F.lit("/Part"), _s(p), F.lit(".java")),
                       content)
+
+
+# ---------------------------------------------------------------- fx_docs
+# FIXED VALUES: suffix by doc_id % 12 (upper-case .YAML and .min.js on purpose)
+DOC_EXTENSIONS = [".java", ".cs", ".vb", ".fs", ".php", ".js", ".ts", ".html", ".json", ".YAML",
+                  ".txt", ".min.js"]
+
+
+def fx_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per ``documents`` row: repo = source, text = content."""
+    docs = table(spark, sf_dir, "documents")
+    d = F.col("doc_id")
+    ext = F.element_at(F.array(*[F.lit(e) for e in DOC_EXTENSIONS]), (d % 12 + 1).cast("int"))
+    folder = (F.when(d % 17 == 0, F.lit("node_modules/")).when(d % 19 == 0, F.lit("cabin/"))
+              .when(d % 23 == 0, F.lit("rebuild/")).otherwise(F.lit("")))
+    rel = F.concat(folder, F.col("lang"), F.lit("/doc_"), _s(d), ext)
+    return files_from(docs, F.col("source"), rel, F.col("text"))
