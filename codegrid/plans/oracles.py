@@ -228,3 +228,40 @@ ORACLES["src_repo_snapshots"] = _docs("""
 SELECT repo, 'main' AS branch, relative_path, language, size_bytes, md5(text) AS content_md5
 FROM fx WHERE NOT excluded AND language <> 'unknown'
 """)
+
+# ---------------------------------------------------------------- members (fx_java)
+ORACLES["sym_members"] = _java("""
+, mi AS (SELECT p, file, unnest(generate_series(0, CAST(p % 4 AS INTEGER) - 1)) AS i FROM f WHERE p % 4 > 0)
+SELECT 'parts' AS repo, file, 'java' AS language, 'class' AS type_kind, concat('Part', p) AS type,
+       'method' AS member_kind, CAST(i AS BIGINT) AS ord, concat('m', i) AS name,
+       concat('public int m', i, '()') AS signature, CAST(NULL AS VARCHAR) AS data_type FROM mi
+UNION ALL
+SELECT 'parts', file, 'java', 'class', concat('Part', p), 'field', 0, 'size', NULL, 'private int' FROM f
+""")
+
+ORACLES["sym_modifiers"] = _java("""
+, mi AS (SELECT p, file, unnest(generate_series(0, CAST(p % 4 AS INTEGER) - 1)) AS i FROM f WHERE p % 4 > 0)
+SELECT 'parts' AS repo, file, concat('Part', p) AS type, 'type' AS member_kind, concat('Part', p) AS name,
+       'public' AS modifier FROM f
+UNION ALL SELECT 'parts', file, concat('Part', p), 'method', concat('m', i), 'public' FROM mi
+UNION ALL SELECT 'parts', file, concat('Part', p), 'field', 'size', 'private' FROM f
+""")
+
+ORACLES["sym_constants"] = _java("""
+SELECT 'parts' AS repo, file, concat('Kind', p) AS type, 'enum_constant' AS kind, CAST(0 AS BIGINT) AS ord,
+       concat('A', z) AS name FROM f WHERE p % 5 = 0
+UNION ALL SELECT 'parts', file, concat('Kind', p), 'enum_constant', 1, 'B' FROM f WHERE p % 5 = 0
+UNION ALL SELECT 'parts', file, concat('Kind', p), 'enum_constant', 2, 'C' FROM f WHERE p % 5 = 0
+""")
+
+# ---------------------------------------------------------------- fx_node
+NODE_CTE = """
+WITH nf AS (SELECT s_suppkey AS s, concat('web/src/app/s', s_suppkey, '.component.ts') AS file FROM supplier)
+"""
+ORACLES["sym_functions"] = NODE_CTE + """
+SELECT 'web' AS repo, file, 'typescript' AS language, CAST(0 AS BIGINT) AS ord, concat('load', s) AS name FROM nf
+UNION ALL SELECT 'web', file, 'typescript', 1, concat('pick', s) FROM nf
+"""
+ORACLES["sym_decorators"] = NODE_CTE + """
+SELECT 'web' AS repo, file, concat('Supplier', s, 'Component') AS type, 'Component' AS decorator FROM nf
+"""

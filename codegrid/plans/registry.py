@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import deps, extract
+from ..operators import deps, extract, members
 import uuid
 
 from ..sources import filters, fixtures, tree
@@ -151,6 +151,31 @@ def q_sym_heritage(spark, d):
     return extract.extract_heritage(fixtures.fx_java(spark, d))
 
 
+@register("sym_members")
+def q_sym_members(spark, d):
+    return members.members(members.scan(fixtures.fx_java(spark, d)))
+
+
+@register("sym_modifiers")
+def q_sym_modifiers(spark, d):
+    return members.member_modifiers(members.scan(fixtures.fx_java(spark, d)))
+
+
+@register("sym_constants")
+def q_sym_constants(spark, d):
+    return members.constants(members.scan(fixtures.fx_java(spark, d)))
+
+
+@register("sym_functions")
+def q_sym_functions(spark, d):
+    return extract.extract_functions(fixtures.fx_node(spark, d))
+
+
+@register("sym_decorators")
+def q_sym_decorators(spark, d):
+    return members.decorators(members.scan(fixtures.fx_node(spark, d)))
+
+
 # ---------------------------------------------------------------- D: graph
 @register("dep_type_index")
 def q_dep_type_index(spark, d):

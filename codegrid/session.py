@@ -15,8 +15,8 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # files are up to 10 MB each; keep Arrow batches small so a Python
-    # worker never holds more than a few hundred MB of source text
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # worker holds at most 64 files (<= 640 MB) at a time
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -90,3 +90,15 @@ def fx_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(d % 23 == 0, F.lit("rebuild/")).otherwise(F.lit("")))
     rel = F.concat(folder, F.col("lang"), F.lit("/doc_"), _s(d), ext)
     return files_from(docs, F.col("source"), rel, F.col("text"))
+
+
+# ---------------------------------------------------------------- fx_node
+def fx_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One TypeScript / Angular component file per supplier."""
+    s = F.col("s_suppkey")
+    content = F.concat(
+        F.lit('import { Component } from "@angular/core";\n@Component({})\nexport class Supplier'), _s(s),
+        F.lit("Component {\n}\nfunction load"), _s(s), F.lit("(a) {\n}\nconst pick"), _s(s),
+        F.lit(" = (x) => x;\n"))
+    rel = F.concat(F.lit("web/src/app/s"), _s(s), F.lit(".component.ts"))
+    return files_from(table(spark, sf_dir, "supplier"), F.lit("web"), rel, content)
