@@ -265,3 +265,87 @@ UNION ALL SELECT 'web', file, 'typescript', 1, concat('pick', s) FROM nf
 ORACLES["sym_decorators"] = NODE_CTE + """
 SELECT 'web' AS repo, file, concat('Supplier', s, 'Component') AS type, 'Component' AS decorator FROM nf
 """
+
+# ---------------------------------------------------------------- fx_mq
+MQ_CTE = """
+WITH na AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation),
+cu AS (SELECT c_custkey AS k, c_nationkey AS n, na.r, concat('node/customer', c_custkey, '.ts') AS file
+       FROM customer JOIN na ON na.n = c_nationkey),
+su AS (SELECT s_suppkey AS s, s_nationkey AS n, concat('cs/Supplier', s_suppkey, '.cs') AS file FROM supplier),
+rg AS (SELECT r_regionkey AS r, concat('infra/region', r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN '.json' ELSE '.yaml' END) AS file
+       FROM region)
+"""
+
+
+def _mq(sql: str) -> str:
+    return MQ_CTE + sql
+
+
+ORACLES["mq_candidates"] = _mq("""
+SELECT 'mq' AS repo, file, 'config' AS language, 'infra_config' AS source_type FROM rg
+UNION ALL SELECT 'mq', file, 'typescript', 'amqplib' FROM cu
+UNION ALL SELECT 'mq', file, 'csharp', 'masstransit' FROM su
+""")
+ORACLES["mq_receive_endpoints"] = _mq("""
+SELECT 'mq' AS repo, file, concat('q-nation', n) AS queue, 'consumer' AS role, concat('Supplier', s, 'Consumer') AS party FROM su
+""")
+ORACLES["mq_messages"] = _mq("""
+SELECT 'mq' AS repo, file, 'publish' AS op, concat('Nation', n, 'Audited') AS message FROM su
+""")
+ORACLES["mq_send_endpoints"] = _mq("""
+SELECT 'mq' AS repo, file, concat('queue:q-nation', n) AS endpoint FROM su
+""")
+ORACLES["mq_consumers"] = _mq("""
+SELECT 'mq' AS repo, file, CAST(0 AS BIGINT) AS ord, concat('Supplier', s, 'Consumer') AS consumer,
+       concat('Nation', n, 'Changed') AS message FROM su
+""")
+ORACLES["mq_amqp"] = _mq("""
+SELECT 'mq' AS repo, file, 'publish' AS kind, CAST(0 AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS name,
+       CAST(NULL AS VARCHAR) AS type, CAST(NULL AS VARCHAR) AS queue, concat('region', r) AS exchange,
+       concat('nation', n) AS routing_key FROM cu
+UNION ALL SELECT 'mq', file, 'send_to_queue', 0, NULL, NULL, concat('q-nation', n), NULL, NULL FROM cu WHERE k % 10 = 0
+UNION ALL SELECT 'mq', file, 'queue', 0, NULL, NULL, concat('q-nation', n), NULL, NULL FROM cu WHERE k % 25 = 0
+UNION ALL SELECT 'mq', file, 'consume', 0, NULL, NULL, concat('q-nation', n), NULL, NULL FROM cu WHERE k % 25 = 0
+""")
+ORACLES["mq_infra"] = _mq("""
+, rq AS (SELECT rg.r, rg.file, na.n, CAST(row_number() OVER (PARTITION BY rg.r ORDER BY na.n) - 1 AS BIGINT) AS ord
+         FROM rg JOIN na ON na.r = rg.r)
+SELECT 'mq' AS repo, file, 'exchange' AS kind, CAST(0 AS BIGINT) AS ord, concat('region', r) AS name, 'topic' AS type,
+       CAST(NULL AS BOOLEAN) AS durable, CAST(NULL AS VARCHAR) AS queue, CAST(NULL AS VARCHAR) AS exchange,
+       CAST(NULL AS VARCHAR) AS routing_key FROM rg
+UNION ALL SELECT 'mq', file, 'exchange', 1, concat('topic', r), 'topic', NULL, NULL, NULL, NULL FROM rg
+UNION ALL SELECT 'mq', file, 'queue', ord, concat('q-nation', n), NULL, true, NULL, NULL, NULL FROM rq
+UNION ALL SELECT 'mq', file, 'binding', ord, NULL, NULL, NULL, concat('q-nation', n), concat('region', r),
+                 concat('nation', n) FROM rq
+""")
+ORACLES["mq_flows"] = _mq("""
+SELECT 'mq' AS repo, concat('q-nation', n) AS queue, concat('Supplier', s, 'Consumer') AS consumers, '' AS sagas, file FROM su
+""")
+ORACLES["mq_parties"] = _mq("""
+SELECT 'mq' AS repo, concat('Nation', n, 'Audited') AS message, 'service' AS role, file AS party FROM su
+UNION ALL SELECT 'mq', concat('Nation', n, 'Changed'), 'consumer', concat('Supplier', s, 'Consumer') FROM su
+""")
+ORACLES["mq_graph_nodes"] = _mq("""
+SELECT DISTINCT * FROM (
+SELECT 'mq' AS repo, concat('EX_region', r) AS id, 'exchange' AS kind, concat('Exchange region', r, ' (topic)') AS label FROM rg
+UNION ALL SELECT 'mq', concat('EX_topic', r), 'exchange', concat('Exchange topic', r, ' (topic)') FROM rg
+UNION ALL SELECT 'mq', concat('Q_q_nation', n), 'queue', concat('Queue q-nation', n) FROM na
+UNION ALL SELECT 'mq', concat('S_node_customer', k, '_ts'), 'service', concat('Service ', file) FROM cu
+UNION ALL SELECT 'mq', concat('S_cs_Supplier', s, '_cs'), 'service', concat('Service ', file) FROM su
+UNION ALL SELECT 'mq', concat('S_Supplier', s, 'Consumer'), 'service', concat('Service Supplier', s, 'Consumer') FROM su
+UNION ALL SELECT 'mq', concat('MSG_MSG_Nation', n, 'Audited'), 'message', concat('Message Nation', n, 'Audited') FROM su
+UNION ALL SELECT 'mq', concat('MSG_MSG_Nation', n, 'Changed'), 'message', concat('Message Nation', n, 'Changed') FROM su
+UNION ALL SELECT 'mq', concat('C_Supplier', s, 'Consumer'), 'consumer', concat('Consumer Supplier', s, 'Consumer') FROM su)
+""")
+ORACLES["mq_graph_edges"] = _mq("""
+SELECT repo, src, dst, kind, count(*) AS n FROM (
+SELECT 'mq' AS repo, concat('EX_region', r) AS src, concat('Q_q_nation', n) AS dst, 'binding' AS kind FROM na
+UNION ALL SELECT 'mq', concat('S_node_customer', k, '_ts'), concat('EX_region', r), 'publish' FROM cu
+UNION ALL SELECT 'mq', concat('S_node_customer', k, '_ts'), concat('Q_q_nation', n), 'send' FROM cu WHERE k % 10 = 0
+UNION ALL SELECT 'mq', concat('S_cs_Supplier', s, '_cs'), concat('Q_q_nation', n), 'send' FROM su
+UNION ALL SELECT 'mq', concat('Q_q_nation', n), concat('S_node_customer', k, '_ts'), 'consume' FROM cu WHERE k % 25 = 0
+UNION ALL SELECT 'mq', concat('Q_q_nation', n), concat('S_Supplier', s, 'Consumer'), 'consume' FROM su
+UNION ALL SELECT 'mq', concat('S_cs_Supplier', s, '_cs'), concat('MSG_MSG_Nation', n, 'Audited'), 'message_publish' FROM su
+UNION ALL SELECT 'mq', concat('MSG_MSG_Nation', n, 'Changed'), concat('C_Supplier', s, 'Consumer'), 'message_consume' FROM su
+) GROUP BY ALL
+""")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import deps, extract, members
+from ..operators import deps, extract, members, messaging
 import uuid
 
 from ..sources import filters, fixtures, tree
@@ -253,6 +253,88 @@ def q_dep_export_lines(spark, d):
         deps.export_lines(nodes, g.edges, "dot"))
 
 
+# ---------------------------------------------------------------- M: messaging
+class Messaging:
+    """Messaging facts of one corpus (candidates gate first, facts once)."""
+
+    def __init__(self, files: DataFrame):
+        self.cands = messaging.messaging_candidates(deps.analyzable(files))
+        self.endpoints = checkpoint(messaging.receive_endpoints(self.cands))
+        self.ops = messaging.message_ops(self.cands)
+        self.sends = messaging.send_endpoints(self.cands)
+        self.consumers = messaging.consumer_messages(self.cands.where(F.col("source_type") == "masstransit"))
+        self.amqp = messaging.amqp_facts(self.cands)
+        self.infra = checkpoint(messaging.infra_mq_facts(self.cands))
+
+    def graph(self):
+        return messaging.integration_graph(self.infra, self.amqp, self.endpoints, self.ops,
+                                           self.consumers, self.sends)
+
+
+def mq(spark, d) -> Messaging:
+    return Messaging(fixtures.fx_mq(spark, d))
+
+
+@register("mq_candidates")
+def q_mq_candidates(spark, d):
+    return messaging.messaging_candidates(fixtures.fx_mq(spark, d)).select(
+        "repo", F.col("relative_path").alias("file"), "language", "source_type")
+
+
+@register("mq_receive_endpoints")
+def q_mq_receive_endpoints(spark, d):
+    e = mq(spark, d).endpoints
+    return (e.select("repo", "file", "queue", F.lit("consumer").alias("role"), F.explode("consumers").alias("party"))
+            .unionByName(e.select("repo", "file", "queue", F.lit("saga").alias("role"),
+                                  F.explode("sagas").alias("party"))))
+
+
+@register("mq_messages")
+def q_mq_messages(spark, d):
+    return mq(spark, d).ops
+
+
+@register("mq_send_endpoints")
+def q_mq_send_endpoints(spark, d):
+    return mq(spark, d).sends
+
+
+@register("mq_consumers")
+def q_mq_consumers(spark, d):
+    return mq(spark, d).consumers
+
+
+@register("mq_amqp")
+def q_mq_amqp(spark, d):
+    return mq(spark, d).amqp
+
+
+@register("mq_infra")
+def q_mq_infra(spark, d):
+    return mq(spark, d).infra
+
+
+@register("mq_flows")
+def q_mq_flows(spark, d):
+    return messaging.messaging_flows(mq(spark, d).endpoints)
+
+
+@register("mq_parties")
+def q_mq_parties(spark, d):
+    m = mq(spark, d)
+    return messaging.message_parties(m.ops, m.consumers)
+
+
+@register("mq_graph_nodes")
+def q_mq_graph_nodes(spark, d):
+    return mq(spark, d).graph()[0]
+
+
+@register("mq_graph_edges")
+def q_mq_graph_edges(spark, d):
+    return mq(spark, d).graph()[1]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most coupled source files (top 10 per repo)."""
     return deps.highly_coupled_files(java_graph(spark, sf_dir).nodes(), k=10)

@@ -102,3 +102,55 @@ def fx_node(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" = (x) => x;\n"))
     rel = F.concat(F.lit("web/src/app/s"), _s(s), F.lit(".component.ts"))
     return files_from(table(spark, sf_dir, "supplier"), F.lit("web"), rel, content)
+
+
+# ---------------------------------------------------------------- fx_mq
+def fx_mq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messaging corpus: infra config per region (JSON for even, YAML for
+    odd regions), a Node publisher per customer, a MassTransit consumer per
+    supplier."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"),
+                                                   F.col("n_regionkey").alias("r"))
+    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"))
+    # per region: its nations' queues (a region has a bounded nation list)
+    qs = (nation.groupBy("r").agg(F.array_sort(F.collect_list("n")).alias("ns")))
+    reg = region.join(qs, "r", "left").withColumn("ns", F.coalesce("ns", F.array().cast("array<int>")))
+    r = F.col("r")
+    json_text = F.concat(
+        F.lit('{"rabbitmq": {"exchanges": [{"name": "region'), _s(r), F.lit('", "type": "topic"}], "queues": ['),
+        F.array_join(F.transform("ns", lambda n: F.concat(
+            F.lit('{"name": "q-nation'), _s(n), F.lit('", "durable": true, "binding": {"exchange": "region'),
+            _s(r), F.lit('", "routing_key": "nation'), _s(n), F.lit('"}}'))), ", "),
+        F.lit(']}, "topics": [{"name": "topic'), _s(r), F.lit('"}]}'))
+    yaml_text = F.concat(
+        F.lit("rabbitmq:\n  exchanges:\n  - name: region"), _s(r), F.lit("\n    type: topic\n  queues:"),
+        F.when(F.size("ns") == 0, F.lit(" []")).otherwise(F.lit("")), F.lit("\n"),
+        F.array_join(F.transform("ns", lambda n: F.concat(
+            F.lit("  - name: q-nation"), _s(n), F.lit("\n    durable: true\n    binding:\n      exchange: region"),
+            _s(r), F.lit("\n      routing_key: nation"), _s(n), F.lit("\n"))), ""),
+        F.lit("topics:\n- name: topic"), _s(r), F.lit("\n"))
+    infra = files_from(reg, F.lit("mq"),
+                       F.concat(F.lit("infra/region"), _s(r), F.when(r % 2 == 0, F.lit(".json")).otherwise(F.lit(".yaml"))),
+                       F.when(r % 2 == 0, json_text).otherwise(yaml_text))
+
+    cust = (table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+            .join(F.broadcast(nation), "n"))
+    k, n = F.col("k"), F.col("n")
+    node_text = F.concat(
+        F.lit('import amqplib from "amqplib";\nchannel.publish("region'), _s(r), F.lit('", "nation'), _s(n),
+        F.lit('", x);\n'),
+        F.when(k % 10 == 0, F.concat(F.lit('channel.sendToQueue("q-nation'), _s(n), F.lit('", x);\n')))
+        .otherwise(F.lit("")),
+        F.when(k % 25 == 0, F.concat(F.lit('channel.assertQueue("q-nation'), _s(n), F.lit('");\nchannel.consume("q-nation'),
+                                     _s(n), F.lit('", f);\n'))).otherwise(F.lit("")))
+    node = files_from(cust, F.lit("mq"), F.concat(F.lit("node/customer"), _s(k), F.lit(".ts")), node_text)
+
+    supp = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("n"))
+    s = F.col("s")
+    cs_text = F.concat(
+        F.lit("using MassTransit;\nclass Supplier"), _s(s), F.lit("Consumer : IConsumer<Nation"), _s(n),
+        F.lit("Changed> { }\ncfg.ReceiveEndpoint(\"q-nation"), _s(n), F.lit("\", e => { e.Consumer<Supplier"), _s(s),
+        F.lit("Consumer>(ctx); });\nbus.Publish(new Nation"), _s(n),
+        F.lit("Audited());\nGetSendEndpoint(new Uri(\"rabbitmq://host/q-nation"), _s(n), F.lit("\"));\n"))
+    cs = files_from(supp, F.lit("mq"), F.concat(F.lit("cs/Supplier"), _s(s), F.lit(".cs")), cs_text)
+    return infra.unionByName(node).unionByName(cs)
