@@ -138,7 +138,7 @@ def clean_comment(text: Column, style: Column) -> Column:
     vb_like = F.regexp_replace(F.regexp_replace(t, r"^'\s*", ""), r"(?i)^REM\s+", "")
     out = (F.when(style == "vb", vb_like).when(style == "fs", fs_like)
            .when(style == "html", t).otherwise(c_like))
-    out = F.when(style == "vb", out).otherwise(F.regexp_replace(out, r"(?m)^\*\s*", ""))
+    out = F.when(style.isin("c", "fs"), F.regexp_replace(out, r"(?m)^\*\s*", "")).otherwise(out)
     return F.trim(out)
 
 
@@ -172,3 +172,33 @@ def custom_elements(files: DataFrame) -> DataFrame:
     """Distinct tags containing ``-`` per file."""
     return (extract_markup_tags(files).where("is_custom")
             .select("repo", "file", "tag").distinct())
+
+
+# ------------------------------------------------------------------- P11
+def _yaml_batches(batches):
+    import pandas as pd
+
+    from ..functions.config import parse_config, top_level_keys
+    for b in batches:
+        types, keys = [], []
+        for text in b["content"]:
+            t, data = parse_config(text or "")
+            types.append(t)
+            keys.append(top_level_keys(data))
+        yield pd.DataFrame({"repo": b["repo"], "file": b["file"], "config_type": types, "keys": keys})
+
+
+def extract_config_keys(files: DataFrame) -> DataFrame:
+    """config_keys(repo, file, config_type, key_count, keys): JSON is parsed
+    on the JVM; only the rest (YAML or neither) reaches PyYAML."""
+    cfg = (files.where(F.col("language") == "config")
+           .select("repo", F.col("relative_path").alias("file"), "content",
+                   F.try_parse_json("content").isNotNull().alias("is_json")))
+    js = cfg.where("is_json").select(
+        "repo", "file", F.lit("json").alias("config_type"),
+        F.coalesce(F.array_distinct(F.json_object_keys("content")), F.array().cast("array<string>")).alias("keys"))
+    rest = (cfg.where(~F.col("is_json")).select("repo", "file", "content")
+            .mapInPandas(_yaml_batches, "repo string, file string, config_type string, keys array<string>"))
+    return js.unionByName(rest).select("repo", "file", "config_type",
+                                       F.size("keys").cast("long").alias("key_count"),
+                                       F.array_join("keys", ",").alias("keys"))

@@ -349,3 +349,43 @@ UNION ALL SELECT 'mq', concat('S_cs_Supplier', s, '_cs'), concat('MSG_MSG_Nation
 UNION ALL SELECT 'mq', concat('MSG_MSG_Nation', n, 'Changed'), concat('C_Supplier', s, 'Consumer'), 'message_consume' FROM su
 ) GROUP BY ALL
 """)
+
+# ---------------------------------------------------------------- fx_pages / fx_config
+PAGES_CTE = """
+WITH pg AS (SELECT concat('pages/page_', page_id, '.html') AS file,
+                   concat(html, CASE WHEN page_id % 5 = 0 THEN '<x-card>' ELSE '' END) AS content FROM pages)
+"""
+ORACLES["sym_comments"] = PAGES_CTE + """
+, cm AS (SELECT file, regexp_extract_all(content, '(?s)<!--(.*?)-->', 1) AS arr FROM pg)
+SELECT 'pages' AS repo, file, 'markup' AS language, CAST(ord AS BIGINT) AS ord, text, trim(text) AS clean
+FROM (SELECT file, unnest(arr) AS text, unnest(generate_series(0, len(arr) - 1)) AS ord FROM cm)
+"""
+ORACLES["sym_markup_tags"] = PAGES_CTE + """
+, tg AS (SELECT file, regexp_extract_all(content, '<\\s*([a-zA-Z][A-Za-z0-9_-]*)', 1) AS arr FROM pg)
+SELECT 'pages' AS repo, file, CAST(ord AS BIGINT) AS ord, tag, tag LIKE '%-%' AS is_custom
+FROM (SELECT file, unnest(arr) AS tag, unnest(generate_series(0, len(arr) - 1)) AS ord FROM tg)
+"""
+ORACLES["sym_config_keys"] = """
+SELECT 'conf' AS repo, concat('conf/', event_id, '.json') AS file,
+       CASE event_id % 10 WHEN 0 THEN 'yaml' WHEN 1 THEN 'unknown' WHEN 2 THEN 'yaml' ELSE 'json' END AS config_type,
+       CAST(CASE WHEN event_id % 10 IN (1, 2, 3) THEN 0 ELSE 1 END AS BIGINT) AS key_count,
+       CASE WHEN event_id % 10 IN (1, 2, 3) THEN '' ELSE 'k' END AS keys
+FROM events
+"""
+
+# ---------------------------------------------------------------- correlation (fx_mq + fx_node)
+ORACLES["cor_signals"] = """
+SELECT 'mq' AS repo, concat('cs/Supplier', s_suppkey, '.cs') AS file, 'dotnet' AS stack, 'masstransit' AS keyword
+FROM supplier
+UNION ALL SELECT 'mq', concat('node/customer', c_custkey, '.ts'), 'node', 'amqplib' FROM customer
+"""
+ORACLES["cor_angular"] = """
+SELECT 'web' AS repo, concat('web/src/app/s', s_suppkey, '.component.ts') AS file FROM supplier
+"""
+ORACLES["cor_summary"] = """
+SELECT 'mq' AS repo, CAST((SELECT count(*) FROM supplier) AS BIGINT) AS dotnet_files,
+       CAST((SELECT count(*) FROM customer) AS BIGINT) AS node_files, CAST(0 AS BIGINT) AS angular_files,
+       true AS detected, 'DOTNET->MQ,NODE->MQ' AS edges
+UNION ALL
+SELECT 'web', 0, 0, CAST((SELECT count(*) FROM supplier) AS BIGINT), false, 'ANGULAR->MQ'
+"""

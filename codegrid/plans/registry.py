@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import deps, extract, members, messaging
+from ..operators import correlation, deps, extract, members, messaging
 import uuid
 
 from ..sources import filters, fixtures, tree
@@ -176,6 +176,21 @@ def q_sym_decorators(spark, d):
     return members.decorators(members.scan(fixtures.fx_node(spark, d)))
 
 
+@register("sym_comments")
+def q_sym_comments(spark, d):
+    return extract.extract_comments(fixtures.fx_pages(spark, d))
+
+
+@register("sym_markup_tags")
+def q_sym_markup_tags(spark, d):
+    return extract.extract_markup_tags(fixtures.fx_pages(spark, d))
+
+
+@register("sym_config_keys")
+def q_sym_config_keys(spark, d):
+    return extract.extract_config_keys(fixtures.fx_config(spark, d))
+
+
 # ---------------------------------------------------------------- D: graph
 @register("dep_type_index")
 def q_dep_type_index(spark, d):
@@ -335,6 +350,31 @@ def q_mq_graph_edges(spark, d):
     return mq(spark, d).graph()[1]
 
 
+# ---------------------------------------------------------------- C: correlation
+def cross_stack(spark, d):
+    files = fixtures.fx_mq(spark, d).unionByName(fixtures.fx_node(spark, d))
+    g = Graph(files)
+    external = g.external()
+    signals = correlation.messaging_signals(g.files, external)
+    angular = correlation.angular_files(g.files, external)
+    return signals, angular
+
+
+@register("cor_signals")
+def q_cor_signals(spark, d):
+    return cross_stack(spark, d)[0]
+
+
+@register("cor_angular")
+def q_cor_angular(spark, d):
+    return cross_stack(spark, d)[1]
+
+
+@register("cor_summary")
+def q_cor_summary(spark, d):
+    return correlation.cross_stack_summary(*cross_stack(spark, d))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most coupled source files (top 10 per repo)."""
     return deps.highly_coupled_files(java_graph(spark, sf_dir).nodes(), k=10)

@@ -154,3 +154,26 @@ def fx_mq(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Audited());\nGetSendEndpoint(new Uri(\"rabbitmq://host/q-nation"), _s(n), F.lit("\"));\n"))
     cs = files_from(supp, F.lit("mq"), F.concat(F.lit("cs/Supplier"), _s(s), F.lit(".cs")), cs_text)
     return infra.unionByName(node).unionByName(cs)
+
+
+# ---------------------------------------------------------------- fx_pages
+def fx_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One HTML file per page; every fifth page gets a custom element."""
+    p = F.col("page_id")
+    content = F.concat(F.col("html"), F.when(p % 5 == 0, F.lit("<x-card>")).otherwise(F.lit("")))
+    return files_from(table(spark, sf_dir, "pages"), F.lit("pages"),
+                      F.concat(F.lit("pages/page_"), _s(p), F.lit(".html")), content)
+
+
+# ---------------------------------------------------------------- fx_config
+def fx_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One config file per event, its text chosen by event_id % 10."""
+    ev = table(spark, sf_dir, "events")
+    e = F.col("event_id")
+    v = F.regexp_extract("props", r"(-?\d+)", 1)
+    content = (F.when(e % 10 == 0, F.concat(F.lit("k: "), v))
+               .when(e % 10 == 1, F.concat(F.lit('{"k": '), v))
+               .when(e % 10 == 2, F.col("event_type"))
+               .when(e % 10 == 3, F.concat(F.lit("["), v, F.lit("]")))
+               .otherwise(F.col("props")))
+    return files_from(ev, F.lit("conf"), F.concat(F.lit("conf/"), _s(e), F.lit(".json")), content)
