@@ -389,3 +389,122 @@ SELECT 'mq' AS repo, CAST((SELECT count(*) FROM supplier) AS BIGINT) AS dotnet_f
 UNION ALL
 SELECT 'web', 0, 0, CAST((SELECT count(*) FROM supplier) AS BIGINT), false, 'ANGULAR->MQ'
 """
+
+# ---------------------------------------------------------------- fx_csharp
+SHOP_CTE = """
+WITH na AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation),
+cu AS (SELECT c_custkey AS k, na.r,
+              concat(upper(substr(c_mktsegment, 1, 1)), lower(substr(c_mktsegment, 2))) AS seg,
+              concat('Api/Controllers/Customer', c_custkey, 'Controller.cs') AS file,
+              concat('Customer', c_custkey, 'Controller') AS ctl
+       FROM customer JOIN na ON na.n = c_nationkey),
+od AS (SELECT o_orderkey AS o, cu.k, cu.ctl, cu.seg, concat('Order', o_orderkey) AS method,
+              CASE o_orderstatus WHEN 'F' THEN 'GET' WHEN 'O' THEN 'POST' ELSE 'PUT' END AS verb,
+              substr(o_orderpriority, 1, 1) AS pr, concat('api/customer', cu.k, '/order/', o_orderkey) AS route
+       FROM orders JOIN cu ON cu.k = o_custkey),
+su AS (SELECT s_suppkey AS s, na.r FROM supplier JOIN na ON na.n = s_nationkey),
+svc AS (SELECT s, r, concat('Supplier', s, 'Service') AS name, concat('Api/Services/Supplier', s, 'Service.cs') AS file
+        FROM su WHERE s < 25),
+cons AS (SELECT s, concat('Supplier', s, 'Consumer') AS name,
+                concat(['Automobile','Building','Furniture','Household','Machinery'][s % 5 + 1], 'Placed') AS msg,
+                s % 2 = 0 AS reads_db, concat('Worker/Supplier', s, 'Consumer.cs') AS file
+         FROM su WHERE s < 20),
+st AS (SELECT od.*, CASE pr WHEN '1' THEN concat('Publish/Send ', seg, 'Placed to queue')
+                             WHEN '2' THEN 'Insert/Update DB' WHEN '3' THEN 'Generate OrderId'
+                             WHEN '4' THEN concat('Publish/Send ', seg, 'Placed to queue') END AS step
+       FROM od),
+cstep AS (SELECT od.ctl, od.method, cons.file, 0 AS sub, concat('Consumer ', cons.name, ' reads queue') AS step
+          FROM od JOIN cons ON cons.msg = concat(od.seg, 'Placed') WHERE od.pr IN ('1', '4')
+          UNION ALL
+          SELECT od.ctl, od.method, cons.file, 1, concat('Consumer ', cons.name, ' reads DB')
+          FROM od JOIN cons ON cons.msg = concat(od.seg, 'Placed') WHERE od.pr IN ('1', '4') AND cons.reads_db),
+flows AS (SELECT ctl, method, CAST(0 AS BIGINT) AS step_ord, step FROM st WHERE step IS NOT NULL
+          UNION ALL
+          SELECT ctl, method, CAST(row_number() OVER (PARTITION BY ctl, method ORDER BY file, sub) AS BIGINT), step
+          FROM cstep),
+deps AS (SELECT cu.ctl, svc.name AS dep FROM cu JOIN svc ON svc.r = cu.r),
+depl AS (SELECT ctl, string_agg(dep, ', ' ORDER BY dep) AS deps, list(dep ORDER BY dep) AS dl FROM deps GROUP BY ctl),
+fl AS (SELECT ctl, method, string_agg(step, ' | ' ORDER BY step_ord) AS steps FROM flows GROUP BY ctl, method)
+"""
+
+
+def _shop(sql: str) -> str:
+    return SHOP_CTE + sql
+
+
+ORACLES["cat_classes"] = _shop("""
+SELECT 'shop' AS repo, file, ctl AS class FROM cu
+UNION ALL SELECT 'shop', file, name FROM svc
+UNION ALL SELECT 'shop', file, name FROM cons
+""")
+ORACLES["cat_controllers"] = _shop("""
+SELECT 'shop' AS repo, file, ctl AS controller, concat('api/customer', k) AS route FROM cu
+""")
+ORACLES["cat_services"] = _shop("SELECT 'shop' AS repo, 'service' AS kind, name FROM svc")
+ORACLES["cat_endpoints"] = _shop("SELECT 'shop' AS repo, ctl AS controller, method, verb, route FROM od")
+ORACLES["cat_steps"] = _shop("""
+SELECT 'shop' AS repo, ctl AS controller, method, CAST(0 AS BIGINT) AS step_ord, step FROM st WHERE step IS NOT NULL
+""")
+ORACLES["cat_consumers"] = _shop("SELECT 'shop' AS repo, msg AS message, name AS consumer, reads_db FROM cons")
+ORACLES["cat_flows"] = _shop("SELECT 'shop' AS repo, ctl AS controller, method, step_ord, step FROM flows")
+ORACLES["cat_ctrl_deps"] = _shop("SELECT 'shop' AS repo, ctl AS controller, dep AS dep_class FROM deps")
+ORACLES["cat_api_spec"] = _shop("""
+SELECT 'shop' AS repo, od.ctl AS controller, od.method, od.verb AS verbs, od.route,
+       CASE WHEN depl.deps IS NULL THEN od.ctl ELSE concat(od.ctl, ', ', depl.deps) END AS components,
+       coalesce(fl.steps, '') AS steps
+FROM od LEFT JOIN depl ON depl.ctl = od.ctl LEFT JOIN fl ON fl.ctl = od.ctl AND fl.method = od.method
+""")
+ORACLES["cat_sequences"] = _shop("""
+, base AS (SELECT od.ctl, od.method, od.verb, od.route, coalesce(depl.dl, []) AS dl, fl.steps
+           FROM od LEFT JOIN depl ON depl.ctl = od.ctl LEFT JOIN fl ON fl.ctl = od.ctl AND fl.method = od.method),
+rows AS (
+  SELECT ctl, method, 0 AS seq, 'Client' AS src, ctl AS dst, concat(verb, ' ', route) AS label FROM base
+  UNION ALL
+  SELECT ctl, method, 2 * i - 1, ctl, dl[i], 'Call'
+  FROM (SELECT ctl, method, dl, unnest(generate_series(1, len(dl))) AS i FROM base)
+  UNION ALL
+  SELECT ctl, method, 2 * i, dl[i], ctl, 'Result'
+  FROM (SELECT ctl, method, dl, unnest(generate_series(1, len(dl))) AS i FROM base)
+  UNION ALL
+  SELECT ctl, method, 2 * len(dl) + 1, 'Note', ctl, steps FROM base WHERE coalesce(steps, '') <> ''
+  UNION ALL
+  SELECT ctl, method, 2 * len(dl) + CASE WHEN coalesce(steps, '') <> '' THEN 2 ELSE 1 END, ctl, 'Client', 'Response'
+  FROM base)
+SELECT 'shop' AS repo, ctl AS controller, method, CAST(seq AS BIGINT) AS seq, src, dst, label FROM rows
+""")
+
+# ---------------------------------------------------------------- fx_calls
+CALLS_CTE = """
+WITH ev AS (SELECT user_id AS u, event_type AS t,
+                   lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+tr AS (SELECT DISTINCT u, t, n FROM ev WHERE n IS NOT NULL),
+ty AS (SELECT DISTINCT u, t FROM events_t),
+fst AS (SELECT u, min(t) AS t0 FROM ty GROUP BY u)
+"""
+CALLS_CTE = CALLS_CTE.replace("FROM events_t", "FROM (SELECT user_id AS u, event_type AS t FROM events)")
+
+
+def _calls(sql: str) -> str:
+    return CALLS_CTE + sql
+
+
+def _initcap(x: str) -> str:
+    return f"concat(upper(substr({x}, 1, 1)), substr({x}, 2))"
+
+
+ORACLES["call_edges"] = _calls("""
+SELECT 'calls' AS repo, concat('calls/User', u, '.cs') AS file, concat('User', u) AS class, t AS caller, n AS callee,
+       CAST(1 AS BIGINT) AS n FROM tr
+""")
+ORACLES["call_interactions"] = _calls(f"""
+SELECT 'calls' AS repo, concat('calls/Flow', tr.u, '.java') AS file,
+       CAST(row_number() OVER (PARTITION BY tr.u ORDER BY tr.t, tr.n) - 1 AS BIGINT) AS ord,
+       {_initcap('fst.t0')} AS from_class, {_initcap('tr.n')} AS to_class, tr.n AS method
+FROM tr JOIN fst ON fst.u = tr.u WHERE tr.n <> fst.t0
+""")
+ORACLES["call_class_chain"] = _calls(f"""
+, o AS (SELECT u, t, row_number() OVER (PARTITION BY u ORDER BY t) - 1 AS i FROM ty)
+SELECT 'calls' AS repo, concat('calls/Flow', a.u, '.java') AS file, CAST(a.i AS BIGINT) AS pos,
+       {_initcap('a.t')} AS from_class, {_initcap('b.t')} AS to_class, b.t AS method
+FROM o a JOIN o b ON b.u = a.u AND b.i = a.i + 1 WHERE b.i < 5
+""")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import correlation, deps, extract, members, messaging
+from ..operators import calls, catalog, correlation, deps, extract, members, messaging
 import uuid
 
 from ..sources import filters, fixtures, tree
@@ -375,6 +375,101 @@ def q_cor_summary(spark, d):
     return correlation.cross_stack_summary(*cross_stack(spark, d))
 
 
+# ---------------------------------------------------------------- V: catalog
+class Catalog:
+    """Service catalog of one C# corpus: the V1 scan is done once."""
+
+    def __init__(self, files: DataFrame):
+        self.graph = Graph(files)
+        self.files = self.graph.files
+        self.scan = checkpoint(catalog.parse_csharp_services(self.files))
+        self.controllers = catalog.controllers(self.scan)
+        self.endpoints = catalog.endpoints(self.scan)
+        self.steps = catalog.endpoint_steps(self.endpoints)
+        self.consumers = catalog.consumer_map(self.files)
+        self.flows = catalog.endpoint_flows(self.steps, self.consumers)
+        self.ctrl_deps = catalog.controller_dependencies(self.scan, self.controllers, self.graph.edges)
+
+
+def shop(spark, d) -> Catalog:
+    return Catalog(fixtures.fx_csharp(spark, d))
+
+
+@register("cat_classes")
+def q_cat_classes(spark, d):
+    scan = catalog.parse_csharp_services(fixtures.fx_csharp(spark, d))
+    return catalog.cs_classes(scan).select("repo", "file", "class")
+
+
+@register("cat_controllers")
+def q_cat_controllers(spark, d):
+    return catalog.controllers(catalog.parse_csharp_services(fixtures.fx_csharp(spark, d)))
+
+
+@register("cat_services")
+def q_cat_services(spark, d):
+    return catalog.services_and_interfaces(catalog.parse_csharp_services(fixtures.fx_csharp(spark, d)))
+
+
+@register("cat_endpoints")
+def q_cat_endpoints(spark, d):
+    e = catalog.endpoints(catalog.parse_csharp_services(fixtures.fx_csharp(spark, d)))
+    return e.select("repo", "controller", "method", F.explode("verbs").alias("verb"), "route")
+
+
+@register("cat_steps")
+def q_cat_steps(spark, d):
+    e = catalog.endpoints(catalog.parse_csharp_services(fixtures.fx_csharp(spark, d)))
+    st = catalog.endpoint_steps(e)
+    return (st.select("repo", "controller", "method", F.posexplode("steps").alias("step_ord", "step"))
+            .withColumn("step_ord", F.col("step_ord").cast("long")))
+
+
+@register("cat_consumers")
+def q_cat_consumers(spark, d):
+    return catalog.consumer_map(fixtures.fx_csharp(spark, d)).select("repo", "message", "consumer", "reads_db")
+
+
+@register("cat_flows")
+def q_cat_flows(spark, d):
+    return shop(spark, d).flows
+
+
+@register("cat_ctrl_deps")
+def q_cat_ctrl_deps(spark, d):
+    return shop(spark, d).ctrl_deps
+
+
+@register("cat_api_spec")
+def q_cat_api_spec(spark, d):
+    c = shop(spark, d)
+    return catalog.api_spec(c.endpoints, c.ctrl_deps, c.flows)
+
+
+@register("cat_sequences")
+def q_cat_sequences(spark, d):
+    c = shop(spark, d)
+    return catalog.endpoint_sequences(c.endpoints, c.ctrl_deps, c.flows)
+
+
+# ---------------------------------------------------------------- G: calls
+@register("call_edges")
+def q_call_edges(spark, d):
+    return calls.call_edges(calls.cs_methods(fixtures.fx_calls(spark, d)))
+
+
+@register("call_interactions")
+def q_call_interactions(spark, d):
+    files = fixtures.fx_calls(spark, d).where(F.col("language") == "java")
+    return calls.class_interactions(files, checkpoint(members.scan(files)))
+
+
+@register("call_class_chain")
+def q_call_class_chain(spark, d):
+    files = fixtures.fx_calls(spark, d).where(F.col("language") == "java")
+    return calls.class_chain(members.scan(files))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most coupled source files (top 10 per repo)."""
     return deps.highly_coupled_files(java_graph(spark, sf_dir).nodes(), k=10)

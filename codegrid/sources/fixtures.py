@@ -177,3 +177,92 @@ def fx_config(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(e % 10 == 3, F.concat(F.lit("["), v, F.lit("]")))
                .otherwise(F.col("props")))
     return files_from(ev, F.lit("conf"), F.concat(F.lit("conf/"), _s(e), F.lit(".json")), content)
+
+
+# ---------------------------------------------------------------- fx_csharp
+SEGMENTS_SORTED = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def fx_csharp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ASP.NET-style corpus: a controller per customer with one endpoint per
+    order, services for the first 25 suppliers, consumers for the first 20."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_regionkey").alias("r"))
+    cust = (table(spark, sf_dir, "customer")
+            .select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"),
+                    F.initcap("c_mktsegment").alias("seg"))
+            .join(F.broadcast(nation), "n"))
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("k"),
+        F.col("o_orderstatus").alias("st"), F.substring("o_orderpriority", 1, 1).alias("pr"))
+    o, seg = F.col("o"), F.col("seg")
+    verb = F.when(F.col("st") == "F", F.lit("Get")).when(F.col("st") == "O", F.lit("Post")).otherwise(F.lit("Put"))
+    body = (F.when(F.col("pr") == "1", F.concat(F.lit("Publish(new "), seg, F.lit("Placed(1));")))
+            .when(F.col("pr") == "2", F.lit("SaveChanges();"))
+            .when(F.col("pr") == "3", F.lit("var id = Guid.NewGuid();"))
+            .when(F.col("pr") == "4", F.concat(F.lit("var m = new "), seg, F.lit("Placed(1);\nSend(m);")))
+            .otherwise(F.lit("")))
+    method = F.concat(F.lit("[Http"), verb, F.lit('("order/'), _s(o), F.lit('")]\npublic IActionResult Order'), _s(o),
+                      F.lit("()\n{\n"), body, F.lit("\n}\n"))
+    # a customer has a bounded number of orders; the methods are one file
+    methods = (orders.join(cust.select("k", "seg"), "k")
+               .groupBy("k").agg(F.array_sort(F.collect_list(F.struct(o, method.alias("m")))).alias("ms"))
+               .select("k", F.array_join("ms.m", "").alias("methods")))
+    k, r = F.col("k"), F.col("r")
+    ctrl_text = F.concat(
+        F.lit("using Region"), _s(r), F.lit(".Services;\nnamespace Region"), _s(r),
+        F.lit('.Controllers\n{\n[ApiController]\n[Route("api/[controller]")]\npublic class Customer'), _s(k),
+        F.lit("Controller : ControllerBase\n{\n"), F.coalesce("methods", F.lit("")), F.lit("}\n}"))
+    ctrl = files_from(cust.join(methods, "k", "left"), F.lit("shop"),
+                      F.concat(F.lit("Api/Controllers/Customer"), _s(k), F.lit("Controller.cs")), ctrl_text)
+
+    supp = (table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("n"))
+            .join(F.broadcast(nation), "n"))
+    s = F.col("s")
+    svc = files_from(supp.where(s < 25), F.lit("shop"),
+                     F.concat(F.lit("Api/Services/Supplier"), _s(s), F.lit("Service.cs")),
+                     F.concat(F.lit("namespace Region"), _s(r), F.lit(".Services\n{\npublic class Supplier"), _s(s),
+                              F.lit("Service\n{\n}\n}")))
+    seg_of = F.element_at(F.array(*[F.lit(x.capitalize()) for x in SEGMENTS_SORTED]), (s % 5 + 1).cast("int"))
+    cons = files_from(supp.where(s < 20), F.lit("shop"),
+                      F.concat(F.lit("Worker/Supplier"), _s(s), F.lit("Consumer.cs")),
+                      F.concat(F.lit("namespace Worker\n{\npublic class Supplier"), _s(s),
+                               F.lit("Consumer : IConsumer<"), seg_of, F.lit("Placed>\n{\n}\n}"),
+                               F.when(s % 2 == 0, F.lit("\n// uses ShopDbContext")).otherwise(F.lit(""))))
+    return ctrl.unionByName(svc).unionByName(cons)
+
+
+# ---------------------------------------------------------------- fx_calls
+def event_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(u, t, n): distinct event-type transitions per user in (ts, event_id)
+    order. The window is partitioned by user, so no partition grows with
+    the table."""
+    from pyspark.sql.window import Window
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return (ev.withColumn("nxt", F.lead("event_type").over(w)).where(F.col("nxt").isNotNull())
+            .select(F.col("user_id").alias("u"), F.col("event_type").alias("t"), F.col("nxt").alias("n"))
+            .distinct())
+
+
+def fx_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user: a C# class whose methods call their successor event types,
+    and a Java file with one class per event type plus call lines."""
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("u"), F.col("event_type").alias("t")).distinct()
+    tr = event_transitions(spark, sf_dir)
+    per_type = (ev.join(tr.groupBy("u", "t").agg(F.array_sort(F.collect_set("n")).alias("ns")), ["u", "t"], "left")
+                .withColumn("ns", F.coalesce("ns", F.array().cast("array<string>"))))
+    line = F.concat(F.lit("public void "), F.col("t"), F.lit("() { "),
+                    F.array_join(F.transform("ns", lambda x: F.concat(x, F.lit("(); "))), ""), F.lit("}\n"))
+    jline = F.concat(F.lit("class "), F.initcap("t"), F.lit(" { public void "), F.col("t"), F.lit("() { } }\n"))
+    per_user = (per_type.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("t", line.alias("cs"),
+                                                                                jline.alias("jv")))).alias("x")))
+    calls = (tr.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("tn"))
+             .select("u", F.array_join(F.transform("tn", lambda x: F.concat(F.lit("// x."), x["n"], F.lit("();\n"))),
+                                       "").alias("calls")))
+    rows = per_user.join(calls, "u", "left")
+    u = F.col("u")
+    cs = files_from(rows, F.lit("calls"), F.concat(F.lit("calls/User"), _s(u), F.lit(".cs")),
+                    F.concat(F.lit("class User"), _s(u), F.lit(" {\n"), F.array_join("x.cs", ""), F.lit("}")))
+    jv = files_from(rows, F.lit("calls"), F.concat(F.lit("calls/Flow"), _s(u), F.lit(".java")),
+                    F.concat(F.array_join("x.jv", ""), F.coalesce("calls", F.lit(""))))
+    return cs.unionByName(jv)
