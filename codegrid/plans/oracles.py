@@ -508,3 +508,76 @@ SELECT 'calls' AS repo, concat('calls/Flow', a.u, '.java') AS file, CAST(a.i AS
        {_initcap('a.t')} AS from_class, {_initcap('b.t')} AS to_class, b.t AS method
 FROM o a JOIN o b ON b.u = a.u AND b.i = a.i + 1 WHERE b.i < 5
 """)
+
+# ---------------------------------------------------------------- text preparation
+ORACLES["txt_chunks"] = """
+WITH d AS (SELECT doc_id, text, length(text) AS n,
+                  CASE WHEN length(text) <= 1000 THEN 1 ELSE 1 + CAST(ceil((length(text) - 1000) / 900.0) AS BIGINT) END AS total
+           FROM documents),
+c AS (SELECT doc_id, text, total, unnest(generate_series(1, total)) AS i FROM d)
+SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, CAST(total AS BIGINT) AS chunk_total,
+       CAST((i - 1) * 900 AS BIGINT) AS start,
+       CASE WHEN total = 1 THEN text ELSE substr(text, CAST((i - 1) * 900 + 1 AS BIGINT), 1000) END AS chunk
+FROM c
+"""
+ORACLES["txt_projects"] = _docs("""
+SELECT repo, CASE WHEN relative_path LIKE '%/%' THEN split_part(relative_path, '/', 1) ELSE 'root' END AS project,
+       count(*) AS files, sum(size_bytes) AS bytes
+FROM fx GROUP BY ALL
+""")
+ORACLES["txt_summary"] = """
+WITH sp AS (SELECT doc_id, text, string_split(text, chr(10)) AS arr FROM documents),
+ln AS (SELECT doc_id, unnest(arr) AS line, unnest(generate_series(1, len(arr))) AS i FROM sp),
+l2 AS (SELECT doc_id, i, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s FROM ln),
+l3 AS (SELECT *, ((s LIKE '#%' AND line LIKE '%Technical Documentation%') OR line LIKE '%Generated using%'
+                  OR s = '---') AS skip FROM l2),
+f AS (SELECT doc_id, min(i) AS f FROM l3 WHERE NOT skip AND s <> '' GROUP BY doc_id),
+cut AS (SELECT l3.doc_id, min(i) AS cut FROM l3 JOIN f USING (doc_id)
+        WHERE NOT skip AND i >= f.f AND (s = '' OR s LIKE '##%') GROUP BY l3.doc_id),
+cand AS (SELECT l3.doc_id, i, s, row_number() OVER (PARTITION BY l3.doc_id ORDER BY i) AS k,
+                s LIKE '%.' AS e
+         FROM l3 JOIN f USING (doc_id) LEFT JOIN cut USING (doc_id)
+         WHERE NOT skip AND s <> '' AND i >= f.f AND i < coalesce(cut.cut, 1e18)),
+c2 AS (SELECT *, (e OR coalesce(lag(e, 1) OVER w, false) OR coalesce(lag(e, 2) OVER w, false)) AS e3
+       FROM cand WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+stop AS (SELECT doc_id, min(k) AS ks FROM c2 WHERE k >= 4 AND e3 GROUP BY doc_id),
+summ AS (SELECT c2.doc_id, trim(string_agg(s, ' ' ORDER BY k)) AS summary FROM c2 LEFT JOIN stop USING (doc_id)
+         WHERE k <= coalesce(stop.ks, 1e18) GROUP BY c2.doc_id)
+SELECT sp.doc_id,
+       CASE WHEN coalesce(sp.text, '') = '' THEN 'No summary available.'
+            WHEN length(coalesce(summ.summary, '')) < 50 THEN
+              concat('This documentation covers ', (length(sp.text) - length(replace(sp.text, '### ', ''))) // 4,
+                     ' source file(s) ', 'The documentation includes detailed explanations of classes, methods, and code structure.')
+            ELSE summ.summary END AS summary
+FROM sp LEFT JOIN summ USING (doc_id)
+"""
+ORACLES["txt_metrics"] = """
+WITH m AS (SELECT source AS repo, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars,
+                  CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS lines
+           FROM documents GROUP BY source)
+SELECT repo, documents, chars, lines,
+       CASE WHEN chars < 1024 THEN printf('%.1f B', chars::DOUBLE)
+            WHEN chars < 1024 * 1024 THEN printf('%.1f KB', chars / 1024.0)
+            WHEN chars < 1024 * 1024 * 1024 THEN printf('%.1f MB', chars / 1048576.0)
+            ELSE printf('%.1f GB', chars / 1073741824.0) END AS size
+FROM m
+"""
+
+# ---------------------------------------------------------------- reports
+ORACLES["rep_languages"] = _docs("""
+SELECT repo, language, count(*) AS files FROM fx GROUP BY ROLLUP (repo, language)
+""")
+ORACLES["rep_structure"] = _java("""
+SELECT 'parts' AS repo, f.file, 'java' AS language,
+       CAST(1 AS BIGINT) AS class_count, CAST(CASE WHEN f.p % 11 = 0 THEN 1 ELSE 0 END AS BIGINT) AS interface_count,
+       CAST(CASE WHEN f.p % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS enum_count,
+       CAST(0 AS BIGINT) AS struct_count, CAST(0 AS BIGINT) AS type_count, CAST(0 AS BIGINT) AS record_count,
+       CAST(0 AS BIGINT) AS module_count, CAST(0 AS BIGINT) AS trait_count,
+       CAST(coalesce(o.c, 0) + CASE WHEN f.p % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS import_count,
+       CAST(0 AS BIGINT) AS function_count, CAST(0 AS BIGINT) AS comment_count
+FROM f LEFT JOIN deg_out o ON o.p = f.p
+""")
+ORACLES["rep_errors"] = """
+SELECT CAST(NULL AS VARCHAR) AS repo, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS stage,
+       CAST(NULL AS VARCHAR) AS error WHERE false
+"""

@@ -12,10 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calls, catalog, correlation, deps, extract, members, messaging
+from ..operators import calls, catalog, correlation, deps, extract, members, messaging, reports, textprep
 import uuid
 
 from ..sources import filters, fixtures, tree
+from ..sources.tables import table
 from ..session import ensure_checkpoint_dir
 from .materialize import checkpoint
 
@@ -470,6 +471,50 @@ def q_call_class_chain(spark, d):
     return calls.class_chain(members.scan(files))
 
 
+# ---------------------------------------------------------------- T: text preparation
+@register("txt_chunks")
+def q_txt_chunks(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return textprep.chunk_text(docs, "text", 1000, 100).select(
+        "doc_id", "chunk_index", "chunk_total", "start", "chunk")
+
+
+@register("txt_projects")
+def q_txt_projects(spark, d):
+    return textprep.group_by_project(fixtures.fx_docs(spark, d))
+
+
+@register("txt_summary")
+def q_txt_summary(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", textprep.summary_of(F.col("text")).alias("summary"))
+
+
+@register("txt_metrics")
+def q_txt_metrics(spark, d):
+    docs = table(spark, d, "documents").withColumnRenamed("source", "repo")
+    return textprep.doc_metrics(docs, ["repo"])
+
+
+# ---------------------------------------------------------------- R: reports
+@register("rep_languages")
+def q_rep_languages(spark, d):
+    return reports.files_by_language(fixtures.fx_docs(spark, d))
+
+
+@register("rep_structure")
+def q_rep_structure(spark, d):
+    files = fixtures.fx_java(spark, d)
+    return reports.structure_counts(files, extract.extract_types(files), extract.extract_imports(files),
+                                    extract.extract_functions(files), extract.extract_comments(files))
+
+
+@register("rep_errors")
+def q_rep_errors(spark, d):
+    files = filters.drop_unsupported(fixtures.fx_docs(spark, d))
+    return reports.processing_errors(members.errors(members.scan(files)))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most coupled source files (top 10 per repo)."""
     return deps.highly_coupled_files(java_graph(spark, sf_dir).nodes(), k=10)
