@@ -32,11 +32,12 @@ def _all(pattern: str, group: int, src: str = "content") -> Column:
 
 
 # ------------------------------------------------------------------- P1
-def extract_units(files: DataFrame) -> DataFrame:
-    """units(repo, file, language, namespace): first namespace / package."""
+def extract_units(files: DataFrame, rules: dict | None = None) -> DataFrame:
+    """units(repo, file, language, namespace): first namespace / package.
+    ``rules`` overrides the language rule table (U1 plug-ins)."""
     ns = _by_language(
         {lang: F.regexp_extract("content", java_re(r["namespace"]), 1)
-         for lang, r in LANG_RULES.items() if r["namespace"]},
+         for lang, r in (rules or LANG_RULES).items() if r.get("namespace")},
         F.lit(None).cast("string"))
     return files.select(*_key(), F.nullif(ns, F.lit("")).alias("namespace"))
 

@@ -581,3 +581,28 @@ ORACLES["rep_errors"] = """
 SELECT CAST(NULL AS VARCHAR) AS repo, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS stage,
        CAST(NULL AS VARCHAR) AS error WHERE false
 """
+
+# ---------------------------------------------------------------- streaming (same rows as batch)
+ORACLES["str_files"] = ORACLES["src_read_tree"]
+ORACLES["str_symbols"] = ORACLES["mq_consumers"]
+ORACLES["str_totals"] = _docs("""
+SELECT language, count(*) AS files FROM fx WHERE NOT excluded AND language <> 'unknown' GROUP BY language
+""")
+ORACLES["str_latest"] = """
+SELECT user_id, max(event_id) AS event_id, arg_max(ts, event_id) AS ts, arg_max(event_type, event_id) AS event_type
+FROM events GROUP BY user_id
+"""
+ORACLES["str_finalize"] = ORACLES["mq_graph_edges"]
+
+# ---------------------------------------------------------------- extension points
+ORACLES["udf_language"] = _docs("""
+SELECT repo, relative_path AS file, 'prose' AS language, nullif(regexp_extract(text, '^(\\S+)', 1), '') AS namespace
+FROM fx WHERE d % 12 = 10
+""")
+ORACLES["udf_generate"] = _docs("""
+SELECT repo, relative_path AS file, md5(concat('Document the file ', relative_path, ':', chr(10), text)) AS response
+FROM fx
+""")
+ORACLES["udf_source"] = """
+SELECT source AS repo, 'unknown' AS language, count(*) AS files FROM documents GROUP BY source
+"""

@@ -16,7 +16,9 @@ from ..operators import calls, catalog, correlation, deps, extract, members, mes
 import uuid
 
 from ..sources import filters, fixtures, tree
-from ..sources.tables import table
+from ..sources.tables import files_from, table
+from ..functions import plugins
+from ..streaming import files as streaming
 from ..session import ensure_checkpoint_dir
 from .materialize import checkpoint
 
@@ -515,6 +517,107 @@ def q_rep_errors(spark, d):
     return reports.processing_errors(members.errors(members.scan(files)))
 
 
+# ---------------------------------------------------------------- X: streaming
+_FIXTURE_ROOTS: dict[tuple, str] = {}
+
+
+def fixture_root(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A fixture written once per session as real files under the shared
+    checkpoint folder (``<root>/<repo>/<relative_path>``)."""
+    if name == "docs":
+        return docs_corpus_root(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FIXTURE_ROOTS:
+        base = ensure_checkpoint_dir(spark).rstrip("/")
+        root = f"{base}/corpus-{name}-{uuid.uuid4().hex}-d"
+        tree.write_corpus({"mq": fixtures.fx_mq}[name](spark, sf_dir), root)
+        _FIXTURE_ROOTS[key] = root
+    return _FIXTURE_ROOTS[key]
+
+
+@register("str_files")
+def q_str_files(spark, d):
+    root = fixture_root(spark, d, "docs")
+    s = streaming.stream_files(spark, root, repo="corpus")
+    out = streaming.run_available_now(
+        s.select("repo", "relative_path", "language", "size_bytes", F.md5("content").alias("content_md5")),
+        "files")
+    return spark.read.parquet(out)
+
+
+@register("str_symbols")
+def q_str_symbols(spark, d):
+    root = fixture_root(spark, d, "mq") + "/mq"
+    s = streaming.stream_files(spark, root, repo="mq")
+    sym = streaming.stream_symbols(s, lambda f: messaging.consumer_messages(
+        messaging.messaging_candidates(f).where(F.col("source_type") == "masstransit")))
+    return spark.read.parquet(streaming.run_available_now(sym, "symbols"))
+
+
+@register("str_totals")
+def q_str_totals(spark, d):
+    root = fixture_root(spark, d, "docs")
+    totals = streaming.running_totals(streaming.stream_files(spark, root, repo="corpus"))
+    out = streaming.run_available_now(totals, "totals", "complete", streaming.write_complete)
+    return spark.read.parquet(out)
+
+
+@register("str_latest")
+def q_str_latest(spark, d):
+    ev_schema = table(spark, d, "events").schema
+    # the table folder holds every table; the glob keeps the events file
+    stream = (spark.readStream.schema(ev_schema).option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", "events.parquet").parquet(d.rstrip("/")))
+    latest = streaming.latest_version(stream, "user_id", "event_id", "ts", ["event_type"])
+    out = streaming.run_available_now(latest, "latest", "update", streaming.append_changes)
+    return (streaming.latest_view(spark, out, "user_id")
+            .select("user_id", F.col("version").alias("event_id"), "ts", "event_type"))
+
+
+@register("str_finalize")
+def q_str_finalize(spark, d):
+    root = fixture_root(spark, d, "mq") + "/mq"
+    s = messaging.messaging_candidates(streaming.stream_files(spark, root, repo="mq"))
+    builders = {
+        "infra": messaging.infra_mq_facts,
+        "amqp": messaging.amqp_facts,
+        "endpoints": messaging.receive_endpoints,
+        "ops": messaging.message_ops,
+        "sends": messaging.send_endpoints,
+        "consumers": lambda b: messaging.consumer_messages(b.where(F.col("source_type") == "masstransit")),
+    }
+    out = streaming.run_available_now(s, "finalize", "append", streaming.append_tables(builders))
+    t = {k: spark.read.parquet(f"{out}/{k}") for k in builders}
+    return messaging.integration_graph(t["infra"], t["amqp"], t["endpoints"], t["ops"], t["consumers"],
+                                       t["sends"])[1]
+
+
+# ---------------------------------------------------------------- U: extension points
+@register("udf_language")
+def q_udf_language(spark, d):
+    exts, rules = plugins.extended_tables("prose", [".txt"], {"namespace": r"^(\S+)"})
+    files = plugins.with_language(fixtures.fx_docs(spark, d), exts).where(F.col("language") == "prose")
+    return extract.extract_units(files, rules)
+
+
+@register("udf_generate")
+def q_udf_generate(spark, d):
+    files = fixtures.fx_docs(spark, d)
+    prompts = files.select("repo", F.col("relative_path").alias("file"),
+                           F.concat(F.lit("Document the file "), F.col("relative_path"), F.lit(":\n"),
+                                    F.col("content")).alias("prompt"))
+    return plugins.generate(prompts, plugins.stub_generator(["repo", "file"]), ["repo", "file"])
+
+
+@register("udf_source")
+def q_udf_source(spark, d):
+    docs = table(spark, d, "documents")
+    mine = files_from(docs, F.col("source"), F.concat(F.lit("notes/"), F.col("doc_id").cast("string"),
+                                                      F.lit(".md")), F.col("text"))
+    src = plugins.user_source(mine)
+    return src.groupBy("repo", "language").agg(F.count("*").alias("files"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most coupled source files (top 10 per repo)."""
     return deps.highly_coupled_files(java_graph(spark, sf_dir).nodes(), k=10)

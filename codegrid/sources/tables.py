@@ -25,12 +25,12 @@ def suffix_of(path: Column) -> Column:
     return F.lower(ext)
 
 
-def language_of(ext: Column) -> Column:
+def language_of(ext: Column, extensions: dict[str, list[str]] | None = None) -> Column:
     """S6 as a column: first language in configuration order whose
     extension list holds ``ext``; ``unknown`` otherwise. The map is a
     constant of 19 entries, folded into a CASE by Catalyst."""
     expr = None
-    for lang, exts in EXTENSIONS.items():
+    for lang, exts in (extensions or EXTENSIONS).items():
         cond = ext.isin(*exts)
         expr = F.when(cond, F.lit(lang)) if expr is None else expr.when(cond, F.lit(lang))
     return expr.otherwise(F.lit("unknown"))

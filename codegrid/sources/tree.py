@@ -61,6 +61,21 @@ def _normalize_relative(rel):
     return F.regexp_replace(rel, "/$", "")
 
 
+def tree_files(raw: DataFrame, root: str, repo: str | None = None,
+               include: Sequence[str] | None = None, exclude: Sequence[str] | None = None,
+               max_mb: float = DEFAULT_MAX_FILE_MB,
+               extensions: dict[str, list[str]] | None = None) -> DataFrame:
+    """The S1 transformation on a raw ``binaryFile`` frame (batch or stream)."""
+    root_clean = root.rstrip("/")
+    repo = repo or root_clean.rsplit("/", 1)[-1]
+    df = raw.where(F.col("length") <= F.lit(int(max_mb * 1024 * 1024)))
+    df = df.withColumn("path", _strip_scheme(F.col("path")))
+    df = filter_extensions(df, extensions)
+    df = filter_paths(df, include, exclude)
+    rel = _normalize_relative(F.expr(f"substring(path, {len(root_clean) + 2})"))
+    return _files(df, F.lit(repo), rel)
+
+
 def read_source_tree(spark: SparkSession, root: str, repo: str | None = None,
                      include: Sequence[str] | None = None, exclude: Sequence[str] | None = None,
                      max_mb: float = DEFAULT_MAX_FILE_MB,
