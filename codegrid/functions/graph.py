@@ -1,0 +1,76 @@
+"""Strongly connected components of one bounded edge group (Tarjan,
+iterative). Used per repository inside ``applyInPandas`` only for groups
+under a size limit; larger groups take the distributed colouring path."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+
+
+def scc_labels(n: int, indptr: np.ndarray, indices: np.ndarray) -> np.ndarray:
+    index = np.full(n, -1, dtype=np.int64)
+    low = np.zeros(n, dtype=np.int64)
+    on_stack = np.zeros(n, dtype=bool)
+    comp = np.full(n, -1, dtype=np.int64)
+    stack: list[int] = []
+    counter = 0
+    c = 0
+    for root in range(n):
+        if index[root] != -1:
+            continue
+        work = [(root, 0)]
+        while work:
+            v, pos = work[-1]
+            if pos == 0 and index[v] == -1:
+                index[v] = low[v] = counter
+                counter += 1
+                stack.append(v)
+                on_stack[v] = True
+            descended = False
+            start, end = indptr[v] + pos, indptr[v + 1]
+            for k in range(start, end):
+                w = indices[k]
+                if index[w] == -1:
+                    work[-1] = (v, k - indptr[v] + 1)
+                    work.append((w, 0))
+                    descended = True
+                    break
+                if on_stack[w]:
+                    low[v] = min(low[v], index[w])
+            if descended:
+                continue
+            if low[v] == index[v]:
+                while True:
+                    w = stack.pop()
+                    on_stack[w] = False
+                    comp[w] = c
+                    if w == v:
+                        break
+                c += 1
+            work.pop()
+            if work:
+                u = work[-1][0]
+                low[u] = min(low[u], low[v])
+    return comp
+
+
+def scc_frame(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(repo, src, dst) of one repo -> (repo, file, scc) for components of
+    two or more files; ``scc`` is the smallest file of the component."""
+    repo = pdf["repo"].iloc[0] if len(pdf) else None
+    codes, uniques = pd.factorize(pd.concat([pdf["src"], pdf["dst"]], ignore_index=True))
+    n = len(uniques)
+    s, d = codes[: len(pdf)], codes[len(pdf):]
+    order = np.argsort(s, kind="stable")
+    indices = d[order]
+    indptr = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(indptr, s + 1, 1)
+    indptr = np.cumsum(indptr)
+    comp = scc_labels(n, indptr, indices)
+    out = pd.DataFrame({"file": np.asarray(uniques, dtype=object), "c": comp})
+    size = out.groupby("c")["file"].transform("size")
+    out = out[size > 1].copy()
+    out["scc"] = out.groupby("c")["file"].transform("min")
+    out["repo"] = repo
+    return out[["repo", "file", "scc"]]

@@ -234,7 +234,27 @@ def trim_acyclic(e: DataFrame, checkpoint) -> DataFrame:
         e, n = e2, n2
 
 
-def strongly_connected(edges: DataFrame, checkpoint) -> DataFrame:
+def strongly_connected(edges: DataFrame, checkpoint, local_limit: int = 1_000_000) -> DataFrame:
+    """(repo, file, scc) for every file in a strongly connected component
+    of two or more files; ``scc`` is its smallest file.
+
+    A repo whose (self-loop free, distinct) edge list has at most
+    ``local_limit`` edges is solved in one task with Tarjan's algorithm
+    (bounded memory); larger repos take the distributed colouring path, so
+    a giant repo never lands in a single task."""
+    from ..functions.graph import scc_frame
+    e = _simple_edges(edges)
+    sizes = e.groupBy("repo").agg(F.count("*").alias("n"))
+    small = e.join(sizes.where(F.col("n") <= local_limit).select("repo"), "repo", "left_semi")
+    local = small.groupBy("repo").applyInPandas(scc_frame, "repo string, file string, scc string")
+    big = sizes.where(F.col("n") > local_limit).select("repo")
+    if big.limit(1).count() == 0:
+        return local
+    dist = distributed_scc(edges.join(big, "repo", "left_semi"), checkpoint)
+    return local.unionByName(dist)
+
+
+def distributed_scc(edges: DataFrame, checkpoint) -> DataFrame:
     """(repo, file, scc) for every file in a strongly connected component
     of two or more files; ``scc`` is its smallest file.
 
@@ -289,10 +309,11 @@ def strongly_connected(edges: DataFrame, checkpoint) -> DataFrame:
     return found.join(sizes.where(F.col("n") > 1), ["repo", "scc"], "left_semi")
 
 
-def files_in_cycles(edges: DataFrame, checkpoint) -> DataFrame:
+def files_in_cycles(edges: DataFrame, checkpoint, local_limit: int = 1_000_000) -> DataFrame:
     """(repo, file) for files on a cycle: non-trivial SCC or self-loop."""
     loops = edges.where(F.col("source") == F.col("target")).select("repo", F.col("source").alias("file"))
-    return strongly_connected(edges, checkpoint).select("repo", "file").union(loops).distinct()
+    return (strongly_connected(edges, checkpoint, local_limit).select("repo", "file")
+            .union(loops).distinct())
 
 
 def simple_cycles(edges: DataFrame, max_len: int = 3) -> DataFrame:

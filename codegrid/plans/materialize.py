@@ -1,16 +1,30 @@
-"""Cutting lineage: symbol tables are computed once and reused by many
-graph jobs, so they are written to the shared checkpoint folder
-(``spark.checkpoint.dir``) rather than re-derived per branch. Reliable
-checkpoints survive the loss of an executor; local checkpoints do not.
+"""Reuse and lineage.
+
+``reuse`` keeps a table that several branches of one job read (symbol
+tables, resolved imports) in executor memory / local disk; if an executor
+is lost its blocks are recomputed from lineage, so this is safe.
+``checkpoint`` cuts lineage for iterative jobs (the SCC loop): the data
+goes to the shared folder named by ``spark.checkpoint.dir`` (reliable,
+survives executor loss; ``localCheckpoint`` would not).
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..session import ensure_checkpoint_dir
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint; the frame is persisted first so the write job
+    reads the computed blocks instead of recomputing the plan."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

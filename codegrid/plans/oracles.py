@@ -606,3 +606,75 @@ FROM fx
 ORACLES["udf_source"] = """
 SELECT source AS repo, 'unknown' AS language, count(*) AS files FROM documents GROUP BY source
 """
+
+ORACLES["txt_prompts"] = _java("""
+, il AS (SELECT tg.p, string_agg(concat('- com.brand', tg.q % 25, '.Part', tg.q), chr(10) ORDER BY tg.q) AS lst
+         FROM tg GROUP BY tg.p),
+imps AS (SELECT f.p, CASE WHEN il.lst IS NULL AND f.p % 3 <> 0 THEN NULL
+                          WHEN il.lst IS NULL THEN '- java.util.List'
+                          WHEN f.p % 3 = 0 THEN concat(il.lst, chr(10), '- java.util.List') ELSE il.lst END AS lst
+         FROM f LEFT JOIN il ON il.p = f.p)
+SELECT 'parts' AS repo, f.file, CAST(1 AS BIGINT) AS chunk,
+       concat('You are a technical documentation expert. Generate comprehensive, well-structured technical documentation for java source code.', chr(10), chr(10),
+              'Your documentation should include:', chr(10), '1. Overview and purpose', chr(10), '2. Architecture and structure', chr(10),
+              '3. Key components (classes, functions, interfaces)', chr(10), '4. Usage examples', chr(10), '5. API documentation', chr(10),
+              '6. Dependencies and imports', chr(10), chr(10),
+              'Format the output in clear, professional markdown with proper headings, code blocks, and explanations.') AS system_prompt,
+       concat('Generate technical documentation for the following java code:', chr(10), chr(10),
+              'Package: com.brand', f.b, chr(10), chr(10),
+              CASE WHEN imps.lst IS NULL THEN '' ELSE concat('Imports:', chr(10), imps.lst, chr(10), chr(10)) END,
+              'Classes:', chr(10), chr(10), '- Part', f.p, ' extends Base', f.b, ' implements Sized, Item', f.z, chr(10),
+              '  Methods: ', f.p % 4, chr(10), '  Fields: 1', chr(10), chr(10),
+              CASE WHEN f.p % 11 = 0 THEN concat('Interfaces:', chr(10), '- IPart', f.p, chr(10), chr(10)) ELSE '' END,
+              CASE WHEN f.p % 5 = 0 THEN concat('Enums:', chr(10), '- Kind', f.p, chr(10), chr(10)) ELSE '' END,
+              chr(10), 'Please generate comprehensive technical documentation for this code.') AS user_prompt
+FROM f JOIN imps ON imps.p = f.p
+""")
+
+ORACLES["txt_context"] = _docs("""
+, g AS (SELECT repo, relative_path, text,
+               CASE WHEN relative_path LIKE '%/%' THEN split_part(relative_path, '/', 1) ELSE 'root' END AS project FROM fx)
+SELECT DISTINCT repo, 0 AS section, '' AS sort_key, concat('## Project Structure', chr(10)) AS line FROM g
+UNION ALL SELECT DISTINCT repo, 1, concat(project, chr(0)), concat(chr(10), '### ', project, chr(10)) FROM g
+UNION ALL SELECT repo, 1, concat(project, chr(0), relative_path), concat('- ', relative_path) FROM g
+UNION ALL SELECT DISTINCT repo, 2, '', concat(chr(10), chr(10), '## File Contents', chr(10)) FROM g
+UNION ALL SELECT repo, 3, relative_path,
+       concat(chr(10), '### ', relative_path, chr(10), '```', chr(10),
+              CASE WHEN length(text) > 8000 THEN concat(substr(text, 1, 8000), chr(10), '... (truncated)') ELSE text END,
+              chr(10), '```', chr(10)) FROM g
+""")
+
+ORACLES["txt_attach"] = """
+WITH p AS (SELECT conv_id, turn FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant'),
+j AS (SELECT p.conv_id, p.turn, coalesce(r.text, '*Error generating content: no response*') AS doc,
+             row_number() OVER (PARTITION BY p.conv_id ORDER BY p.turn) AS i,
+             count(*) OVER (PARTITION BY p.conv_id) AS n
+      FROM p LEFT JOIN r ON r.conv_id = p.conv_id AND r.turn = p.turn)
+SELECT conv_id, CAST(max(n) AS BIGINT) AS chunk_total,
+       string_agg(CASE WHEN n = 1 THEN doc ELSE concat('#### Chunk ', i, '/', n, chr(10), chr(10), doc) END, concat(chr(10), chr(10)) ORDER BY i)
+         AS documentation
+FROM j GROUP BY conv_id
+"""
+
+
+def _section_prompts_sql() -> str:
+    from ..operators.textprep import sections_rows
+    from .registry import ARCHITECTURE_STRUCTURE
+
+    def q(x):
+        return "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+    rows = [r for r in sections_rows(ARCHITECTURE_STRUCTURE) if r[5]]
+    values = ", ".join(f"({q(a)}, {q(b)}, {q(c)}, {d}, {q(e)}, {q(p)})" for a, b, c, d, e, p in rows)
+    return f"""
+WITH ctxrows AS ({ORACLES["txt_context"]}),
+budget AS (SELECT repo, CAST(sum(length(line)) + count(*) - 1 AS BIGINT) AS context_chars FROM ctxrows GROUP BY repo),
+sec(structure, section_id, parent_id, ord, title, prompt) AS (VALUES {values})
+SELECT b.repo, structure, section_id, CAST(parent_id AS VARCHAR) AS parent_id, CAST(ord AS BIGINT) AS ord, title,
+       concat('# Section: ', title, chr(10), chr(10), '## Instructions', chr(10), prompt, chr(10), chr(10),
+              '## Codebase Context', chr(10)) AS user_prompt_head, b.context_chars
+FROM budget b, sec
+"""
+
+
+ORACLES["txt_section_prompts"] = _section_prompts_sql()

@@ -20,7 +20,7 @@ from ..sources.tables import files_from, table
 from ..functions import plugins
 from ..streaming import files as streaming
 from ..session import ensure_checkpoint_dir
-from .materialize import checkpoint
+from .materialize import checkpoint, reuse
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -40,14 +40,14 @@ class Graph:
 
     def __init__(self, files: DataFrame):
         self.files = deps.analyzable(files)
-        self.units = checkpoint(extract.extract_units(self.files))
-        self.imports = checkpoint(extract.extract_imports(self.files))
-        self.types = checkpoint(extract.extract_types(self.files))
+        self.units = reuse(extract.extract_units(self.files))
+        self.imports = reuse(extract.extract_imports(self.files))
+        self.types = reuse(extract.extract_types(self.files))
         self.entries = deps.type_entries(self.types, self.units)
-        self.index = checkpoint(deps.build_type_index(self.entries))
+        self.index = reuse(deps.build_type_index(self.entries))
         self.packages = deps.build_package_index(self.units)
-        self.resolved = checkpoint(deps.resolve_imports(self.imports, self.index, self.packages))
-        self.edges = checkpoint(deps.dependency_edges(self.resolved))
+        self.resolved = reuse(deps.resolve_imports(self.imports, self.index, self.packages))
+        self.edges = reuse(deps.dependency_edges(self.resolved))
 
     def nodes(self) -> DataFrame:
         return deps.graph_nodes(self.units, self.edges, self.entries)
@@ -277,12 +277,12 @@ class Messaging:
 
     def __init__(self, files: DataFrame):
         self.cands = messaging.messaging_candidates(deps.analyzable(files))
-        self.endpoints = checkpoint(messaging.receive_endpoints(self.cands))
+        self.endpoints = reuse(messaging.receive_endpoints(self.cands))
         self.ops = messaging.message_ops(self.cands)
         self.sends = messaging.send_endpoints(self.cands)
         self.consumers = messaging.consumer_messages(self.cands.where(F.col("source_type") == "masstransit"))
         self.amqp = messaging.amqp_facts(self.cands)
-        self.infra = checkpoint(messaging.infra_mq_facts(self.cands))
+        self.infra = reuse(messaging.infra_mq_facts(self.cands))
 
     def graph(self):
         return messaging.integration_graph(self.infra, self.amqp, self.endpoints, self.ops,
@@ -385,7 +385,7 @@ class Catalog:
     def __init__(self, files: DataFrame):
         self.graph = Graph(files)
         self.files = self.graph.files
-        self.scan = checkpoint(catalog.parse_csharp_services(self.files))
+        self.scan = reuse(catalog.parse_csharp_services(self.files))
         self.controllers = catalog.controllers(self.scan)
         self.endpoints = catalog.endpoints(self.scan)
         self.steps = catalog.endpoint_steps(self.endpoints)
@@ -464,7 +464,7 @@ def q_call_edges(spark, d):
 @register("call_interactions")
 def q_call_interactions(spark, d):
     files = fixtures.fx_calls(spark, d).where(F.col("language") == "java")
-    return calls.class_interactions(files, checkpoint(members.scan(files)))
+    return calls.class_interactions(files, reuse(members.scan(files)))
 
 
 @register("call_class_chain")
@@ -498,6 +498,55 @@ def q_txt_metrics(spark, d):
     return textprep.doc_metrics(docs, ["repo"])
 
 
+@register("txt_prompts")
+def q_txt_prompts(spark, d):
+    files = deps.analyzable(fixtures.fx_java(spark, d))
+    scanned = reuse(members.scan(files))
+    return textprep.doc_prompts(files, extract.extract_units(files), extract.extract_imports(files),
+                                extract.extract_types(files), extract.extract_heritage(files), scanned,
+                                extract.extract_comments(files))
+
+
+@register("txt_context")
+def q_txt_context(spark, d):
+    return textprep.corpus_context(fixtures.fx_docs(spark, d))
+
+
+# a small built-in document structure (configuration, not data)
+ARCHITECTURE_STRUCTURE = {
+    "name": "architecture",
+    "sections": [
+        {"id": "overview", "title": "System Overview", "subsections": [
+            {"id": "purpose", "title": "Purpose", "prompt": "Describe what the code base does and for whom."},
+            {"id": "components", "title": "Components", "prompt": "Describe the main components and their roles."},
+        ]},
+        {"id": "flows", "title": "Key Flows", "prompt": "Describe the main request and message flows."},
+    ],
+}
+
+
+@register("txt_section_prompts")
+def q_txt_section_prompts(spark, d):
+    files = fixtures.fx_docs(spark, d)
+    budget = textprep.context_budget(textprep.corpus_context(files))
+    return (textprep.section_prompts(files.select("repo").distinct(), ARCHITECTURE_STRUCTURE)
+            .join(budget.select("repo", "context_chars"), "repo", "left"))
+
+
+@register("txt_attach")
+def q_txt_attach(spark, d):
+    conv = table(spark, d, "conversations")
+    prompts = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    responses = conv.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    return textprep.attach_generations(prompts, responses, ["conv_id"], "turn")
+
+
+@register("txt_documents")
+def q_txt_documents(spark, d):
+    return textprep.assemble_documents(filters.drop_unsupported(fixtures.fx_docs(spark, d)))
+
+
 # ---------------------------------------------------------------- R: reports
 @register("rep_languages")
 def q_rep_languages(spark, d):

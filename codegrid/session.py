@@ -29,6 +29,12 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("CODEGRID_DRIVER_MEM", "16g"))
+    for kv in filter(None, os.environ.get("CODEGRID_CONF", "").split(";")):  # ad-hoc overrides
+        k, v = kv.split("=", 1)
+        builder = builder.config(k.strip(), v.strip())
+    if os.environ.get("CODEGRID_EVENT_LOG"):  # stage / task timings for profiling
+        builder = (builder.config("spark.eventLog.enabled", "true")
+                   .config("spark.eventLog.dir", os.environ["CODEGRID_EVENT_LOG"]))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
