@@ -547,6 +547,28 @@ def q_txt_documents(spark, d):
     return textprep.assemble_documents(filters.drop_unsupported(fixtures.fx_docs(spark, d)))
 
 
+@register("txt_merge")
+def q_txt_merge(spark, d):
+    """T2 on fx_java cut into 120-character chunks with 40 characters of
+    overlap: per-chunk imports and type headers, merged per file."""
+    files = deps.analyzable(fixtures.fx_java(spark, d))
+    chunks = (textprep.chunk_text(files, "content", 120, 40)
+              .drop("content").withColumnRenamed("chunk", "content"))
+    keys = ["repo", "file", "chunk_index"]
+    as_file = chunks.withColumn("relative_path", F.concat_ws("#", "relative_path", F.col("chunk_index").cast("string")))
+
+    def split_key(df):
+        parts = F.split("file", "#")
+        return df.withColumn("chunk_index", F.element_at(parts, -1).cast("long")).withColumn(
+            "file", F.element_at(parts, 1))
+    named = split_key(extract.extract_types(as_file)).select(*keys, "kind", "ord", "name")
+    plain = split_key(extract.extract_imports(as_file)).select(
+        *keys, F.lit("import").alias("kind"), "ord", F.col("import").alias("value"))
+    keep, dedup = textprep.merge_chunk_symbols(named, plain)
+    return (keep.select(*keys, "kind", "ord", F.col("name").alias("value"))
+            .unionByName(dedup.select(*keys, "kind", "ord", "value")))
+
+
 # ---------------------------------------------------------------- R: reports
 @register("rep_languages")
 def q_rep_languages(spark, d):
