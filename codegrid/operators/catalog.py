@@ -266,3 +266,85 @@ def endpoint_sequences(eps: DataFrame, ctrl_deps: DataFrame, flows: DataFrame) -
     return (base.select("repo", "controller", "method", F.posexplode(rows).alias("seq", "x"))
             .select("repo", "controller", "method", F.col("seq").cast("long").alias("seq"), "x.src", "x.dst",
                     "x.label"))
+
+
+# ------------------------------------------------------------------ V11
+STEP_MESSAGE = r"Publish/Send\s+([^\s]+)"
+STEP_CONSUMER = r"Consumer\s+([^\s]+)\s+reads queue"
+
+
+def _seq_id(c: Column) -> Column:
+    s = F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[^\w]", "_"), 1, 50)
+    return F.when(s == "", F.lit("node")).when(s.rlike(r"^\d"), F.concat(F.lit("node_"), s)).otherwise(s)
+
+
+def _seq_msg(c: Column) -> Column:
+    s = F.trim(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")))
+    s = F.regexp_replace(s, r"[\[\]\"<>`|:]", "")
+    s = F.translate(s, "/\\", "  ")
+    s = F.trim(F.regexp_replace(s, r"\s+", " "))
+    return F.when(s == "", F.lit("Message")).otherwise(s)
+
+
+def app_sequence(ctrls: DataFrame, scan: DataFrame, eps: DataFrame, ctrl_deps: DataFrame, flows: DataFrame,
+                 mq_flows: DataFrame | None = None, max_endpoints: int = 5) -> DataFrame:
+    """V11 (repo, seq, src, dst, label): the application sequence of each
+    repo over its first ``max_endpoints`` endpoints (file, class, method
+    order): request, service hand-off, published messages and their
+    consumers, response. The endpoint cut is a per-repo rank filter."""
+    svc = services_and_interfaces(scan).groupBy("repo").agg(
+        F.min(F.when(F.col("kind") == "service", F.col("name"))).alias("s"),
+        F.min(F.when(F.col("kind") == "interface", F.col("name"))).alias("i"))
+    svc = svc.select("repo", F.coalesce("s", "i").alias("service"))
+    steps = flows.select("repo", "controller", "method", "step_ord", "step",
+                         F.regexp_extract("step", STEP_MESSAGE, 1).alias("msg"),
+                         F.regexp_extract("step", STEP_CONSUMER, 1).alias("cons"))
+    any_cons = steps.where(F.col("cons") != "").select("repo").distinct().withColumn("has_cons", F.lit(True))
+    queue = None
+    if mq_flows is not None:
+        queue = (mq_flows.where(F.coalesce("queue", F.lit("")) != "")
+                 .groupBy("repo").agg(F.min_by("queue", F.struct("file", "ord")).alias("mq_queue")))
+    w = Window.partitionBy("repo").orderBy("file", "class_ord", "method_ord")
+    first = (eps.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_endpoints))
+    deps = (ctrl_deps.groupBy("repo", "controller")
+            .agg(F.array_sort(F.collect_list("dep_class")).alias("deps")))
+    per_ep_steps = (steps.groupBy("repo", "controller", "method")
+                    .agg(F.array_sort(F.collect_list(F.struct("step_ord", "msg", "cons"))).alias("st")))
+    e = (first.join(deps, ["repo", "controller"], "left").join(per_ep_steps, ["repo", "controller", "method"], "left")
+         .join(svc, "repo", "left").join(any_cons, "repo", "left"))
+    if queue is not None:
+        e = e.join(queue, "repo", "left")
+    else:
+        e = e.withColumn("mq_queue", F.lit(None).cast("string"))
+    e = e.withColumn("queue", F.coalesce(F.col("mq_queue"),
+                                         F.when(F.col("has_cons"), F.lit("RabbitMQ"))))
+    deps_c = F.coalesce("deps", F.array().cast("array<string>"))
+    service_dep = F.try_element_at(F.filter(deps_c, lambda x: x.rlike("(Service|Handler)$")), F.lit(1))
+    repo_dep = F.try_element_at(F.filter(deps_c, lambda x: x.rlike("(Repository|DbContext)$")), F.lit(1))
+    st = F.coalesce("st", F.array().cast("array<struct<step_ord:long,msg:string,cons:string>>"))
+    msgs = F.transform(F.filter(st, lambda x: x["msg"] != ""), lambda x: x["msg"])
+    cons = F.transform(F.filter(st, lambda x: x["cons"] != ""), lambda x: x["cons"])
+    t = _seq_id(F.col("controller"))
+    label = F.trim(F.concat(F.array_join("verbs", ", "), F.lit(" "), F.col("route")))
+
+    def row(src, dst, lab):
+        return F.struct(src.alias("src"), dst.alias("dst"), lab.alias("label"))
+    sd, rd, sv, q = _seq_id(service_dep), _seq_id(repo_dep), _seq_id(F.col("service")), _seq_id(F.col("queue"))
+    handle = F.when(service_dep.isNotNull(), F.concat(
+        F.array(row(t, sd, F.lit("Handle"))),
+        F.when(repo_dep.isNotNull(), F.array(row(sd, rd, F.lit("Query Save")), row(rd, sd, F.lit("Result"))))
+        .otherwise(F.array().cast("array<struct<src:string,dst:string,label:string>>")),
+        F.array(row(sd, t, F.lit("Result"))))).when(
+        F.col("service").isNotNull() & (F.col("controller") != F.col("service")),
+        F.array(row(t, sv, F.lit("Handle")), row(sv, t, F.lit("Result")))).otherwise(
+        F.array().cast("array<struct<src:string,dst:string,label:string>>"))
+    publish = F.when(F.col("queue").isNotNull(), F.flatten(F.transform(msgs, lambda m: F.concat(
+        F.array(row(t, q, _seq_msg(F.concat(F.lit("Publish Send "), m)))),
+        F.transform(cons, lambda c: row(q, _seq_id(c), _seq_msg(F.concat(F.lit("Consume "), m)))))))).otherwise(
+        F.flatten(F.transform(msgs, lambda m: F.transform(
+            cons, lambda c: row(t, _seq_id(c), _seq_msg(F.concat(F.lit("Publish Send "), m)))))))
+    rows = F.concat(F.array(row(F.lit("Client"), t, _seq_msg(F.when(label == "", F.lit("Request")).otherwise(label)))),
+                    handle, publish, F.array(row(t, F.lit("Client"), F.lit("Response"))))
+    out = e.select("repo", "rank", F.posexplode(rows).alias("pos", "x"))
+    w2 = Window.partitionBy("repo").orderBy("rank", "pos")
+    return out.select("repo", (F.row_number().over(w2) - 1).cast("long").alias("seq"), "x.src", "x.dst", "x.label")

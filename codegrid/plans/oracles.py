@@ -678,3 +678,28 @@ FROM budget b, sec
 
 
 ORACLES["txt_section_prompts"] = _section_prompts_sql()
+
+ORACLES["cat_app_sequence"] = _shop("""
+, eps AS (SELECT od.*, cu.file AS cfile, row_number() OVER (ORDER BY cu.file, od.o) AS rk
+          FROM od JOIN cu ON cu.k = od.k),
+e5 AS (SELECT * FROM eps WHERE rk <= 5),
+sdep AS (SELECT ctl, min(dep) AS sd FROM deps WHERE dep LIKE '%Service' OR dep LIKE '%Handler' GROUP BY ctl),
+svc1 AS (SELECT min(name) AS service FROM svc),
+hasq AS (SELECT count(*) > 0 AS q FROM cstep WHERE sub = 0),
+ec AS (SELECT e5.rk, e5.ctl, e5.seg, cons.name AS cons,
+              row_number() OVER (PARTITION BY e5.rk ORDER BY cons.file) AS j
+       FROM e5 JOIN cons ON cons.msg = concat(e5.seg, 'Placed') WHERE e5.pr IN ('1', '4')),
+rows AS (
+  SELECT rk, 0 AS pos, 'Client' AS src, ctl AS dst, concat(verb, ' ', replace(route, '/', ' ')) AS label FROM e5
+  UNION ALL SELECT rk, 1, ctl, sd, 'Handle' FROM e5 JOIN sdep USING (ctl)
+  UNION ALL SELECT rk, 2, sd, ctl, 'Result' FROM e5 JOIN sdep USING (ctl)
+  UNION ALL SELECT rk, 1, ctl, (SELECT service FROM svc1), 'Handle' FROM e5
+            WHERE ctl NOT IN (SELECT ctl FROM sdep) AND (SELECT service FROM svc1) IS NOT NULL
+  UNION ALL SELECT rk, 2, (SELECT service FROM svc1), ctl, 'Result' FROM e5
+            WHERE ctl NOT IN (SELECT ctl FROM sdep) AND (SELECT service FROM svc1) IS NOT NULL
+  UNION ALL SELECT rk, 3, ctl, 'RabbitMQ', concat('Publish Send ', seg, 'Placed') FROM e5
+            WHERE pr IN ('1', '4') AND (SELECT q FROM hasq)
+  UNION ALL SELECT rk, 3 + j, 'RabbitMQ', cons, concat('Consume ', seg, 'Placed') FROM ec WHERE (SELECT q FROM hasq)
+  UNION ALL SELECT rk, 1000, ctl, 'Client', 'Response' FROM e5)
+SELECT 'shop' AS repo, CAST(row_number() OVER (ORDER BY rk, pos) - 1 AS BIGINT) AS seq, src, dst, label FROM rows
+""")

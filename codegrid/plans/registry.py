@@ -455,6 +455,12 @@ def q_cat_sequences(spark, d):
     return catalog.endpoint_sequences(c.endpoints, c.ctrl_deps, c.flows)
 
 
+@register("cat_app_sequence")
+def q_cat_app_sequence(spark, d):
+    c = shop(spark, d)
+    return catalog.app_sequence(c.controllers, c.scan, c.endpoints, c.ctrl_deps, c.flows)
+
+
 # ---------------------------------------------------------------- G: calls
 @register("call_edges")
 def q_call_edges(spark, d):
