@@ -122,3 +122,17 @@ def test_distributed_scc_equals_local(spark, sf_dir):
     local = {(r.file, r.scc) for r in deps.strongly_connected(g.edges, checkpoint).collect()}
     dist = {(r.file, r.scc) for r in deps.strongly_connected(g.edges, checkpoint, local_limit=0).collect()}
     assert local == dist and len(local) > 0
+
+
+def test_vb_and_fsharp_members():
+    vb = ("Public Class Shop\n  Public Function Total(x As Integer) As Integer\n  Public Property Name As String\n"
+          "End Class\nModule Tools\n  Sub Run()\nEnd Module\n")
+    rows = {(r[0], r[1], r[3], r[5]) for r in scan_members("vbnet", vb)}
+    assert ("class", "Shop", "method", "Total") in rows
+    assert ("class", "Shop", "property", "Name") in rows
+    assert ("module", "Tools", "sub", "Run") in rows
+    fs = ("type Point = { X: float; Y: float }\ntype Shape = | Circle of float | Square of float\n"
+          "type Box(w: int) = class\n  member this.Area() : int = w * w\nend\n")
+    rows = {(r[0], r[1], r[3], r[5]) for r in scan_members("fsharp", fs)}
+    assert {("union", "Shape", "union_case", "Circle"), ("union", "Shape", "union_case", "Square"),
+            ("record", "Point", "field", "X"), ("class", "Box", "method", "Area")} <= rows
