@@ -108,6 +108,40 @@ def extract_heritage(files: DataFrame) -> DataFrame:
                       F.col("pos").cast("long").alias("ord"), "h.parent")
 
 
+# ------------------------------------------------------------------- one pass
+def symbol_table(files: DataFrame) -> DataFrame:
+    """One narrow row per file with its namespace, import list and type
+    headers, computed in a single pass over the content; units, imports
+    and types are projections of it, so the (large) content column is read
+    once however many symbol tables a job needs."""
+    ns = _by_language(
+        {lang: F.regexp_extract("content", java_re(r["namespace"]), 1)
+         for lang, r in LANG_RULES.items() if r.get("namespace")},
+        F.lit(None).cast("string"))
+    branches = {}
+    for lang, r in LANG_RULES.items():
+        if r["types"]:
+            arrays = [_type_array(lang, *t) for t in r["types"]]
+            branches[lang] = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
+    types = _by_language(branches, F.lit(None))
+    return files.select(*_key(), F.nullif(ns, F.lit("")).alias("namespace"),
+                        import_arrays(files).alias("imports"), types.alias("types"))
+
+
+def units_of(table: DataFrame) -> DataFrame:
+    return table.select("repo", "file", "language", "namespace")
+
+
+def imports_of(table: DataFrame) -> DataFrame:
+    return (table.select("repo", "file", "language", F.posexplode("imports").alias("ord", "import"))
+            .withColumn("ord", F.col("ord").cast("long")))
+
+
+def types_of(table: DataFrame) -> DataFrame:
+    return (table.select("repo", "file", "language", F.explode("types").alias("t"))
+            .select("repo", "file", "language", "t.kind", "t.name", "t.ord"))
+
+
 # ------------------------------------------------------------------- P8
 def extract_functions(files: DataFrame) -> DataFrame:
     """functions(repo, file, language, ord, name) for JS/TS/F# (declarations

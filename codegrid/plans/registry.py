@@ -40,9 +40,11 @@ class Graph:
 
     def __init__(self, files: DataFrame):
         self.files = deps.analyzable(files)
-        self.units = reuse(extract.extract_units(self.files))
-        self.imports = reuse(extract.extract_imports(self.files))
-        self.types = reuse(extract.extract_types(self.files))
+        # content is scanned once; the symbol tables are projections of it
+        self.symbols = reuse(extract.symbol_table(self.files))
+        self.units = extract.units_of(self.symbols)
+        self.imports = extract.imports_of(self.symbols)
+        self.types = extract.types_of(self.symbols)
         self.entries = deps.type_entries(self.types, self.units)
         self.index = reuse(deps.build_type_index(self.entries))
         self.packages = deps.build_package_index(self.units)
