@@ -703,3 +703,45 @@ rows AS (
   UNION ALL SELECT rk, 1000, ctl, 'Client', 'Response' FROM e5)
 SELECT 'shop' AS repo, CAST(row_number() OVER (ORDER BY rk, pos) - 1 AS BIGINT) AS seq, src, dst, label FROM rows
 """)
+
+# ---------------------------------------------------------------- T2: fx_java text rebuilt in SQL, chunked, parsed
+_MERGE_SQL = _java("""
+, il AS (SELECT p, string_agg(concat('import com.brand', q % 25, '.Part', q, ';', chr(10)), '' ORDER BY q) AS imps
+         FROM tg GROUP BY p),
+mi AS (SELECT p, string_agg(concat('public int m', i, '() { }', chr(10)), '' ORDER BY i) AS ms
+       FROM (SELECT p, unnest(generate_series(0, CAST(p % 4 AS INTEGER) - 1)) AS i FROM f WHERE p % 4 > 0) GROUP BY p),
+src AS (SELECT f.file, concat('package com.brand', f.b, ';', chr(10), coalesce(il.imps, ''),
+                CASE WHEN f.p % 3 = 0 THEN concat('import java.util.List;', chr(10)) ELSE '' END,
+                'public class Part', f.p, ' extends Base', f.b, ' implements Sized, Item', f.z, ' {', chr(10),
+                'private int size = ', f.z, ';', chr(10), coalesce(mi.ms, ''), '}', chr(10),
+                CASE WHEN f.p % 11 = 0 THEN concat('public interface IPart', f.p, ' {', chr(10), '}', chr(10)) ELSE '' END,
+                CASE WHEN f.p % 5 = 0 THEN concat('enum Kind', f.p, ' {A', f.z, ',B,C}', chr(10)) ELSE '' END) AS text
+        FROM f LEFT JOIN il ON il.p = f.p LEFT JOIN mi ON mi.p = f.p),
+ch AS (SELECT file, text, CASE WHEN length(text) <= 120 THEN 1 ELSE 1 + CAST(ceil((length(text) - 120) / 80.0) AS BIGINT) END AS n
+       FROM src),
+cx AS (SELECT file, i AS chunk_index,
+              CASE WHEN n = 1 THEN text ELSE substr(text, CAST((i - 1) * 80 + 1 AS BIGINT), 120) END AS c
+       FROM (SELECT file, text, n, unnest(generate_series(1, n)) AS i FROM ch)),
+named AS (
+  SELECT file, chunk_index, 'class' AS kind, arr FROM (SELECT file, chunk_index, regexp_extract_all(c,
+    '(?:public|private|protected|abstract|final|static)?\\s*class\\s+(\\w+)(?:\\s+extends\\s+(\\w+))?(?:\\s+implements\\s+([\\w,\\s]+))?\\s*\\{', 1) AS arr FROM cx)
+  UNION ALL
+  SELECT file, chunk_index, 'interface', regexp_extract_all(c,
+    '(?:public|private|protected)?\\s*interface\\s+(\\w+)(?:\\s+extends\\s+([\\w,\\s]+))?\\s*\\{', 1) FROM cx
+  UNION ALL
+  SELECT file, chunk_index, 'enum', regexp_extract_all(c, '(?:public|private|protected)?\\s*enum\\s+(\\w+)\\s*\\{', 1) FROM cx),
+nrows AS (SELECT file, chunk_index, kind, unnest(arr) AS value, unnest(generate_series(0, len(arr) - 1)) AS ord
+          FROM named WHERE len(arr) > 0),
+nkeep AS (SELECT * FROM nrows
+          WHERE chunk_index = (SELECT min(n2.chunk_index) FROM nrows n2
+                               WHERE n2.file = nrows.file AND n2.kind = nrows.kind AND n2.value = nrows.value)),
+irows AS (SELECT file, chunk_index, unnest(arr) AS value, unnest(generate_series(0, len(arr) - 1)) AS ord
+          FROM (SELECT file, chunk_index, regexp_extract_all(c, 'import\\s+(?:static\\s+)?([\\w.*]+);', 1) AS arr FROM cx)
+          WHERE len(arr) > 0),
+ikeep AS (SELECT file, chunk_index, value, ord FROM (
+            SELECT *, row_number() OVER (PARTITION BY file, value ORDER BY chunk_index, ord) AS r FROM irows) WHERE r = 1)
+SELECT 'parts' AS repo, file, CAST(chunk_index AS BIGINT) AS chunk_index, kind, CAST(ord AS BIGINT) AS ord, value FROM nkeep
+UNION ALL
+SELECT 'parts', file, CAST(chunk_index AS BIGINT), 'import', CAST(ord AS BIGINT), value FROM ikeep
+""")
+ORACLES["txt_merge"] = _MERGE_SQL
