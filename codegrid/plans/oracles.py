@@ -745,3 +745,12 @@ UNION ALL
 SELECT 'parts', file, CAST(chunk_index AS BIGINT), 'import', CAST(ord AS BIGINT), value FROM ikeep
 """)
 ORACLES["txt_merge"] = _MERGE_SQL
+
+ORACLES["txt_documents"] = _docs("""
+, s AS (SELECT repo, language, relative_path FROM fx WHERE language <> 'unknown'),
+pl AS (SELECT repo, language, count(*) AS n FROM s GROUP BY repo, language)
+SELECT DISTINCT repo, 0 AS section, '' AS sort_key, concat('# ', repo, ' Technical Documentation', chr(10)) AS line FROM s
+UNION ALL SELECT repo, 1, language, concat('- ', language, ': ', n, ' file(s)') FROM pl
+UNION ALL SELECT repo, 2, concat(language, chr(0)), concat(chr(10), '## ', upper(language), ' Files', chr(10)) FROM pl
+UNION ALL SELECT repo, 2, concat(language, chr(0), relative_path), concat('### ', relative_path) FROM s
+""")
