@@ -8,6 +8,7 @@ match the SQL oracle of the same key (plans/oracles.py).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +42,17 @@ class Graph:
     def __init__(self, files: DataFrame):
         self.files = deps.analyzable(files)
         # content is scanned once; the symbol tables are projections of it
-        self.symbols = reuse(extract.symbol_table(self.files))
+        self.symbols = checkpoint(extract.symbol_table(self.files))
         self.units = extract.units_of(self.symbols)
         self.imports = extract.imports_of(self.symbols)
         self.types = extract.types_of(self.symbols)
         self.entries = deps.type_entries(self.types, self.units)
-        self.index = reuse(deps.build_type_index(self.entries))
+        self.index = checkpoint(deps.build_type_index(self.entries))
         self.packages = deps.build_package_index(self.units)
-        self.resolved = reuse(deps.resolve_imports(self.imports, self.index, self.packages))
-        self.edges = reuse(deps.dependency_edges(self.resolved))
+        self.resolved = checkpoint(deps.resolve_imports(self.imports, self.index, self.packages))
+        # checkpointed: later plans start from a scan of it, so building the
+        # many downstream graph queries does not re-analyse the whole lineage
+        self.edges = checkpoint(deps.dependency_edges(self.resolved))
 
     def nodes(self) -> DataFrame:
         return deps.graph_nodes(self.units, self.edges, self.entries)
@@ -382,18 +385,25 @@ def q_cor_summary(spark, d):
 
 # ---------------------------------------------------------------- V: catalog
 class Catalog:
-    """Service catalog of one C# corpus: the V1 scan is done once."""
+    """Service catalog of one C# corpus: the V1 scan is done once; the
+    dependency graph is only built when a view needs it (V8-V11)."""
 
     def __init__(self, files: DataFrame):
-        self.graph = Graph(files)
-        self.files = self.graph.files
-        self.scan = reuse(catalog.parse_csharp_services(self.files))
+        self.files = deps.analyzable(files)
+        self.scan = checkpoint(catalog.parse_csharp_services(self.files))
         self.controllers = catalog.controllers(self.scan)
         self.endpoints = catalog.endpoints(self.scan)
         self.steps = catalog.endpoint_steps(self.endpoints)
         self.consumers = catalog.consumer_map(self.files)
         self.flows = catalog.endpoint_flows(self.steps, self.consumers)
-        self.ctrl_deps = catalog.controller_dependencies(self.scan, self.controllers, self.graph.edges)
+
+    @cached_property
+    def graph(self) -> Graph:
+        return Graph(self.files)
+
+    @cached_property
+    def ctrl_deps(self) -> DataFrame:
+        return catalog.controller_dependencies(self.scan, self.controllers, self.graph.edges)
 
 
 def shop(spark, d) -> Catalog:
