@@ -281,7 +281,9 @@ class Messaging:
     """Messaging facts of one corpus (candidates gate first, facts once)."""
 
     def __init__(self, files: DataFrame):
-        self.cands = messaging.messaging_candidates(deps.analyzable(files))
+        # the gate keeps only messaging-relevant files (a small share of a
+        # corpus); they are materialised once and every fact table reads them
+        self.cands = checkpoint(messaging.messaging_candidates(deps.analyzable(files)))
         self.endpoints = reuse(messaging.receive_endpoints(self.cands))
         self.ops = messaging.message_ops(self.cands)
         self.sends = messaging.send_endpoints(self.cands)
