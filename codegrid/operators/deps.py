@@ -451,3 +451,11 @@ def write_graph(lines: DataFrame, path: str) -> None:
     # tasks; part files of one repo folder are in order
     (lines.orderBy("repo", "section", "sort_key")
      .select("repo", "line").write.mode("overwrite").partitionBy("repo").text(path))
+
+
+def write_graph_json(nodes: DataFrame, edges: DataFrame, external: DataFrame, metrics: DataFrame,
+                     path: str) -> None:
+    """D13 JSON form: one JSON-lines folder per table, partitioned by repo
+    (nodes, edges, unresolved imports, summary counts)."""
+    for name, df in (("nodes", nodes), ("edges", edges), ("external", external), ("analysis", metrics)):
+        df.write.mode("overwrite").partitionBy("repo").json(f"{path.rstrip('/')}/{name}")
