@@ -81,6 +81,13 @@ def latest_version(stream: DataFrame, key: str, version: str, ts: str, payload:
     return (stream.withWatermark("_event_time", watermark).groupBy(key).agg(F.max(value).alias("latest")))
 
 
+def drop_redelivered(stream: DataFrame, key: list[str], ts: str, watermark: str = "1 day") -> DataFrame:
+    """Re-delivered rows (same key, e.g. file and version) arriving within
+    the watermark are dropped; append mode, bounded state."""
+    stream = stream.withColumn("_event_time", F.col(ts).cast("timestamp"))
+    return stream.withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark(key).drop("_event_time")
+
+
 def append_changes(batch: DataFrame, epoch: int, path: str) -> None:
     batch.withColumn("batch_id", F.lit(epoch)).write.mode("append").parquet(path)
 

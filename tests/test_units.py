@@ -136,3 +136,16 @@ def test_vb_and_fsharp_members():
     rows = {(r[0], r[1], r[3], r[5]) for r in scan_members("fsharp", fs)}
     assert {("union", "Shape", "union_case", "Circle"), ("union", "Shape", "union_case", "Square"),
             ("record", "Point", "field", "X"), ("class", "Box", "method", "Area")} <= rows
+
+
+def test_stream_drops_redelivered_rows(spark, sf_dir):
+    from codegrid.sources.tables import table
+    from codegrid.streaming import files as streaming
+    ev = table(spark, sf_dir, "events")
+    stream = (spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet")
+              .parquet(sf_dir.rstrip("/")))
+    doubled = stream.unionByName(stream)  # every event delivered twice
+    out = streaming.run_available_now(streaming.drop_redelivered(doubled, ["user_id", "event_id"], "ts"),
+                                      "dedupe")
+    got = spark.read.parquet(out)
+    assert got.count() == ev.select("user_id", "event_id").distinct().count()
