@@ -17,9 +17,11 @@ def files_by_language(files: DataFrame) -> DataFrame:
 
 
 def structure_counts(files: DataFrame, types: DataFrame, imports: DataFrame, functions: DataFrame,
-                     comments: DataFrame) -> DataFrame:
-    """R2: per file the number of types by kind, imports, functions and
-    comments; files without symbols get zeros (left joins)."""
+                     comments: DataFrame, config_keys: DataFrame | None = None,
+                     custom_elements: DataFrame | None = None) -> DataFrame:
+    """R2: per file the number of types by kind, imports, functions,
+    comments, top-level config keys and custom elements; files without
+    symbols get zeros (left joins)."""
     base = files.select("repo", F.col("relative_path").alias("file"), "language")
     t = types.groupBy("repo", "file").agg(
         *[F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in STRUCTURE_KINDS])
@@ -28,7 +30,18 @@ def structure_counts(files: DataFrame, types: DataFrame, imports: DataFrame, fun
     c = comments.groupBy("repo", "file").agg(F.count("*").alias("comment_count"))
     out = base.join(t, ["repo", "file"], "left").join(i, ["repo", "file"], "left") \
         .join(f, ["repo", "file"], "left").join(c, ["repo", "file"], "left")
-    counts = [f"{k}_count" for k in STRUCTURE_KINDS] + ["import_count", "function_count", "comment_count"]
+    if config_keys is not None:
+        out = out.join(config_keys.select("repo", "file", F.col("key_count").alias("config_key_count")),
+                       ["repo", "file"], "left")
+    else:
+        out = out.withColumn("config_key_count", F.lit(0))
+    if custom_elements is not None:
+        out = out.join(custom_elements.groupBy("repo", "file").agg(F.count("*").alias("custom_element_count")),
+                       ["repo", "file"], "left")
+    else:
+        out = out.withColumn("custom_element_count", F.lit(0))
+    counts = [f"{k}_count" for k in STRUCTURE_KINDS] + ["import_count", "function_count", "comment_count",
+                                                       "config_key_count", "custom_element_count"]
     return out.select("repo", "file", "language",
                       *[F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in counts])
 

@@ -574,7 +574,8 @@ SELECT 'parts' AS repo, f.file, 'java' AS language,
        CAST(0 AS BIGINT) AS struct_count, CAST(0 AS BIGINT) AS type_count, CAST(0 AS BIGINT) AS record_count,
        CAST(0 AS BIGINT) AS module_count, CAST(0 AS BIGINT) AS trait_count,
        CAST(coalesce(o.c, 0) + CASE WHEN f.p % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS import_count,
-       CAST(0 AS BIGINT) AS function_count, CAST(0 AS BIGINT) AS comment_count
+       CAST(0 AS BIGINT) AS function_count, CAST(0 AS BIGINT) AS comment_count,
+       CAST(0 AS BIGINT) AS config_key_count, CAST(0 AS BIGINT) AS custom_element_count
 FROM f LEFT JOIN deg_out o ON o.p = f.p
 """)
 ORACLES["rep_errors"] = """

@@ -599,7 +599,8 @@ def q_rep_languages(spark, d):
 def q_rep_structure(spark, d):
     files = fixtures.fx_java(spark, d)
     return reports.structure_counts(files, extract.extract_types(files), extract.extract_imports(files),
-                                    extract.extract_functions(files), extract.extract_comments(files))
+                                    extract.extract_functions(files), extract.extract_comments(files),
+                                    extract.extract_config_keys(files), extract.custom_elements(files))
 
 
 @register("rep_errors")
