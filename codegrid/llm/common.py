@@ -27,6 +27,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``key`` under the shared checkpoint folder: joins on the key read it in place."""
+    spark = df.sparkSession
+    table_name = f"llm_{name}_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{table_name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table_name, format="parquet")
+    return spark.table(table_name)
+
+
 def partitions(spark: SparkSession, *, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * factor)
 

@@ -67,7 +67,7 @@ def index_keys(sigs: np.ndarray, plan: list[list[int]]) -> np.ndarray:
 
 def _signatures(width: int):
     def run(frames):
-        for pdf in batches(frames, 2_000_000):
+        for pdf in batches(frames, 500_000):
             sets = shingle_sets(pdf["text"].tolist(), width)
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "no_id": pdf["no_id"], "n_shingles": [len(s) for s in sets],
@@ -105,7 +105,7 @@ def _with_distance(pairs: DataFrame, sigs: DataFrame, limit: int) -> DataFrame:
 
 def _set_blobs(width: int):
     def run(frames):
-        for pdf in batches(frames, 2_000_000):
+        for pdf in batches(frames, 500_000):
             yield pd.DataFrame({"id": pdf["id"], "blob": [s.tobytes() for s in shingle_sets(pdf["text"].tolist(), width)]})
     return run
 

@@ -22,6 +22,23 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(c.component_i
 FROM s LEFT JOIN cls ON list_sort(s.sh) = cls.sh LEFT JOIN c ON c.id = cls.rep
 """
 
+OP9 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+p AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 49, 0))) AS i FROM n)),
+f AS (SELECT s, min(doc_id) AS first FROM p GROUP BY s),
+g AS (SELECT p.doc_id, p.i FROM p JOIN f USING (s) WHERE f.first < p.doc_id),
+m AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM g),
+r AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m),
+z AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, k),
+kept AS (SELECT z.doc_id, sum(b - a) AS removed, count(*) AS spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM z GROUP BY z.doc_id)
+SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE substr(h, 1, 2 * starts[1]) || array_to_string(list_transform(range(1, spans + 1),
+    lambda j: substr(h, 2 * ends[j] + 1, 2 * (CASE WHEN j = spans THEN n.n ELSE starts[j + 1] END - ends[j]))), '') END)) AS kept_sha256
+FROM n LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_minhash_near_dedup": OP3,
+    "op9_suffix_dedup": OP9,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codegrid.llm import minhash
+from codegrid.llm import minhash, suffix
 from codegrid.llm.common import table
 from codegrid.llm.oracles import ORACLES  # noqa: F401  (read by the driver's entry module)
 
@@ -13,6 +13,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), depth=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op3_minhash_near_dedup,
+    op3_minhash_near_dedup, op9_suffix_dedup,
 )}
