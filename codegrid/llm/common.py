@@ -24,15 +24,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of what has just been written: it does so when their driver objects are
+    collected, which a driver with little to do would leave for half an hour."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """Write ``df`` as a table bucketed by ``key`` under the shared checkpoint folder: joins on the key read it in place."""
     spark = df.sparkSession
     table_name = f"llm_{name}_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{table_name}"
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table_name, format="parquet")
+    _release(spark)
     return spark.table(table_name)
 
 

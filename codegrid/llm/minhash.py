@@ -8,8 +8,9 @@ document is entered under every chunk with each single component left out (the a
 pair meets under an equal key.
 
 Work for copies stays linear. Documents of equal sets are one class. Within a key, members are compared with the
-smallest one; what these stars link is one component, and only members of *different* components under a key are then
-paired, filtered by the signature distance and confirmed, so no link between different texts is lost.
+smallest one (each with that of the key it shares most with); what these stars link is one component, and only members of
+*different* components under a key are then paired, filtered by size and signature distance and confirmed, so no link
+between different texts is lost.
 
 Nulls and texts without words have an empty set: 0 shingles, own component. A null doc_id counts as no row of the
 graph: it keeps its own row with a null component and is kept. Repeated rows of a doc_id are one document if their
@@ -18,6 +19,8 @@ texts agree; if not, each text links under the same doc_id. Extra columns are ig
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -29,6 +32,7 @@ MISS = 1e-6
 _SEED = np.random.default_rng(20240607)
 _MUL = _SEED.integers(0, 1 << 63, K, dtype=np.uint64) * U64(2) + U64(1)
 _ADD = _SEED.integers(0, 1 << 63, K, dtype=np.uint64)
+NIBBLES = ["q0", "q1", "q2", "q3"]
 _PER_TASK = 2000
 
 
@@ -73,10 +77,17 @@ def _signatures(width: int):
                 "doc_id": pdf["doc_id"], "no_id": pdf["no_id"], "n_shingles": [len(s) for s in sets],
                 "h1": np.array([int(s.sum(dtype=U64)) if len(s) else 0 for s in sets], U64).view(np.int64),
                 "h2": np.array([int(np.bitwise_xor.reduce(mix(s + U64(7)))) if len(s) else 0 for s in sets], U64).view(np.int64),
-                "sig": [signature(s).tobytes() if len(s) else None for s in sets]})
+                **_columns([signature(s) if len(s) else None for s in sets])})
     return run
 
 
+def _columns(sigs: list) -> dict:
+    """The signatures as bytes, and their lowest four bits in four longs."""
+    low = np.array([np.zeros(K, np.uint16) if s is None else s for s in sigs]).astype(U64) & U64(15)
+    low = (low.reshape(len(sigs), 4, 16) << (U64(4) * np.arange(16, dtype=U64))).sum(axis=2, dtype=U64).view(np.int64)
+    return {"sig": [None if s is None else s.tobytes() for s in sigs], **{q: low[:, i] for i, q in enumerate(NIBBLES)}}
+
+
 def _entries(plan: list[list[int]]):
     def run(frames):
         for pdf in frames:
@@ -96,11 +107,21 @@ def _distance(a: str, b: str):
     return run(a, b)
 
 
-def _with_distance(pairs: DataFrame, sigs: DataFrame, limit: int) -> DataFrame:
-    """(a, b, d) of the pairs (a, b) whose signatures differ in at most ``limit`` components."""
-    s = sigs.select("id", "sig")
-    return (pairs.join(s.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(s.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
-            .select("a", "b", _distance("sa", "sb").alias("d")).where(F.col("d") <= limit))
+def _nibble_distance(a: str, b: str):
+    """Components whose lowest four bits differ: never more than the signature distance, and computed in the join."""
+    total = F.lit(0)
+    for i in range(len(NIBBLES)):
+        x = F.col(f"{a}.q{i}").bitwiseXOR(F.col(f"{b}.q{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """For each a the b with which it shares most keys."""
+    return (pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.max(F.struct("n", -F.col("b"))).alias("m"))
+            .select("a", (-F.col("m.col2")).alias("b")))
 
 
 def _set_blobs(width: int):
@@ -152,35 +173,38 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     limit = radius(percent)
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"),
                       F.col("text").cast("string").alias("text"))
-    sigs = staged(src.mapInPandas(_signatures(width), "doc_id long, no_id boolean, n_shingles long, h1 long, h2 long, sig binary"), "mh-sigs")
+    sigs = staged(src.mapInPandas(_signatures(width), "doc_id long, no_id boolean, n_shingles long, h1 long, h2 long, sig binary, q0 long, q1 long, q2 long, q3 long"), "mh-sigs")
     real = sigs.where("sig IS NOT NULL AND NOT no_id")
     # one class per distinct set; its smallest doc_id stands for it
-    rep = staged(real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
-                 .select("id", "sig", "h1", "h2", "n_shingles"), "mh-reps")
+    rep = staged(real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("sig", *NIBBLES)]), "mh-reps")
     texts = (src.where("NOT no_id").withColumnRenamed("doc_id", "id"))
     entries = rep.select("id", "sig").mapInPandas(_entries(key_plan(limit)), "key long, id long")
     groups = entries.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
     # only keys with company go on
     shared = staged(entries.join(groups, "key").select("key", "id", "b"), "mh-shared")
-    star = _with_distance(shared.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), rep, limit)
-    star = star.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    links = staged(confirmed(star, texts, width, percent), "mh-links")
+    links = staged(confirmed(_best(shared.where("id <> b").select(F.col("id").alias("a"), "b")), texts, width, percent), "mh-links")
+    comp = staged(connected_components(links), "mh-comp")
+    # once more among members of different components under one key
+    label = shared.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = label.groupBy("key").agg(F.min(F.struct("c", "id")).alias("m"), F.max("c").alias("c1")).where("m.c <> c1")
+    open_ = staged(label.join(mixed.select("key", "m"), "key").select("key", "id", "c", F.col("m.c").alias("c0"), F.col("m.id").alias("b")), "mh-open")
+    again = _best(open_.where("c <> c0").select(F.col("id").alias("a"), "b"))
+    links = staged(links.union(confirmed(again, texts, width, percent)), "mh-links")
+    comp = staged(connected_components(links), "mh-comp")
+    # what is still apart: every pair under a key that its signature and its sizes let through
+    step = math.log(100 / percent)
+    x = (open_.select("key", "id").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
+         .join(rep.select("id", "sig", "n_shingles", *NIBBLES), "id").withColumn("size", F.floor(F.log("n_shingles") / step)))
+    # the sizes of a pair are at most one class apart
+    p = x.alias("p")
+    q = x.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).alias("q")
+    near = ((F.col("p.key") == F.col("q.key")) & (F.col("p.size") == F.col("q.size")) & (F.col("p.c") < F.col("q.c"))
+            & (100 * F.least("p.n_shingles", "q.n_shingles") >= percent * F.greatest("p.n_shingles", "q.n_shingles"))
+            & (_nibble_distance("p", "q") <= limit))
+    pairs = (p.join(q, near).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.sig").alias("sa"), F.col("q.sig").alias("sb"))
+             .where(_distance("sa", "sb") <= limit).select("a", "b"))
+    links = staged(links.union(confirmed(pairs, texts, width, percent)), "mh-links")
     comp = staged(connected_components(links), "mh-comp")
-    for last in (False, True):
-        label = shared.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        mixed = label.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("c", "id")).alias("m")).where("c0 <> c1")
-        if last:
-            # members of different components under one key
-            open_ = staged(label.join(mixed.select("key"), "key").select("key", "id", "c"), "mh-open")
-            x = open_.join(rep.select("id", "sig"), "id")
-            p, q = x.toDF("a", "key", "ca", "sa"), x.toDF("b", "key", "cb", "sb")
-            pairs = p.join(q, "key").where("ca < cb").select("a", "b", "sa", "sb").where(_distance("sa", "sb") <= limit).select("a", "b")
-        else:
-            pairs = _with_distance(label.join(mixed.select("key", "c0", F.col("m.id").alias("b")), "key").where("c <> c0")
-                                   .select(F.col("id").alias("a"), "b").distinct(), rep, limit)
-            pairs = pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        links = staged(links.union(confirmed(pairs, texts, width, percent)), "mh-links")
-        comp = staged(connected_components(links), "mh-comp")
     classes = (rep.join(comp, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component_id")))
     out = sigs.join(classes, ["h1", "h2", "n_shingles"], "left")
     doc_id = F.when(~F.col("no_id"), F.col("doc_id"))

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codegrid.llm import minhash, suffix
+from codegrid.llm import minhash, pieces, suffix
 from codegrid.llm.common import table
 from codegrid.llm.oracles import ORACLES  # noqa: F401  (read by the driver's entry module)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its piece ids, their number, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.round_trip(docs, pieces.default_model())
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -19,5 +25,5 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_minhash_near_dedup, op9_suffix_dedup,
+    op1_sentencepiece, op3_minhash_near_dedup, op9_suffix_dedup,
 )}
