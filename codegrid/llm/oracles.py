@@ -38,7 +38,39 @@ SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_remov
 FROM n LEFT JOIN kept USING (doc_id)
 """
 
+OP8 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS tie FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS DOUBLE) AS w, source_size * 3.0::DOUBLE AS cap FROM s),
+o AS (SELECT *, sum(source_size) OVER () AS total,
+        coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+        sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left FROM w),
+l AS (SELECT *, CAST(total - used AS DOUBLE) / w_left AS level FROM o),
+u AS (SELECT arg_min(level, cap / w) AS unit FROM l WHERE level <= cap / w),
+t AS (SELECT source, source_size, least(cap, w * coalesce((SELECT unit FROM u), 'inf'::DOUBLE)) AS target FROM l),
+c AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+        row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.tie) AS place,
+        CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+        CAST(CAST('0x' || substr(md5(coalesce('s' || d.source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (floor(start + place * rate) - floor(start + (place - 1) * rate)) AS BIGINT) AS taken FROM c
+"""
+
+OP10 = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(range(1, least(len(q.x), len(c.x)) + 1), lambda i: q.x[i] * c.x[i])), 0) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op3_minhash_near_dedup": OP3,
+    "op8_source_mixing": OP8,
     "op9_suffix_dedup": OP9,
+    "op10_exact_topk": OP10,
 }

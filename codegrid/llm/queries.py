@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codegrid.llm import minhash, pieces, suffix
+from codegrid.llm import minhash, mixing, pieces, quality, suffix, topk, toxicity
 from codegrid.llm.common import table
 from codegrid.llm.oracles import ORACLES  # noqa: F401  (read by the driver's entry module)
 
@@ -19,11 +19,36 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.score_documents(table(spark, sf_dir, "documents"), labels)
+
+
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories that ``labels`` tells of: poor quality first, then toxicity, which may lean on it."""
+    return table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_documents(docs, toxicity_labels(spark, sf_dir))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), depth=50)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentencepiece, op3_minhash_near_dedup, op9_suffix_dedup,
+    op1_sentencepiece, op3_minhash_near_dedup, op4_quality_classifier, op6_toxicity,
+    op8_source_mixing, op9_suffix_dedup, op10_exact_topk,
 )}
