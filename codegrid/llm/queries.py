@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codegrid.llm import minhash, mixing, pieces, quality, suffix, topk, toxicity
+from codegrid.llm import html, minhash, mixing, pieces, quality, suffix, topk, toxicity, urls, vectors
 from codegrid.llm.common import table
 from codegrid.llm.oracles import ORACLES  # noqa: F401  (read by the driver's entry module)
 
@@ -15,6 +15,25 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(docs, pieces.default_model())
 
 
+#: listed rules of the URL filter: host, path, verdict
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the document of its number: poor quality or toxic text means block."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("page_id"), F.expr("quality = 0 OR toxic = 1").alias("block"))
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -49,6 +68,6 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentencepiece, op3_minhash_near_dedup, op4_quality_classifier, op6_toxicity,
-    op8_source_mixing, op9_suffix_dedup, op10_exact_topk,
+    op1_sentencepiece, op2_url_filter, op3_minhash_near_dedup, op4_quality_classifier, op5_html_extraction,
+    op6_toxicity, op7_embedding_near_dedup, op8_source_mixing, op9_suffix_dedup, op10_exact_topk,
 )}
