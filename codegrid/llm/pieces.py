@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 SPACE = "▁"
 INF = float("inf")
 #: factors kept per Python worker; the cache starts anew when full
-CACHE = 200_000
+CACHE = 500_000
 
 
 def _fields(b: bytes):
@@ -92,6 +92,7 @@ class Model:
         self.ids = {p: i for i, (p, _, t) in enumerate(self.pieces) if t == self.NORMAL}
         self.score = [s for _, s, _ in self.pieces]
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == self.BYTE}
+        self.plain = {i: p for p, i in self.ids.items()} | {i: chr(b) for b, i in self.bytes.items() if b < 128}
         self.unknown = next((i for i, (_, _, t) in enumerate(self.pieces) if t == self.UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
         # the lowest unigram score less ten, as unknown characters weigh in unigram models
@@ -205,7 +206,7 @@ class Model:
         return out
 
     def agreeing(self, left: str, right: str) -> bool:
-        if len(self.agree) > 2 * CACHE:
+        if len(self.agree) > CACHE:
             self.agree.clear()
         ok = self.agree[left, right] = self.pair_weight(left, right) == 0
         return ok
@@ -241,6 +242,11 @@ class Model:
 
     def decode(self, ids) -> str:
         """The inverse transduction: pieces end to end, bytes joined to characters, spaces back, the front space gone."""
+        try:
+            # no bytes but those that are characters by themselves
+            return self._restored("".join([self.plain[i] for i in ids]))
+        except KeyError:
+            pass
         out, raw = [], bytearray()
         for i in ids:
             p, _, t = self.pieces[i]
@@ -256,7 +262,10 @@ class Model:
                 out.append(" ⁇ ")
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        return self._restored("".join(out))
+
+    def _restored(self, text: str) -> str:
+        text = text.replace(SPACE, " ")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
