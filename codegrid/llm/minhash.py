@@ -25,20 +25,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from codegrid.llm.common import (U64, batches, binomial_tail, connected_components, mix, shingle_sets, staged)
+from codegrid.llm.common import U64, batches, binomial_tail, bucketed, connected_components, mix, partitions, shingle_sets, staged
 
-K = 64
+K = 64  # components that the index is made of
+FULL = 256  # components of the whole signature, which filters the last pairs
 MISS = 1e-6
 _SEED = np.random.default_rng(20240607)
-_MUL = _SEED.integers(0, 1 << 63, K, dtype=np.uint64) * U64(2) + U64(1)
-_ADD = _SEED.integers(0, 1 << 63, K, dtype=np.uint64)
-NIBBLES = ["q0", "q1", "q2", "q3"]
+_MUL = _SEED.integers(0, 1 << 63, FULL, dtype=np.uint64) * U64(2) + U64(1)
+_ADD = _SEED.integers(0, 1 << 63, FULL, dtype=np.uint64)
+NIBBLES = [f"q{i}" for i in range(FULL // 16)]
 _PER_TASK = 2000
 
 
-def radius(percent: int) -> int:
-    """Smallest signature distance that a pair at the threshold exceeds with a chance of at most MISS."""
-    return next(d for d in range(K) if binomial_tail(K, 1 - percent / 100, d) <= MISS)
+def radius(percent: int, k: int = K) -> int:
+    """Smallest distance of k components that a pair at the threshold exceeds with a chance of at most MISS."""
+    return next(d for d in range(k) if binomial_tail(k, 1 - percent / 100, d) <= MISS)
 
 
 def key_plan(distance: int) -> list[list[int]]:
@@ -48,9 +49,9 @@ def key_plan(distance: int) -> list[list[int]]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(K, np.iinfo(np.uint64).max, U64)
-    for i in range(0, len(shingles), 1024):
-        h = shingles[i:i + 1024][None, :] * _MUL[:, None] + _ADD[:, None]
+    low = np.full(FULL, np.iinfo(np.uint64).max, U64)
+    for i in range(0, len(shingles), 256):
+        h = shingles[i:i + 256][None, :] * _MUL[:, None] + _ADD[:, None]
         h ^= h >> U64(31)
         h *= U64(0x94D049BB133111EB)
         np.minimum(low, h.min(axis=1), out=low)
@@ -74,7 +75,7 @@ def _signatures(width: int):
         for pdf in batches(frames, 500_000):
             sets = shingle_sets(pdf["text"].tolist(), width)
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "no_id": pdf["no_id"], "n_shingles": [len(s) for s in sets],
+                "id": pdf["id"], "no_id": pdf["no_id"], "n_shingles": [len(s) for s in sets],
                 "h1": np.array([int(s.sum(dtype=U64)) if len(s) else 0 for s in sets], U64).view(np.int64),
                 "h2": np.array([int(np.bitwise_xor.reduce(mix(s + U64(7)))) if len(s) else 0 for s in sets], U64).view(np.int64),
                 **_columns([signature(s) if len(s) else None for s in sets])})
@@ -82,10 +83,10 @@ def _signatures(width: int):
 
 
 def _columns(sigs: list) -> dict:
-    """The signatures as bytes, and their lowest four bits in four longs."""
-    low = np.array([np.zeros(K, np.uint16) if s is None else s for s in sigs]).astype(U64) & U64(15)
-    low = (low.reshape(len(sigs), 4, 16) << (U64(4) * np.arange(16, dtype=U64))).sum(axis=2, dtype=U64).view(np.int64)
-    return {"sig": [None if s is None else s.tobytes() for s in sigs], **{q: low[:, i] for i, q in enumerate(NIBBLES)}}
+    """The components of the index as bytes, and the lowest four bits of all in longs."""
+    low = np.array([np.zeros(FULL, np.uint16) if s is None else s for s in sigs]).astype(U64) & U64(15)
+    low = (low.reshape(len(sigs), len(NIBBLES), 16) << (U64(4) * np.arange(16, dtype=U64))).sum(axis=2, dtype=U64).view(np.int64)
+    return {"sig": [None if s is None else s[:K].tobytes() for s in sigs], **{q: low[:, i] for i, q in enumerate(NIBBLES)}}
 
 
 def _entries(plan: list[list[int]]):
@@ -97,16 +98,6 @@ def _entries(plan: list[list[int]]):
     return run
 
 
-def _distance(a: str, b: str):
-    @F.pandas_udf("int")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="int32")
-        p, q = (np.frombuffer(b"".join(v), np.uint16).reshape(-1, K) for v in (x, y))
-        return pd.Series((p != q).sum(axis=1).astype("int32"))
-    return run(a, b)
-
-
 def _nibble_distance(a: str, b: str):
     """Components whose lowest four bits differ: never more than the signature distance, and computed in the join."""
     total = F.lit(0)
@@ -171,43 +162,48 @@ def confirmed(pairs: DataFrame, reps: DataFrame, width: int, percent: int) -> Da
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
     limit = radius(percent)
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"),
+    parts = partitions(docs.sparkSession)
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"),
                       F.col("text").cast("string").alias("text"))
-    sigs = staged(src.mapInPandas(_signatures(width), "doc_id long, no_id boolean, n_shingles long, h1 long, h2 long, sig binary, q0 long, q1 long, q2 long, q3 long"), "mh-sigs")
+    # kept by id, so that no confirmation moves the texts again
+    src = bucketed(src.repartition(parts, F.col("id")), "id", parts, "mh_texts")
+    sigs = staged(src.mapInPandas(_signatures(width), "id long, no_id boolean, n_shingles long, h1 long, h2 long, sig binary, "
+                                  + ", ".join(f"{q} long" for q in NIBBLES)), "mh-sigs")
     real = sigs.where("sig IS NOT NULL AND NOT no_id")
-    # one class per distinct set; its smallest doc_id stands for it
-    rep = staged(real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("sig", *NIBBLES)]), "mh-reps")
-    texts = (src.where("NOT no_id").withColumnRenamed("doc_id", "id"))
+    # one class per distinct set; its smallest id stands for it
+    rep = staged(real.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("sig", *NIBBLES)]), "mh-reps")
+    texts = src.where("NOT no_id")
     entries = rep.select("id", "sig").mapInPandas(_entries(key_plan(limit)), "key long, id long")
     groups = entries.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
     # only keys with company go on
     shared = staged(entries.join(groups, "key").select("key", "id", "b"), "mh-shared")
     links = staged(confirmed(_best(shared.where("id <> b").select(F.col("id").alias("a"), "b")), texts, width, percent), "mh-links")
     comp = staged(connected_components(links), "mh-comp")
-    # once more among members of different components under one key
-    label = shared.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = label.groupBy("key").agg(F.min(F.struct("c", "id")).alias("m"), F.max("c").alias("c1")).where("m.c <> c1")
-    open_ = staged(label.join(mixed.select("key", "m"), "key").select("key", "id", "c", F.col("m.c").alias("c0"), F.col("m.id").alias("b")), "mh-open")
-    again = _best(open_.where("c <> c0").select(F.col("id").alias("a"), "b"))
-    links = staged(links.union(confirmed(again, texts, width, percent)), "mh-links")
-    comp = staged(connected_components(links), "mh-comp")
+    # once more among members of different components under one key, with the first and with the last of them
+    open_ = shared.select("key", "id")
+    for end in (F.min, F.max):
+        open_ = open_.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        mixed = open_.groupBy("key").agg(end(F.struct("c", "id")).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+        open_ = staged(open_.join(mixed.select("key", "m"), "key").select("key", "id", "c", "m"), "mh-open")
+        again = _best(open_.where("c <> m.c").select(F.col("id").alias("a"), F.col("m.id").alias("b")))
+        links = staged(links.union(confirmed(again, texts, width, percent)), "mh-links")
+        comp = staged(connected_components(links), "mh-comp")
     # what is still apart: every pair under a key that its signature and its sizes let through
     step = math.log(100 / percent)
     x = (open_.select("key", "id").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
-         .join(rep.select("id", "sig", "n_shingles", *NIBBLES), "id").withColumn("size", F.floor(F.log("n_shingles") / step)))
+         .join(rep.select("id", "n_shingles", *NIBBLES), "id").withColumn("size", F.floor(F.log("n_shingles") / step)))
     # the sizes of a pair are at most one class apart
     p = x.alias("p")
     q = x.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).alias("q")
     near = ((F.col("p.key") == F.col("q.key")) & (F.col("p.size") == F.col("q.size")) & (F.col("p.c") < F.col("q.c"))
             & (100 * F.least("p.n_shingles", "q.n_shingles") >= percent * F.greatest("p.n_shingles", "q.n_shingles"))
-            & (_nibble_distance("p", "q") <= limit))
-    pairs = (p.join(q, near).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.sig").alias("sa"), F.col("q.sig").alias("sb"))
-             .where(_distance("sa", "sb") <= limit).select("a", "b"))
+            & (_nibble_distance("p", "q") <= radius(percent, FULL)))
+    pairs = p.join(q, near).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
     links = staged(links.union(confirmed(pairs, texts, width, percent)), "mh-links")
     comp = staged(connected_components(links), "mh-comp")
     classes = (rep.join(comp, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component_id")))
     out = sigs.join(classes, ["h1", "h2", "n_shingles"], "left")
-    doc_id = F.when(~F.col("no_id"), F.col("doc_id"))
-    own = F.when(F.col("no_id"), F.lit(None)).when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    doc_id = F.when(~F.col("no_id"), F.col("id"))
+    own = F.when(F.col("no_id"), F.lit(None)).when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(doc_id.alias("doc_id"), "n_shingles", own.cast("long").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
