@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     # one class per distinct set; its smallest id stands for it
     rep = staged(real.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("sig", *NIBBLES)]), "mh-reps")
     texts = src.where("NOT no_id")
-    entries = rep.select("id", "sig").mapInPandas(_entries(key_plan(limit)), "key long, id long")
+    entries = rep.select("id", "sig").repartition(parts).mapInPandas(_entries(key_plan(limit)), "key long, id long")
     groups = entries.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
     # only keys with company go on
     shared = staged(entries.join(groups, "key").select("key", "id", "b"), "mh-shared")
