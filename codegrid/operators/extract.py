@@ -87,6 +87,11 @@ def extract_types(files: DataFrame) -> DataFrame:
     return type_headers(files).select("repo", "file", "language", "kind", "name", "ord")
 
 
+def strip_space(x) -> Column:
+    """Without white space of any kind (line breaks too) at the ends."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def extract_heritage(files: DataFrame) -> DataFrame:
     """heritage(repo, file, language, kind, type, relation, ord, parent).
 
@@ -99,9 +104,9 @@ def extract_heritage(files: DataFrame) -> DataFrame:
                          F.lit("inherits")).otherwise(ext_rel)
     parts = F.concat(
         F.transform(F.split(F.col("extends_list"), ","),
-                    lambda x: F.struct(ext_rel.alias("relation"), F.trim(x).alias("parent"))),
+                    lambda x: F.struct(ext_rel.alias("relation"), strip_space(x).alias("parent"))),
         F.transform(F.split(F.col("implements_list"), ","),
-                    lambda x: F.struct(F.lit("implements").alias("relation"), F.trim(x).alias("parent"))))
+                    lambda x: F.struct(F.lit("implements").alias("relation"), strip_space(x).alias("parent"))))
     out = h.select("repo", "file", "language", "kind", F.col("name").alias("type"),
                    F.posexplode(F.filter(parts, lambda s: s["parent"] != "")).alias("pos", "h"))
     return out.select("repo", "file", "language", "kind", "type", "h.relation",
@@ -165,7 +170,7 @@ def extract_functions(files: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- P9
 def clean_comment(text: Column, style: Column) -> Column:
     """Strip comment markers and a leading ``*`` on each line."""
-    t = F.trim(text)
+    t = strip_space(text)
     c_like = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^//\s*", ""), r"^/\*\s*", ""),
                               r"\s*\*/$", "")
     fs_like = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^//\s*", ""), r"^\(\*\s*", ""),
@@ -174,7 +179,7 @@ def clean_comment(text: Column, style: Column) -> Column:
     out = (F.when(style == "vb", vb_like).when(style == "fs", fs_like)
            .when(style == "html", t).otherwise(c_like))
     out = F.when(style.isin("c", "fs"), F.regexp_replace(out, r"(?m)^\*\s*", "")).otherwise(out)
-    return F.trim(out)
+    return strip_space(out)
 
 
 def extract_comments(files: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ dropped) and never fails a task.
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,11 @@ def _strip_scheme(path):
     return F.regexp_replace(path, r"^file:(//)?", "")
 
 
+def _clean_root(root: str) -> str:
+    """The root as it stands in front of stripped paths."""
+    return re.sub(r"^file:(//)?", "", root).rstrip("/")
+
+
 def decode_utf8(content):
     """Lossy UTF-8 decode: invalid byte sequences are dropped."""
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
@@ -66,7 +73,7 @@ def tree_files(raw: DataFrame, root: str, repo: str | None = None,
                max_mb: float = DEFAULT_MAX_FILE_MB,
                extensions: dict[str, list[str]] | None = None) -> DataFrame:
     """The S1 transformation on a raw ``binaryFile`` frame (batch or stream)."""
-    root_clean = root.rstrip("/")
+    root_clean = _clean_root(root)
     repo = repo or root_clean.rsplit("/", 1)[-1]
     df = raw.where(F.col("length") <= F.lit(int(max_mb * 1024 * 1024)))
     df = df.withColumn("path", _strip_scheme(F.col("path")))
@@ -82,7 +89,7 @@ def read_source_tree(spark: SparkSession, root: str, repo: str | None = None,
                      extensions: dict[str, list[str]] | None = None) -> DataFrame:
     """Every regular file under ``root`` whose suffix is configured,
     included, not excluded and not oversized, as a ``files`` table."""
-    root_clean = root.rstrip("/")
+    root_clean = _clean_root(root)
     repo = repo or root_clean.rsplit("/", 1)[-1]
     df = _scan(spark, root_clean, max_mb)
     df = df.withColumn("path", _strip_scheme(F.col("path")))
@@ -110,7 +117,7 @@ def read_repo_snapshots(spark: SparkSession, root: str, with_branch: bool = True
                         max_mb: float = DEFAULT_MAX_FILE_MB) -> DataFrame:
     """S3: checked-out repositories laid out as ``root/<repo>/<branch>/...``
     (or ``root/<repo>/...``); ``repo`` and ``branch`` come from the path."""
-    root_clean = root.rstrip("/")
+    root_clean = _clean_root(root)
     df = _scan(spark, root_clean, max_mb).withColumn("path", _strip_scheme(F.col("path")))
     df = filter_extensions(df)
     df = filter_paths(df, include, exclude)

@@ -149,3 +149,26 @@ def test_stream_drops_redelivered_rows(spark, sf_dir):
                                       "dedupe")
     got = spark.read.parquet(out)
     assert got.count() == ev.select("user_id", "event_id").distinct().count()
+
+
+def test_config_sections_of_odd_shape():
+    from codegrid.functions.config import infra_facts
+    assert infra_facts('{"rabbitmq": {"queues": 5, "exchanges": {"a": 1}, "topics": null}}') == []
+    assert infra_facts('{"rabbitmq": {"queues": [{"name": "q", "binding": {"exchange": "e"}}, 3]}, "topics": [{"name": "t"}]}') == [
+        ("exchange", 0, "t", "topic", None, None, None, None), ("queue", 0, "q", None, False, None, None, None),
+        ("binding", 0, None, None, None, "q", "e", "")]
+
+
+def test_parents_lose_line_breaks(spark):
+    from pyspark.sql import functions as F
+    from codegrid.operators.extract import strip_space
+    df = spark.createDataFrame([("IFoo\n",), ("\n    D\r\n",), (" E\t",)], "x string").select(strip_space(F.col("x")).alias("x"))
+    assert [r.x for r in df.collect()] == ["IFoo", "D", "E"]
+
+
+def test_tree_root_may_be_a_uri(spark, tmp_path):
+    from codegrid.sources.tree import read_source_tree
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "A.java").write_text("class A {}")
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        assert [r.relative_path for r in read_source_tree(spark, root).collect()] == ["sub/A.java"]
