@@ -25,7 +25,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _release(spark: SparkSession) -> None:
@@ -41,7 +51,9 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{table_name}"
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table_name, format="parquet")
     _release(spark)
-    return spark.table(table_name)
+    out = spark.table(table_name)
+    out._staged_at = path
+    return out
 
 
 def partitions(spark: SparkSession, *, factor: int = 1) -> int:

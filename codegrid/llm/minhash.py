@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from codegrid.llm.common import U64, batches, binomial_tail, bucketed, connected_components, mix, partitions, shingle_sets, staged
+from codegrid.llm.common import U64, batches, binomial_tail, bucketed, connected_components, drop, mix, partitions, shingle_sets, staged
 
 K = 64  # components that the index is made of
 FULL = 256  # components of the whole signature, which filters the last pairs
@@ -144,8 +144,8 @@ def _compare(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold. Each b's set is sent once per ``_PER_TASK`` of its
+def confirmed(pairs: DataFrame, reps: DataFrame, width: int, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold, after those known. Each b's set is sent once per ``_PER_TASK`` of its
     partners, so a hub with many partners is dealt over many tasks."""
     pairs = staged(pairs.select("a", "b").distinct(), "mh-pairs")
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -155,8 +155,11 @@ def confirmed(pairs: DataFrame, reps: DataFrame, width: int, percent: int) -> Da
                .join(sets.withColumnRenamed("id", "a"), "a").select("b", "salt", "a", F.lit(True).alias("member"), "blob"))
     hubs = (salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
             .join(sets.withColumnRenamed("id", "b"), "b").select("b", "salt", F.lit(0).cast("long").alias("a"), F.lit(False).alias("member"), "blob"))
-    return (members.union(hubs).repartition("b", "salt").sortWithinPartitions("b", "salt", "member")
-            .mapInPandas(_compare(percent), "a long, b long"))
+    links = (members.union(hubs).repartition("b", "salt").sortWithinPartitions("b", "salt", "member")
+             .mapInPandas(_compare(percent), "a long, b long"))
+    links = staged(links if known is None else known.union(links), "mh-links")
+    drop(pairs, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -177,7 +180,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     groups = entries.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
     # only keys with company go on
     shared = staged(entries.join(groups, "key").select("key", "id", "b"), "mh-shared")
-    links = staged(confirmed(_best(shared.where("id <> b").select(F.col("id").alias("a"), "b")), texts, width, percent), "mh-links")
+    links = confirmed(_best(shared.where("id <> b").select(F.col("id").alias("a"), "b")), texts, width, percent)
     comp = staged(connected_components(links), "mh-comp")
     # once more among members of different components under one key, with the first and with the last of them
     open_ = shared.select("key", "id")
@@ -186,7 +189,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         mixed = open_.groupBy("key").agg(end(F.struct("c", "id")).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
         open_ = staged(open_.join(mixed.select("key", "m"), "key").select("key", "id", "c", "m"), "mh-open")
         again = _best(open_.where("c <> m.c").select(F.col("id").alias("a"), F.col("m.id").alias("b")))
-        links = staged(links.union(confirmed(again, texts, width, percent)), "mh-links")
+        links = confirmed(again, texts, width, percent, links)
         comp = staged(connected_components(links), "mh-comp")
     # what is still apart: every pair under a key that its signature and its sizes let through
     step = math.log(100 / percent)
@@ -199,8 +202,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
             & (100 * F.least("p.n_shingles", "q.n_shingles") >= percent * F.greatest("p.n_shingles", "q.n_shingles"))
             & (_nibble_distance("p", "q") <= radius(percent, FULL)))
     pairs = p.join(q, near).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-    links = staged(links.union(confirmed(pairs, texts, width, percent)), "mh-links")
+    links = confirmed(pairs, texts, width, percent, links)
     comp = staged(connected_components(links), "mh-comp")
+    drop(src, shared, open_, links)
     classes = (rep.join(comp, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component_id")))
     out = sigs.join(classes, ["h1", "h2", "n_shingles"], "left")
     doc_id = F.when(~F.col("no_id"), F.col("id"))

@@ -46,10 +46,11 @@ def targets(sizes: DataFrame, weights: tuple = (1, 2, 3)) -> DataFrame:
                     F.least("cap", F.col("w") * F.coalesce("unit", F.lit(float("inf")))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = (1, 2, 3)) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with size, source_size, target, copies and taken, one row per row."""
+def mix(docs: DataFrame, weights: tuple = (1, 2, 3), carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (doc_id, text, source, ...), or its columns ``carry``, with size, source_size, target, copies and taken, one row
+    per row."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    name = docs.columns
+    name = docs.columns if carry is None else carry
     rows = docs.select(F.struct(*name).alias("row"), F.col("source").cast("string").alias("source"), size.alias("size"),
                        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("tie"))
     flat = rows.select("source", "size", "tie")
@@ -81,5 +82,5 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def emitted(docs: DataFrame, weights: tuple = (1, 2, 3)) -> DataFrame:
     """The mixed rows themselves, with the columns of ``docs``: each as many times as it is taken."""
-    mixed = mix(docs.withColumn("__row", F.struct(*docs.columns)).select("doc_id", "text", "source", "__row"), weights)
+    mixed = mix(docs.withColumn("__row", F.struct(*docs.columns)), weights, ["__row"])
     return mixed.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")

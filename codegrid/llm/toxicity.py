@@ -24,7 +24,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from codegrid.llm.common import batches, staged
+from codegrid.llm.common import batches, drop, staged
 from codegrid.llm.stats import NAMES, statistics
 
 SAMPLE, WORDS, FOLDS = 30_000, 256, 3
@@ -116,6 +116,7 @@ class Chain:
             return pd.Series(list(features(text.tolist(), vocabulary)), index=text.index)
 
         x = staged(rows.select(inputs("text").alias("x"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"), *categories), "tox-inputs")
+        drop(rows)
         self.models: list[Linear] = []
         for i, c in enumerate(categories):
             self.models.append(Linear(x, c, F.col("x")))
