@@ -20,6 +20,7 @@ from codegrid.llm.common import staged
 
 #: itemsets are combinations of at most this many tokens and the label
 LABEL = "label:block"
+SALTS = 32
 
 
 def parts(url: str = "url") -> tuple:
@@ -46,16 +47,24 @@ def tokens(host, path) -> F.Column:
     return F.array_distinct(F.filter(F.concat(names, steps), lambda x: F.length(x) > 2))
 
 
+def spread(items: DataFrame, by: str, side: DataFrame) -> DataFrame:
+    """``items`` joined with ``side`` on their token, each token dealt over ``SALTS`` tasks by the column ``by``: a token that
+    a third of all URLs hold is not one task's work. ``side`` (a few rows a frequent token) goes to each of them."""
+    items = items.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    side = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return items.join(side, ["token", "salt"]).drop("salt")
+
+
 def mine(labelled: DataFrame, *, min_support: float, min_confidence: float, min_rows: int = 10) -> DataFrame:
     """(rule_id, tokens, confidence, support) from ``labelled`` (tokens, block). Infrequent tokens go before FP-growth sees them."""
-    n = labelled.count()
+    # numbered once: the numbers would not survive a second computation of the rows
+    rows = staged(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "block"), "url-labelled")
+    n = rows.count()
     least = max(float(min_rows), min_support * n)
-    rows = labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "block")
-    flat = rows.select("row", F.explode("tokens").alias("token"))
+    flat = rows.select("row", "block", F.explode("tokens").alias("token"))
     # a rule that is frequent with its label has only tokens that are
-    useful = (flat.join(rows.where("block").select("row"), "row").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-              .where(F.col("n") >= least).select("token"))
-    baskets = flat.join(useful, "token").groupBy("row").agg(F.sort_array(F.collect_set("token")).alias("items"))
+    useful = flat.where("block").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("token")
+    baskets = spread(flat, "row", useful).groupBy("row").agg(F.sort_array(F.collect_set("token")).alias("items"))
     baskets = rows.select("row", "block").join(baskets, "row").select(
         F.when(F.col("block"), F.array_append("items", F.lit(LABEL))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(n, 1)), minConfidence=min_confidence).fit(baskets)
@@ -78,13 +87,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     known = labels.where("page_id IS NOT NULL AND block IS NOT NULL").groupBy("page_id").agg(F.max("block").alias("block"))
     mined = staged(mine(rows.join(known, "page_id").select("tokens", "block"), min_support=min_support, min_confidence=min_confidence), "url-mined")
     index = mined.select("rule_id", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
-    # only tokens that rules are made of matter: distinct sets of these are matched, each once
-    in_rules = index.select("token").distinct()
-    sets = rows.select(F.explode("tokens").alias("token")).groupBy("token").count().join(in_rules, "token").select("token")
     name, verdict = listed(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "listed": verdict, "key": F.xxhash64("tokens")})
     distinct = rows.where("listed IS NULL").groupBy("key").agg(F.first("tokens").alias("tokens"))
-    hits = (distinct.select("key", F.explode("tokens").alias("token")).join(sets, "token").join(index, "token")
+    # distinct token sets are matched, each once
+    hits = (spread(distinct.select("key", F.explode("tokens").alias("token")), "key", index)
             .groupBy("key", "rule_id").agg(F.count(F.lit(1)).alias("got"), F.first("need").alias("need")).where("got = need")
             .select("key").distinct().withColumn("fires", F.lit(True)))
     out = rows.join(hits, "key", "left")
