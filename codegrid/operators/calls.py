@@ -70,15 +70,16 @@ def class_interactions(files: DataFrame, members: DataFrame) -> DataFrame:
                        "from_class", "to_class", "method")
 
 
-def class_chain(members: DataFrame, max_classes: int = 5) -> DataFrame:
-    """The first ``max_classes`` classes of each Java file as consecutive
+def class_chain(members: DataFrame, max_classes: int | None = None) -> DataFrame:
+    """The classes of each Java file (with ``max_classes``, its first ones) as consecutive
     pairs, labelled with the target's first public (or unmodified) method
     other than equals / hashCode / toString, else ``process``.
     (repo, file, pos, from_class, to_class, method)."""
     classes = (members.where((F.col("member_kind") == "type") & (F.col("type_kind") == "class")
                              & (F.col("language") == "java"))
-               .select("repo", "file", F.col("type").alias("cls"), "type_ord")
-               .where(F.col("type_ord") < max_classes))
+               .select("repo", "file", F.col("type").alias("cls"), "type_ord"))
+    if max_classes is not None:
+        classes = classes.where(F.col("type_ord") < max_classes)
     label = (members.where((F.col("member_kind") == "method") & (F.col("type_kind") == "class")
                            & (F.col("language") == "java") & ~F.col("name").isin(*CHAIN_SKIP)
                            & (F.array_contains("modifiers", "public") | (F.size("modifiers") == 0)))

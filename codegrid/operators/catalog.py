@@ -235,7 +235,7 @@ def api_spec(eps: DataFrame, ctrl_deps: DataFrame, flows: DataFrame) -> DataFram
 
 # ------------------------------------------------------------------ V10
 def _safe(c: Column) -> Column:
-    s = F.substring(F.regexp_replace(c, r"(?U)[^\w]", "_"), 1, 50)
+    s = F.regexp_replace(c, r"(?U)[^\w]", "_")
     return F.when(s == "", F.lit("node")).otherwise(s)
 
 
@@ -274,7 +274,7 @@ STEP_CONSUMER = r"Consumer\s+([^\s]+)\s+reads queue"
 
 
 def _seq_id(c: Column) -> Column:
-    s = F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[^\w]", "_"), 1, 50)
+    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[^\w]", "_")
     return F.when(s == "", F.lit("node")).when(s.rlike(r"^\d"), F.concat(F.lit("node_"), s)).otherwise(s)
 
 
@@ -287,11 +287,12 @@ def _seq_msg(c: Column) -> Column:
 
 
 def app_sequence(ctrls: DataFrame, scan: DataFrame, eps: DataFrame, ctrl_deps: DataFrame, flows: DataFrame,
-                 mq_flows: DataFrame | None = None, max_endpoints: int = 5) -> DataFrame:
-    """V11 (repo, seq, src, dst, label): the application sequence of each
-    repo over its first ``max_endpoints`` endpoints (file, class, method
-    order): request, service hand-off, published messages and their
-    consumers, response. The endpoint cut is a per-repo rank filter."""
+                 mq_flows: DataFrame | None = None, max_endpoints: int | None = None) -> DataFrame:
+    """V11 (repo, file, class_ord, method_ord, pos, src, dst, label): the
+    application sequence of each repo, in the order of the sort columns
+    file, class_ord, method_ord, pos: per endpoint request, service hand-off, published messages and their
+    consumers, response. With ``max_endpoints`` only the first endpoints of a repo (a
+    rank filter) are shown."""
     svc = services_and_interfaces(scan).groupBy("repo").agg(
         F.min(F.when(F.col("kind") == "service", F.col("name"))).alias("s"),
         F.min(F.when(F.col("kind") == "interface", F.col("name"))).alias("i"))
@@ -304,8 +305,10 @@ def app_sequence(ctrls: DataFrame, scan: DataFrame, eps: DataFrame, ctrl_deps: D
     if mq_flows is not None:
         queue = (mq_flows.where(F.coalesce("queue", F.lit("")) != "")
                  .groupBy("repo").agg(F.min_by("queue", F.struct("file", "ord")).alias("mq_queue")))
-    w = Window.partitionBy("repo").orderBy("file", "class_ord", "method_ord")
-    first = (eps.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_endpoints))
+    first = eps
+    if max_endpoints is not None:
+        w = Window.partitionBy("repo").orderBy("file", "class_ord", "method_ord")
+        first = eps.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_endpoints)
     deps = (ctrl_deps.groupBy("repo", "controller")
             .agg(F.array_sort(F.collect_list("dep_class")).alias("deps")))
     per_ep_steps = (steps.groupBy("repo", "controller", "method")
@@ -345,6 +348,6 @@ def app_sequence(ctrls: DataFrame, scan: DataFrame, eps: DataFrame, ctrl_deps: D
             cons, lambda c: row(t, _seq_id(c), _seq_msg(F.concat(F.lit("Publish Send "), m)))))))
     rows = F.concat(F.array(row(F.lit("Client"), t, _seq_msg(F.when(label == "", F.lit("Request")).otherwise(label)))),
                     handle, publish, F.array(row(t, F.lit("Client"), F.lit("Response"))))
-    out = e.select("repo", "rank", F.posexplode(rows).alias("pos", "x"))
-    w2 = Window.partitionBy("repo").orderBy("rank", "pos")
-    return out.select("repo", (F.row_number().over(w2) - 1).cast("long").alias("seq"), "x.src", "x.dst", "x.label")
+    out = e.select("repo", "file", "class_ord", "method_ord", F.posexplode(rows).alias("pos", "x"))
+    return out.select("repo", "file", F.col("class_ord").cast("long").alias("class_ord"), F.col("method_ord").cast("long").alias("method_ord"),
+                      F.col("pos").cast("long").alias("pos"), "x.src", "x.dst", "x.label")

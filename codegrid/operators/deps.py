@@ -234,27 +234,7 @@ def trim_acyclic(e: DataFrame, checkpoint) -> DataFrame:
         e, n = e2, n2
 
 
-def strongly_connected(edges: DataFrame, checkpoint, local_limit: int = 1_000_000) -> DataFrame:
-    """(repo, file, scc) for every file in a strongly connected component
-    of two or more files; ``scc`` is its smallest file.
-
-    A repo whose (self-loop free, distinct) edge list has at most
-    ``local_limit`` edges is solved in one task with Tarjan's algorithm
-    (bounded memory); larger repos take the distributed colouring path, so
-    a giant repo never lands in a single task."""
-    from ..functions.graph import scc_frame
-    e = _simple_edges(edges)
-    sizes = e.groupBy("repo").agg(F.count("*").alias("n"))
-    small = e.join(sizes.where(F.col("n") <= local_limit).select("repo"), "repo", "left_semi")
-    local = small.groupBy("repo").applyInPandas(scc_frame, "repo string, file string, scc string")
-    big = sizes.where(F.col("n") > local_limit).select("repo")
-    if big.limit(1).count() == 0:
-        return local
-    dist = distributed_scc(edges.join(big, "repo", "left_semi"), checkpoint)
-    return local.unionByName(dist)
-
-
-def distributed_scc(edges: DataFrame, checkpoint) -> DataFrame:
+def strongly_connected(edges: DataFrame, checkpoint) -> DataFrame:
     """(repo, file, scc) for every file in a strongly connected component
     of two or more files; ``scc`` is its smallest file.
 
@@ -309,10 +289,10 @@ def distributed_scc(edges: DataFrame, checkpoint) -> DataFrame:
     return found.join(sizes.where(F.col("n") > 1), ["repo", "scc"], "left_semi")
 
 
-def files_in_cycles(edges: DataFrame, checkpoint, local_limit: int = 1_000_000) -> DataFrame:
+def files_in_cycles(edges: DataFrame, checkpoint) -> DataFrame:
     """(repo, file) for files on a cycle: non-trivial SCC or self-loop."""
     loops = edges.where(F.col("source") == F.col("target")).select("repo", F.col("source").alias("file"))
-    return (strongly_connected(edges, checkpoint, local_limit).select("repo", "file")
+    return (strongly_connected(edges, checkpoint).select("repo", "file")
             .union(loops).distinct())
 
 
@@ -378,29 +358,28 @@ def sample_graph(edges: DataFrame, max_sources: int = 20, max_targets: int = 5)
 # ------------------------------------------------------------------ D12
 def display_id(path) -> "F.Column":
     """Diagram node id: non-word runs -> ``_``, trimmed, ``_`` prefix when it
-    does not start with a letter, at most 50 characters, ``node`` if empty."""
+    does not start with a letter, ``node`` if empty. Beyond 50 characters the
+    end gives way to a hash of the path, so that long paths stay distinct."""
     s = F.regexp_replace(F.regexp_replace(path, r"(?U)[^\w]", "_"), "_+", "_")
     s = F.regexp_replace(s, "^_+|_+$", "")
     s = F.when(s.rlike(r"^[^\p{L}_]"), F.concat(F.lit("_"), s)).otherwise(s)
-    return F.when(s == "", F.lit("node")).otherwise(F.substring(s, 1, 50))
+    short = F.concat(F.substring(s, 1, 41), F.lit("_"), F.substring(F.md5(path), 1, 8))
+    return F.when(s == "", F.lit("node")).when(F.length(s) > 50, short).otherwise(s)
 
 
 def display_label(path) -> "F.Column":
     name = F.element_at(F.split(path, "/"), -1)
     s = F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     s = F.regexp_replace(s, "[\r\n]", " ")
-    return F.when(s == "", F.lit("file")).otherwise(F.substring(s, 1, 40))
+    return F.when(s == "", F.lit("file")).otherwise(s)
 
 
-def merge_by_display_id(edges: DataFrame) -> DataFrame:
-    """(repo, src_id, src_label, dst_id, dst_label): edges whose display ids
-    coincide collapse to the first (by source, target)."""
-    d = edges.select("repo", display_id(F.col("source")).alias("src_id"),
-                     display_id(F.col("target")).alias("dst_id"),
-                     F.struct("source", "target").alias("e"))
-    best = d.groupBy("repo", "src_id", "dst_id").agg(F.min("e").alias("e"))
-    return best.select("repo", "src_id", display_label(F.col("e.source")).alias("src_label"),
-                       "dst_id", display_label(F.col("e.target")).alias("dst_label"))
+def display_edges(edges: DataFrame) -> DataFrame:
+    """(repo, src_id, src_label, dst_id, dst_label): one row per edge between
+    files; edges are told apart by their paths, never by their display ids."""
+    e = edges.select("repo", "source", "target").distinct()
+    return e.select("repo", display_id(F.col("source")).alias("src_id"), display_label(F.col("source")).alias("src_label"),
+                    display_id(F.col("target")).alias("dst_id"), display_label(F.col("target")).alias("dst_label"))
 
 
 # ------------------------------------------------------------------ D13
@@ -418,7 +397,7 @@ def export_lines(nodes: DataFrame, edges: DataFrame, fmt: str = "mermaid") -> Da
             F.col("x.t").alias("line"))
 
     if fmt == "mermaid":
-        m = merge_by_display_id(edges)
+        m = display_edges(edges)
         body = m.select("repo", F.lit(1).alias("section"),
                         F.concat_ws("\u0001", "src_id", "dst_id").alias("sort_key"),
                         F.format_string('  %s["%s"] --> %s["%s"]', "src_id", "src_label",

@@ -240,13 +240,10 @@ def doc_prompts(files: DataFrame, units: DataFrame, imports: DataFrame, types: D
 
 
 # ------------------------------------------------------------------ T4
-CONTEXT_CUT = 8000
-
-
-def corpus_context(files: DataFrame) -> DataFrame:
+def corpus_context(files: DataFrame, max_chars: int | None = None) -> DataFrame:
     """(repo, section, sort_key, line): the context text of each repo as
-    ordered lines (project tree, then file bodies cut at 8000 characters),
-    never as one string: a repo of any size stays spread over tasks, and a
+    ordered lines (project tree, then whole file bodies; only with
+    ``max_chars`` are they cut at so many characters), never as one string: a repo of any size stays spread over tasks, and a
     writer emits the lines in (section, sort_key) order."""
     f = files.select("repo", "relative_path", "content", project_of(F.col("relative_path")).alias("project"))
     repos = f.select("repo").distinct()
@@ -260,8 +257,10 @@ def corpus_context(files: DataFrame) -> DataFrame:
                        F.concat(F.lit("- "), F.col("relative_path")).alias("line"))
     mid = repos.select("repo", F.lit(2).alias("section"), F.lit("").alias("sort_key"),
                        F.lit("\n\n## File Contents\n").alias("line"))
-    body = F.when(F.length("content") > CONTEXT_CUT,
-                  F.concat(F.substring("content", 1, CONTEXT_CUT), F.lit("\n... (truncated)"))).otherwise(F.col("content"))
+    body = F.col("content")
+    if max_chars is not None:
+        body = F.when(F.length(body) > max_chars,
+                      F.concat(F.substring(body, 1, max_chars), F.lit("\n... (truncated)"))).otherwise(body)
     bodies = f.select("repo", F.lit(3).alias("section"), F.col("relative_path").alias("sort_key"),
                       F.concat(F.lit("\n### "), F.col("relative_path"), F.lit("\n```\n"), body, F.lit("\n```\n"))
                       .alias("line"))

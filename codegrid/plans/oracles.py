@@ -12,7 +12,7 @@ ORACLES: dict[str, str] = {}
 JAVA_CTE = """
 WITH np AS (SELECT count(*) AS n FROM part),
 tg AS (SELECT DISTINCT l_partkey AS p, (l_suppkey * 7 + l_orderkey) % (SELECT n FROM np) AS q
-       FROM lineitem WHERE l_quantity >= 49),
+       FROM lineitem),
 f AS (SELECT p_partkey AS p, p_size AS z, p_partkey % 25 AS b,
              concat('src/brand', p_partkey % 25, '/Part', p_partkey, '.java') AS file FROM part),
 deg_out AS (SELECT p, count(*) AS c FROM tg GROUP BY p),
@@ -393,36 +393,36 @@ SELECT 'web', 0, 0, CAST((SELECT count(*) FROM supplier) AS BIGINT), false, 'ANG
 # ---------------------------------------------------------------- fx_csharp
 SHOP_CTE = """
 WITH na AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation),
-cu AS (SELECT c_custkey AS k, na.r,
+cu AS (SELECT c_custkey AS k, na.r, c_custkey // 150 AS g,
               concat(upper(substr(c_mktsegment, 1, 1)), lower(substr(c_mktsegment, 2))) AS seg,
               concat('Api/Controllers/Customer', c_custkey, 'Controller.cs') AS file,
               concat('Customer', c_custkey, 'Controller') AS ctl
        FROM customer JOIN na ON na.n = c_nationkey),
-od AS (SELECT o_orderkey AS o, cu.k, cu.ctl, cu.seg, concat('Order', o_orderkey) AS method,
+od AS (SELECT o_orderkey AS o, cu.k, cu.ctl, concat(cu.seg, cu.g, 'Placed') AS msg, concat('Order', o_orderkey) AS method,
               CASE o_orderstatus WHEN 'F' THEN 'GET' WHEN 'O' THEN 'POST' ELSE 'PUT' END AS verb,
               substr(o_orderpriority, 1, 1) AS pr, concat('api/customer', cu.k, '/order/', o_orderkey) AS route
        FROM orders JOIN cu ON cu.k = o_custkey),
 su AS (SELECT s_suppkey AS s, na.r FROM supplier JOIN na ON na.n = s_nationkey),
-svc AS (SELECT s, r, concat('Supplier', s, 'Service') AS name, concat('Api/Services/Supplier', s, 'Service.cs') AS file
-        FROM su WHERE s < 25),
+svc AS (SELECT s, r, s // 10 AS g, concat('Supplier', s, 'Service') AS name, concat('Api/Services/Supplier', s, 'Service.cs') AS file
+        FROM su),
 cons AS (SELECT s, concat('Supplier', s, 'Consumer') AS name,
-                concat(['Automobile','Building','Furniture','Household','Machinery'][s % 5 + 1], 'Placed') AS msg,
+                concat(['Automobile','Building','Furniture','Household','Machinery'][s % 5 + 1], s // 10, 'Placed') AS msg,
                 s % 2 = 0 AS reads_db, concat('Worker/Supplier', s, 'Consumer.cs') AS file
-         FROM su WHERE s < 20),
-st AS (SELECT od.*, CASE pr WHEN '1' THEN concat('Publish/Send ', seg, 'Placed to queue')
+         FROM su),
+st AS (SELECT od.*, CASE pr WHEN '1' THEN concat('Publish/Send ', msg, ' to queue')
                              WHEN '2' THEN 'Insert/Update DB' WHEN '3' THEN 'Generate OrderId'
-                             WHEN '4' THEN concat('Publish/Send ', seg, 'Placed to queue') END AS step
+                             WHEN '4' THEN concat('Publish/Send ', msg, ' to queue') END AS step
        FROM od),
 cstep AS (SELECT od.ctl, od.method, cons.file, 0 AS sub, concat('Consumer ', cons.name, ' reads queue') AS step
-          FROM od JOIN cons ON cons.msg = concat(od.seg, 'Placed') WHERE od.pr IN ('1', '4')
+          FROM od JOIN cons ON cons.msg = od.msg WHERE od.pr IN ('1', '4')
           UNION ALL
           SELECT od.ctl, od.method, cons.file, 1, concat('Consumer ', cons.name, ' reads DB')
-          FROM od JOIN cons ON cons.msg = concat(od.seg, 'Placed') WHERE od.pr IN ('1', '4') AND cons.reads_db),
+          FROM od JOIN cons ON cons.msg = od.msg WHERE od.pr IN ('1', '4') AND cons.reads_db),
 flows AS (SELECT ctl, method, CAST(0 AS BIGINT) AS step_ord, step FROM st WHERE step IS NOT NULL
           UNION ALL
           SELECT ctl, method, CAST(row_number() OVER (PARTITION BY ctl, method ORDER BY file, sub) AS BIGINT), step
           FROM cstep),
-deps AS (SELECT cu.ctl, svc.name AS dep FROM cu JOIN svc ON svc.r = cu.r),
+deps AS (SELECT cu.ctl, svc.name AS dep FROM cu JOIN svc ON svc.r = cu.r AND svc.g = cu.g),
 depl AS (SELECT ctl, string_agg(dep, ', ' ORDER BY dep) AS deps, list(dep ORDER BY dep) AS dl FROM deps GROUP BY ctl),
 fl AS (SELECT ctl, method, string_agg(step, ' | ' ORDER BY step_ord) AS steps FROM flows GROUP BY ctl, method)
 """
@@ -506,7 +506,7 @@ ORACLES["call_class_chain"] = _calls(f"""
 , o AS (SELECT u, t, row_number() OVER (PARTITION BY u ORDER BY t) - 1 AS i FROM ty)
 SELECT 'calls' AS repo, concat('calls/Flow', a.u, '.java') AS file, CAST(a.i AS BIGINT) AS pos,
        {_initcap('a.t')} AS from_class, {_initcap('b.t')} AS to_class, b.t AS method
-FROM o a JOIN o b ON b.u = a.u AND b.i = a.i + 1 WHERE b.i < 5
+FROM o a JOIN o b ON b.u = a.u AND b.i = a.i + 1 
 """)
 
 # ---------------------------------------------------------------- text preparation
@@ -641,7 +641,7 @@ UNION ALL SELECT repo, 1, concat(project, chr(0), relative_path), concat('- ', r
 UNION ALL SELECT DISTINCT repo, 2, '', concat(chr(10), chr(10), '## File Contents', chr(10)) FROM g
 UNION ALL SELECT repo, 3, relative_path,
        concat(chr(10), '### ', relative_path, chr(10), '```', chr(10),
-              CASE WHEN length(text) > 8000 THEN concat(substr(text, 1, 8000), chr(10), '... (truncated)') ELSE text END,
+              text,
               chr(10), '```', chr(10)) FROM g
 """)
 
@@ -681,28 +681,27 @@ FROM budget b, sec
 ORACLES["txt_section_prompts"] = _section_prompts_sql()
 
 ORACLES["cat_app_sequence"] = _shop("""
-, eps AS (SELECT od.*, cu.file AS cfile, row_number() OVER (ORDER BY cu.file, od.o) AS rk
-          FROM od JOIN cu ON cu.k = od.k),
-e5 AS (SELECT * FROM eps WHERE rk <= 5),
+, e5 AS (SELECT od.*, cu.file, row_number() OVER (PARTITION BY cu.k ORDER BY od.o) - 1 AS mo FROM od JOIN cu ON cu.k = od.k),
 sdep AS (SELECT ctl, min(dep) AS sd FROM deps WHERE dep LIKE '%Service' OR dep LIKE '%Handler' GROUP BY ctl),
 svc1 AS (SELECT min(name) AS service FROM svc),
 hasq AS (SELECT count(*) > 0 AS q FROM cstep WHERE sub = 0),
-ec AS (SELECT e5.rk, e5.ctl, e5.seg, cons.name AS cons,
-              row_number() OVER (PARTITION BY e5.rk ORDER BY cons.file) AS j
-       FROM e5 JOIN cons ON cons.msg = concat(e5.seg, 'Placed') WHERE e5.pr IN ('1', '4')),
+ec AS (SELECT e5.file, e5.mo, e5.ctl, e5.msg, cons.name AS cons,
+              row_number() OVER (PARTITION BY e5.file, e5.mo ORDER BY cons.file) AS j
+       FROM e5 JOIN cons ON cons.msg = e5.msg WHERE e5.pr IN ('1', '4')),
 rows AS (
-  SELECT rk, 0 AS pos, 'Client' AS src, ctl AS dst, concat(verb, ' ', replace(route, '/', ' ')) AS label FROM e5
-  UNION ALL SELECT rk, 1, ctl, sd, 'Handle' FROM e5 JOIN sdep USING (ctl)
-  UNION ALL SELECT rk, 2, sd, ctl, 'Result' FROM e5 JOIN sdep USING (ctl)
-  UNION ALL SELECT rk, 1, ctl, (SELECT service FROM svc1), 'Handle' FROM e5
+  SELECT file, mo, 0 AS pos, 'Client' AS src, ctl AS dst, concat(verb, ' ', replace(route, '/', ' ')) AS label FROM e5
+  UNION ALL SELECT file, mo, 1, ctl, sd, 'Handle' FROM e5 JOIN sdep USING (ctl)
+  UNION ALL SELECT file, mo, 2, sd, ctl, 'Result' FROM e5 JOIN sdep USING (ctl)
+  UNION ALL SELECT file, mo, 1, ctl, (SELECT service FROM svc1), 'Handle' FROM e5
             WHERE ctl NOT IN (SELECT ctl FROM sdep) AND (SELECT service FROM svc1) IS NOT NULL
-  UNION ALL SELECT rk, 2, (SELECT service FROM svc1), ctl, 'Result' FROM e5
+  UNION ALL SELECT file, mo, 2, (SELECT service FROM svc1), ctl, 'Result' FROM e5
             WHERE ctl NOT IN (SELECT ctl FROM sdep) AND (SELECT service FROM svc1) IS NOT NULL
-  UNION ALL SELECT rk, 3, ctl, 'RabbitMQ', concat('Publish Send ', seg, 'Placed') FROM e5
+  UNION ALL SELECT file, mo, 3, ctl, 'RabbitMQ', concat('Publish Send ', msg) FROM e5
             WHERE pr IN ('1', '4') AND (SELECT q FROM hasq)
-  UNION ALL SELECT rk, 3 + j, 'RabbitMQ', cons, concat('Consume ', seg, 'Placed') FROM ec WHERE (SELECT q FROM hasq)
-  UNION ALL SELECT rk, 1000, ctl, 'Client', 'Response' FROM e5)
-SELECT 'shop' AS repo, CAST(row_number() OVER (ORDER BY rk, pos) - 1 AS BIGINT) AS seq, src, dst, label FROM rows
+  UNION ALL SELECT file, mo, 3 + j, 'RabbitMQ', cons, concat('Consume ', msg) FROM ec WHERE (SELECT q FROM hasq)
+  UNION ALL SELECT file, mo, 1000, ctl, 'Client', 'Response' FROM e5)
+SELECT 'shop' AS repo, file, CAST(0 AS BIGINT) AS class_ord, CAST(mo AS BIGINT) AS method_ord,
+       CAST(row_number() OVER (PARTITION BY file, mo ORDER BY pos) - 1 AS BIGINT) AS pos, src, dst, label FROM rows
 """)
 
 # ---------------------------------------------------------------- T2: fx_java text rebuilt in SQL, chunked, parsed

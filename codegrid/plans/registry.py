@@ -265,7 +265,7 @@ def q_dep_sample(spark, d):
 
 @register("dep_display_edges")
 def q_dep_display_edges(spark, d):
-    return deps.merge_by_display_id(java_graph(spark, d).edges)
+    return deps.display_edges(java_graph(spark, d).edges)
 
 
 @register("dep_export_lines")

@@ -27,8 +27,8 @@ def _lines_for(n: Column, line) -> Column:
 
 # ---------------------------------------------------------------- fx_java
 def java_targets(spark: SparkSession, sf_dir: str, n_parts: int) -> DataFrame:
-    """(p, q): distinct part -> part references from big line items."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= 49)
+    """(p, q): distinct part -> part references from the line items."""
+    li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.col("l_partkey").alias("p"),
         ((F.col("l_suppkey") * 7 + F.col("l_orderkey")) % F.lit(n_parts)).alias("q"))
@@ -185,7 +185,9 @@ SEGMENTS_SORTED = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINER
 
 def fx_csharp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ASP.NET-style corpus: a controller per customer with one endpoint per
-    order, services for the first 25 suppliers, consumers for the first 20."""
+    order, a service and a consumer per supplier. Namespaces and messages are
+    shared by 150 customers and 10 suppliers, so that the fan-out of a
+    controller or a message is the same at every scale."""
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_regionkey").alias("r"))
     cust = (table(spark, sf_dir, "customer")
             .select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"),
@@ -194,12 +196,12 @@ def fx_csharp(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("k"),
         F.col("o_orderstatus").alias("st"), F.substring("o_orderpriority", 1, 1).alias("pr"))
-    o, seg = F.col("o"), F.col("seg")
+    o, seg, zone = F.col("o"), F.col("seg"), _s(F.expr("k div 150"))
     verb = F.when(F.col("st") == "F", F.lit("Get")).when(F.col("st") == "O", F.lit("Post")).otherwise(F.lit("Put"))
-    body = (F.when(F.col("pr") == "1", F.concat(F.lit("Publish(new "), seg, F.lit("Placed(1));")))
+    body = (F.when(F.col("pr") == "1", F.concat(F.lit("Publish(new "), seg, zone, F.lit("Placed(1));")))
             .when(F.col("pr") == "2", F.lit("SaveChanges();"))
             .when(F.col("pr") == "3", F.lit("var id = Guid.NewGuid();"))
-            .when(F.col("pr") == "4", F.concat(F.lit("var m = new "), seg, F.lit("Placed(1);\nSend(m);")))
+            .when(F.col("pr") == "4", F.concat(F.lit("var m = new "), seg, zone, F.lit("Placed(1);\nSend(m);")))
             .otherwise(F.lit("")))
     method = F.concat(F.lit("[Http"), verb, F.lit('("order/'), _s(o), F.lit('")]\npublic IActionResult Order'), _s(o),
                       F.lit("()\n{\n"), body, F.lit("\n}\n"))
@@ -209,7 +211,7 @@ def fx_csharp(spark: SparkSession, sf_dir: str) -> DataFrame:
                .select("k", F.array_join("ms.m", "").alias("methods")))
     k, r = F.col("k"), F.col("r")
     ctrl_text = F.concat(
-        F.lit("using Region"), _s(r), F.lit(".Services;\nnamespace Region"), _s(r),
+        F.lit("using Region"), _s(r), F.lit(".Zone"), zone, F.lit(".Services;\nnamespace Region"), _s(r),
         F.lit('.Controllers\n{\n[ApiController]\n[Route("api/[controller]")]\npublic class Customer'), _s(k),
         F.lit("Controller : ControllerBase\n{\n"), F.coalesce("methods", F.lit("")), F.lit("}\n}"))
     ctrl = files_from(cust.join(methods, "k", "left"), F.lit("shop"),
@@ -217,16 +219,16 @@ def fx_csharp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     supp = (table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("n"))
             .join(F.broadcast(nation), "n"))
-    s = F.col("s")
-    svc = files_from(supp.where(s < 25), F.lit("shop"),
+    s, zone = F.col("s"), _s(F.expr("s div 10"))
+    svc = files_from(supp, F.lit("shop"),
                      F.concat(F.lit("Api/Services/Supplier"), _s(s), F.lit("Service.cs")),
-                     F.concat(F.lit("namespace Region"), _s(r), F.lit(".Services\n{\npublic class Supplier"), _s(s),
+                     F.concat(F.lit("namespace Region"), _s(r), F.lit(".Zone"), zone, F.lit(".Services\n{\npublic class Supplier"), _s(s),
                               F.lit("Service\n{\n}\n}")))
     seg_of = F.element_at(F.array(*[F.lit(x.capitalize()) for x in SEGMENTS_SORTED]), (s % 5 + 1).cast("int"))
-    cons = files_from(supp.where(s < 20), F.lit("shop"),
+    cons = files_from(supp, F.lit("shop"),
                       F.concat(F.lit("Worker/Supplier"), _s(s), F.lit("Consumer.cs")),
                       F.concat(F.lit("namespace Worker\n{\npublic class Supplier"), _s(s),
-                               F.lit("Consumer : IConsumer<"), seg_of, F.lit("Placed>\n{\n}\n}"),
+                               F.lit("Consumer : IConsumer<"), seg_of, zone, F.lit("Placed>\n{\n}\n}"),
                                F.when(s % 2 == 0, F.lit("\n// uses ShopDbContext")).otherwise(F.lit(""))))
     return ctrl.unionByName(svc).unionByName(cons)
 
