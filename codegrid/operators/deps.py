@@ -238,12 +238,60 @@ def strongly_connected(edges: DataFrame, checkpoint) -> DataFrame:
     """(repo, file, scc) for every file in a strongly connected component
     of two or more files; ``scc`` is its smallest file.
 
-    Forward-backward colouring: colours (min reachable-from label) are
-    propagated along edges until stable; each colour's root collects its
-    component by backward propagation inside the colour; found components
-    are removed and the rest is coloured again. Every round is a join and an
-    aggregation; each intermediate is checkpointed to keep plans small."""
-    e = trim_acyclic(_simple_edges(edges), checkpoint)
+    Files off every cycle are trimmed and chains of files with one importer
+    and one import are skipped over (``skip_chains``, rounds logarithmic in
+    their length). On the rest, forward-backward colouring: colours (min
+    reachable-from label) are propagated along edges until stable; each
+    colour's root collects its component by backward propagation inside the
+    colour; found components are removed and the rest is coloured again.
+    Every round is a join and an aggregation; each intermediate is
+    checkpointed to keep plans small. One way at every size."""
+    e, chains, rings = skip_chains(trim_acyclic(_simple_edges(edges), checkpoint), checkpoint)
+    found = _colour(e.where("src <> dst"), checkpoint)
+    # a chain belongs to the component that holds both of its ends
+    ends = (chains.join(found.select("repo", F.col("file").alias("head"), F.col("scc").alias("h")), ["repo", "head"], "left")
+            .join(found.select("repo", F.col("file").alias("tail"), F.col("scc").alias("t")), ["repo", "tail"], "left")
+            .where((F.col("head") == F.col("tail")) | (F.col("h") == F.col("t")))
+            .withColumn("scc", F.coalesce("h", "head")))
+    members = checkpoint(found.unionByName(ends.select("repo", "file", "scc"))
+                         .unionByName(ends.select("repo", F.col("head").alias("file"), "scc")).distinct())
+    names = members.groupBy("repo", "scc").agg(F.min("file").alias("name"), F.count("*").alias("n")).where(F.col("n") > 1)
+    return (members.join(names, ["repo", "scc"]).select("repo", "file", F.col("name").alias("scc"))
+            .unionByName(rings))
+
+
+def skip_chains(e: DataFrame, checkpoint) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges with chains of files that have one importer and one import each
+    replaced by one edge; (repo, file, head, tail) of the files skipped; and
+    (repo, file, scc) of closed chains. Pointers double their reach a round."""
+    none = F.lit(None).cast("string")
+    ends = (e.select("repo", F.col("src").alias("file"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.col("dst").alias("tail"), none.alias("head"))
+            .unionByName(e.select("repo", F.col("dst").alias("file"), F.lit(0).alias("o"), F.lit(1).alias("i"), none.alias("tail"),
+                                  F.col("src").alias("head"))))
+    inner = checkpoint(ends.groupBy("repo", "file").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.min("tail").alias("tail"),
+                                                        F.min("head").alias("head"))
+                       .where("o = 1 AND i = 1").select("repo", "file", "head", "tail", F.col("file").alias("low")))
+    reach = inner
+    for _ in range(inner.count().bit_length()):
+        after = reach.select("repo", F.col("file").alias("tail"), F.col("tail").alias("tail2"), F.col("low").alias("low2"))
+        before = reach.select("repo", F.col("file").alias("head"), F.col("head").alias("head2"))
+        step = reach.join(after, ["repo", "tail"], "left").join(before, ["repo", "head"], "left")
+        step = checkpoint(step.select("repo", "file", F.coalesce("head2", "head").alias("head"), F.coalesce("tail2", "tail").alias("tail"),
+                                      F.least("low", "low2").alias("low"), (F.col("head2").isNotNull() | F.col("tail2").isNotNull()).alias("moved")))
+        reach = step.drop("moved")
+        if step.where("moved").limit(1).count() == 0:
+            break
+    skipped = inner.select("repo", F.col("file").alias("x"))
+    closed = reach.join(skipped.withColumnRenamed("x", "tail"), ["repo", "tail"], "left_semi")
+    chains = checkpoint(reach.join(skipped.withColumnRenamed("x", "tail"), ["repo", "tail"], "left_anti").select("repo", "file", "head", "tail"))
+    rest = (e.join(skipped.withColumnRenamed("x", "src"), ["repo", "src"], "left_anti")
+            .join(skipped.withColumnRenamed("x", "dst"), ["repo", "dst"], "left_anti").select("repo", "src", "dst")
+            .unionByName(chains.select("repo", F.col("head").alias("src"), F.col("tail").alias("dst"))).distinct())
+    return checkpoint(rest), chains, closed.select("repo", "file", F.col("low").alias("scc"))
+
+
+def _colour(e: DataFrame, checkpoint) -> DataFrame:
+    """(repo, file, scc): components of the edges, single files among them."""
     found = None
     while e.count() > 0:
         nodes = (e.select("repo", F.col("src").alias("node"))
@@ -283,10 +331,8 @@ def strongly_connected(edges: DataFrame, checkpoint) -> DataFrame:
         e = checkpoint(e.join(gone.withColumnRenamed("node", "src"), ["repo", "src"], "left_anti")
                        .join(gone.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_anti"))
     if found is None:
-        spark = edges.sparkSession
-        return spark.createDataFrame([], "repo string, file string, scc string")
-    sizes = found.groupBy("repo", "scc").agg(F.count("*").alias("n"))
-    return found.join(sizes.where(F.col("n") > 1), ["repo", "scc"], "left_semi")
+        return e.sparkSession.createDataFrame([], "repo string, file string, scc string")
+    return found
 
 
 def files_in_cycles(edges: DataFrame, checkpoint) -> DataFrame:

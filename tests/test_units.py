@@ -116,12 +116,60 @@ def test_substring_rule(spark):
     assert res == {("b/Q.java", 4, "a/Part5.java")}
 
 
-def test_distributed_scc_equals_local(spark, sf_dir):
-    from codegrid.plans.registry import java_graph
-    g = java_graph(spark, sf_dir)
-    local = {(r.file, r.scc) for r in deps.strongly_connected(g.edges, checkpoint).collect()}
-    dist = {(r.file, r.scc) for r in deps.strongly_connected(g.edges, checkpoint, local_limit=0).collect()}
-    assert local == dist and len(local) > 0
+def _components(edges):
+    """Brute force: files that reach each other, labelled by the smallest."""
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set())
+
+    def reach(x):
+        seen, todo = set(), [x]
+        while todo:
+            for y in out[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        return seen
+    far = {x: reach(x) for x in out}
+    groups = {x: {y for y in far[x] if x in far[y]} | {x} for x in out}
+    return {(x, min(g)) for x, g in groups.items() if len(g) > 1}
+
+
+def _edges(spark, by_repo):
+    return spark.createDataFrame([(r, a, b) for r, es in by_repo.items() for a, b in es], "repo string, source string, target string")
+
+
+def test_components_equal_brute_force(spark):
+    import random
+    rng = random.Random(5)
+    graphs = {f"r{k}": [(f"f{rng.randrange(14):02}", f"f{rng.randrange(14):02}") for _ in range(m)] for k, m in enumerate((10, 16, 20, 30))}
+    # two closed chains through one file, and a chain between two components
+    graphs["eight"] = [("a", "b"), ("b", "a"), ("a", "c"), ("c", "d"), ("d", "a")]
+    graphs["bridge"] = [("x", "y"), ("y", "x"), ("x", "z"), ("z", "x"), ("y", "m"), ("m", "n"), ("n", "p"), ("p", "q"), ("q", "p"), ("p", "r"), ("r", "p")]
+    got = {(r.repo, r.file, r.scc) for r in deps.strongly_connected(_edges(spark, graphs), checkpoint).collect()}
+    assert got == {(r, f, c) for r, es in graphs.items() for f, c in _components(es)}
+
+
+def test_long_cycle_takes_few_rounds(spark):
+    n, calls = 1000, []
+    ring = [(f"f{i:04}", f"f{(i + 1) % n:04}") for i in range(n)]
+    rows = deps.strongly_connected(_edges(spark, {"r": ring}), lambda df: calls.append(1) or checkpoint(df)).collect()
+    assert len(rows) == n and {r.scc for r in rows} == {"f0000"} and len(calls) < 20
+
+
+def test_long_paths_stay_apart(spark):
+    deep = "src/main/java/com/example/warehouse/inventory/subsystem/"
+    e = _edges(spark, {"r": [("A.java", deep + "AlphaService.java"), ("A.java", deep + "BetaService.java")]})
+    rows = deps.display_edges(e).collect()
+    assert {r.dst_label for r in rows} == {"AlphaService.java", "BetaService.java"} and len({r.dst_id for r in rows}) == 2
+    assert max(len(r.dst_id) for r in rows) == 50
+
+
+def test_context_holds_whole_files(spark):
+    from codegrid.operators import textprep
+    files = make_files(spark, [("a.java", "x" * 20_000)])
+    assert any("x" * 20_000 in r.line for r in textprep.corpus_context(files).collect())
+    assert not any("x" * 9_000 in r.line for r in textprep.corpus_context(files, max_chars=8000).collect())
 
 
 def test_vb_and_fsharp_members():
