@@ -81,6 +81,17 @@ def features(texts, vocabulary: dict[str, int]) -> np.ndarray:
     return x
 
 
+def _inputs(vocabulary: dict[str, int], categories: list[str]):
+    """Rows of inputs, a few hundred at a time: they are far wider than the texts' own columns."""
+    def run(frames):
+        for pdf in batches(frames, 500_000):
+            for a in range(0, len(pdf), 256):
+                part = pdf.iloc[a:a + 256]
+                yield pd.DataFrame({"x": list(features(part["text"].tolist(), vocabulary)), "fold": part["fold"].to_numpy(),
+                                    **{c: part[c].to_numpy() for c in categories}})
+    return run
+
+
 class Linear:
     """Logistic model; without both labels, the one that there is."""
 
@@ -92,6 +103,13 @@ class Linear:
                 rows.select(array_to_vector(inputs).alias("f"), F.col(column).cast("double").alias("y")))
             self.weights, self.intercept = fit.coefficients.toArray(), float(fit.intercept)
 
+    def column(self, x):
+        """The probability as a column of the inputs ``x``."""
+        if self.weights is None:
+            return F.lit(self.constant)
+        terms = F.zip_with(x, F.lit(self.weights.tolist()), lambda a, b: a * b)
+        return 1 / (1 + F.exp(-F.aggregate(terms, F.lit(self.intercept), lambda total, t: total + t)))
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(x), self.constant)
@@ -111,11 +129,9 @@ class Chain:
         self.vocabulary = {w: i for i, w in enumerate(telling_words(rows, categories))}
         vocabulary = self.vocabulary
 
-        @F.pandas_udf("array<double>")
-        def inputs(text: pd.Series) -> pd.Series:
-            return pd.Series(list(features(text.tolist(), vocabulary)), index=text.index)
-
-        x = staged(rows.select(inputs("text").alias("x"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"), *categories), "tox-inputs")
+        kept = rows.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), *categories)
+        schema = ", ".join(["x array<double>", "fold int", *[f"`{c}` int" for c in categories]])
+        x = staged(kept.mapInPandas(_inputs(vocabulary, categories), schema), "tox-inputs")
         drop(rows)
         self.models: list[Linear] = []
         for i, c in enumerate(categories):
@@ -123,17 +139,10 @@ class Chain:
             if i + 1 < len(categories):
                 folds = [Linear(x.where(F.col("fold") != k), c, F.col("x")) for k in range(FOLDS)]
 
-                @F.pandas_udf("array<double>")
-                def extended(x: pd.Series, fold: pd.Series) -> pd.Series:
-                    m = np.stack(x) if len(x) else np.zeros((0, 1))
-                    p = np.zeros(len(m))
-                    for k, model in enumerate(folds):
-                        at = fold.to_numpy() == k
-                        if at.any():
-                            p[at] = model(m[at])
-                    return pd.Series(list(np.column_stack([m, p])), index=x.index)
-
-                x = staged(x.withColumn("x", extended("x", "fold")), "tox-inputs")
+                p = F.lit(None).cast("double")
+                for k, model in enumerate(folds):
+                    p = F.when(F.col("fold") == k, model.column(F.col("x"))).otherwise(p)
+                x = staged(x.withColumn("x", F.array_append("x", p)), "tox-inputs")
 
     def probabilities(self, texts) -> np.ndarray:
         x, out = features(texts, self.vocabulary), []
@@ -143,13 +152,14 @@ class Chain:
         return np.column_stack(out)
 
 
-def _score(chain: Chain):
+def _score(chain: Chain, keep_text: bool):
     def run(frames):
         for pdf in frames:
             for a in range(0, len(pdf), 512):
                 part = pdf.iloc[a:a + 512]
                 p = chain.probabilities(part["text"].tolist())
-                yield pd.DataFrame({"row": part["row"], **{f"p{i}": p[:, i] for i in range(p.shape[1])}})
+                kept = {"text": part["text"]} if keep_text else {}
+                yield pd.DataFrame({"row": part["row"], **kept, **{f"p{i}": p[:, i] for i in range(p.shape[1])}})
     return run
 
 
@@ -159,10 +169,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, categories: list[str] =
     categories = list(categories)
     chain = Chain(docs, labels, categories)
     new = {f"p_{c}" for c in categories} | {"toxic"}
-    carried = [c for c in docs.columns if c not in new and (keep_text or c != "text")]
-    rows = docs.select(F.struct(*carried).alias("row"), F.col("text").cast("string").alias("text"))
+    shown = [c for c in docs.columns if c not in new and (keep_text or c != "text")]
+    # the text goes to the tasks once, beside the other columns
+    rows = docs.select(F.struct(*[c for c in shown if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["row"].dataType
-    schema = f"row {kind.simpleString()}, " + ", ".join(f"p{i} double" for i in range(len(categories)))
-    out = rows.mapInPandas(_score(chain), schema)
-    return out.select("row.*", *[F.col(f"p{i}").alias(f"p_{c}") for i, c in enumerate(categories)],
+    schema = f"row {kind.simpleString()}, " + "text string, " * keep_text + ", ".join(f"p{i} double" for i in range(len(categories)))
+    out = rows.mapInPandas(_score(chain, keep_text), schema)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in shown], *[F.col(f"p{i}").alias(f"p_{c}") for i, c in enumerate(categories)],
                       (F.col(f"p{len(categories) - 1}") >= THRESHOLD).alias("toxic"))
