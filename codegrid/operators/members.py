@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.body import SCANNERS, scan_members
+from ..functions.body import LANGUAGES, scan_members
 
 MEMBER_COLUMNS = ["repo", "file", "language", "type_kind", "type", "type_ord", "member_kind", "ord",
                   "name", "signature", "data_type", "modifiers", "error"]
@@ -34,21 +34,21 @@ def _scan_batches(batches):
 
 def scan(files: DataFrame) -> DataFrame:
     """The long member table of every scannable file."""
-    src = (files.where(F.col("language").isin(*SCANNERS))
+    src = (files.where(F.col("language").isin(*LANGUAGES))
            .select("repo", F.col("relative_path").alias("file"), "language", "content"))
     return src.mapInPandas(_scan_batches, MEMBER_SCHEMA)
 
 
 def members(scanned: DataFrame) -> DataFrame:
-    """P5: methods, properties and fields inside each type's body."""
-    return (scanned.where(F.col("member_kind").isin("method", "property", "field"))
+    """P5: methods, properties, fields, and the functions and subs of modules, inside each type's body."""
+    return (scanned.where(F.col("member_kind").isin("method", "property", "field", "sub") | (F.col("member_kind") == "function") & (F.col("type_kind") == "module"))
             .select("repo", "file", "language", "type_kind", "type", "member_kind", "ord", "name",
                     "signature", "data_type"))
 
 
 def member_modifiers(scanned: DataFrame) -> DataFrame:
     """(owner kind, owner, modifier) for types and members."""
-    return (scanned.where(F.col("member_kind").isin("type", "method", "property", "field"))
+    return (scanned.where(F.col("member_kind").isin("type", "method", "property", "field", "function", "sub"))
             .select("repo", "file", "type", "member_kind", "name",
                     F.explode("modifiers").alias("modifier")))
 
@@ -66,8 +66,8 @@ def decorators(scanned: DataFrame) -> DataFrame:
 
 
 def php_functions(scanned: DataFrame) -> DataFrame:
-    """P8 for PHP: top-level functions (not methods)."""
-    return (scanned.where(F.col("member_kind") == "function")
+    """P8 for PHP and F#: functions of a file (not methods)."""
+    return (scanned.where((F.col("member_kind") == "function") & (F.col("type_kind") == "file"))
             .select("repo", "file", "language", "ord", "name"))
 
 

@@ -220,3 +220,28 @@ def test_tree_root_may_be_a_uri(spark, tmp_path):
     (tmp_path / "sub" / "A.java").write_text("class A {}")
     for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
         assert [r.relative_path for r in read_source_tree(spark, root).collect()] == ["sub/A.java"]
+
+
+def test_php_interfaces_traits_and_functions():
+    php = ("<?php\nfunction top(int $a): int { return 1; }\ninterface Shape extends A { }\n"
+           "trait Log { private $level = 1;\n public function say($m) { echo $m; } }\nclass C { const K = 1; function own() { } }\ndefine('D', 2);")
+    rows = {(r[0], r[1], r[3], r[4], r[5]) for r in scan_members("php", php)}
+    assert {("trait", "Log", "property", 0, "level"), ("trait", "Log", "method", 0, "say"), ("class", "C", "method", 0, "own"),
+            ("file", "", "function", 0, "top"), ("file", "", "define", 0, "D"), ("file", "", "const", 1, "K")} <= rows
+    assert not any(r[0] == "file" and r[4] == "own" for r in rows)
+
+
+def test_fsharp_modules():
+    fs = "module One =\n  let rec fact (n: int) : int = n\nmodule Two =\n  let private twice (x) = x\n  if (a) = b then c"
+    rows = {(r[0], r[1], r[5], tuple(r[8])) for r in scan_members("fsharp", fs) if r[3] == "function"}
+    assert ("module", "One", "fact", ("rec",)) in rows
+    assert {r[2] for r in rows if r[1] == "Two"} == {"twice"}
+    assert {r[2] for r in rows if r[0] == "file"} == {"fact", "twice"}
+
+
+def test_scan_in_linear_time():
+    import time
+    code = "class A {" + "void f() { if (x) { } }\n" * 20_000 + "}"
+    t0 = time.time()
+    assert len(scan_members("java", code)) > 20_000
+    assert time.time() - t0 < 20
