@@ -152,14 +152,6 @@ COMMENT_RULES: dict[str, list[str]] = {
 
 MARKUP_TAG = r"<\s*([a-zA-Z][\w-]*)"
 
-# names that are statements, not members
-METHOD_SKIP: dict[str, list[str]] = {
-    "java": ["if", "for", "while", "switch", "try", "catch"],
-    "csharp": ["if", "for", "while", "switch", "try", "catch", "using"],
-    "javascript": ["if", "for", "while", "switch", "catch"],
-    "typescript": ["if", "for", "while", "switch", "catch"],
-}
-
 # ---------------------------------------------------------------------------
 
 
@@ -179,12 +171,3 @@ def java_re(pattern: str) -> str:
             flags += inline
             body = body[close + 1:]
     return f"(?{flags}){body}"
-
-
-def sql_str(s: str) -> str:
-    """Quote a Python string as a Spark SQL string literal."""
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def supported_languages() -> list[str]:
-    return list(EXTENSIONS)

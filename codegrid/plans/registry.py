@@ -715,8 +715,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deps.highly_coupled_files(java_graph(spark, sf_dir).nodes(), k=10)
 
 
-def sort_cols(df: DataFrame) -> DataFrame:
-    return df.select(*sorted(df.columns))
-
-
 __all__ = ["REGISTRY", "flagship", "F"]

@@ -1,5 +1,6 @@
 """Every registered query against its DuckDB oracle (row count, column
-names, order-insensitive value hash) on the smallest scale factor."""
+names, order-insensitive value hash) on the smallest scale factor; those
+that SQL cannot express must give rows (other tests hold their values)."""
 
 import pytest
 
@@ -15,7 +16,7 @@ def test_query_matches_oracle(spark, duck, sf_dir, key):
     df = QUERIES[key](spark, sf_dir)
     rows = [tuple(r) for r in df.collect()]
     if key not in ORACLES:
-        assert len(rows) >= 0
+        assert rows and len(set(df.columns)) == len(df.columns)
         return
     res = duck.execute(ORACLES[key])
     ocols = [d[0] for d in res.description]
