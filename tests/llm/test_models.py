@@ -1,4 +1,6 @@
 """Models and searches: held-out accuracy, brute force, small cases."""
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -85,6 +87,23 @@ def test_topk(some_vectors):
     assert got == sorted(want) and topk.search(df.where("false")).count() == 0
 
 
+def test_topk_keeps_large_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)]
+    rows[10], rows[20] = (10, [200000.0] + rows[10][1][1:]), (20, [-200000.0] + rows[20][1][1:])
+    rows += [(60 + i, [float(x) for x in rng.normal(size=8) * 10.0 ** (4 + 2 * i)]) for i in range(10)]
+    rows += [(70, [1e30] * 8), (71, [-1e30] * 8), (72, [1e300, -1e307] + [0.5] * 6), (80, [1e30, -2e30, 0.25]), (81, [float("inf")] * 8)]
+    whole = [(i, [int(Fraction(x) * 1024 // 1) for x in v]) for i, v in rows if i != 81]
+    want = []
+    for i, q in whole:
+        if i % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i)[:10]
+            want += [(i, r + 1, j, -s if -2 ** 63 <= -s < 2 ** 63 else None) for r, (s, j) in enumerate(best)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=10, every=10)
+    assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == sorted(want, key=lambda r: r[:2])
+    assert any(s is not None and abs(s) > 2 ** 54 for *_, s in want) and any(s is None for *_, s in want)
+
+
 def test_urls(spark):
     rows = [(i, f"http://{'bad' if i % 2 else 'good'}.site.net/x/{i}") for i in range(60)]
     pages = spark.createDataFrame(rows + [(90, None), (91, "nothing"), (92, "https://A.Example.ORG/es/1?q#f"), (93, "http://example.org"),
