@@ -10,8 +10,9 @@ it too. A pair is taken up at the first chunk that brings it together, if the wh
 exact cosine, in double precision, decides. Pairs near the threshold can be missed; ``tests/llm`` measures the recall against brute force.
 
 Equal vectors of one label are one class with a count, so copies cost nothing. Vectors that are null, zero or hold null or non-finite
-components, and those without a label or with another length than most, link with nothing (equal vectors of odd length still do). Null ids
-take no part but keep their row. Repeated ids are one node of the graph.
+components, and those without a label, link with nothing. Null ids take no part but keep their row. Repeated ids are one node of the graph.
+Only vectors of equal length have a cosine: each length has its own quantiser and index; lengths of at most ``FEW`` classes, too few to learn
+from, are compared pair by pair.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from codegrid.llm.common import connected_components, staged
 SAMPLE = 20_000
 TABLES, RADIUS = 5, 18
 ROUNDS = 40
+FEW = 256
 
 
 def _sums(frames):
@@ -68,12 +70,8 @@ def _unit(v) -> F.Column:
     return F.transform(d, lambda x: x / norm)
 
 
-def learn(units: DataFrame) -> Quantiser | None:
-    n = units.count()
-    if not n:
-        return None
-    d = units.groupBy(F.size("u").alias("d")).count().orderBy(F.desc("count"), "d").first()[0]
-    units = units.where(F.size("u") == d)
+def learn(units: DataFrame, d: int, n: int) -> Quantiser:
+    """The quantiser of ``units``, n vectors of length d."""
     m = np.zeros((d + 1) ** 2)
     for r in units.mapInPandas(_sums, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():  # (d + 1) ** 2 numbers
         m[r.at] = r.value
@@ -107,6 +105,30 @@ def candidates(coded: DataFrame, q: Quantiser) -> DataFrame:
     return base.join(look, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def _links(units: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
+    """(a, b) of the pairs of ``units`` (id, label, u), n vectors of length d, that reach the cosine."""
+    if n <= FEW:
+        x, y = units.alias("x"), units.alias("y")
+        pairs = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.id") < F.col("y.id"))).select(
+            F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    else:
+        q = learn(units, d, n)
+
+        @F.pandas_udf("long")
+        def code(u: pd.Series) -> pd.Series:
+            return pd.Series(q.codes(np.stack(u)) if len(u) else [], dtype="int64")
+
+        pairs = candidates(staged(units.select("id", "label", code("u").alias("code")), "itq-codes"), q)
+    u = units.select("id", "u")
+    pairs = pairs.join(u.withColumnsRenamed({"id": "a", "u": "ua"}), "a").join(u.withColumnsRenamed({"id": "b", "u": "ub"}), "b")
+
+    @F.pandas_udf("double")
+    def cosines(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(np.einsum("ij,ij->i", np.stack(x), np.stack(y)) if len(x) else [], dtype="float64")
+
+    return staged(pairs.where(cosines("ua", "ub") >= cosine).select("a", "b"), "itq-links")
+
+
 def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
@@ -119,24 +141,9 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93) -> DataFrame:
     # equal vectors of one label are one class
     classes = staged(rows.where("u IS NOT NULL").groupBy("h1", "h2", "label").agg(
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("u").alias("u")), "itq-classes")
-    q = learn(classes)
-    if q is None:
-        links = classes.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    else:
-        @F.pandas_udf("long")
-        def code(u: pd.Series) -> pd.Series:
-            return pd.Series(q.codes(np.stack(u)) if len(u) else [], dtype="int64")
-
-        coded = staged(classes.where(F.size("u") == len(q.mean)).select("id", "label", code("u").alias("code")), "itq-codes")
-        pairs = candidates(coded, q)
-        u = classes.select("id", "u")
-        pairs = pairs.join(u.withColumnsRenamed({"id": "a", "u": "ua"}), "a").join(u.withColumnsRenamed({"id": "b", "u": "ub"}), "b")
-
-        @F.pandas_udf("double")
-        def cosines(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series(np.einsum("ij,ij->i", np.stack(x), np.stack(y)) if len(x) else [], dtype="float64")
-
-        links = staged(pairs.where(cosines("ua", "ub") >= cosine).select("a", "b"), "itq-links")
+    links = classes.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    for r in classes.groupBy(F.size("u").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect():  # one row a length
+        links = links.union(_links(classes.where(F.size("u") == r.d).select("id", "label", "u"), r.d, r.n, cosine))
     comp = staged(connected_components(links), "itq-comp")
     size = classes.select("id", "n")
     both = links.where("a <> b").union(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))

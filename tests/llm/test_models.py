@@ -74,6 +74,40 @@ def test_near_vectors_recall_on_the_test_table(spark):
     assert vectors.near_duplicates(table).groupBy().sum("n_links").first()[0] >= 0.9 * links
 
 
+def _near_rows(rng, n, d, label, first, common=0.0):
+    """n vectors and for each a partner at a cosine of 0.93 to 0.96, none equal; ``common`` is the cosine of unrelated ones."""
+    x = rng.normal(size=(n, d))
+    x = np.sqrt(1 - common) * x / np.linalg.norm(x, axis=1)[:, None] + np.sqrt(common) * np.ones(d) / np.sqrt(d)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    w = rng.normal(size=(n, d))
+    w -= (w * x).sum(axis=1)[:, None] * x
+    t = rng.uniform(0.93, 0.96, size=(n, 1))
+    y = t * x + np.sqrt(1 - t * t) * w / np.linalg.norm(w, axis=1)[:, None]
+    return [(first + i, v.tolist(), label) for i, v in enumerate(np.stack([x, y], axis=1).reshape(-1, d))]
+
+
+def _recall(spark, rows):
+    """Links found and links there are, over vectors none of which are equal; no row may have more links than there are."""
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    there = {r[0]: 0 for r in rows}
+    for d, label in {(len(r[1]), r[2]) for r in rows}:
+        part = [r for r in rows if (len(r[1]), r[2]) == (d, label)]
+        x = np.array([r[1] for r in part])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        there.update(zip([r[0] for r in part], ((x @ x.T >= 0.93).sum(axis=1) - 1).tolist()))
+    assert len(got) == len(rows) and all(got[i] <= there[i] for i in got)
+    return got, there
+
+
+def test_near_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = _near_rows(rng, 300, 48, 0, 0) + _near_rows(rng, 300, 48, 1, 600)
+    rows += _near_rows(rng, 300, 64, 0, 2000) + _near_rows(rng, 20, 24, 1, 4000)
+    got, there = _recall(spark, rows)
+    for low, high in ((0, 2000), (2000, 4000), (4000, 5000)):
+        assert sum(n for i, n in got.items() if low <= i < high) >= 0.9 * sum(n for i, n in there.items() if low <= i < high) > 0
+
+
 def test_topk(some_vectors):
     rows, df = some_vectors
     got = [tuple(r) for r in topk.search(df, k=5, every=50).orderBy("query_id", "rank").collect()]
