@@ -4,10 +4,15 @@ Codes: vectors are scaled to length 1 and centred, rotated to principal axes, th
 the cube (alternating codes and an orthogonal Procrustes step), so bits are balanced; the sign of each axis is a bit. Mean, covariance come
 from sums over all vectors; the rotation is learned from at most ``SAMPLE`` of them, drawn by a hash (a documented bound). Every vector is indexed.
 
-Retrieval: the bits are cut into ``TABLES`` chunks; every vector is entered under each of its chunks and looks up each chunk and all its
-one-bit neighbours, together with its label. So all pairs within a distance of 2 * TABLES - 1 are found (pigeonhole), most of the others near
-it too. A pair is taken up at the first chunk that brings it together, if the whole codes differ in at most ``RADIUS`` bits, then reranked: the
-exact cosine, in double precision, decides. Pairs near the threshold can be missed; ``tests/llm`` measures the recall against brute force.
+Retrieval: the bits of a code are cut into ``TABLES`` chunks; every vector is entered under each of its chunks and looks up each chunk and
+all its one-bit neighbours, together with its label. A pair is taken up at the first chunk that brings it together, if the codes differ in at
+most ``radius`` bits, then reranked: the exact cosine, in double precision, decides.
+
+Recall: centring takes away what vectors have in common, so a cosine at the threshold can be any angle between codes. The quantiser therefore
+tries itself on up to ``TRIALS`` vectors of its sample, each with two partners exactly at the threshold (one in a random direction, one in that
+of another vector), and adds codes with rotations of their own until ``RECALL`` of both kinds of pairs are found. If ``CODES`` codes are not
+enough, all pairs of a label are compared, block by block. Pairs near the threshold can still be missed by the index; ``tests/llm`` measures
+its recall over distinct vectors against brute force, also where unrelated vectors have a high cosine.
 
 Equal vectors of one label are one class with a count, so copies cost nothing. Vectors that are null, zero or hold null or non-finite
 components, and those without a label, link with nothing. Null ids take no part but keep their row. Repeated ids are one node of the graph.
@@ -25,8 +30,10 @@ from codegrid.llm.common import connected_components, staged
 
 SAMPLE = 20_000
 TABLES, RADIUS = 5, 18
+CODES, RECALL, TRIALS = 4, 0.95, 4000
 ROUNDS = 40
 FEW = 256
+BLOCK = 1 << 20  # components of a block in which all pairs are compared
 
 
 def _sums(frames):
@@ -40,28 +47,61 @@ def _sums(frames):
         yield pd.DataFrame({"at": np.arange(total.size), "value": total.ravel()})
 
 
+def trial_pairs(x: np.ndarray, cosine: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """x and partners of its rows exactly at the cosine: away in random directions, and in those of other rows."""
+    rng = np.random.default_rng(11)
+    noise = rng.normal(size=x.shape)
+    out = []
+    for w in (noise, x[rng.permutation(len(x))]):
+        w = w - (w * x).sum(axis=1)[:, None] * x
+        far = np.linalg.norm(w, axis=1) > 1e-6
+        w = w[far] / np.linalg.norm(w[far], axis=1)[:, None]
+        if len(w):
+            out.append((x[far], cosine * x[far] + np.sqrt(1 - cosine ** 2) * w))
+    return out
+
+
 class Quantiser:
-    """Centre and rotation of the codes."""
+    """Centre of the codes, a rotation for each, and the distance up to which pairs are taken; ``recall`` is that of the trial pairs."""
 
-    def __init__(self, mean: np.ndarray, cov: np.ndarray, sample: np.ndarray) -> None:
+    def __init__(self, mean: np.ndarray, cov: np.ndarray, sample: np.ndarray, cosine: float) -> None:
         d = len(mean)
         bits = min(64, d)
         _, axes = np.linalg.eigh(cov)
         axes = axes[:, ::-1][:, :bits]
         v = (sample - mean) @ axes
-        r = np.linalg.qr(np.random.default_rng(7).normal(size=(bits, bits)))[0]
-        for _ in range(ROUNDS if len(v) else 0):
-            u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-            r = (u @ w).T
-        self.mean, self.map, self.bits = mean, axes @ r, bits
+        self.mean, self.maps, self.bits, self.recall = mean, [], bits, 0.0
+        trials = trial_pairs(sample[:TRIALS], cosine)
+        while self.recall < RECALL and len(self.maps) < CODES:
+            r = np.linalg.qr(np.random.default_rng(7 + len(self.maps)).normal(size=(bits, bits)))[0]
+            for _ in range(ROUNDS if len(v) else 0):
+                u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
+                r = (u @ w).T
+            self.maps.append(axes @ r)
+            self.recall = self._try(trials)
+
+    def _try(self, trials: list) -> float:
+        """Share of the trial pairs found, of the worse kind; sets the radius."""
+        found, apart = [], []
+        for x, y in trials:
+            z = [self._bits(x, m) != self._bits(y, m) for m in self.maps]
+            found.append(np.any([z[c][:, lo:hi].sum(axis=1) <= 1 for c, lo, hi in self.chunks()], axis=0))
+            apart.append(np.sum([b.sum(axis=1) for b in z], axis=0))
+        self.radius = max([RADIUS] + [int(np.quantile(a, 0.998, method="higher")) for a in apart])
+        return min((float((f & (a <= self.radius)).mean()) for f, a in zip(found, apart)), default=0.0)
+
+    def _bits(self, x: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return (x - self.mean) @ m >= 0
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        b = ((x - self.mean) @ self.map >= 0).astype(np.uint64)
-        return (b << np.arange(self.bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+        """The codes of each vector, one row per vector."""
+        places = np.arange(self.bits, dtype=np.uint64)
+        return np.stack([(self._bits(x, m).astype(np.uint64) << places).sum(axis=1, dtype=np.uint64).view(np.int64) for m in self.maps], axis=1)
 
-    def chunks(self) -> list[tuple[int, int]]:
-        cut = np.linspace(0, self.bits, min(TABLES, self.bits) + 1).round().astype(int)
-        return list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+    def chunks(self) -> list[tuple[int, int, int]]:
+        """(code, first bit, last bit + 1) of every table."""
+        cut = np.linspace(0, self.bits, min(TABLES, self.bits) + 1).round().astype(int).tolist()
+        return [(c, lo, hi) for c in range(len(self.maps)) for lo, hi in zip(cut[:-1], cut[1:])]
 
 
 def _unit(v) -> F.Column:
@@ -70,7 +110,7 @@ def _unit(v) -> F.Column:
     return F.transform(d, lambda x: x / norm)
 
 
-def learn(units: DataFrame, d: int, n: int) -> Quantiser:
+def learn(units: DataFrame, d: int, n: int, cosine: float) -> Quantiser:
     """The quantiser of ``units``, n vectors of length d."""
     m = np.zeros((d + 1) ** 2)
     for r in units.mapInPandas(_sums, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():  # (d + 1) ** 2 numbers
@@ -79,8 +119,8 @@ def learn(units: DataFrame, d: int, n: int) -> Quantiser:
     mean = m[0, 1:] / m[0, 0]
     cov = m[1:, 1:] / m[0, 0] - np.outer(mean, mean)
     share = min(1.0, SAMPLE / n)
-    sample = units.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("u").collect()  # at most about SAMPLE
-    return Quantiser(mean, cov, np.array([r.u for r in sample]).reshape(-1, d))
+    sample = units.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("id", "u").collect()  # at most about SAMPLE
+    return Quantiser(mean, cov, np.array([r.u for r in sorted(sample, key=lambda r: r.id)]).reshape(-1, d), cosine)
 
 
 def _chunk(code, lo: int, hi: int):
@@ -88,38 +128,65 @@ def _chunk(code, lo: int, hi: int):
 
 
 def candidates(coded: DataFrame, q: Quantiser) -> DataFrame:
-    """(a, b) of the pairs that the index brings together; coded: id, label, code."""
-    chunks = q.chunks()
-    own = [F.struct(F.lit(i).alias("t"), _chunk(F.col("code"), lo, hi).alias("v")) for i, (lo, hi) in enumerate(chunks)]
-    near = own + [F.struct(F.lit(i).alias("t"), _chunk(F.col("code"), lo, hi).bitwiseXOR(F.lit(1 << j)).alias("v"))
-                  for i, (lo, hi) in enumerate(chunks) for j in range(hi - lo)]
-    base = coded.select("id", "label", "code", F.explode(F.array(*own)).alias("k")).select("id", "label", "code", "k.*").alias("x")
-    look = coded.select("id", "label", "code", F.explode(F.array(*near)).alias("k")).select("id", "label", "code", "k.*").alias("y")
-    apart = F.col("x.code").bitwiseXOR(F.col("y.code"))
+    """(a, b) of the pairs that the index brings together; coded: id, label, codes."""
+    chunks, n = q.chunks(), len(q.maps)
+    names = [f"c{c}" for c in range(n)]
+    coded = coded.select("id", "label", *[F.col("codes")[c].alias(name) for c, name in enumerate(names)])
+    own = [F.struct(F.lit(i).alias("t"), _chunk(F.col(names[c]), lo, hi).alias("v")) for i, (c, lo, hi) in enumerate(chunks)]
+    near = own + [F.struct(F.lit(i).alias("t"), _chunk(F.col(names[c]), lo, hi).bitwiseXOR(F.lit(1 << j)).alias("v"))
+                  for i, (c, lo, hi) in enumerate(chunks) for j in range(hi - lo)]
+    base = coded.select("id", "label", *names, F.explode(F.array(*own)).alias("k")).select("id", "label", *names, "k.*").alias("x")
+    look = coded.select("id", "label", *names, F.explode(F.array(*near)).alias("k")).select("id", "label", *names, "k.*").alias("y")
+    apart = [F.col(f"x.{name}").bitwiseXOR(F.col(f"y.{name}")) for name in names]
+    bits = F.lit(0)
+    for a in apart:
+        bits = bits + F.bit_count(a)
     # not at an earlier chunk already
     first = F.lit(True)
-    for i, (lo, hi) in enumerate(chunks[:-1]):
-        first = first & ((F.col("x.t") <= i) | (F.bit_count(_chunk(apart, lo, hi)) > 1))
+    for i, (c, lo, hi) in enumerate(chunks[:-1]):
+        first = first & ((F.col("x.t") <= i) | (F.bit_count(_chunk(apart[c], lo, hi)) > 1))
     on = ((F.col("x.label") == F.col("y.label")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.v") == F.col("y.v"))
-          & (F.col("x.id") < F.col("y.id")) & (F.bit_count(apart) <= RADIUS) & first)
+          & (F.col("x.id") < F.col("y.id")) & (bits <= q.radius) & first)
     return base.join(look, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def compared(units: DataFrame, d: int, cosine: float) -> DataFrame:
+    """(a, b) of all pairs of one label that reach the cosine: every block of vectors against itself and every other."""
+    blocks = units.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / max(256, BLOCK // max(d, 1))).cast("int").alias("blocks"))
+    dealt = (units.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "u"))
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        x, y = ((p["id"].to_numpy(), np.stack(p["u"]) if len(p) else np.zeros((0, d))) for p in (pdf[pdf["block"] == i], pdf[pdf["block"] == j]))
+        out = [np.zeros((2, 0), np.int64)]
+        for at in range(0, len(x[0]), 256):
+            m, k = np.nonzero(x[1][at:at + 256] @ y[1].T >= cosine - 1e-9)
+            m += at
+            if i == j:
+                m, k = m[x[0][m] < y[0][k]], k[x[0][m] < y[0][k]]
+            for c in range(0, len(m), 1 << 16):
+                p, q = m[c:c + (1 << 16)], k[c:c + (1 << 16)]
+                near = np.einsum("ij,ij->i", x[1][p], y[1][q]) >= cosine
+                out.append(np.sort(np.stack([x[0][p][near], y[0][q][near]]), axis=0))
+        return pd.DataFrame(dict(zip("ab", np.concatenate(out, axis=1))))
+
+    return dealt.groupBy("label", "i", "j").applyInPandas(pairs, "a long, b long")
+
+
 def _links(units: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
     """(a, b) of the pairs of ``units`` (id, label, u), n vectors of length d, that reach the cosine."""
-    if n <= FEW:
-        x, y = units.alias("x"), units.alias("y")
-        pairs = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.id") < F.col("y.id"))).select(
-            F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    else:
-        q = learn(units, d, n)
-
-        @F.pandas_udf("long")
-        def code(u: pd.Series) -> pd.Series:
-            return pd.Series(q.codes(np.stack(u)) if len(u) else [], dtype="int64")
-
-        pairs = candidates(staged(units.select("id", "label", code("u").alias("code")), "itq-codes"), q)
+    q = learn(units, d, n, cosine) if n > FEW else None
+    if q is None or q.recall < RECALL:
+        return staged(compared(units, d, cosine), "itq-links")
+
+    @F.pandas_udf("array<long>")
+    def codes(u: pd.Series) -> pd.Series:
+        return pd.Series(list(q.codes(np.stack(u))) if len(u) else [], dtype=object)
+
     u = units.select("id", "u")
+    pairs = candidates(staged(units.select("id", "label", codes("u").alias("codes")), "itq-codes"), q)
     pairs = pairs.join(u.withColumnsRenamed({"id": "a", "u": "ua"}), "a").join(u.withColumnsRenamed({"id": "b", "u": "ub"}), "b")
 
     @F.pandas_udf("double")

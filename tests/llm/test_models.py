@@ -108,6 +108,12 @@ def test_near_vectors_of_several_lengths(spark):
         assert sum(n for i, n in got.items() if low <= i < high) >= 0.9 * sum(n for i, n in there.items() if low <= i < high) > 0
 
 
+@pytest.mark.parametrize("common", [0.0, 0.8, 0.9])
+def test_near_vectors_with_a_common_direction(spark, common):
+    got, there = _recall(spark, _near_rows(np.random.default_rng(4), 1000, 64, 0, 0, common))
+    assert sum(got.values()) >= 0.9 * sum(there.values()) > 0
+
+
 def test_topk(some_vectors):
     rows, df = some_vectors
     got = [tuple(r) for r in topk.search(df, k=5, every=50).orderBy("query_id", "rank").collect()]
