@@ -21,6 +21,16 @@ def test_stages(spark, sf_dir, tmp_path):
     assert docs.where("NOT restored").count() == 0
 
 
+def test_near_duplicates_go_by_row(spark, sf_dir):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(80)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, a), (2, a + " more"), (2, b), (2, b), (None, c), (None, c), (None, c + " more"), (None, a), (3, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert got.columns == corpus_pipeline.COLUMNS and len(kept) == 5
+    assert {(1, a), (2, b), (3, None), (4, None)} < set(kept) and [t for i, t in kept if i is None][0] in (c, c + " more")
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, sf_dir, name):
     con = duckdb.connect()
