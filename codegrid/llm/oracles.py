@@ -68,9 +68,73 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(t.total, 0) + l.v) AS BIGINT) AS p,
+        CAST(1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v) AS BIGINT) AS q
+      FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN t ON t.lang = g.lang AND t.source = g.source
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM x WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+OP12 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\|</?s>|\[/?(INST|SYS|ROLE)\]|\[END\]')) AS n,
+        length(role) + len(regexp_extract_all(role, '\\|</?s>|\[/?(INST|SYS|ROLE)\]|\[END\]')) AS m FROM t)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(n + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 ELSE m + 22 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def _op13(k: int = 40, rounds: int = 5) -> str:
+    """Rounds are unrolled: each assigns by the exact distance, then takes the floor of the means."""
+    near = """a{i} AS MATERIALIZED (SELECT id, x, r, m.c AS cluster, m.d AS distance FROM (SELECT v.r, any_value(v.id) AS id, any_value(v.x) AS x,
+      min(struct_pack(d := list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))), c := c.j)) AS m
+      FROM v CROSS JOIN c{i} c GROUP BY v.r))"""
+    mean = """s{i} AS (SELECT cluster, u.i AS i, sum(x[u.i]) AS s, count(*) AS n FROM a{i} CROSS JOIN (SELECT unnest(range(1, 65)) AS i) u GROUP BY 1, 2),
+    n{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{i} GROUP BY cluster),
+    c{j} AS MATERIALIZED (SELECT c.j, coalesce(n.x, c.x) AS x FROM c{i} c LEFT JOIN n{i} n ON n.cluster = c.j)"""
+    steps = []
+    for i in range(rounds):
+        steps += [near.format(i=i), mean.format(i=i, j=i + 1)]
+    steps.append(near.format(i=rounds))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id AS id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || id), x) - 1 AS j, x FROM v WHERE id IS NOT NULL ORDER BY sha256('2:' || id), x LIMIT {k}),
+{", ".join(steps)}
+SELECT a.id AS vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(a.distance AS BIGINT) AS distance,
+  CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.j = a.cluster
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_minhash_near_dedup": OP3,
     "op8_source_mixing": OP8,
     "op9_suffix_dedup": OP9,
     "op10_exact_topk": OP10,
+    "op11_source_divergence": OP11,
+    "op12_chat_formatting": OP12,
+    "op13_centroid_clustering": _op13(),
 }
