@@ -1,4 +1,4 @@
-"""Dependency graph (D1-D13) as joins and aggregations.
+"""Dependency graph (D1-D7, D9-D13; cycles are in ``cycles``) as joins and aggregations.
 
 Imports resolve per *distinct* ``(repo, import)`` value, never per file:
 the thousands of files that import the same name share one resolution,
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rules import EXTENSIONS
+from ..plans.materialize import reuse
 
 # languages whose imports are resolved; rule 3 (package -> all its files)
 # applies to the first four only
@@ -31,15 +32,16 @@ def analyzable(files: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ D1
-def type_entries(types: DataFrame, units: DataFrame) -> DataFrame:
+def type_entries(types: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """Index entries (repo, key, file, pos, kind, name), full and short keys.
 
-    ``pos`` orders entries as they are inserted: file order, classes then
+    ``units`` gives the namespaces unless ``types`` has them. ``pos`` orders entries as they are inserted: file order, classes then
     interfaces, header order, full name before short name."""
     kinds = F.create_map(*[x for k, v in INDEXED_KINDS.items() for x in (F.lit(k), F.lit(v))])
-    t = (types.where(F.col("kind").isin(*INDEXED_KINDS) & ~F.col("language").isin(*NOT_INDEXED_LANGS))
-         .join(units.select("repo", "file", "namespace"), ["repo", "file"], "left")
-         .withColumn("kind_ord", kinds[F.col("kind")]))
+    t = types.where(F.col("kind").isin(*INDEXED_KINDS) & ~F.col("language").isin(*NOT_INDEXED_LANGS))
+    if "namespace" not in types.columns:
+        t = t.join(units.select("repo", "file", "namespace"), ["repo", "file"], "left")
+    t = t.withColumn("kind_ord", kinds[F.col("kind")])
     ns = F.col("namespace")
     full = (F.when(ns.isNull(), F.col("name"))
             .when(F.col("language").isin(*DOTTED), F.concat(ns, F.lit("."), F.col("name")))
@@ -98,34 +100,49 @@ def resolve_distinct(wanted: DataFrame, index: DataFrame, packages: DataFrame) -
             .groupBy("repo", "imp", "pkg_rule")
             .agg(F.min(F.struct("rule", "target")).alias("b"))
             .select("repo", "imp", "pkg_rule", "b.rule", "b.target"))
+    best = reuse(best)
     single = best.where(F.col("rule") < 3)
     fan = (best.where(F.col("rule") == 3).drop("target")
            .join(packages.select("repo", F.col("package").alias("imp"), F.col("file").alias("target")),
                  ["repo", "imp"]))
-    left = wanted.join(best.select("repo", "imp", "pkg_rule"), ["repo", "imp", "pkg_rule"], "left_anti")
-    r4 = substring_match(left, index)
+    left = reuse(wanted.join(best.select("repo", "imp", "pkg_rule"), ["repo", "imp", "pkg_rule"], "left_anti"))
+    r4 = gram_match(left, index)
     return single.unionByName(fan.select(*single.columns)).unionByName(r4)
 
 
-def substring_match(left: DataFrame, index: DataFrame) -> DataFrame:
-    """Rule 4 as an equi-join: each index key emits its substrings whose
-    lengths occur among the still-unresolved imports of its repo; the
-    earliest key (insertion order) per substring is kept, then joined on
-    (repo, substring = import). Exact, linear in total key length times
-    the number of distinct import lengths, no nested-loop join."""
-    want = left.select("repo", "imp", "pkg_rule").where(F.length("imp") > 0)
-    lengths = want.select("repo", F.length("imp").alias("m")).distinct()
-    keys = index.select("repo", "key", "file", "first_pos")
-    kl = keys.join(lengths, "repo").where(F.length("key") >= F.col("m"))
-    subs = kl.select("repo", "m", "key", "file", "first_pos",
-                     F.explode(F.sequence(F.lit(1), F.length("key") - F.col("m") + 1)).alias("i"))
-    subs = subs.select("repo", F.expr("substring(key, i, m)").alias("imp"),
-                       F.struct("first_pos", "file").alias("cand"))
-    subs = subs.join(want.select("repo", "imp").distinct(), ["repo", "imp"], "left_semi")
-    best = subs.groupBy("repo", "imp").agg(F.min("cand").alias("cand"))
-    return (want.join(best, ["repo", "imp"])
-            .select("repo", "imp", "pkg_rule", F.lit(4).alias("rule"),
-                    F.col("cand.file").alias("target")))
+GRAM = 4
+_SALT = 50_000  # keys of one gram that a task gets
+
+
+def _grams(c, n):
+    """Distinct substrings of length ``n``; none where ``c`` is shorter."""
+    at = F.sequence(F.lit(1), F.length(c) - n + 1)
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(at, lambda i: F.substring(c, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def gram_match(left: DataFrame, index: DataFrame) -> DataFrame:
+    """Rule 4 by an inverted index of grams: an import is looked up by the gram of it that the fewest index keys hold, the keys of that gram
+    are verified by ``contains``, and the earliest (insertion order) is kept. Grams have ``GRAM`` characters; an import shorter than that is its own gram. A
+    key is sent once for each of its grams that some import asks for, so the shuffle is linear in the keys' length; a gram that many keys hold is
+    dealt over salts, and the minimum is combined before the shuffle."""
+    want = left.select("repo", "imp").where(F.length("imp") > 0).distinct()
+    asked = want.select("repo", "imp", F.explode(_grams(F.col("imp"), F.least(F.length("imp"), F.lit(GRAM)))).alias("gram"))
+    # at most GRAM lengths; no import left, nothing to look up
+    lengths = [r["n"] for r in asked.select(F.length("gram").alias("n")).distinct().collect()]
+    cuts = F.concat(F.array().cast("array<string>"), *[_grams(F.col("key"), F.lit(n)) for n in sorted(lengths)])
+    posted = (index.select("repo", "key", F.struct("first_pos", "file").alias("cand"), F.explode(cuts).alias("gram"))
+              .join(asked.select("repo", "gram").distinct(), ["repo", "gram"], "left_semi"))
+    held = posted.groupBy("repo", "gram").agg(F.count("*").alias("held"))
+    # a gram that no key holds rules its import out
+    probe = (asked.join(held, ["repo", "gram"], "left").groupBy("repo", "imp")
+             .agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")).alias("g")).where("g.held > 0")
+             .select("repo", "imp", "g.gram", F.ceil(F.col("g.held") / _SALT).cast("int").alias("salts")))
+    salted = (posted.join(probe.select("repo", "gram", "salts").distinct(), ["repo", "gram"])
+              .withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")).drop("salts"))
+    best = (probe.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(salted, ["repo", "gram", "salt"])
+            .where(F.contains("key", "imp")).groupBy("repo", "imp").agg(F.min("cand").alias("cand")))
+    return (left.select("repo", "imp", "pkg_rule").join(best, ["repo", "imp"])
+            .select("repo", "imp", "pkg_rule", F.lit(4).alias("rule"), F.col("cand.file").alias("target")))
 
 
 def resolve_imports(imports: DataFrame, index: DataFrame, packages: DataFrame) -> DataFrame:
@@ -211,182 +228,6 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame, index: DataFrame, entries:
     return out.select("repo", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in cols])
 
 
-# ------------------------------------------------------------------ D8
-def _simple_edges(edges: DataFrame) -> DataFrame:
-    return (edges.select("repo", F.col("source").alias("src"), F.col("target").alias("dst"))
-            .where(F.col("src") != F.col("dst")).distinct())
-
-
-def trim_acyclic(e: DataFrame, checkpoint) -> DataFrame:
-    """Drop edges touching a node without in- or out-edges, until stable
-    (such nodes lie on no cycle)."""
-    n = e.count()
-    while True:
-        outs = e.select("repo", F.col("src").alias("node")).distinct()
-        ins = e.select("repo", F.col("dst").alias("node")).distinct()
-        keep = outs.join(ins, ["repo", "node"])
-        e2 = (e.join(keep.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi")
-              .join(keep.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi"))
-        e2 = checkpoint(e2.select("repo", "src", "dst"))
-        n2 = e2.count()
-        if n2 == n:
-            return e2
-        e, n = e2, n2
-
-
-def strongly_connected(edges: DataFrame, checkpoint) -> DataFrame:
-    """(repo, file, scc) for every file in a strongly connected component
-    of two or more files; ``scc`` is its smallest file.
-
-    Files off every cycle are trimmed and chains of files with one importer
-    and one import are skipped over (``skip_chains``, rounds logarithmic in
-    their length). On the rest, forward-backward colouring: colours (min
-    reachable-from label) are propagated along edges until stable; each
-    colour's root collects its component by backward propagation inside the
-    colour; found components are removed and the rest is coloured again.
-    Every round is a join and an aggregation; each intermediate is
-    checkpointed to keep plans small. One way at every size."""
-    e, chains, rings = skip_chains(trim_acyclic(_simple_edges(edges), checkpoint), checkpoint)
-    found = _colour(e.where("src <> dst"), checkpoint)
-    # a chain belongs to the component that holds both of its ends
-    ends = (chains.join(found.select("repo", F.col("file").alias("head"), F.col("scc").alias("h")), ["repo", "head"], "left")
-            .join(found.select("repo", F.col("file").alias("tail"), F.col("scc").alias("t")), ["repo", "tail"], "left")
-            .where((F.col("head") == F.col("tail")) | (F.col("h") == F.col("t")))
-            .withColumn("scc", F.coalesce("h", "head")))
-    members = checkpoint(found.unionByName(ends.select("repo", "file", "scc"))
-                         .unionByName(ends.select("repo", F.col("head").alias("file"), "scc")).distinct())
-    names = members.groupBy("repo", "scc").agg(F.min("file").alias("name"), F.count("*").alias("n")).where(F.col("n") > 1)
-    return (members.join(names, ["repo", "scc"]).select("repo", "file", F.col("name").alias("scc"))
-            .unionByName(rings))
-
-
-def skip_chains(e: DataFrame, checkpoint) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Edges with chains of files that have one importer and one import each
-    replaced by one edge; (repo, file, head, tail) of the files skipped; and
-    (repo, file, scc) of closed chains. Pointers double their reach a round."""
-    none = F.lit(None).cast("string")
-    ends = (e.select("repo", F.col("src").alias("file"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.col("dst").alias("tail"), none.alias("head"))
-            .unionByName(e.select("repo", F.col("dst").alias("file"), F.lit(0).alias("o"), F.lit(1).alias("i"), none.alias("tail"),
-                                  F.col("src").alias("head"))))
-    inner = checkpoint(ends.groupBy("repo", "file").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.min("tail").alias("tail"),
-                                                        F.min("head").alias("head"))
-                       .where("o = 1 AND i = 1").select("repo", "file", "head", "tail", F.col("file").alias("low")))
-    reach = inner
-    for _ in range(inner.count().bit_length()):
-        after = reach.select("repo", F.col("file").alias("tail"), F.col("tail").alias("tail2"), F.col("low").alias("low2"))
-        before = reach.select("repo", F.col("file").alias("head"), F.col("head").alias("head2"))
-        step = reach.join(after, ["repo", "tail"], "left").join(before, ["repo", "head"], "left")
-        step = checkpoint(step.select("repo", "file", F.coalesce("head2", "head").alias("head"), F.coalesce("tail2", "tail").alias("tail"),
-                                      F.least("low", "low2").alias("low"), (F.col("head2").isNotNull() | F.col("tail2").isNotNull()).alias("moved")))
-        reach = step.drop("moved")
-        if step.where("moved").limit(1).count() == 0:
-            break
-    skipped = inner.select("repo", F.col("file").alias("x"))
-    closed = reach.join(skipped.withColumnRenamed("x", "tail"), ["repo", "tail"], "left_semi")
-    chains = checkpoint(reach.join(skipped.withColumnRenamed("x", "tail"), ["repo", "tail"], "left_anti").select("repo", "file", "head", "tail"))
-    rest = (e.join(skipped.withColumnRenamed("x", "src"), ["repo", "src"], "left_anti")
-            .join(skipped.withColumnRenamed("x", "dst"), ["repo", "dst"], "left_anti").select("repo", "src", "dst")
-            .unionByName(chains.select("repo", F.col("head").alias("src"), F.col("tail").alias("dst"))).distinct())
-    return checkpoint(rest), chains, closed.select("repo", "file", F.col("low").alias("scc"))
-
-
-def _colour(e: DataFrame, checkpoint) -> DataFrame:
-    """(repo, file, scc): components of the edges, single files among them."""
-    found = None
-    while e.count() > 0:
-        nodes = (e.select("repo", F.col("src").alias("node"))
-                 .union(e.select("repo", F.col("dst").alias("node"))).distinct())
-        col = checkpoint(nodes.withColumn("color", F.col("node")))
-        while True:
-            prop = (e.join(col.withColumnRenamed("node", "src"), ["repo", "src"])
-                    .select("repo", F.col("dst").alias("node"), F.col("color").alias("c2")))
-            new = (col.join(prop.groupBy("repo", "node").agg(F.min("c2").alias("c2")),
-                            ["repo", "node"], "left")
-                   .select("repo", "node", F.least("color", F.coalesce("c2", "color")).alias("color"),
-                           (F.col("c2") < F.col("color")).alias("changed")))
-            new = checkpoint(new)
-            if new.where("changed").limit(1).count() == 0:
-                col = new.drop("changed")
-                break
-            col = new.drop("changed")
-        # backward from each root, staying inside its colour
-        ec = (e.join(col.withColumnRenamed("node", "src").withColumnRenamed("color", "cs"), ["repo", "src"])
-              .join(col.withColumnRenamed("node", "dst").withColumnRenamed("color", "cd"), ["repo", "dst"])
-              .where(F.col("cs") == F.col("cd")).select("repo", "src", "dst", F.col("cs").alias("color")))
-        ec = checkpoint(ec)
-        mark = checkpoint(col.where(F.col("node") == F.col("color")))
-        frontier = mark
-        while True:
-            step = (ec.join(frontier.withColumnRenamed("node", "dst"), ["repo", "dst", "color"])
-                    .select("repo", F.col("src").alias("node"), "color"))
-            fresh = checkpoint(step.distinct().join(mark, ["repo", "node", "color"], "left_anti"))
-            if fresh.limit(1).count() == 0:
-                break
-            mark = checkpoint(mark.unionByName(fresh))
-            frontier = fresh
-        comp = mark.select("repo", F.col("node").alias("file"), F.col("color").alias("scc"))
-        found = comp if found is None else found.unionByName(comp)
-        found = checkpoint(found)
-        gone = comp.select("repo", F.col("file").alias("node"))
-        e = checkpoint(e.join(gone.withColumnRenamed("node", "src"), ["repo", "src"], "left_anti")
-                       .join(gone.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_anti"))
-    if found is None:
-        return e.sparkSession.createDataFrame([], "repo string, file string, scc string")
-    return found
-
-
-def files_in_cycles(edges: DataFrame, checkpoint) -> DataFrame:
-    """(repo, file) for files on a cycle: non-trivial SCC or self-loop."""
-    loops = edges.where(F.col("source") == F.col("target")).select("repo", F.col("source").alias("file"))
-    return (strongly_connected(edges, checkpoint).select("repo", "file")
-            .union(loops).distinct())
-
-
-def simple_cycles(edges: DataFrame, max_len: int = 3) -> DataFrame:
-    """Every simple cycle of up to ``max_len`` files (1..3), rotated
-    so that its smallest file comes first: (repo, cycle_len, cycle, pos, file).
-
-    Length 2 is an equi-join of the edge list with its reverse. Length 3 uses
-    degree ordering: a 3-cycle is enumerated only at its lowest-ranked file
-    (rank = (degree, file)), pairing that file's out- and in-neighbours of
-    higher rank, then checking the closing edge. A hub has few higher-ranked
-    neighbours, so no node emits all pairs of its neighbourhood (the classic
-    O(m^1.5) triangle-listing bound)."""
-    if max_len > 3:
-        raise ValueError("cycles longer than 3 are not enumerated")
-    e = edges.select("repo", F.col("source").alias("a"), F.col("target").alias("b")).distinct()
-    out = [e.where(F.col("a") == F.col("b")).select("repo", F.array("a").alias("c"))]
-    loopfree = e.where(F.col("a") != F.col("b"))
-    if max_len >= 2:
-        back = loopfree.select("repo", F.col("a").alias("b"), F.col("b").alias("a"))
-        out.append(loopfree.where(F.col("a") < F.col("b")).join(back, ["repo", "a", "b"])
-                   .select("repo", F.array("a", "b").alias("c")))
-    if max_len >= 3:
-        ends = (loopfree.select("repo", F.col("a").alias("n"), F.col("b").alias("m"))
-                .union(loopfree.select("repo", F.col("b").alias("n"), F.col("a").alias("m"))).distinct())
-        rank = ends.groupBy("repo", "n").agg(F.count("*").alias("deg")).select(
-            "repo", "n", F.struct("deg", "n").alias("r"))
-        ranked = (loopfree.join(rank.withColumnRenamed("n", "a").withColumnRenamed("r", "ra"), ["repo", "a"])
-                  .join(rank.withColumnRenamed("n", "b").withColumnRenamed("r", "rb"), ["repo", "b"]))
-        # apex x: x -> y with y above x, and z -> x with z above x
-        outs = ranked.where(F.col("rb") > F.col("ra")).select("repo", F.col("a").alias("x"), F.col("b").alias("y"))
-        ins = ranked.where(F.col("ra") > F.col("rb")).select("repo", F.col("b").alias("x"), F.col("a").alias("z"))
-        closing = loopfree.select("repo", F.col("a").alias("y"), F.col("b").alias("z"))
-        tri = (outs.join(ins, ["repo", "x"]).where(F.col("y") != F.col("z"))
-               .join(closing, ["repo", "y", "z"], "left_semi"))
-        first = F.least("x", "y", "z")
-        rotated = (F.when(first == F.col("x"), F.array("x", "y", "z"))
-                   .when(first == F.col("y"), F.array("y", "z", "x"))
-                   .otherwise(F.array("z", "x", "y")))
-        out.append(tri.select("repo", rotated.alias("c")))
-    cyc = out[0]
-    for o in out[1:]:
-        cyc = cyc.unionByName(o)
-    return cyc.select("repo", F.size("c").cast("long").alias("cycle_len"),
-                      F.array_join("c", " -> ").alias("cycle"),
-                      F.posexplode("c").alias("pos", "file")).withColumn("pos", F.col("pos").cast("long"))
-
-
 # ------------------------------------------------------------------ D11
 def sample_graph(edges: DataFrame, max_sources: int = 20, max_targets: int = 5) -> DataFrame:
     """First ``max_sources`` sources (by file) x first ``max_targets``

@@ -9,6 +9,8 @@ whole-stage codegen and never shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,15 +61,27 @@ def extract_imports(files: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------- P3/P4
+def _keyword(pattern: str) -> tuple[str, str | None]:
+    """A header pattern without its optional words in front, and the keyword it then starts with. The words in front are not captured and
+    hold no keyword, so the same headers are found; a pattern that starts with letters is searched for them in long steps.
+    Patterns of another form are left as they are; they and those that ignore case have no keyword."""
+    m = re.match(r"(\(\?i\))?(?:\(\?:[A-Za-z|]+\)\?\\s\*|\(\?:[a-z]+\\s\+\)\?)?(?=([A-Za-z]+))", pattern)
+    return (pattern, None) if m is None else ((m[1] or "") + pattern[m.end():], None if m[1] else m[2])
+
+
 def _type_array(lang: str, kind: str, pattern: str, g_name: int, g_ext: int, g_impl: int) -> Column:
-    names = _all(pattern, g_name)
-    ext = _all(pattern, g_ext) if g_ext else None
-    impl = _all(pattern, g_impl) if g_impl else None
-    empty = F.lit("")
-    return F.transform(names, lambda x, i: F.struct(
-        F.lit(kind).alias("kind"), x.alias("name"), i.cast("long").alias("ord"),
-        (F.element_at(ext, i + 1) if ext is not None else empty).alias("extends_list"),
-        (F.element_at(impl, i + 1) if impl is not None else empty).alias("implements_list")))
+    """Headers are searched once, then taken apart: a group of a whole match is the group of the pattern on the match alone."""
+    pattern, keyword = _keyword(pattern)
+    rx = F.lit(java_re(pattern))
+    found = F.regexp_extract_all(F.col("content"), rx, 0)
+    if keyword:
+        found = F.when(F.contains(F.col("content"), F.lit(keyword)), found).otherwise(F.array().cast("array<string>"))
+
+    def group(header: Column, g: int) -> Column:
+        return F.regexp_extract(header, java_re(pattern), g) if g else F.lit("")
+    return F.transform(found, lambda x, i: F.struct(
+        F.lit(kind).alias("kind"), group(x, g_name).alias("name"), i.cast("long").alias("ord"),
+        group(x, g_ext).alias("extends_list"), group(x, g_impl).alias("implements_list")))
 
 
 def type_headers(files: DataFrame) -> DataFrame:
@@ -143,8 +157,8 @@ def imports_of(table: DataFrame) -> DataFrame:
 
 
 def types_of(table: DataFrame) -> DataFrame:
-    return (table.select("repo", "file", "language", F.explode("types").alias("t"))
-            .select("repo", "file", "language", "t.kind", "t.name", "t.ord"))
+    return (table.select("repo", "file", "language", "namespace", F.explode("types").alias("t"))
+            .select("repo", "file", "language", "t.kind", "t.name", "t.ord", "namespace"))
 
 
 # ------------------------------------------------------------------- P8

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calls, catalog, correlation, deps, extract, members, messaging, reports, textprep
+from ..operators import calls, catalog, correlation, cycles, deps, extract, members, messaging, reports, textprep
 import uuid
 
 from ..sources import filters, fixtures, tree
@@ -36,23 +36,40 @@ def register(name: str):
 
 # ---------------------------------------------------------------- shared graph
 class Graph:
-    """Symbol tables of one corpus, extracted once and checkpointed, and
-    the dependency graph built from them."""
+    """Dependency graph of one corpus. Each table is computed when a query first asks for it, and then checkpointed if later
+    plans start from it; building a query that needs none computes none."""
 
     def __init__(self, files: DataFrame):
         self.files = deps.analyzable(files)
+
+    @cached_property
+    def symbols(self) -> DataFrame:
         # content is scanned once; the symbol tables are projections of it
-        self.symbols = checkpoint(extract.symbol_table(self.files))
-        self.units = extract.units_of(self.symbols)
-        self.imports = extract.imports_of(self.symbols)
-        self.types = extract.types_of(self.symbols)
-        self.entries = deps.type_entries(self.types, self.units)
-        self.index = checkpoint(deps.build_type_index(self.entries))
-        self.packages = deps.build_package_index(self.units)
-        self.resolved = checkpoint(deps.resolve_imports(self.imports, self.index, self.packages))
-        # checkpointed: later plans start from a scan of it, so building the
-        # many downstream graph queries does not re-analyse the whole lineage
-        self.edges = checkpoint(deps.dependency_edges(self.resolved))
+        return checkpoint(extract.symbol_table(self.files))
+
+    @cached_property
+    def units(self) -> DataFrame:
+        return extract.units_of(self.symbols)
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return extract.imports_of(self.symbols)
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return deps.type_entries(extract.types_of(self.symbols))
+
+    @cached_property
+    def index(self) -> DataFrame:
+        return checkpoint(deps.build_type_index(self.entries))
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return checkpoint(deps.resolve_imports(self.imports, self.index, deps.build_package_index(self.units)))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return checkpoint(deps.dependency_edges(self.resolved))
 
     def nodes(self) -> DataFrame:
         return deps.graph_nodes(self.units, self.edges, self.entries)
@@ -240,12 +257,12 @@ def q_dep_metrics(spark, d):
 
 @register("dep_in_cycle")
 def q_dep_in_cycle(spark, d):
-    return deps.files_in_cycles(java_graph(spark, d).edges, checkpoint)
+    return cycles.files_in_cycles(java_graph(spark, d).edges, checkpoint)
 
 
 @register("dep_cycles")
 def q_dep_cycles(spark, d):
-    return deps.simple_cycles(java_graph(spark, d).edges, 3)
+    return cycles.simple_cycles(java_graph(spark, d).edges, 3, checkpoint)
 
 
 @register("dep_orphans")

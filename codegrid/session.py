@@ -12,6 +12,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # file texts compress well: a shuffle of few bytes may still be much work
+    # for the expressions behind it, so small ones keep all cores busy
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # files are up to 10 MB each; keep Arrow batches small so a Python

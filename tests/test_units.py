@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codegrid.functions.body import balanced, scan_members
-from codegrid.operators import deps, extract, textprep
+from codegrid.operators import cycles, deps, extract, textprep
 from codegrid.plans.materialize import checkpoint
 from codegrid.plans.registry import Graph
 from codegrid.sources import filters
@@ -96,10 +96,10 @@ def test_mutual_import_cycle(spark):
     a = "package p;\nimport q.B;\npublic class A {\n}\n"
     b = "package q;\nimport p.A;\npublic class B {\n}\n"
     g = Graph(make_files(spark, [("A.java", a), ("B.java", b)]))
-    cyc = deps.simple_cycles(g.edges, 3).collect()
+    cyc = cycles.simple_cycles(g.edges, 3, checkpoint).collect()
     assert {r.file for r in cyc} == {"A.java", "B.java"}
     assert {r.cycle_len for r in cyc} == {2}
-    assert {r.file for r in deps.files_in_cycles(g.edges, checkpoint).collect()} == {"A.java", "B.java"}
+    assert {r.file for r in cycles.files_in_cycles(g.edges, checkpoint).collect()} == {"A.java", "B.java"}
 
 
 def test_unknown_language_and_bad_code(spark):
@@ -146,14 +146,14 @@ def test_components_equal_brute_force(spark):
     # two closed chains through one file, and a chain between two components
     graphs["eight"] = [("a", "b"), ("b", "a"), ("a", "c"), ("c", "d"), ("d", "a")]
     graphs["bridge"] = [("x", "y"), ("y", "x"), ("x", "z"), ("z", "x"), ("y", "m"), ("m", "n"), ("n", "p"), ("p", "q"), ("q", "p"), ("p", "r"), ("r", "p")]
-    got = {(r.repo, r.file, r.scc) for r in deps.strongly_connected(_edges(spark, graphs), checkpoint).collect()}
+    got = {(r.repo, r.file, r.scc) for r in cycles.strongly_connected(_edges(spark, graphs), checkpoint).collect()}
     assert got == {(r, f, c) for r, es in graphs.items() for f, c in _components(es)}
 
 
 def test_long_cycle_takes_few_rounds(spark):
     n, calls = 1000, []
     ring = [(f"f{i:04}", f"f{(i + 1) % n:04}") for i in range(n)]
-    rows = deps.strongly_connected(_edges(spark, {"r": ring}), lambda df: calls.append(1) or checkpoint(df)).collect()
+    rows = cycles.strongly_connected(_edges(spark, {"r": ring}), lambda df: calls.append(1) or checkpoint(df)).collect()
     assert len(rows) == n and {r.scc for r in rows} == {"f0000"} and len(calls) < 20
 
 
