@@ -754,3 +754,63 @@ UNION ALL SELECT repo, 1, language, concat('- ', language, ': ', n, ' file(s)')
 UNION ALL SELECT repo, 2, concat(language, chr(0)), concat(chr(10), '## ', upper(language), ' Files', chr(10)) FROM pl
 UNION ALL SELECT repo, 2, concat(language, chr(0), relative_path), concat('### ', relative_path) FROM s
 """)
+
+
+# ---------------------------------------------------------------- four languages, five repos
+LINKS_CTE = r"""
+WITH RECURSIVE c AS (SELECT c_custkey AS k, c_nationkey AS n, n_regionkey AS r, c_custkey % 4 AS l,
+    concat('region', n_regionkey) AS repo, concat('src/n', c_nationkey, '/C', c_custkey, ['.java', '.cs', '.php', '.vb'][c_custkey % 4 + 1]) AS file,
+    ['java', 'csharp', 'php', 'vbnet'][c_custkey % 4 + 1] AS language
+  FROM customer JOIN nation ON n_nationkey = c_nationkey),
+i AS (SELECT DISTINCT o_custkey AS k, (o_orderkey * 13 + 5) % (SELECT count(*) FROM customer) AS q FROM orders),
+-- dotted imports find the class by its full name, PHP classes by their short one; a PHP import finds the first PHP class that its text begins
+x AS (SELECT s.repo, s.file, concat('com.n', t.n, '.C', t.k) AS "import", CASE WHEN t.l = 2 THEN 2 ELSE 1 END AS rule, t.file AS target
+      FROM i JOIN c s ON s.k = i.k JOIN c t ON t.k = i.q WHERE s.l <> 2 AND s.r = t.r
+      UNION ALL
+      SELECT s.repo, s.file, concat('com\n', t.n, '\C', t.k), 4, min(u.file)
+      FROM i JOIN c s ON s.k = i.k JOIN c t ON t.k = i.q JOIN c u ON u.l = 2 AND u.r = s.r AND u.n = t.n AND starts_with(CAST(u.k AS VARCHAR), CAST(t.k AS VARCHAR))
+      WHERE s.l = 2 GROUP BY s.repo, s.file, t.n, t.k),
+e AS (SELECT DISTINCT repo, file AS a, target AS b FROM x)
+"""
+
+ORACLES["sym_links_types"] = LINKS_CTE + """
+SELECT repo, file, language, 'class' AS kind, concat('C', k) AS name, CAST(0 AS BIGINT) AS ord FROM c
+"""
+
+ORACLES["sym_links_heritage"] = LINKS_CTE + """
+SELECT repo, file, language, 'class' AS kind, concat('C', k) AS type, CASE WHEN l = 1 THEN 'inherits' ELSE 'extends' END AS relation,
+       CAST(0 AS BIGINT) AS ord, concat('Base', n) AS parent FROM c WHERE l < 3
+UNION ALL SELECT repo, file, language, 'class', concat('C', k), CASE WHEN l = 1 THEN 'inherits' ELSE 'implements' END, 1, 'Sized' FROM c WHERE l < 2
+"""
+
+ORACLES["dep_links_resolve"] = LINKS_CTE + """
+SELECT repo, file, "import", rule, target FROM x
+"""
+
+ORACLES["dep_links_orphans"] = LINKS_CTE + """
+SELECT repo, file FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.repo = c.repo AND (e.a = c.file OR e.b = c.file))
+"""
+
+_LINKS_REACH = """
+, reach AS (SELECT repo, a, b FROM e UNION SELECT r.repo, r.a, e.b FROM reach r JOIN e ON e.repo = r.repo AND e.a = r.b)
+"""
+
+ORACLES["dep_links_in_cycle"] = LINKS_CTE + _LINKS_REACH + """
+SELECT DISTINCT repo, a AS file FROM reach WHERE a = b
+"""
+
+ORACLES["dep_links_components"] = LINKS_CTE + _LINKS_REACH + """
+SELECT p.repo, p.a AS file, least(p.a, min(p.b)) AS scc FROM reach p JOIN reach q ON q.repo = p.repo AND q.a = p.b AND q.b = p.a
+WHERE p.a <> p.b GROUP BY p.repo, p.a
+"""
+
+ORACLES["dep_links_cycles"] = LINKS_CTE + """
+, w AS (SELECT repo, a AS s, [a] AS p, a AS x FROM e WHERE a <> b GROUP BY repo, a
+        UNION ALL
+        SELECT w.repo, w.s, list_append(w.p, e.b), e.b FROM w JOIN e ON e.repo = w.repo AND e.a = w.x
+        WHERE e.b > w.s AND NOT list_contains(w.p, e.b) AND len(w.p) < 5),
+allc AS (SELECT w.repo, w.p AS c FROM w JOIN e ON e.repo = w.repo AND e.a = w.x AND e.b = w.s WHERE len(w.p) > 1
+         UNION ALL SELECT repo, [a] FROM e WHERE a = b)
+SELECT repo, CAST(len(c) AS BIGINT) AS cycle_len, array_to_string(c, ' -> ') AS cycle, CAST(i - 1 AS BIGINT) AS pos, c[i] AS file
+FROM (SELECT repo, c, unnest(generate_series(1, len(c))) AS i FROM allc)
+"""

@@ -293,6 +293,46 @@ def q_dep_export_lines(spark, d):
         deps.export_lines(nodes, g.edges, "dot"))
 
 
+# ---------------------------------------------------------------- four languages, five repos
+def links_graph(spark, d) -> Graph:
+    return Graph(fixtures.fx_links(spark, d))
+
+
+@register("sym_links_types")
+def q_sym_links_types(spark, d):
+    return extract.extract_types(fixtures.fx_links(spark, d))
+
+
+@register("sym_links_heritage")
+def q_sym_links_heritage(spark, d):
+    return extract.extract_heritage(fixtures.fx_links(spark, d))
+
+
+@register("dep_links_resolve")
+def q_dep_links_resolve(spark, d):
+    return links_graph(spark, d).resolved.select("repo", "file", "import", "rule", "target")
+
+
+@register("dep_links_orphans")
+def q_dep_links_orphans(spark, d):
+    return deps.orphaned_files(links_graph(spark, d).nodes())
+
+
+@register("dep_links_in_cycle")
+def q_dep_links_in_cycle(spark, d):
+    return cycles.files_in_cycles(links_graph(spark, d).edges, checkpoint)
+
+
+@register("dep_links_components")
+def q_dep_links_components(spark, d):
+    return cycles.strongly_connected(links_graph(spark, d).edges, checkpoint)
+
+
+@register("dep_links_cycles")
+def q_dep_links_cycles(spark, d):
+    return cycles.simple_cycles(links_graph(spark, d).edges, 5, checkpoint)
+
+
 # ---------------------------------------------------------------- M: messaging
 class Messaging:
     """Messaging facts of one corpus (candidates gate first, facts once)."""

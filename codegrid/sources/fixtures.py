@@ -268,3 +268,40 @@ def fx_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     jv = files_from(rows, F.lit("calls"), F.concat(F.lit("calls/Flow"), _s(u), F.lit(".java")),
                     F.concat(F.array_join("x.jv", ""), F.coalesce("calls", F.lit(""))))
     return cs.unionByName(jv)
+
+
+# ---------------------------------------------------------------- fx_links
+def fx_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One class file per customer in four languages, a repo per region. A
+    file imports the customers that its orders point to; those of other
+    regions resolve to nothing, so the graphs are sparse: files without any
+    edge, acyclic parts, cycles of several lengths. PHP imports resolve by
+    the last rule only (the index key has a leading separator)."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_regionkey").alias("r"))
+    cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    total = cust.count()
+    target = (F.col("o_orderkey") * 13 + 5) % F.lit(total)
+    # a customer has a bounded number of orders, so the per-file list stays small
+    refs = (table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), target.alias("q")).distinct()
+            .join(cust.select(F.col("k").alias("q"), F.col("n").alias("m")), "q")
+            .groupBy("k").agg(F.array_sort(F.collect_list(F.struct("q", "m"))).alias("qs")))
+    rows = cust.join(nation, "n").join(refs, "k", "left").withColumn("qs", F.coalesce("qs", F.array().cast("array<struct<q:bigint,m:bigint>>")))
+    k, n, lang = F.col("k"), F.col("n"), F.col("k") % 4
+
+    def uses(word: str, sep: str, end: str):
+        return F.array_join(F.transform("qs", lambda x: F.concat(
+            F.lit(f"{word} com{sep}n"), _s(x["m"]), F.lit(f"{sep}C"), _s(x["q"]), F.lit(f"{end}\n"))), "")
+    java = F.concat(F.lit("package com.n"), _s(n), F.lit(";\n"), uses("import", ".", ";"), F.lit("public class C"), _s(k),
+                    F.lit(" extends Base"), _s(n), F.lit(" implements Sized {\npublic void run() { }\n}\n"))
+    csharp = F.concat(uses("using", ".", ";"), F.lit("namespace com.n"), _s(n), F.lit("\n{\npublic class C"), _s(k),
+                      F.lit(" : Base"), _s(n), F.lit(", Sized\n{\n}\n}\n"))
+    php = F.concat(F.lit("<?php\nnamespace com\\n"), _s(n), F.lit(";\n"), uses("use", "\\", ";"), F.lit("final class C"), _s(k),
+                   F.lit(" extends Base"), _s(n), F.lit(" {\n}\n"))
+    vbnet = F.concat(uses("Imports", ".", ""), F.lit("Namespace com.n"), _s(n), F.lit("\nPublic Class C"), _s(k), F.lit("\nEnd Class"))
+    content = F.when(lang == 0, java).when(lang == 1, csharp).when(lang == 2, php).otherwise(vbnet)
+    ext = F.element_at(F.array(*[F.lit(e) for e in LINK_EXTENSIONS]), (lang + 1).cast("int"))
+    return files_from(rows, F.concat(F.lit("region"), _s("r")), F.concat(F.lit("src/n"), _s(n), F.lit("/C"), _s(k), ext), content)
+
+
+# FIXED VALUES: suffix by customer % 4
+LINK_EXTENSIONS = [".java", ".cs", ".php", ".vb"]
