@@ -594,6 +594,10 @@ SELECT user_id, max(event_id) AS event_id, arg_max(ts, event_id) AS ts, arg_max(
 FROM events GROUP BY user_id
 """
 ORACLES["str_finalize"] = ORACLES["mq_graph_edges"]
+ORACLES["str_summary"] = """
+SELECT CAST((SELECT count(*) FROM region) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS BIGINT) AS files,
+       'config, csharp, typescript' AS languages
+"""
 
 # ---------------------------------------------------------------- extension points
 ORACLES["udf_language"] = _docs("""

@@ -713,32 +713,40 @@ def q_str_totals(spark, d):
 
 @register("str_latest")
 def q_str_latest(spark, d):
-    ev_schema = table(spark, d, "events").schema
-    # the table folder holds every table; the glob keeps the events file
-    stream = (spark.readStream.schema(ev_schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", "events.parquet").parquet(d.rstrip("/")))
+    # a table is one file or a folder of them, each a micro-batch; a stream takes a single file only by a pattern
+    stream = (spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{d.rstrip('/')}/event[s].parquet"))
     latest = streaming.latest_version(stream, "user_id", "event_id", "ts", ["event_type"])
-    out = streaming.run_available_now(latest, "latest", "update", streaming.append_changes)
-    return (streaming.latest_view(spark, out, "user_id")
-            .select("user_id", F.col("version").alias("event_id"), "ts", "event_type"))
+    out = streaming.run_available_now(latest, "latest", "update", streaming.write_epoch, settings=streaming.LATEST_SETTINGS)
+    return streaming.latest_view(spark, out, "user_id", "event_id", "ts", ["event_type"])
+
+
+MQ_TABLES = {
+    "files": lambda b: b.select("language"),
+    "infra": messaging.infra_mq_facts,
+    "amqp": messaging.amqp_facts,
+    "endpoints": messaging.receive_endpoints,
+    "ops": messaging.message_ops,
+    "sends": messaging.send_endpoints,
+    "consumers": lambda b: messaging.consumer_messages(b.where(F.col("source_type") == "masstransit")),
+}
+
+
+def streamed_mq(spark, d) -> dict[str, DataFrame]:
+    s = messaging.messaging_candidates(streaming.stream_files(spark, fixture_root(spark, d, "mq") + "/mq", repo="mq"))
+    out = streaming.run_available_now(s, "finalize", "append", streaming.write_tables(MQ_TABLES))
+    return streaming.read_tables(spark, out, MQ_TABLES)
 
 
 @register("str_finalize")
 def q_str_finalize(spark, d):
-    root = fixture_root(spark, d, "mq") + "/mq"
-    s = messaging.messaging_candidates(streaming.stream_files(spark, root, repo="mq"))
-    builders = {
-        "infra": messaging.infra_mq_facts,
-        "amqp": messaging.amqp_facts,
-        "endpoints": messaging.receive_endpoints,
-        "ops": messaging.message_ops,
-        "sends": messaging.send_endpoints,
-        "consumers": lambda b: messaging.consumer_messages(b.where(F.col("source_type") == "masstransit")),
-    }
-    out = streaming.run_available_now(s, "finalize", "append", streaming.append_tables(builders))
-    t = {k: spark.read.parquet(f"{out}/{k}") for k in builders}
-    return messaging.integration_graph(t["infra"], t["amqp"], t["endpoints"], t["ops"], t["consumers"],
-                                       t["sends"])[1]
+    t = streamed_mq(spark, d)
+    return messaging.integration_graph(t["infra"], t["amqp"], t["endpoints"], t["ops"], t["consumers"], t["sends"])[1]
+
+
+@register("str_summary")
+def q_str_summary(spark, d):
+    return streaming.summary(streamed_mq(spark, d)["files"])
 
 
 # ---------------------------------------------------------------- U: extension points
