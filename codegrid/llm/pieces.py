@@ -13,10 +13,10 @@ Three machines are compiled once from the model file and composed with each inpu
 
 N after L after G is run as one forward pass of (min, +) over positions. No piece holds a space after another character
 (checked when the model is compiled), so no arc crosses the front of a run of spaces; the machine factors there, each factor
-is composed on its own, and a bounded cache keeps the paths of frequent factors. Texts are encoded whole.
+is composed on its own, and caches of ``CACHE`` bytes a worker keep the paths of frequent factors and the weights of frequent pairs. Texts are encoded whole.
 
-Nulls give null ids; the empty text gives an empty list, as the library does. Models with a compiled character map are refused: the
-given ones have none.
+Nulls give null ids; the empty text gives an empty list, as the library does. Models with a compiled character map, with user-defined or unused pieces
+or with spaces behind the words are refused. Other columns stay; one named like a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -24,16 +24,37 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
 INF = float("inf")
-#: factors kept per Python worker; the cache starts anew when full
-CACHE = 500_000
+#: bytes, about, that the caches of a Python worker hold together
+CACHE = 32 << 20
+
+
+class Recent(dict):
+    """A bounded cache: what has been asked for since the last but one time it was half full."""
+
+    def __init__(self, compute, limit: int) -> None:
+        self.compute, self.limit, self.size, self.old = compute, limit, 0, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        cost = 160 + 2 * len(key) + len(value)  # two objects and a slot
+        if cost < 1000:
+            if self.size + cost > self.limit // 2:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[key] = value
+            self.size += cost
+        return value
 
 
 def _fields(b: bytes):
@@ -99,10 +120,20 @@ class Model:
         self.unknown_cost = 10 - min((self.score[i] for i in self.ids.values()), default=0.0)
         self.factors = (re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if not any(SPACE in p.lstrip(SPACE) for p in self.ids)
                         else re.compile(r"(?s).+"))
-        self.cache: dict[str, bytes] = {}
         self.cost = {p: -self.score[i] for p, i in self.ids.items()}
         self.tree = self._tree() if self.kind == self.BPE else {}
-        self.agree: dict[tuple[str, str], bool] = {}
+        # pair weights, each at the one place its ids give: (pair, 0 or 1 for infinity) in 64 bits
+        self.pairs = array("q", bytes(CACHE // 4))
+        # the longest piece that starts with four characters; others have three at most
+        self.reach: dict[str, int] = {}
+        for piece in self.ids:
+            if len(piece) > 3:
+                self.reach[piece[:4]] = max(len(piece), self.reach.get(piece[:4], 4))
+        self.paths = Recent(lambda factor: array("i", self.path(factor)).tobytes(), CACHE // 8)
+        # the paths of words with one space in front, by the word
+        self.words = Recent(lambda word: array("i", self.path(SPACE + word)).tobytes(), CACHE // 8 * 5)
+        self.texts = np.array([self.plain.get(i) for i in range(len(self.pieces))], object)
+        self.by_words = bool(self.dummy_prefix and self.escape) and self.factors.pattern[0] != "("
 
     # ---- N
     def normalise(self, text: str) -> str:
@@ -177,40 +208,37 @@ class Model:
     def _merge_path(self, factor: str) -> list[int]:
         """All finite paths have weight 0 and there is just one, so the first to arrive is the shortest. Arcs are tried
         longest first; a place from which no path goes on is not entered again (it has one last piece only)."""
-        n, ids, longest, agree = len(factor), self.ids, self.longest, self.agree
-        i, e, last, done, dead = 0, min(n, longest), None, [], set()
+        n, get, reach, pairs = len(factor), self.ids.get, self.reach.get, self.pairs
+        size, places, dead, done = len(self.pieces), len(self.pairs) - 1, set(), []
+        i, last, e = 0, -1, min(n, reach(factor[:4], 3))
         while i < n:
             while e > i:
-                piece = factor[i:e]
-                if (piece in ids or e == i + 1) and e not in dead:
-                    if last is None:
+                j = get(factor[i:e], -1)
+                if (j >= 0 or e == i + 1) and e not in dead:
+                    if last < 0 or j < 0:  # the start, or a character that is no piece and joins nothing
                         break
-                    ok = agree.get((last, piece))
-                    if ok is None:
-                        ok = self.agreeing(last, piece)
-                    if ok:
+                    pair = last * size + j
+                    held = pairs[(last * 40503 + j) & places]
+                    if held >> 1 != pair + 1:
+                        held = 2 * (pair + 1) + (self.pair_weight(self.pieces[last][0], self.pieces[j][0]) != 0)
+                        pairs[(last * 40503 + j) & places] = held
+                    if not held & 1:
                         break
                 e -= 1
             if e > i:
                 done.append((i, last))
-                i, last, e = e, piece, min(n, e + longest)
+                i, last = e, j
+                e = min(n, i + reach(factor[i:i + 4], 3))
             else:
                 dead.add(i)
                 e = i - 1
                 i, last = done.pop()
-        out = []
         done.append((n, last))
-        for _, piece in done[1:]:
-            j = ids.get(piece)
-            out.extend(self._arc(piece) if j is None else (j,))
+        out = []
+        for (at, _), (end, j) in zip(done, done[1:]):
+            out.extend(self._arc(factor[at:end]) if j < 0 else (j,))
         return out
 
-    def agreeing(self, left: str, right: str) -> bool:
-        if len(self.agree) > CACHE:
-            self.agree.clear()
-        ok = self.agree[left, right] = self.pair_weight(left, right) == 0
-        return ok
-
     def _best_path(self, factor: str) -> list[int]:
         n, ids, score = len(factor), self.ids, self.score
         cost, arc, back = [0.0] + [INF] * n, [None] * (n + 1), [0] * (n + 1)
@@ -228,27 +256,24 @@ class Model:
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        cache, got = self.cache, []
-        for f in self.factors.findall(self.normalise(text)):
-            ids = cache.get(f)
-            if ids is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                ids = np.array(self.path(f), np.int32).tobytes()
-                if len(f) <= 64:
-                    cache[f] = ids
-            got.append(ids)
-        return np.frombuffer(b"".join(got), np.int32)
+        return np.frombuffer(self.packed(text), np.int32)
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text, as bytes of 32-bit integers."""
+        if self.by_words and text and SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return b"".join(map(self.words.__getitem__, text.split(" ")))
+        return b"".join(map(self.paths.__getitem__, self.factors.findall(self.normalise(text))))
 
     def decode(self, ids) -> str:
         """The inverse transduction: pieces end to end, bytes joined to characters, spaces back, the front space gone."""
+        ids = np.asarray(ids, np.int64)
         try:
             # no bytes but those that are characters by themselves
-            return self._restored("".join([self.plain[i] for i in ids]))
-        except KeyError:
+            return self._restored("".join(self.texts[ids]))
+        except TypeError:
             pass
         out, raw = [], bytearray()
-        for i in ids:
+        for i in ids.tolist():
             p, _, t = self.pieces[i]
             if t == self.BYTE:
                 raw.append(int(p[3:5], 16))
@@ -285,64 +310,73 @@ def shipped(spark, model_path: str) -> str:
     return os.path.basename(model_path)
 
 
-def _encode(name: str):
-    def run(frames):
+_SLICE = 256  # texts whose ids are held at a time
+
+
+def _rows(df: DataFrame, source: str, results: list[str]) -> tuple[DataFrame, str]:
+    """(row, source) with all other columns in ``row``, and the type of ``row``; names of result columns are left out."""
+    others = [c for c in df.columns if c != source and c not in results]
+    rows = df.select(F.struct(*others).alias("row") if others else F.struct(F.lit(None).cast("int").alias("_none")).alias("row"), F.col(source))
+    return rows, rows.schema["row"].dataType.simpleString()
+
+
+def _kept(df: DataFrame, *results: str) -> DataFrame:
+    return df.select("row.*", *results).drop("_none") if "_none" in df.schema["row"].dataType.names else df.select("row.*", *results)
+
+
+def _ids(found: list) -> pa.ListArray:
+    ends = np.cumsum([0, *(0 if i is None else len(i) // 4 for i in found)])
+    values = pa.array(np.frombuffer(b"".join(i for i in found if i is not None), np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([i is None for i in found]))
+
+
+def _encode(name: str, check: bool):
+    def run(batches):
         m = _model(name)
-        for pdf in frames:
-            for a in range(0, len(pdf), 500):
-                part = pdf.iloc[a:a + 500]
-                yield pd.DataFrame({"row": part["row"], "ids": [None if t is None else m.encode(t) for t in part["text"]]})
+        for whole in batches:
+            for a in range(0, whole.num_rows, _SLICE):
+                b = whole.slice(a, _SLICE)
+                texts = b.column("text").to_pylist()
+                ids = [None if t is None else m.packed(t) for t in texts]
+                out = [b.column("row"), _ids(ids)]
+                if check:
+                    same = [None if t is None else m.decode(np.frombuffer(i, np.int32)) == t.replace(SPACE, " ") for t, i in zip(texts, ids)]
+                    out += [pa.array([0 if i is None else len(i) // 4 for i in ids], pa.int64()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(out, ["row", "ids", "n_ids", "restored"][:len(out)])
     return run
 
 
 def encode(docs: DataFrame, model_path: str, *, ids: str = "ids") -> DataFrame:
     """``docs`` without ``text``, with the piece ids of the text as ``ids``."""
-    others = F.struct(*[c for c in docs.columns if c != "text"])
-    rows = docs.select(others.alias("row"), F.col("text").cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
+    rows, kind = _rows(docs.withColumn("text", F.col("text").cast("string")), "text", [ids])
     name = shipped(docs.sparkSession, model_path)
-    return rows.mapInPandas(_encode(name), f"row {kind}, ids array<int>").select("row.*", F.col("ids").alias(ids))
+    return _kept(rows.mapInArrow(_encode(name, False), f"row {kind}, ids array<int>").withColumnRenamed("ids", ids), ids)
 
 
 def _decode(name: str):
-    def run(frames):
+    def run(batches):
         m = _model(name)
-        for pdf in frames:
-            for a in range(0, len(pdf), 500):
-                part = pdf.iloc[a:a + 500]
-                yield pd.DataFrame({"row": part["row"], "text": [None if i is None else m.decode(i.tolist()) for i in part["ids"]]})
+        for whole in batches:
+            for a in range(0, whole.num_rows, _SLICE):
+                b = whole.slice(a, _SLICE)
+                texts = [None if i is None else m.decode(i) for i in b.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "text"])
     return run
 
 
 def decode(encoded: DataFrame, model_path: str, *, ids: str = "ids") -> DataFrame:
     """``encoded`` without its ids, with the decoded text as ``text``."""
-    others = F.struct(*[c for c in encoded.columns if c not in (ids, "text")])
-    rows = encoded.select(others.alias("row"), F.col(ids).alias("ids"))
-    kind = rows.schema["row"].dataType.simpleString()
+    rows, kind = _rows(encoded, ids, ["text"])
     name = shipped(encoded.sparkSession, model_path)
-    return rows.mapInPandas(_decode(name), f"row {kind}, text string").select("row.*", "text")
-
-
-def _round_trip(name: str):
-    def run(frames):
-        m = _model(name)
-        for pdf in frames:
-            for a in range(0, len(pdf), 500):
-                part = pdf.iloc[a:a + 500]
-                ids = [None if t is None else m.encode(t) for t in part["text"]]
-                same = [None if t is None else m.decode(i.tolist()) == t.replace(SPACE, " ") for t, i in zip(part["text"], ids)]
-                yield pd.DataFrame({"row": part["row"], "ids": ids, "n_ids": [0 if i is None else len(i) for i in ids], "restored": same})
-    return run
+    return _kept(rows.withColumnRenamed(ids, "ids").mapInArrow(_decode(name), f"row {kind}, text string"), "text")
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     """Both directions in one pass: ``docs`` without ``text``, with ids, n_ids and whether the decoded text is the text
     (U+2581, which stands for a space, decodes to one)."""
-    others = F.struct(*[c for c in docs.columns if c != "text"])
-    rows = docs.select(others.alias("row"), F.col("text").cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
+    rows, kind = _rows(docs.withColumn("text", F.col("text").cast("string")), "text", ["ids", "n_ids", "restored"])
     name = shipped(docs.sparkSession, model_path)
-    return rows.mapInPandas(_round_trip(name), f"row {kind}, ids array<int>, n_ids long, restored boolean").select("row.*", "ids", "n_ids", "restored")
+    return _kept(rows.mapInArrow(_encode(name, True), f"row {kind}, ids array<int>, n_ids long, restored boolean"), "ids", "n_ids", "restored")
 
 
 def default_model() -> str:
