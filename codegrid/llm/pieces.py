@@ -13,7 +13,7 @@ Three machines are compiled once from the model file and composed with each inpu
 
 N after L after G is run as one forward pass of (min, +) over positions. No piece holds a space after another character
 (checked when the model is compiled), so no arc crosses the front of a run of spaces; the machine factors there, each factor
-is composed on its own, and caches of ``CACHE`` bytes a worker keep the paths of frequent factors and the weights of frequent pairs. Texts are encoded whole.
+is composed on its own, and caches of ``CACHE`` and ``PAIRS`` bytes a worker keep the paths of frequent factors and the weights of frequent pairs. Texts are encoded whole.
 
 Nulls give null ids; the empty text gives an empty list, as the library does. Models with a compiled character map, with user-defined or unused pieces
 or with spaces behind the words are refused. Other columns stay; one named like a result column gives way to it.
@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
 INF = float("inf")
-#: bytes, about, that the caches of a Python worker hold together
-CACHE = 32 << 20
+#: bytes, about, that the paths of factors take in a Python worker, and bytes of the table of pair weights
+CACHE, PAIRS = 48 << 20, 8 << 20
 
 
 class Recent(dict):
@@ -123,7 +123,7 @@ class Model:
         self.cost = {p: -self.score[i] for p, i in self.ids.items()}
         self.tree = self._tree() if self.kind == self.BPE else {}
         # pair weights, each at the one place its ids give: (pair, 0 or 1 for infinity) in 64 bits
-        self.pairs = array("q", bytes(CACHE // 4))
+        self.pairs = array("q", bytes(PAIRS))
         # the longest piece that starts with four characters; others have three at most
         self.reach: dict[str, int] = {}
         for piece in self.ids:
@@ -131,7 +131,7 @@ class Model:
                 self.reach[piece[:4]] = max(len(piece), self.reach.get(piece[:4], 4))
         self.paths = Recent(lambda factor: array("i", self.path(factor)).tobytes(), CACHE // 8)
         # the paths of words with one space in front, by the word
-        self.words = Recent(lambda word: array("i", self.path(SPACE + word)).tobytes(), CACHE // 8 * 5)
+        self.words = Recent(lambda word: array("i", self.path(SPACE + word)).tobytes(), CACHE // 8 * 7)
         self.texts = np.array([self.plain.get(i) for i in range(len(self.pieces))], object)
         self.by_words = bool(self.dummy_prefix and self.escape) and self.factors.pattern[0] != "("
 

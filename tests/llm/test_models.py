@@ -1,4 +1,5 @@
 """Models and searches: held-out accuracy, brute force, small cases."""
+import os
 from fractions import Fraction
 
 import numpy as np
@@ -11,8 +12,8 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def test_quality_held_out(spark):
-    sf = "/root/testdata/sf0.1"
+def test_quality_held_out(spark, sf_dir):
+    sf = os.path.join(os.path.dirname(sf_dir), "sf0.1")
     rows = queries.op4_quality_classifier(spark, sf).where("held_out").join(_table(spark, sf, "labels"), "doc_id").collect()
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.97 and all(0 <= r.score <= 1 for r in rows)
 
@@ -22,8 +23,8 @@ def test_quality_without_labels(spark, docs):
     assert {r.score for r in quality.score_documents(docs, none).collect()} == {0.5}
 
 
-def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.1"
+def test_toxicity_held_out(spark, sf_dir):
+    sf = os.path.join(os.path.dirname(sf_dir), "sf0.1")
     docs, labels = _table(spark, sf, "documents"), queries.toxicity_labels(spark, sf)
     rows = toxicity.score_documents(docs, labels.where("doc_id % 4 <> 1")).join(labels.where("doc_id % 4 = 1").withColumnRenamed("toxic", "told"), "doc_id").collect()
     assert np.mean([r.toxic for r in rows if r.told]) > 0.85 and np.mean([r.toxic for r in rows if not r.told]) < 0.01
@@ -61,17 +62,20 @@ def test_near_vectors(some_vectors):
     assert all(got[i].n_links == 0 and got[i].kept for i in (500, 501, 502, 503, 504, 600))
 
 
-def test_near_vectors_recall_on_the_test_table(spark):
-    sf = "/root/testdata/check_s"
-    table = _table(spark, sf, "embeddings")
-    v = table.toPandas()
-    x = np.stack(v["embedding"]).astype(float)
+def test_near_vectors_recall_in_large_groups(spark):
+    """Groups of near copies of 2 to 400 vectors, and exact copies, in 64 dimensions."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for size in (2, 5, 30, 400):
+        centre = rng.normal(size=64)
+        rows += [(len(rows) + i, (centre + 0.2 * rng.normal(size=64)).tolist(), size % 3) for i in range(size)]
+    rows += [(len(rows) + i, rows[i][1], rows[i][2]) for i in range(60)]
+    x = np.array([r[1] for r in rows])
     x /= np.linalg.norm(x, axis=1)[:, None]
-    links = 0
-    for _, part in v.groupby("label"):
-        y = x[part.index]
-        links += int((y @ y.T >= 0.93).sum()) - len(y)
-    assert vectors.near_duplicates(table).groupBy().sum("n_links").first()[0] >= 0.9 * links
+    label = np.array([r[2] for r in rows])
+    links = ((x @ x.T >= 0.93) & (label[:, None] == label)).sum() - len(rows)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert links >= vectors.near_duplicates(table).groupBy().sum("n_links").first()[0] >= 0.9 * links > 0
 
 
 def _near_rows(rng, n, d, label, first, common=0.0):

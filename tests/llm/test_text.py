@@ -113,6 +113,25 @@ def test_pieces_match_the_library(docs):
         assert m.encode(t).tolist() == ids and m.decode(ids) == lib.decode(ids)
 
 
+def test_pieces_with_clashing_columns_and_bounded_caches(spark, monkeypatch):
+    import sentencepiece
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = [(i, t, i, "x", None, True) for i, t in enumerate(["one two", None, "", "three  four ", "word " * 50_000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids long, row string, n_ids int, restored boolean")
+    got = pieces.round_trip(df, MODEL)
+    assert got.columns == ["doc_id", "row", "ids", "n_ids", "restored"]
+    for r, t in zip(got.orderBy("doc_id").collect(), [t for _, t, *_ in rows]):
+        assert r.ids == (None if t is None else lib.encode(t)) and r.n_ids == len(r.ids or []) and r.restored == (None if t is None else True)
+    back = pieces.decode(got.withColumn("text", pieces.F.lit("old")), MODEL)
+    assert [r.text for r in back.orderBy("doc_id").collect()] == [t for _, t, *_ in rows]
+    assert pieces.encode(df.select("text"), MODEL).columns == ["ids"]
+    # a cache that holds a few words only gives the same ids
+    monkeypatch.setattr(pieces, "CACHE", 4000)
+    m = pieces.Model(open(MODEL, "rb").read())
+    texts = [" ".join(random.Random(k).choices(["alpha", "beta", "the", "ofing", "zzz", "naïve"], k=40)) for k in range(20)]
+    assert all(m.encode(t).tolist() == lib.encode(t) for t in texts + texts)
+
+
 def test_empty_tables(docs):
     none = docs.where("false")
     for df in (minhash.near_duplicates(none), suffix.dedup_spans(none), mixing.mix(none), pieces.encode(none, MODEL)):
