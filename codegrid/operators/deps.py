@@ -229,17 +229,22 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame, index: DataFrame, entries:
 
 
 # ------------------------------------------------------------------ D11
-def sample_graph(edges: DataFrame, max_sources: int = 20, max_targets: int = 5) -> DataFrame:
+def sample_graph(edges: DataFrame, max_sources: int = 20, max_targets: int = 5, max_edges: int | None = None) -> DataFrame:
     """First ``max_sources`` sources (by file) x first ``max_targets``
-    targets each, per repo. Both cuts are rank filters, which Spark turns
-    into window group limits applied before the shuffle."""
+    targets each, per repo, and of these the first ``max_edges`` (by source,
+    target) if given. The cuts are rank filters, which Spark turns into
+    window group limits applied before the shuffle."""
     srcs = edges.select("repo", "source").distinct()
     top = (srcs.withColumn("r", F.row_number().over(Window.partitionBy("repo").orderBy("source")))
            .where(F.col("r") <= max_sources).drop("r"))
     w = Window.partitionBy("repo", "source").orderBy("target")
-    return (edges.join(top, ["repo", "source"], "left_semi")
-            .withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_targets).drop("r")
-            .select("repo", "source", "target"))
+    out = (edges.join(top, ["repo", "source"], "left_semi")
+           .withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_targets).drop("r")
+           .select("repo", "source", "target"))
+    if max_edges is not None:
+        w = Window.partitionBy("repo").orderBy("source", "target")
+        out = out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_edges).drop("r")
+    return out
 
 
 # ------------------------------------------------------------------ D12

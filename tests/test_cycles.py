@@ -116,3 +116,10 @@ def test_gram_index(spark, monkeypatch):
         if first:
             want |= {(r, i, p): first for p in (True, False)}
     assert got == want and deps.gram_match(left.where(F.lit(False)), index).count() == 0
+
+
+def test_sample_with_an_edge_limit(spark):
+    edges = {r: [(f"{r}{i}", f"{r}{j}") for i in range(4) for j in range(4)] for r in "ab"}
+    got = {(r.source, r.target) for r in deps.sample_graph(table(spark, edges), max_sources=3, max_targets=2, max_edges=5).collect()}
+    assert got == {(a, b) for r in "ab" for a, b in [e for e in edges[r] if e[1][1] in "01"][:5]}
+    assert deps.sample_graph(table(spark, edges), 3, 2).count() == 12
