@@ -9,8 +9,9 @@ pair meets under an equal key.
 
 Work for copies stays linear. Documents of equal sets are one class. Within a key, members are compared with the
 smallest one (each with that of the key it shares most with); what these stars link is one component, and only members of
-*different* components under a key are then paired, filtered by size and signature distance and confirmed, so no link
-between different texts is lost.
+*different* components under a key are then paired, each pair under the first key it shares only, filtered by size and by the
+distance of a longer signature of one-bit components (made for these members alone) and confirmed, so no link between
+different texts is lost.
 
 Nulls and texts without words have an empty set: 0 shingles, own component. A null doc_id counts as no row of the
 graph: it keeps its own row with a null component and is kept. Repeated rows of a doc_id are one document if their
@@ -28,18 +29,20 @@ from pyspark.sql import DataFrame, functions as F
 from codegrid.llm.common import U64, batches, binomial_tail, bucketed, connected_components, drop, mix, partitions, shingle_sets, staged
 
 K = 64  # components that the index is made of
-FULL = 256  # components of the whole signature, which filters the last pairs
+FULL = 1024  # one-bit components of the longer signature, which filters the last pairs
 MISS = 1e-6
 _SEED = np.random.default_rng(20240607)
 _MUL = _SEED.integers(0, 1 << 63, FULL, dtype=np.uint64) * U64(2) + U64(1)
 _ADD = _SEED.integers(0, 1 << 63, FULL, dtype=np.uint64)
-NIBBLES = [f"q{i}" for i in range(FULL // 16)]
+LANES = [f"s{i}" for i in range(K // 4)]
+BITS = [f"w{i}" for i in range(FULL // 64)]
 _PER_TASK = 2000
 
 
-def radius(percent: int, k: int = K) -> int:
-    """Smallest distance of k components that a pair at the threshold exceeds with a chance of at most MISS."""
-    return next(d for d in range(k) if binomial_tail(k, 1 - percent / 100, d) <= MISS)
+def radius(percent: int, k: int = K, differ: float = 1.0) -> int:
+    """Smallest distance of k components that a pair at the threshold exceeds with a chance of at most MISS; ``differ`` is the chance that
+    components of different shingles differ (one half for one-bit components)."""
+    return next(d for d in range(k) if binomial_tail(k, differ * (1 - percent / 100), d) <= MISS)
 
 
 def key_plan(distance: int) -> list[list[int]]:
@@ -48,10 +51,10 @@ def key_plan(distance: int) -> list[list[int]]:
     return [[i for i in range(a, b) if i != out] for a, b in zip(bounds[:-1], bounds[1:]) for out in range(a, b)]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(FULL, np.iinfo(np.uint64).max, U64)
+def signature(shingles: np.ndarray, k: int = K) -> np.ndarray:
+    low = np.full(k, np.iinfo(np.uint64).max, U64)
     for i in range(0, len(shingles), 256):
-        h = shingles[i:i + 256][None, :] * _MUL[:, None] + _ADD[:, None]
+        h = shingles[i:i + 256][None, :] * _MUL[:k, None] + _ADD[:k, None]
         h ^= h >> U64(31)
         h *= U64(0x94D049BB133111EB)
         np.minimum(low, h.min(axis=1), out=low)
@@ -78,15 +81,21 @@ def _signatures(width: int):
                 "id": pdf["id"], "no_id": pdf["no_id"], "n_shingles": [len(s) for s in sets],
                 "h1": np.array([int(s.sum(dtype=U64)) if len(s) else 0 for s in sets], U64).view(np.int64),
                 "h2": np.array([int(np.bitwise_xor.reduce(mix(s + U64(7)))) if len(s) else 0 for s in sets], U64).view(np.int64),
-                **_columns([signature(s) if len(s) else None for s in sets])})
+                "sig": [signature(s).tobytes() if len(s) else None for s in sets]})
     return run
 
 
-def _columns(sigs: list) -> dict:
-    """The components of the index as bytes, and the lowest four bits of all in longs."""
-    low = np.array([np.zeros(FULL, np.uint16) if s is None else s for s in sigs]).astype(U64) & U64(15)
-    low = (low.reshape(len(sigs), len(NIBBLES), 16) << (U64(4) * np.arange(16, dtype=U64))).sum(axis=2, dtype=U64).view(np.int64)
-    return {"sig": [None if s is None else s[:K].tobytes() for s in sigs], **{q: low[:, i] for i, q in enumerate(NIBBLES)}}
+def _long_signatures(width: int):
+    """The components of the index, four in a long, and the lowest bits of the longer signature, 64 in a long."""
+    def run(frames):
+        for pdf in batches(frames, 500_000):
+            sets = shingle_sets(pdf["text"].tolist(), width)
+            sigs = np.array([signature(s, FULL) for s in sets])
+            lanes = np.ascontiguousarray(sigs[:, :K]).astype("<u2").view("<i8")
+            bits = np.packbits((sigs & 1).astype(np.uint8), axis=1, bitorder="little").view("<i8")
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "n_shingles": [len(s) for s in sets],
+                                **{c: lanes[:, i] for i, c in enumerate(LANES)}, **{c: bits[:, i] for i, c in enumerate(BITS)}})
+    return run
 
 
 def _entries(plan: list[list[int]]):
@@ -94,21 +103,38 @@ def _entries(plan: list[list[int]]):
         for pdf in frames:
             if len(pdf):
                 keys = index_keys(np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, K), plan)
-                yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(pdf["id"].to_numpy(), keys.shape[1])})
+                yield pd.DataFrame({"key": keys.ravel(), "j": np.tile(np.arange(len(plan), dtype=np.int16), len(pdf)),
+                                    "id": np.repeat(pdf["id"].to_numpy(), keys.shape[1])})
     return run
 
 
-def _nibble_distance(a: str, b: str):
-    """Components whose lowest four bits differ: never more than the signature distance, and computed in the join."""
+def _bit_distance(a: str, b: str):
+    """Components of the longer signature whose bits differ, computed in the join."""
     total = F.lit(0)
-    for i in range(len(NIBBLES)):
-        x = F.col(f"{a}.q{i}").bitwiseXOR(F.col(f"{b}.q{i}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    for c in BITS:
+        total = total + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
     return total
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _first_shared(a: str, b: str, plan: list[list[int]]):
+    """Whether no key before ``a.j`` is shared: a pair meets under every key it shares and is taken under the first. Component 4 i + l
+    is bit 16 l + i of the differing ones, a key is shared if none of its components differs."""
+    differing = F.lit(0).cast("long")
+    for i, c in enumerate(LANES):
+        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
+        for step in (8, 4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        differing = differing.bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(0x0001000100010001)), i))
+    masks = F.array(*[F.lit(_signed(sum(1 << (16 * (k % 4) + k // 4) for k in kept))).cast("long") for kept in plan])
+    earlier = F.slice(masks, F.lit(1), F.col(f"{a}.j").cast("int"))
+    # the array of one value binds it, so that it is computed once for all keys
+    return ~F.exists(F.array(differing), lambda d: F.exists(earlier, lambda m: d.bitwiseAND(m) == 0))
+
+
 def _best(pairs: DataFrame) -> DataFrame:
     """For each a the b with which it shares most keys."""
     return (pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.max(F.struct("n", -F.col("b"))).alias("m"))
@@ -170,41 +196,46 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
                       F.col("text").cast("string").alias("text"))
     # kept by id, so that no confirmation moves the texts again
     src = bucketed(src.repartition(parts, F.col("id")), "id", parts, "mh_texts")
-    sigs = staged(src.mapInPandas(_signatures(width), "id long, no_id boolean, n_shingles long, h1 long, h2 long, sig binary, "
-                                  + ", ".join(f"{q} long" for q in NIBBLES)), "mh-sigs")
+    sigs = staged(src.mapInPandas(_signatures(width), "id long, no_id boolean, n_shingles long, h1 long, h2 long, sig binary"), "mh-sigs")
     real = sigs.where("sig IS NOT NULL AND NOT no_id")
     # one class per distinct set; its smallest id stands for it
-    rep = staged(real.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("sig", *NIBBLES)]), "mh-reps")
+    rep = staged(real.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "mh-reps")
     texts = src.where("NOT no_id")
-    entries = rep.select("id", "sig").repartition(parts).mapInPandas(_entries(key_plan(limit)), "key long, id long")
+    plan = key_plan(limit)
+    entries = rep.select("id", "sig").repartition(parts).mapInPandas(_entries(plan), "key long, j short, id long")
     groups = entries.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
     # only keys with company go on
-    shared = staged(entries.join(groups, "key").select("key", "id", "b"), "mh-shared")
+    shared = staged(entries.join(groups, "key").select("key", "j", "id", "b"), "mh-shared")
     links = confirmed(_best(shared.where("id <> b").select(F.col("id").alias("a"), "b")), texts, width, percent)
     comp = staged(connected_components(links), "mh-comp")
     # once more among members of different components under one key, with the first and with the last of them
-    open_ = shared.select("key", "id")
+    open_ = shared.select("key", "j", "id")
     for end in (F.min, F.max):
-        open_ = open_.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        open_ = open_.select("key", "j", "id").join(comp, "id", "left").select("key", "j", "id", F.coalesce("component", "id").alias("c"))
         mixed = open_.groupBy("key").agg(end(F.struct("c", "id")).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-        open_ = staged(open_.join(mixed.select("key", "m"), "key").select("key", "id", "c", "m"), "mh-open")
+        open_ = staged(open_.join(mixed.select("key", "m"), "key").select("key", "j", "id", "c", "m"), "mh-open")
         again = _best(open_.where("c <> m.c").select(F.col("id").alias("a"), F.col("m.id").alias("b")))
         links = confirmed(again, texts, width, percent, links)
         comp = staged(connected_components(links), "mh-comp")
-    # what is still apart: every pair under a key that its signature and its sizes let through
+    # what is still apart: every pair under a key that its longer signature and its sizes let through
     step = math.log(100 / percent)
-    x = (open_.select("key", "id").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
-         .join(rep.select("id", "n_shingles", *NIBBLES), "id").withColumn("size", F.floor(F.log("n_shingles") / step)))
+    x = open_.select("key", "j", "id").join(comp, "id", "left").select("key", "j", "id", F.coalesce("component", "id").alias("c"))
+    mixed = x.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    x_keys = staged(x.join(mixed, "key", "left_semi"), "mh-apart")
+    need = x_keys.select("id").distinct()
+    long_ = staged(texts.join(need, "id", "left_semi").select("id", "text").mapInPandas(
+        _long_signatures(width), "id long, n_shingles long, " + ", ".join(f"{c} long" for c in (*LANES, *BITS))).distinct(), "mh-long")
+    x = x_keys.join(long_, "id").withColumn("size", F.floor(F.log("n_shingles") / step))
     # the sizes of a pair are at most one class apart
     p = x.alias("p")
     q = x.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).alias("q")
     near = ((F.col("p.key") == F.col("q.key")) & (F.col("p.size") == F.col("q.size")) & (F.col("p.c") < F.col("q.c"))
             & (100 * F.least("p.n_shingles", "q.n_shingles") >= percent * F.greatest("p.n_shingles", "q.n_shingles"))
-            & (_nibble_distance("p", "q") <= radius(percent, FULL)))
+            & (_bit_distance("p", "q") <= radius(percent, FULL, 0.5)) & _first_shared("p", "q", plan))
     pairs = p.join(q, near).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
     links = confirmed(pairs, texts, width, percent, links)
     comp = staged(connected_components(links), "mh-comp")
-    drop(src, shared, open_, links)
+    drop(src, shared, open_, x_keys, long_, links)
     classes = (rep.join(comp, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component_id")))
     out = sigs.join(classes, ["h1", "h2", "n_shingles"], "left")
     doc_id = F.when(~F.col("no_id"), F.col("id"))

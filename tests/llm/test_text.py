@@ -47,6 +47,24 @@ def test_index_finds_all_pairs_within_the_radius():
         assert set(x) & set(y)
 
 
+def test_a_pair_is_taken_under_one_shared_key(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    plan = minhash.key_plan(minhash.radius(85))
+    rows = []
+    for n in range(60):
+        a = rng.integers(0, 1 << 16, minhash.K).astype(np.uint16)
+        b = a.copy()
+        b[rng.choice(minhash.K, n % 25, replace=False)] ^= rng.integers(1, 1 << 16, n % 25).astype(np.uint16)
+        x, y = minhash.index_keys(np.stack([a, b]), plan)
+        lanes = [s.astype("<u2").view("<i8").tolist() for s in (a, b)]
+        rows += [(n, int(j), *lanes[0], *lanes[1]) for j in np.flatnonzero(x == y)]
+    cols = ["pair", "j"] + [f"{side}_{c}" for side in "ab" for c in minhash.LANES]
+    df = spark.createDataFrame(rows, cols).select("pair", *[F.struct(F.col("j"), *[F.col(f"{side}_{c}").alias(c) for c in minhash.LANES]).alias(side) for side in "ab"])
+    met = df.groupBy("pair").agg(F.count_if(minhash._first_shared("a", "b", plan)).alias("n")).collect()
+    assert len(met) > 40 and all(r.n == 1 for r in met)
+
+
 def _spans(rows, depth):
     first = {}
     for i, t in rows:
