@@ -818,3 +818,83 @@ allc AS (SELECT w.repo, w.p AS c FROM w JOIN e ON e.repo = w.repo AND e.a = w.x
 SELECT repo, CAST(len(c) AS BIGINT) AS cycle_len, array_to_string(c, ' -> ') AS cycle, CAST(i - 1 AS BIGINT) AS pos, c[i] AS file
 FROM (SELECT repo, c, unnest(generate_series(1, len(c))) AS i FROM allc)
 """
+
+
+# ---------------------------------------------------------------- documents as ordered lines
+def _heading(rows: str, section: int, *lines: str) -> str:
+    """The fixed lines of a section in every repo that has rows in the relation ``rows``."""
+    return "".join(f"""
+UNION ALL SELECT DISTINCT repo, {section}, '{i:06d}', '{t}' FROM {rows}""" for i, t in enumerate(lines))
+
+
+ORACLES["dep_links_report"] = LINKS_CTE + r"""
+, ext AS (SELECT count(*) AS n, repo FROM (
+      SELECT DISTINCT s.repo, s.file, t.n, t.k FROM i JOIN c s ON s.k = i.k JOIN c t ON t.k = i.q
+      WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.repo = s.repo AND x.file = s.file
+                        AND x."import" = CASE WHEN s.l = 2 THEN concat('com\n', t.n, '\C', t.k) ELSE concat('com.n', t.n, '.C', t.k) END)) GROUP BY repo),
+dg AS (SELECT c.repo, c.file, (SELECT count(*) FROM e WHERE e.repo = c.repo AND e.a = c.file) AS o,
+              (SELECT count(*) FROM e WHERE e.repo = c.repo AND e.b = c.file) AS n FROM c),
+tot AS (SELECT repo, count(*) AS files, CAST(sum(o) AS BIGINT) AS edges, coalesce(max(ext.n), 0) AS external FROM dg LEFT JOIN ext USING (repo) GROUP BY repo),
+w AS (SELECT repo, a AS s, [a] AS p, a AS x FROM e WHERE a <> b GROUP BY repo, a
+      UNION ALL SELECT w.repo, w.s, list_append(w.p, e.b), e.b FROM w JOIN e ON e.repo = w.repo AND e.a = w.x
+      WHERE e.b > w.s AND NOT list_contains(w.p, e.b) AND len(w.p) < 3),
+cy AS (SELECT w.repo, w.p AS c FROM w JOIN e ON e.repo = w.repo AND e.a = w.x AND e.b = w.s WHERE len(w.p) > 1
+       UNION ALL SELECT repo, [a] FROM e WHERE a = b),
+orph AS (SELECT repo, file FROM dg WHERE o = 0 AND n = 0),
+coup AS (SELECT * FROM dg WHERE o + n >= 5 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY o + n DESC, file) <= 10),
+smp AS (SELECT repo, a, b FROM (SELECT repo, a, b, dense_rank() OVER (PARTITION BY repo ORDER BY a) AS i,
+               row_number() OVER (PARTITION BY repo, a ORDER BY b) AS j FROM e) WHERE i <= 20 AND j <= 5),
+dr AS (SELECT repo, replace(replace(a, '/', '_'), '.', '_') AS x, replace(replace(b, '/', '_'), '.', '_') AS y,
+              regexp_extract(a, '[^/]*$') AS l, regexp_extract(b, '[^/]*$') AS r FROM smp)
+SELECT repo, 1 AS section, '0' AS sort_key, concat('**Total Files:** ', files) AS line FROM tot
+UNION ALL SELECT repo, 1, '1', concat('**Total Classes:** ', 2 * files) FROM tot
+UNION ALL SELECT repo, 1, '2', concat('**Internal Dependencies:** ', edges) FROM tot
+UNION ALL SELECT repo, 1, '3', concat('**External Dependencies:** ', external) FROM tot
+UNION ALL SELECT repo, 4, concat(lpad(CAST(len(c) AS VARCHAR), 6, '0'), chr(1), array_to_string(c, ' -> ')),
+       concat('- ', array_to_string(c, ' → '), ' → ', c[1]) FROM cy
+UNION ALL SELECT repo, 7, file, concat('- `', file, '`') FROM orph
+UNION ALL SELECT repo, 10, concat(lpad(CAST(1000000000000000 - (o + n) AS VARCHAR), 16, '0'), chr(1), file),
+       concat('| `', file, '` | ', o, ' | ', n, ' | ', o + n, ' |') FROM coup
+UNION ALL SELECT repo, 13, concat(x, chr(1), y), concat('  ', x, '["', l, '"] --> ', y, '["', r, '"]') FROM dr
+""" + (_heading("tot", 0, "# Dependency Map Analysis", "") + _heading("tot", 2, "")
+       + _heading("cy", 3, "## Circular Dependencies", "") + _heading("cy", 5, "")
+       + _heading("orph", 6, "## Orphaned Files", "", "Files with no dependencies:", "") + _heading("orph", 8, "")
+       + _heading("coup", 9, "## Highly Coupled Files", "", "| File | Dependencies | Dependents | Total Coupling |", "|---|---|---|---|")
+       + _heading("coup", 11, "") + _heading("dr", 12, "## Dependency Graph", "", "```mermaid", "graph TD") + _heading("dr", 14, "```"))
+
+ORACLES["dep_links_json"] = LINKS_CTE + r"""
+, dg AS (SELECT c.repo, c.file, (SELECT count(*) FROM e WHERE e.repo = c.repo AND e.a = c.file) AS o,
+              (SELECT count(*) FROM e WHERE e.repo = c.repo AND e.b = c.file) AS n FROM c),
+im AS (SELECT DISTINCT s.repo, s.file, CASE WHEN s.l = 2 THEN concat('com\n', t.n, '\C', t.k) ELSE concat('com.n', t.n, '.C', t.k) END AS m
+       FROM i JOIN c s ON s.k = i.k JOIN c t ON t.k = i.q),
+j AS (SELECT repo, 0 AS section, concat('{"table":"nodes","file":"', file, '","dependency_count":', o, ',"dependent_count":', n, '}') AS line FROM dg
+      UNION ALL SELECT repo, 1, concat('{"table":"edges","source":"', a, '","target":"', b, '","type":"internal"}') FROM e
+      UNION ALL SELECT repo, 2, concat('{"table":"external","file":"', file, '","import":"', replace(m, '\', '\\'), '"}') FROM im
+                WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.repo = im.repo AND x.file = im.file AND x."import" = im.m)
+      UNION ALL SELECT repo, 3, concat('{"table":"orphans","file":"', file, '"}') FROM dg WHERE o = 0 AND n = 0)
+SELECT repo, section, line AS sort_key, line FROM j
+"""
+
+ORACLES["txt_catalog_document"] = _shop("""
+, ep AS (SELECT 'shop' AS repo, od.ctl, od.method, od.verb, od.route, CASE WHEN depl.deps IS NULL THEN od.ctl ELSE concat(od.ctl, ', ', depl.deps) END AS comps,
+                concat(od.ctl, chr(1), od.method) AS k FROM od LEFT JOIN depl ON depl.ctl = od.ctl),
+ct AS (SELECT 'shop' AS repo, * FROM cu), sv AS (SELECT 'shop' AS repo, name FROM svc)
+SELECT repo, 1 AS section, concat(ctl, chr(1), file) AS sort_key, concat('- `', ctl, '` (Route: `api/customer', k, '`)') AS line FROM ct
+UNION ALL SELECT repo, 4, k, concat('| `', ctl, '` | `', method, '` | ', verb, ' | `', route, '` |') FROM ep
+UNION ALL SELECT repo, 7, concat(k, chr(1)), concat('#### ', verb, ' ', route, ' (', ctl, '.', method, ')') FROM ep
+UNION ALL SELECT 'shop', 7, concat(ctl, chr(1), method, chr(1), lpad(CAST(step_ord AS VARCHAR), 9, '0')), concat('- ', step) FROM flows
+UNION ALL SELECT repo, 7, concat(k, chr(1), '0'), '- No flow steps detected.' FROM ep
+          WHERE NOT EXISTS (SELECT 1 FROM flows WHERE flows.ctl = ep.ctl AND flows.method = ep.method)
+UNION ALL SELECT repo, 10, name, concat('- `', name, '`') FROM sv
+UNION ALL SELECT repo, 16, k, concat('| ', verb, ' | `', route, '` | `', ctl, '.', method, '` | ', comps, ' |') FROM ep
+""" + (_heading("ct", 0, "## Service Catalog", "", "### Controllers", "") + _heading("ct", 2, "")
+       + _heading("ep", 3, "### Endpoints", "", "| Controller | Method | HTTP | Route |", "|---|---|---|---|") + _heading("ep", 5, "")
+       + _heading("ep", 6, "### Endpoint Flow Details", "") + _heading("ep", 8, "")
+       + _heading("sv", 9, "### Services / Repositories", "") + _heading("sv", 11, "")
+       + _heading("ep", 15, "## API Specifications", "", "| HTTP | Route | Controller.Method | Components/Services |", "|---|---|---|---|")))
+
+ORACLES["src_read_rejected"] = _docs("""
+SELECT 'corpus' AS repo, concat(repo, '/main/', relative_path) AS relative_path, size_bytes,
+       CASE WHEN language = 'unknown' THEN 'extension' WHEN excluded THEN 'excluded' ELSE 'oversized' END AS reason
+FROM fx WHERE language = 'unknown' OR excluded OR size_bytes > 10485
+""")

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calls, catalog, correlation, cycles, deps, extract, members, messaging, reports, textprep
+from ..operators import calls, catalog, correlation, cycles, deps, documents, extract, members, messaging, reports, textprep
 import uuid
 
 from ..sources import filters, fixtures, tree
@@ -141,6 +141,12 @@ def q_src_read_tree(spark, d):
         "repo", "relative_path", "language", "size_bytes", "content_md5")
 
 
+@register("src_read_rejected")
+def q_src_read_rejected(spark, d):
+    root = docs_corpus_root(spark, d)
+    return tree.rejected_files(spark, root, repo="corpus", max_mb=0.01).select("repo", "relative_path", "size_bytes", "reason")
+
+
 @register("src_read_one")
 def q_src_read_one(spark, d):
     root = docs_corpus_root(spark, d)
@@ -333,6 +339,23 @@ def q_dep_links_cycles(spark, d):
     return cycles.simple_cycles(links_graph(spark, d).edges, 5, checkpoint)
 
 
+@register("dep_links_report")
+def q_dep_links_report(spark, d):
+    g = links_graph(spark, d)
+    nodes = g.nodes()
+    return documents.dependency_report(
+        deps.graph_metrics(nodes, g.edges, g.index, g.entries, g.external()), cycles.simple_cycles(g.edges, 3, checkpoint),
+        deps.orphaned_files(nodes), deps.highly_coupled_files(nodes, k=10), g.edges)
+
+
+@register("dep_links_json")
+def q_dep_links_json(spark, d):
+    g = links_graph(spark, d)
+    nodes = g.nodes()
+    return documents.json_lines(nodes=nodes.select("repo", "file", "dependency_count", "dependent_count"), edges=g.edges,
+                                external=g.external(), orphans=deps.orphaned_files(nodes))
+
+
 # ---------------------------------------------------------------- M: messaging
 class Messaging:
     """Messaging facts of one corpus (candidates gate first, facts once)."""
@@ -624,6 +647,13 @@ def q_txt_documents(spark, d):
     return textprep.assemble_documents(filters.drop_unsupported(fixtures.fx_docs(spark, d)))
 
 
+@register("txt_catalog_document")
+def q_txt_catalog_document(spark, d):
+    c = shop(spark, d)
+    return documents.catalog_document(c.controllers, catalog.services_and_interfaces(c.scan),
+                                      catalog.api_spec(c.endpoints, c.ctrl_deps, c.flows), c.flows)
+
+
 @register("txt_merge")
 def q_txt_merge(spark, d):
     """T2 on fx_java cut into 120-character chunks with 40 characters of

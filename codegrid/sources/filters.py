@@ -42,16 +42,25 @@ def glob_match(path: Column, patterns: Sequence[str]) -> Column:
     return cond
 
 
+def not_included(path: Column, include: Sequence[str] | None = None) -> Column:
+    """No include list = everything included."""
+    return ~glob_match(path, include) if include else F.lit(False)
+
+
+def excluded_by(path: Column, exclude: Sequence[str] | None = None) -> Column:
+    """None = the default list, an empty list excludes nothing."""
+    return glob_match(path, DEFAULT_EXCLUDES if exclude is None else exclude)
+
+
+def known_extension(path: Column, extensions: dict[str, list[str]] | None = None) -> Column:
+    """The lower-cased suffix is one of the configured ones."""
+    return suffix_of(path).isin(*[e for v in (extensions or EXTENSIONS).values() for e in v])
+
+
 def filter_paths(df: DataFrame, include: Sequence[str] | None = None,
                  exclude: Sequence[str] | None = None, path_col: str = "path") -> DataFrame:
     """No include list = everything included; exclude wins."""
-    exclude = DEFAULT_EXCLUDES if exclude is None else exclude
-    cond = F.lit(True)
-    if include:
-        cond = cond & glob_match(F.col(path_col), include)
-    if exclude:
-        cond = cond & ~glob_match(F.col(path_col), exclude)
-    return df.where(cond)
+    return df.where(~not_included(F.col(path_col), include) & ~excluded_by(F.col(path_col), exclude))
 
 
 def filter_size(df: DataFrame, max_mb: float = DEFAULT_MAX_FILE_MB, size_col: str = "size_bytes") -> DataFrame:
@@ -63,8 +72,7 @@ def filter_extensions(df: DataFrame, extensions: dict[str, list[str]] | None = N
                       path_col: str = "path") -> DataFrame:
     """Suffix test of the folder reader: lower-cased suffix in the union of
     configured extensions."""
-    exts = [e for v in (extensions or EXTENSIONS).values() for e in v]
-    return df.where(suffix_of(F.col(path_col)).isin(*exts))
+    return df.where(known_extension(F.col(path_col), extensions))
 
 
 def detect_language(df: DataFrame, path_col: str = "relative_path") -> DataFrame:
@@ -79,22 +87,31 @@ def drop_unsupported(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ S8
-def apply_domain_profiles(files: DataFrame, profiles: Sequence[dict],
-                          global_exclude: Sequence[str] | None = None) -> DataFrame:
-    """(domain, file row) for every profile a file belongs to.
-
-    A profile's include / exclude lists replace the global ones when given.
-    Profiles are configuration (a handful of rows), so each becomes one
-    predicate; the result is one scan of ``files`` feeding a union, and
-    downstream jobs group by ``domain`` instead of looping on the driver."""
+def apply_domain_profiles(files: DataFrame, profiles: Sequence[dict], global_exclude: Sequence[str] | None = None,
+                          overlays: bool = False) -> DataFrame:
+    """(domain, file row) for every profile a file belongs to, in one scan: each profile is one predicate, a file carries the array of
+    the profiles that take it and is exploded over it; files that no profile takes go before that.
+
+    A profile's include / exclude lists replace the global ones when given. ``extensions`` (language -> suffixes) limits the files to its
+    suffixes. With ``overlays`` the language is taken from a profile's extensions, and its ``chunk_size_chars`` / ``chunk_overlap_chars``
+    are columns (null = the global setting)."""
     global_exclude = DEFAULT_EXCLUDES if global_exclude is None else global_exclude
-    out = None
+    path, suffix = F.col("path"), suffix_of(F.col("path"))
+    taken = []
     for p in profiles:
         exclude = p.get("exclude_patterns")
-        part = filter_paths(files, p.get("include_patterns") or None,
-                            global_exclude if exclude is None else exclude)
-        if p.get("extensions"):
-            part = filter_extensions(part, p["extensions"])
-        part = part.select(F.lit(p["name"]).alias("domain"), *files.columns)
-        out = part if out is None else out.unionByName(part)
-    return out
+        fits = ~not_included(path, p.get("include_patterns")) & ~excluded_by(path, global_exclude if exclude is None else exclude)
+        own = p.get("extensions") or {}
+        language = F.lit(None).cast("string")
+        if own:
+            fits = fits & known_extension(path, own)
+            language = F.coalesce(*[F.when(suffix.isin(*v), F.lit(k)) for k, v in own.items()])
+        taken.append(F.when(fits, F.struct(F.lit(p["name"]).alias("domain"), language.alias("language"),
+                                           F.lit(p.get("chunk_size_chars")).cast("long").alias("chunk_size_chars"),
+                                           F.lit(p.get("chunk_overlap_chars")).cast("long").alias("chunk_overlap_chars"))))
+    # the generator drops files with an empty array
+    out = files.select("*", F.explode(F.array_compact(F.array(*taken))).alias("_profile"))
+    if not overlays:
+        return out.select("_profile.domain", *files.columns)
+    cols = [F.coalesce("_profile.language", "language").alias("language") if c == "language" else F.col(c) for c in files.columns]
+    return out.select("_profile.domain", *cols, "_profile.chunk_size_chars", "_profile.chunk_overlap_chars")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import DEFAULT_MAX_FILE_MB
 from ..schemas import FILE_COLUMNS
-from .filters import filter_extensions, filter_paths
+from .filters import excluded_by, filter_extensions, filter_paths, known_extension, not_included
 from .tables import language_of, suffix_of
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -99,6 +99,35 @@ def read_source_tree(spark: SparkSession, root: str, repo: str | None = None,
     return _files(df, F.lit(repo), rel)
 
 
+def rejected_files(spark: SparkSession, root: str, repo: str | None = None,
+                   include: Sequence[str] | None = None, exclude: Sequence[str] | None = None,
+                   max_mb: float = DEFAULT_MAX_FILE_MB,
+                   extensions: dict[str, list[str]] | None = None, probe: bool = False) -> DataFrame:
+    """(repo, path, relative_path, size_bytes, modified_at, reason): the files under ``root`` that ``read_source_tree`` with the same
+    arguments gives no row for, with the first reason that holds: ``extension``, ``not included``, ``excluded``, ``oversized``. The scan
+    reads file metadata only. With ``probe`` the other files are read once with unreadable ones skipped, and those that came back without
+    content are rows of the reason ``unreadable``. Together with the rows read, every file that is not empty is accounted for once; Spark's
+    file sources list no files of zero bytes, so these are in neither."""
+    root_clean = _clean_root(root)
+    meta = (spark.read.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", "true").load(root_clean)
+            .select(_strip_scheme(F.col("path")).alias("path"), "modificationTime", "length"))
+    path = F.col("path")
+    reason = (F.when(~known_extension(path, extensions), "extension").when(not_included(path, include), "not included")
+              .when(excluded_by(path, exclude), "excluded").when(F.col("length") > F.lit(int(max_mb * 1024 * 1024)), "oversized"))
+    rel = _normalize_relative(F.expr(f"substring(path, {len(root_clean) + 2})"))
+    judged = meta.select(F.lit(repo or root_clean.rsplit("/", 1)[-1]).alias("repo"), "path", rel.alias("relative_path"),
+                         F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), reason.alias("reason"))
+    out = judged.where("reason IS NOT NULL")
+    if not probe:
+        return out
+    read = (spark.read.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", "true")
+            .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root_clean)
+            .where((F.col("length") <= F.lit(int(max_mb * 1024 * 1024))) & F.col("content").isNotNull())
+            .select(_strip_scheme(F.col("path")).alias("path")))
+    lost = judged.where("reason IS NULL").join(read, "path", "left_anti").withColumn("reason", F.lit("unreadable"))
+    return out.unionByName(lost)
+
+
 def read_single_file(spark: SparkSession, path: str, include: Sequence[str] | None = None,
                      exclude: Sequence[str] | None = None,
                      max_mb: float = DEFAULT_MAX_FILE_MB) -> DataFrame:
