@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from codegrid.llm.common import staged
+
 MOST = 3
 SLICE = 4096
 #: a number in [0, 1) from 32 bits of an MD5; DuckDB gives the same
@@ -81,6 +83,9 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def emitted(docs: DataFrame, weights: tuple = (1, 2, 3)) -> DataFrame:
-    """The mixed rows themselves, with the columns of ``docs``: each as many times as it is taken."""
-    mixed = mix(docs.withColumn("__row", F.struct(*docs.columns)), weights, ["__row"])
-    return mixed.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
+    """The mixed rows themselves, with the columns of ``docs``: each as many times as it is taken. Copies are counted over narrow rows
+    (a key, source, size and tie); whole rows are written once and move once, in the join on the key."""
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("__key"), F.struct(*docs.columns).alias("__row")), "mix-rows")
+    narrow = rows.select("__key", "__row.doc_id", "__row.text", "__row.source")
+    taken = mix(narrow, weights, ["__key"]).where("copies > 0").select("__key", "copies")
+    return rows.join(taken, "__key").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
