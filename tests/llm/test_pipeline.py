@@ -34,7 +34,7 @@ def test_near_duplicates_go_by_row(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     want = con.execute(ORACLES[name])
     columns = sorted(d[0] for d in want.description)
