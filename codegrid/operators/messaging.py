@@ -1,9 +1,9 @@
 """Messaging topology (M1-M10): one long ``mq_facts`` table, then the
 integration graph as unions and aggregations over it.
 
-C# (MassTransit) and Node (amqplib) facts are JVM-side regex extractions;
-only the ReceiveEndpoint blocks (need offsets) and the infra configs
-(YAML) go through small Python helpers in ``mapInPandas``.
+C# (MassTransit) and Node (amqplib) facts are JVM-side regex extractions,
+infra configs are VARIANT expressions; only the ReceiveEndpoint blocks (need
+offsets) and YAML texts go through small Python helpers in ``mapInPandas``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.body import scan_receive_endpoints
-from ..functions.config import infra_facts
+from ..functions.config import yaml_as_json
 from ..functions.rules import java_re
 
 # FIXED VALUES: extraction patterns of the messaging rules
@@ -133,23 +133,79 @@ def amqp_facts(cands: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M7
-def _infra_batches(batches):
+# FIXED VALUES: JSON of what counts as not given
+ABSENT = ["null", '""', "0", "0.0", "-0.0", "false", "[]", "{}"]
+
+
+def _yaml_batches(batches):
     for b in batches:
-        rows = []
-        for repo, file, content in zip(b["repo"], b["file"], b["content"]):
-            for r in infra_facts(content or ""):
-                rows.append((repo, file) + tuple(r))
-        yield pd.DataFrame(rows, columns=["repo", "file", "kind", "ord", "name", "type", "durable", "queue",
-                                          "exchange", "routing_key"])
+        b["json"] = [yaml_as_json(t or "") for t in b["content"]]
+        yield b[["repo", "file", "json"]]
+
+
+def _given(v: Column) -> Column:
+    return F.coalesce(~F.to_json(v).isin(ABSENT), F.lit(False))
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def _entries(v: Column, key: str) -> Column:
+    """The objects of the list at ``key``; anything else that stands there holds none."""
+    none = F.variant_get(F.parse_json(F.lit("[]")), "$", "array<variant>")
+    return F.filter(F.coalesce(F.try_variant_get(v, f"$.{key}", "array<variant>"), none), _is_object)
+
+
+def _text_at(v: Column, path: str, default: str | None = "") -> Column:
+    t = F.try_variant_get(v, f"$.{path}", "string")
+    return t if default is None else F.coalesce(t, F.lit(default))
+
+
+def config_variants(files: DataFrame) -> DataFrame:
+    """(repo, file, v): each config file as a VARIANT. JSON is parsed on the JVM and never enters Python; what is no JSON is read
+    as YAML by a Python helper that writes JSON. Files that are neither give null."""
+    parsed = files.select("repo", F.col("relative_path").alias("file"), "content", F.try_parse_json("content").alias("v"))
+    rest = (parsed.where(F.col("v").isNull()).select("repo", "file", "content")
+            .mapInPandas(_yaml_batches, "repo string, file string, json string"))
+    return (parsed.where(F.col("v").isNotNull()).select("repo", "file", "v")
+            .unionByName(rest.select("repo", "file", F.try_parse_json("json").alias("v"))))
 
 
 def infra_mq_facts(cands: DataFrame) -> DataFrame:
-    """(repo, file, kind, ord, name, type, durable, queue, exchange, routing_key)."""
-    src = (cands.where(F.col("source_type") == "infra_config")
-           .select("repo", F.col("relative_path").alias("file"), "content"))
-    return src.mapInPandas(_infra_batches, "repo string, file string, kind string, ord long, name string, "
-                                           "type string, durable boolean, queue string, exchange string, "
-                                           "routing_key string")
+    """(repo, file, kind, ord, name, type, durable, queue, exchange, routing_key), numbered by kind inside a file.
+
+    The broker's section is the object at ``rabbitmq``, else ``amqp``; exchanges come from its ``exchanges`` (type '' if not given),
+    its ``topics`` and the file's own ``topics`` (type ``topic``). A section that is no object leaves the whole file without rows, a
+    list that is none holds no entries, entries without a name are skipped; null counts as not given, names that are no text are
+    taken as their JSON. Row-local array expressions over VARIANT, one explode, no shuffle."""
+    root = F.col("v")
+    section = lambda key: F.try_variant_get(root, f"$.{key}", "variant")
+    broker = F.when(_given(section("rabbitmq")), section("rabbitmq")).when(_given(section("amqp")), section("amqp"))
+    src = (config_variants(cands.where(F.col("source_type") == "infra_config")).where(_is_object(root))
+           .withColumn("broker", broker).where(F.col("broker").isNull() | _is_object(F.col("broker"))))
+    broker = F.col("broker")
+
+    def named(v, key, default):
+        return F.transform(F.filter(_entries(v, key), lambda x: _given(F.try_variant_get(x, "$.name", "variant"))),
+                           lambda x: F.struct(x.alias("x"), F.lit(default).alias("type")))
+
+    def facts(kind, entries, **columns):
+        absent = {c: F.lit(None).cast("string") for c in FACT_COLUMNS[:5]} | {"durable": F.lit(None).cast("boolean")}
+        order = ["name", "type", "durable", "queue", "exchange", "routing_key"]
+        return F.transform(entries, lambda e, i: F.struct(
+            F.lit(kind).alias("kind"), i.cast("long").alias("ord"),
+            *[(columns[c](e) if c in columns else absent[c]).alias(c) for c in order]))
+    exchanges = F.concat(named(broker, "exchanges", ""), named(broker, "topics", "topic"), named(root, "topics", "topic"))
+    bound = F.filter(_entries(broker, "queues"), lambda x: _is_object(F.try_variant_get(x, "$.binding", "variant")))
+    rows = F.concat(
+        facts("exchange", exchanges, name=lambda e: _text_at(e["x"], "name", None),
+              type=lambda e: F.coalesce(_text_at(e["x"], "type", None), e["type"])),
+        facts("queue", named(broker, "queues", ""), name=lambda e: _text_at(e["x"], "name", None),
+              durable=lambda e: _given(F.try_variant_get(e["x"], "$.durable", "variant"))),
+        facts("binding", bound, queue=lambda x: _text_at(x, "name"), exchange=lambda x: _text_at(x, "binding.exchange"),
+              routing_key=lambda x: _text_at(x, "binding.routing_key")))
+    return src.select("repo", "file", F.explode(rows).alias("r")).select("repo", "file", "r.*")
 
 
 # ------------------------------------------------------------------ M8/M9

@@ -199,12 +199,48 @@ def test_stream_drops_redelivered_rows(spark, sf_dir):
     assert got.count() == ev.select("user_id", "event_id").distinct().count()
 
 
-def test_config_sections_of_odd_shape():
-    from codegrid.functions.config import infra_facts
-    assert infra_facts('{"rabbitmq": {"queues": 5, "exchanges": {"a": 1}, "topics": null}}') == []
-    assert infra_facts('{"rabbitmq": {"queues": [{"name": "q", "binding": {"exchange": "e"}}, 3]}, "topics": [{"name": "t"}]}') == [
-        ("exchange", 0, "t", "topic", None, None, None, None), ("queue", 0, "q", None, False, None, None, None),
-        ("binding", 0, None, None, None, "q", "e", "")]
+def _infra(spark, texts):
+    from codegrid.operators import messaging
+    rows = [("r", f"f{i}", "config", "infra_config", t) for i, t in enumerate(texts)]
+    cands = spark.createDataFrame(rows, "repo string, relative_path string, language string, source_type string, content string")
+    got = messaging.infra_mq_facts(cands).orderBy("file", "kind", "ord").collect()
+    return [(r.file, r.kind, r.ord, r["name"], r["type"], r.durable, r.queue, r.exchange, r.routing_key) for r in got]
+
+
+def test_config_sections_of_odd_shape(spark):
+    json_text = '{"rabbitmq": {"queues": [{"name": "q", "binding": {"exchange": "e"}}, 3]}, "topics": [{"name": "t"}]}'
+    yaml_text = "rabbitmq:\n  queues:\n  - name: q\n    binding: {exchange: e}\n  - 3\ntopics:\n- name: t\n"
+    want = [("binding", 0, None, None, None, "q", "e", ""), ("exchange", 0, "t", "topic", None, None, None, None),
+            ("queue", 0, "q", None, False, None, None, None)]
+    got = _infra(spark, ['{"rabbitmq": {"queues": 5, "exchanges": {"a": 1}, "topics": null}}', json_text, yaml_text])
+    assert got == [("f1", *w) for w in want] + [("f2", *w) for w in want]
+
+
+def test_config_sections_that_are_missing_or_no_objects(spark):
+    got = _infra(spark, [
+        '{"rabbitmq": [1], "topics": [{"name": "lost"}]}',                       # the section is there but no object: no rows
+        '{"rabbitmq": {}, "amqp": {"exchanges": [{"name": "e"}, {"name": ""}, {"name": 0}, {"type": "x"}, {"name": 7, "type": null}]}}',
+        '{"topics": [{"name": "t", "type": "fanout"}]}',
+        '{"amqp": {"queues": [{"name": "q", "durable": true}, {"binding": {"routing_key": "k"}}, {"binding": "no"}]}}',
+        "amqp:\n  queues:\n  - {name: q, durable: 1}\n  1: x\n", "amqp:\n  topics:\n  - {name: 2020-01-02, at: .nan}\n",
+        '{"amqp": {"topics": [{"name": "twice"}]}, "amqp": {"topics": [{"name": "last"}]}}', "", None, "[1, 2]", "&a [*a]", "{", "a: b: c"])
+    none = (None,) * 3
+    assert got == [
+        ("f1", "exchange", 0, "e", "", None, *none), ("f1", "exchange", 1, "7", "", None, *none),
+        ("f2", "exchange", 0, "t", "fanout", None, *none),
+        ("f3", "binding", 0, None, None, None, "", "", "k"), ("f3", "queue", 0, "q", None, True, *none),
+        ("f4", "queue", 0, "q", None, True, *none),
+        ("f5", "exchange", 0, "2020-01-02", "topic", None, *none), ("f6", "exchange", 0, "last", "topic", None, *none)]
+
+
+def test_json_configs_stay_out_of_python(spark):
+    from codegrid.functions.config import yaml_as_json
+    from codegrid.operators import messaging
+    files = spark.createDataFrame([("r", "a", '{"x": 1}'), ("r", "b", "x: 1")], "repo string, relative_path string, content string")
+    plan = messaging.config_variants(files)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("MapInPandas"):]  # only rows that no JSON parser took reach Python
+    assert "Filter isnull(" in below
+    assert yaml_as_json("1: {2: [.inf, 2020-01-02]}") == '{"1": {"2": ["inf", "2020-01-02"]}}'
 
 
 def test_parents_lose_line_breaks(spark):
