@@ -1,4 +1,4 @@
-"""Markdown and JSON documents as ordered lines.
+"""Markdown and JSON documents as ordered lines.
 
 A document is a table (repo, section, sort_key, line): sections are numbered in the order they stand in, lines inside a section are ordered by
 ``sort_key``. Headings appear only for sections that have lines. Nothing is gathered per repo: ``deps.write_graph`` range-sorts the rows and
@@ -76,6 +76,28 @@ def json_lines(**tables: DataFrame) -> DataFrame:
     return out
 
 
+# ------------------------------------------------------------------ T4
+def context_sections(controllers: DataFrame, endpoints: DataFrame, services: DataFrame, flows: DataFrame) -> DataFrame:
+    """What a context says after its files (``textprep.corpus_context`` ends at section 3): controllers, endpoints, services and interfaces
+    of the catalog, then the queues with their consumers, as ordered lines to be united with it.
+
+    controllers (repo, file, controller, route), endpoints (repo, file, controller, method, class_ord, method_ord, verbs[], route),
+    services (repo, kind, name), flows (repo, queue, consumers, file). One line a name; equal lines of several files stay."""
+    catalog = (controllers.select("repo").unionByName(endpoints.select("repo"))
+               .unionByName(services.where(F.col("kind").isin("service", "interface")).select("repo")).distinct())
+    route = F.coalesce("route", F.lit(""))
+    ctl = _lines(controllers, 6, F.concat_ws(SEP, "file", "controller"),
+                 _text("- ", F.col("controller"), F.when(route != "", _text(" (Route: ", route, ")")).otherwise("")))
+    place = F.concat_ws(SEP, F.col("file"), *[F.lpad(F.col(c).cast("string"), 9, "0") for c in ("class_ord", "method_ord")])
+    ends = _lines(endpoints, 8, place, _text("- ", F.array_join("verbs", ", "), " ", route, " -> ", F.col("controller"), ".", F.col("method")))
+    kind = {k: _lines(services.where(F.col("kind") == k), at, F.col("name"), _text("- ", F.col("name"))) for k, at in (("service", 10), ("interface", 12))}
+    queues = _lines(flows, 14, F.concat_ws(SEP, "queue", "file"), _text("- Queue: ", F.col("queue"), " -> Consumers: ", F.col("consumers")))
+    return (_lines(catalog, 4, F.lit(""), F.lit("\n## Service Catalog\n"))
+            .unionByName(_under(["### Controllers\n"], ctl, 6)).unionByName(_under(["\n### Endpoints\n"], ends, 8))
+            .unionByName(_under(["\n### Services"], kind["service"], 10)).unionByName(_under(["\n### Interfaces"], kind["interface"], 12))
+            .unionByName(_under(["\n## Messaging Flows\n"], queues, 14)))
+
+
 # ------------------------------------------------------------------ T8
 def catalog_document(controllers: DataFrame, services: DataFrame, spec: DataFrame, flows: DataFrame) -> DataFrame:
     """The service catalog of each repo: controllers, endpoints, the steps of every endpoint, services, interfaces and the API table.

@@ -8,6 +8,8 @@ over the document's own line array.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -291,21 +293,23 @@ def sections_rows(structure: dict) -> list[tuple]:
             rows.append((structure.get("name", ""), sub.get("id", ""), s.get("id", ""), k, sub.get("title", ""),
                          sub.get("prompt")))
             k += 1
-    if len(rows) > 10_000:
-        raise ValueError("document structure too large to inline")
     return rows
 
 
+def section_array(structure: dict) -> Column:
+    """The sections that have a prompt as one constant array, of any length: a JSON literal that is parsed once."""
+    names = ["structure", "section_id", "parent_id", "ord", "title", "prompt"]
+    rows = [dict(zip(names, r)) for r in sections_rows(structure) if r[5]]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<structure string, section_id string, parent_id string, ord long, title string, prompt string>>")
+
+
 def section_prompts(repos: DataFrame, structure: dict) -> DataFrame:
     """(repo, structure, section_id, parent_id, ord, title, user_prompt_head):
     every section or subsection with a prompt, for every repo. The
     structure is configuration of bounded size, expanded per repo row by a
-    generator (no join); the context is referenced by repo, not copied."""
-    rows = [r for r in sections_rows(structure) if r[5]]
-    arr = F.array(*[F.struct(F.lit(a).alias("structure"), F.lit(b).alias("section_id"),
-                             F.lit(c).cast("string").alias("parent_id"), F.lit(d).cast("long").alias("ord"),
-                             F.lit(e).alias("title"), F.lit(p).alias("prompt")) for a, b, c, d, e, p in rows])
-    out = repos.select("repo", F.explode(arr).alias("s")).select("repo", "s.*")
+    generator (no join); the context is referenced by repo, not copied
+    (``packing.section_requests`` gives the prompts that hold it)."""
+    out = repos.select("repo", F.explode(section_array(structure)).alias("s")).select("repo", "s.*")
     head = F.concat(F.lit("# Section: "), F.col("title"), F.lit("\n\n## Instructions\n"), F.col("prompt"),
                     F.lit("\n\n## Codebase Context\n"))
     return out.select("repo", "structure", "section_id", "parent_id", "ord", "title", head.alias("user_prompt_head"))

@@ -684,6 +684,21 @@ FROM budget b, sec
 
 ORACLES["txt_section_prompts"] = _section_prompts_sql()
 
+
+def _section_requests_sql() -> str:
+    from ..operators.packing import BUDGET
+    return f"""
+WITH heads AS ({ORACLES["txt_section_prompts"]}),
+ctx AS (SELECT repo, string_agg(line, chr(10) ORDER BY section, sort_key) AS t FROM ({ORACLES["txt_context"]}) GROUP BY repo),
+parts AS (SELECT repo, t, CAST(ceil(length(t) / {BUDGET}.0) AS BIGINT) AS n_parts, unnest(range(CAST(ceil(length(t) / {BUDGET}.0) AS BIGINT))) AS part FROM ctx)
+SELECT h.repo, structure, section_id, parent_id, ord, title, part, n_parts,
+       concat(user_prompt_head, substr(t, part * {BUDGET} + 1, {BUDGET})) AS user_prompt
+FROM heads h JOIN parts p ON p.repo = h.repo
+"""
+
+
+ORACLES["txt_section_requests"] = _section_requests_sql()
+
 ORACLES["cat_app_sequence"] = _shop("""
 , e5 AS (SELECT od.*, cu.file, row_number() OVER (PARTITION BY cu.k ORDER BY od.o) - 1 AS mo FROM od JOIN cu ON cu.k = od.k),
 sdep AS (SELECT ctl, min(dep) AS sd FROM deps WHERE dep LIKE '%Service' OR dep LIKE '%Handler' GROUP BY ctl),
@@ -898,3 +913,17 @@ SELECT 'corpus' AS repo, concat(repo, '/main/', relative_path) AS relative_path,
        CASE WHEN language = 'unknown' THEN 'extension' WHEN excluded THEN 'excluded' ELSE 'oversized' END AS reason
 FROM fx WHERE language = 'unknown' OR excluded OR size_bytes > 10485
 """)
+
+ORACLES["txt_context_catalog"] = _shop("""
+, ends AS (SELECT od.*, cu.file, row_number() OVER (PARTITION BY cu.k ORDER BY od.o) - 1 AS mo FROM od JOIN cu ON cu.k = od.k),
+mq AS (SELECT concat('q-nation', s_nationkey) AS q, s_suppkey AS s FROM supplier),
+heads(of, section, line) AS (VALUES ('c', 4, concat(chr(10), '## Service Catalog', chr(10))), ('c', 5, concat('### Controllers', chr(10))),
+  ('e', 7, concat(chr(10), '### Endpoints', chr(10))), ('s', 9, concat(chr(10), '### Services'))),
+has AS (SELECT 'c' AS of FROM cu UNION SELECT 'e' FROM od UNION SELECT 's' FROM svc)
+SELECT 'shop' AS repo, section, CASE WHEN section = 4 THEN '' ELSE '000000' END AS sort_key, line FROM heads JOIN has USING (of)
+UNION ALL SELECT 'shop', 6, concat(file, chr(1), ctl), concat('- ', ctl, ' (Route: api/customer', k, ')') FROM cu
+UNION ALL SELECT 'shop', 8, concat(file, chr(1), '000000000', chr(1), lpad(CAST(mo AS VARCHAR), 9, '0')), concat('- ', verb, ' ', route, ' -> ', ctl, '.', method) FROM ends
+UNION ALL SELECT DISTINCT 'shop', 10, name, concat('- ', name) FROM svc
+UNION ALL SELECT DISTINCT 'mq', 13, '000000', concat(chr(10), '## Messaging Flows', chr(10)) FROM mq
+UNION ALL SELECT 'mq', 14, concat(q, chr(1), 'cs/Supplier', s, '.cs'), concat('- Queue: ', q, ' -> Consumers: Supplier', s, 'Consumer') FROM mq
+""")

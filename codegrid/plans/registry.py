@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calls, catalog, correlation, cycles, deps, documents, extract, members, messaging, reports, textprep
+from ..operators import calls, catalog, correlation, cycles, deps, documents, extract, members, messaging, packing, reports, textprep
 import uuid
 
 from ..sources import filters, fixtures, tree
@@ -633,6 +633,22 @@ def q_txt_section_prompts(spark, d):
             .join(budget.select("repo", "context_chars"), "repo", "left"))
 
 
+@register("txt_section_requests")
+def q_txt_section_requests(spark, d):
+    """T4 / T6 on fx_docs: every section's prompt with each part of the repo's context."""
+    parts = packing.context_parts(textprep.corpus_context(fixtures.fx_docs(spark, d)), checkpoint)
+    return packing.section_requests(parts, ARCHITECTURE_STRUCTURE)
+
+
+@register("txt_context_catalog")
+def q_txt_context_catalog(spark, d):
+    """The catalog sections of the context of fx_csharp and the messaging section of that of fx_mq."""
+    scan = checkpoint(catalog.parse_csharp_services(deps.analyzable(fixtures.fx_csharp(spark, d))))
+    endpoints = messaging.receive_endpoints(messaging.messaging_candidates(fixtures.fx_mq(spark, d)))
+    return documents.context_sections(catalog.controllers(scan), catalog.endpoints(scan), catalog.services_and_interfaces(scan),
+                                      messaging.messaging_flows(endpoints))
+
+
 @register("txt_attach")
 def q_txt_attach(spark, d):
     conv = table(spark, d, "conversations")
