@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .deps import display_edges, sample_graph
+from .extract import strip_space
+from .textprep import GENERATION_ERROR
 
 SEP = "\u0001"
 
@@ -124,3 +126,68 @@ def catalog_document(controllers: DataFrame, services: DataFrame, spec: DataFram
             .unionByName(_under(["### Interfaces", ""], kinds["interface"], 13, [""]))
             .unionByName(_under(["## API Specifications", "", "| HTTP | Route | Controller.Method | Components/Services |", "|---|---|---|---|"],
                                 api, 16)))
+
+
+# FIXED VALUES: labels of a file's counts, in their order
+COUNT_LABELS = {"Classes": "class_count", "Interfaces": "interface_count", "Functions": "function_count", "Enums": "enum_count",
+                "Types": "type_count", "Imports": "import_count"}
+CLOSING = "*This documentation was automatically generated.*"
+
+
+def file_document(structure: DataFrame, texts: DataFrame, flows: DataFrame, ops: DataFrame, sends: DataFrame,
+                  consumers: DataFrame) -> DataFrame:
+    """The documentation of each repo, file by file: title, files per language, then under a heading for each language every file with its
+    path, its text, its counts (those above 0) and its messaging, and a summary at the end.
+
+    structure (repo, file, language, *_count; ``reports.structure_counts``), texts (repo, file, response), flows (repo, queue, consumers,
+    sagas, file), ops (repo, file, op, message), sends (repo, file, endpoint), consumers (repo, file, ord, consumer, message). A file without
+    a text says so; messaging of files that ``structure`` lacks is left out; every message, endpoint and consumer has a line of its own, so no
+    value grows with a file. Lines of a file share the key (language, file): one range sort brings all tables together."""
+    files = structure.select("repo", "file", "language")
+
+    def at(part: int, *more: Column) -> Column:
+        return F.concat_ws(SEP, F.col("language"), F.col("file"), F.lit(f"{part:02d}"), *more)
+    per_lang = files.groupBy("repo", "language").agg(F.count("*").alias("n"))
+    totals = per_lang.groupBy("repo").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("language")), ", ").alias("l"))
+    out = [
+        _lines(totals, 0, F.lit(""), _text("# ", F.col("repo"), " Technical Documentation\n")),
+        _lines(per_lang, 1, F.col("language"), _text("- ", F.col("language"), ": ", F.col("n").cast("string"), " file(s)")),
+        _lines(per_lang, 2, _text(F.col("language"), SEP), _text("\n## ", F.upper("language"), " Files\n")),
+        _lines(totals, 3, F.lit("0"), F.lit("## Summary\n")),
+        _lines(totals, 3, F.lit("1"), _text("- Total files processed: ", F.col("n").cast("string"))),
+        _lines(totals, 3, F.lit("2"), _text("- Languages: ", F.col("l"), "\n")),
+        _lines(totals, 3, F.lit("3"), F.lit("---\n")), _lines(totals, 3, F.lit("4"), F.lit(CLOSING))]
+    # what a file says of itself: one row in, its lines out
+    said = F.coalesce(strip_space(F.col("response")), F.lit(GENERATION_ERROR))
+    name = F.element_at(F.split("file", "/"), -1)
+    counted = [F.col(c) > 0 for c in COUNT_LABELS.values()]
+    lines = [(0, F.lit(True), _text("### ", name, " (", F.upper("language"), ")\n")), (1, F.lit(True), _text("**Path:** ", _code("file"), "\n")),
+             (2, F.lit(True), _text(said, "\n")), (3, F.greatest(*counted), F.lit("#### Code Structure\n"))]
+    lines += [(4 + i, shown, _text(f"- {label}: ", F.col(c).cast("string"))) for i, ((label, c), shown) in enumerate(zip(COUNT_LABELS.items(), counted))]
+    lines += [(20, F.lit(True), F.lit("\n---\n"))]
+    own = F.filter(F.array(*[F.struct(at(part).alias("key"), shown.alias("shown"), line.alias("line")) for part, shown, line in lines]),
+                   lambda x: x["shown"])
+    whole = structure.join(texts.select("repo", "file", "response"), ["repo", "file"], "left")
+    out.append(whole.select("repo", F.explode(own).alias("x")).select("repo", F.lit(2).alias("section"), F.col("x.key").alias("sort_key"), "x.line"))
+
+    def or_none(c: str) -> Column:
+        return F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit("N/A")).otherwise(F.col(c))
+    facts = [
+        flows.select("repo", "file", F.lit(12).alias("part"), F.col("queue").alias("k"),
+                     _text("- Queue ", _code("queue"), " -> Consumers: ", or_none("consumers"), "; Sagas: ", or_none("sagas")).alias("line")),
+        ops.where("op = 'publish'").select("repo", "file", F.lit(13).alias("part"), F.col("message").alias("k"), _text("- Publishes: ", F.col("message")).alias("line")),
+        ops.where("op = 'send'").select("repo", "file", F.lit(14).alias("part"), F.col("message").alias("k"), _text("- Sends: ", F.col("message")).alias("line")),
+        sends.select("repo", "file", F.lit(15).alias("part"), F.col("endpoint").alias("k"), _text("- Send Endpoint: ", F.col("endpoint")).alias("line")),
+        consumers.select("repo", "file", F.lit(16).alias("part"), F.lpad(F.col("ord").cast("string"), 9, "0").alias("k"),
+                         _text("- Consumer: ", F.col("consumer"), "(", F.col("message"), ")").alias("line"))]
+    told = facts[0]
+    for f in facts[1:]:
+        told = told.unionByName(f)
+    heads = told.select("repo", "file").distinct().select("repo", "file", F.lit(11).alias("part"), F.lit("").alias("k"), F.lit("\n#### Messaging Flows\n").alias("line"))
+    told = told.unionByName(heads).join(files, ["repo", "file"])
+    key = F.concat_ws(SEP, "language", "file", F.col("part").cast("string"), "k")
+    out.append(_lines(told, 2, key, F.col("line")))
+    doc = out[0]
+    for part in out[1:]:
+        doc = doc.unionByName(part)
+    return doc

@@ -927,3 +927,36 @@ UNION ALL SELECT DISTINCT 'shop', 10, name, concat('- ', name) FROM svc
 UNION ALL SELECT DISTINCT 'mq', 13, '000000', concat(chr(10), '## Messaging Flows', chr(10)) FROM mq
 UNION ALL SELECT 'mq', 14, concat(q, chr(1), 'cs/Supplier', s, '.cs'), concat('- Queue: ', q, ' -> Consumers: Supplier', s, 'Consumer') FROM mq
 """)
+
+ORACLES["txt_file_document"] = f"""
+WITH st AS (SELECT repo, file, language, class_count AS c, interface_count AS i, enum_count AS e, import_count AS m, function_count AS f, type_count AS t
+            FROM ({ORACLES["rep_structure"]})
+            UNION ALL SELECT repo, file, language, CASE language WHEN 'csharp' THEN 1 ELSE 0 END, 0, 0, CASE language WHEN 'config' THEN 0 ELSE 1 END, 0, 0
+            FROM ({ORACLES["mq_candidates"]})),
+pl AS (SELECT repo, language, count(*) AS n FROM st GROUP BY repo, language),
+tot AS (SELECT repo, sum(n) AS n, string_agg(language, ', ' ORDER BY language) AS l FROM pl GROUP BY repo),
+own AS (SELECT st.*, concat(language, chr(1), file, chr(1)) AS k FROM st),
+num AS (SELECT repo, k, unnest([4, 5, 6, 7, 8, 9]) AS part, unnest(['Classes', 'Interfaces', 'Functions', 'Enums', 'Types', 'Imports']) AS label,
+               unnest([c, i, f, e, t, m]) AS n FROM own),
+fact AS (SELECT repo, file, 12 AS part, queue AS k, concat('- Queue `', queue, '` -> Consumers: ', consumers, '; Sagas: N/A') AS line FROM ({ORACLES["mq_flows"]})
+         UNION ALL SELECT repo, file, 13, message, concat('- Publishes: ', message) FROM ({ORACLES["mq_messages"]})
+         UNION ALL SELECT repo, file, 15, endpoint, concat('- Send Endpoint: ', endpoint) FROM ({ORACLES["mq_send_endpoints"]})
+         UNION ALL SELECT repo, file, 16, lpad(CAST(ord AS VARCHAR), 9, '0'), concat('- Consumer: ', consumer, '(', message, ')') FROM ({ORACLES["mq_consumers"]})),
+told AS (SELECT * FROM fact UNION ALL SELECT DISTINCT repo, file, 11, '', concat(chr(10), '#### Messaging Flows', chr(10)) FROM fact)
+SELECT repo, 0 AS section, '' AS sort_key, concat('# ', repo, ' Technical Documentation', chr(10)) AS line FROM tot
+UNION ALL SELECT repo, 1, language, concat('- ', language, ': ', n, ' file(s)') FROM pl
+UNION ALL SELECT repo, 2, concat(language, chr(1)), concat(chr(10), '## ', upper(language), ' Files', chr(10)) FROM pl
+UNION ALL SELECT repo, 3, '0', concat('## Summary', chr(10)) FROM tot
+UNION ALL SELECT repo, 3, '1', concat('- Total files processed: ', n) FROM tot
+UNION ALL SELECT repo, 3, '2', concat('- Languages: ', l, chr(10)) FROM tot
+UNION ALL SELECT repo, 3, '3', concat('---', chr(10)) FROM tot
+UNION ALL SELECT repo, 3, '4', '*This documentation was automatically generated.*' FROM tot
+UNION ALL SELECT repo, 2, concat(k, '00'), concat('### ', list_extract(string_split(file, '/'), -1), ' (', upper(language), ')', chr(10)) FROM own
+UNION ALL SELECT repo, 2, concat(k, '01'), concat('**Path:** `', file, '`', chr(10)) FROM own
+UNION ALL SELECT repo, 2, concat(k, '02'), concat(CASE language WHEN 'config' THEN '*Error generating content: no response*'
+                                                  ELSE md5(concat('Document the file ', file)) END, chr(10)) FROM own
+UNION ALL SELECT repo, 2, concat(k, '03'), concat('#### Code Structure', chr(10)) FROM own WHERE c + i + f + e + t + m > 0
+UNION ALL SELECT repo, 2, concat(k, lpad(CAST(part AS VARCHAR), 2, '0')), concat('- ', label, ': ', n) FROM num WHERE n > 0
+UNION ALL SELECT repo, 2, concat(k, '20'), concat(chr(10), '---', chr(10)) FROM own
+UNION ALL SELECT own.repo, 2, concat(own.k, part, chr(1), told.k), line FROM told JOIN own ON own.repo = told.repo AND own.file = told.file
+"""

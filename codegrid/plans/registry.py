@@ -670,6 +670,19 @@ def q_txt_catalog_document(spark, d):
                                       catalog.api_spec(c.endpoints, c.ctrl_deps, c.flows), c.flows)
 
 
+@register("txt_file_document")
+def q_txt_file_document(spark, d):
+    """T8 on fx_java and fx_mq: counts and messaging of every file; texts by the stub generator, config files have none."""
+    m = mq(spark, d)
+    files = fixtures.fx_java(spark, d).unionByName(fixtures.fx_mq(spark, d))
+    counts = reports.structure_counts(files, extract.extract_types(files), extract.extract_imports(files),
+                                      extract.extract_functions(files), extract.extract_comments(files))
+    prompts = files.where("language <> 'config'").select(
+        "repo", F.col("relative_path").alias("file"), F.concat(F.lit("Document the file "), F.col("relative_path")).alias("prompt"))
+    texts = plugins.generate(prompts, plugins.stub_generator(["repo", "file"]), ["repo", "file"])
+    return documents.file_document(counts, texts, messaging.messaging_flows(m.endpoints), m.ops, m.sends, m.consumers)
+
+
 @register("txt_merge")
 def q_txt_merge(spark, d):
     """T2 on fx_java cut into 120-character chunks with 40 characters of

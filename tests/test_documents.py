@@ -88,3 +88,25 @@ def test_profiles_take_one_scan_and_overlay(spark, tmp_path):
     assert got["q", "e.q"].language == "query" and got["q", "e.q"].chunk_overlap_chars == 7
     assert got["web", "b.js"].language == "java" and got["web", "b.js"].chunk_size_chars == 500 and got["all", "a.java"].chunk_size_chars is None
     assert plain.groupBy("domain").agg(F.count("*")).count() == 3
+
+
+def test_file_document(spark):
+    counts = ["class_count", "interface_count", "function_count", "enum_count", "type_count", "import_count"]
+    st = spark.createDataFrame([("r", "a/A.cs", "csharp", 2, 0, 0, 1, 0, 3), ("r", "b.js", "javascript", 0, 0, 0, 0, 0, 0)],
+                               "repo string, file string, language string, " + ", ".join(f"{c} long" for c in counts))
+    texts = spark.createDataFrame([("r", "a/A.cs", "  text\n")], "repo string, file string, response string")
+    flows = spark.createDataFrame([("r", "q", "X", "", "a/A.cs"), ("r", "q", "", "S", "gone.cs")],
+                                  "repo string, queue string, consumers string, sagas string, file string")
+    ops = spark.createDataFrame([("r", "a/A.cs", "send", "M"), ("r", "a/A.cs", "publish", "P"), ("r", "a/A.cs", "publish", "O")],
+                                "repo string, file string, op string, message string")
+    sends = spark.createDataFrame([("r", "a/A.cs", "queue:z")], "repo string, file string, endpoint string")
+    cons = spark.createDataFrame([("r", "a/A.cs", 0, "C", "M")], "repo string, file string, ord long, consumer string, message string")
+    got = _text(documents.file_document(st, texts, flows, ops, sends, cons))
+    assert got == {"r": [
+        "# r Technical Documentation\n", "- csharp: 1 file(s)", "- javascript: 1 file(s)", "\n## CSHARP Files\n", "### A.cs (CSHARP)\n",
+        "**Path:** `a/A.cs`\n", "text\n", "#### Code Structure\n", "- Classes: 2", "- Enums: 1", "- Imports: 3", "\n#### Messaging Flows\n",
+        "- Queue `q` -> Consumers: X; Sagas: N/A", "- Publishes: O", "- Publishes: P", "- Sends: M", "- Send Endpoint: queue:z", "- Consumer: C(M)",
+        "\n---\n", "\n## JAVASCRIPT Files\n", "### b.js (JAVASCRIPT)\n", "**Path:** `b.js`\n", "*Error generating content: no response*\n", "\n---\n",
+        "## Summary\n", "- Total files processed: 2", "- Languages: csharp, javascript\n", "---\n", "*This documentation was automatically generated.*"]}
+    empty = documents.file_document(*(t.limit(0) for t in (st, texts, flows, ops, sends, cons)))
+    assert empty.count() == 0
