@@ -240,7 +240,9 @@ def integration_graph(infra: DataFrame, amqp: DataFrame, endpoints: DataFrame, o
     """Returns (nodes(repo, id, kind, label), edges(repo, src, dst, kind, n)).
 
     Exchanges keep the type of the last file declaring them (file order);
-    edges are not deduplicated in the source diagram, so ``n`` counts them."""
+    edges are not deduplicated in the source diagram, so ``n`` counts them.
+    Different names never share a node: ids that would be equal (``a/b.cs``,
+    ``a_b.cs``) end in a hash of the name, but for the first of them."""
     ex = (infra.where("kind = 'exchange'").select("repo", "file", "ord", "name", "type")
           .unionByName(amqp.where("kind = 'exchange'").select("repo", "file", "ord", "name", "type")))
     ex = ex.groupBy("repo", "name").agg(F.max_by("type", F.struct("file", "ord")).alias("type"))
@@ -272,38 +274,51 @@ def integration_graph(infra: DataFrame, amqp: DataFrame, endpoints: DataFrame, o
     msg_cons = consumers.where(F.coalesce("message", F.lit("")) != "").select(
         "repo", "message", F.coalesce(F.nullif("consumer", F.lit("")), F.col("file")).alias("consumer"))
 
-    nodes = (ex.select("repo", ex_id(F.col("name")).alias("id"), F.lit("exchange").alias("kind"),
+    # an end is told by its name; its id is what a diagram shows
+    end = lambda to_id, c: F.struct(to_id(F.col(c)).alias("id"), F.col(c).alias("name"))
+    nodes = (ex.select("repo", end(ex_id, "name").alias("at"), F.lit("exchange").alias("kind"),
                        F.concat(F.lit("Exchange "), safe_label(F.col("name")),
                                 F.when(F.coalesce("type", F.lit("")) != "",
                                        F.concat(F.lit(" ("), safe_label(F.col("type")), F.lit(")")))
                                 .otherwise(F.lit(""))).alias("label"))
-             .unionByName(q.select("repo", q_id(F.col("name")).alias("id"), F.lit("queue").alias("kind"),
+             .unionByName(q.select("repo", end(q_id, "name").alias("at"), F.lit("queue").alias("kind"),
                                    F.concat(F.lit("Queue "), safe_label(F.col("name"))).alias("label")))
              .unionByName(pubs.select("repo", "service").unionByName(cons.select("repo", "service"))
                           .unionByName(msg_pubs.select("repo", "service"))
-                          .select("repo", s_id(F.col("service")).alias("id"), F.lit("service").alias("kind"),
+                          .select("repo", end(s_id, "service").alias("at"), F.lit("service").alias("kind"),
                                   F.concat(F.lit("Service "), safe_label(F.col("service"))).alias("label")))
              .unionByName(msg_pubs.select("repo", "message").unionByName(msg_cons.select("repo", "message"))
-                          .select("repo", msg_id(F.col("message")).alias("id"), F.lit("message").alias("kind"),
+                          .select("repo", end(msg_id, "message").alias("at"), F.lit("message").alias("kind"),
                                   F.concat(F.lit("Message "), safe_label(F.col("message"))).alias("label")))
-             .unionByName(msg_cons.select("repo", c_id(F.col("consumer")).alias("id"),
+             .unionByName(msg_cons.select("repo", end(c_id, "consumer").alias("at"),
                                           F.lit("consumer").alias("kind"),
                                           F.concat(F.lit("Consumer "), safe_label(F.col("consumer"))).alias("label")))
-             .dropDuplicates(["repo", "id"]))
-    edges = (bindings.select("repo", ex_id(F.col("exchange")).alias("src"), q_id(F.col("queue")).alias("dst"),
+             .distinct())
+    edges = (bindings.select("repo", end(ex_id, "exchange").alias("src"), end(q_id, "queue").alias("dst"),
                              F.lit("binding").alias("kind"))
              .unionByName(pubs.where(F.coalesce("exchange", F.lit("")) != "").select(
-                 "repo", s_id(F.col("service")).alias("src"), ex_id(F.col("exchange")).alias("dst"),
+                 "repo", end(s_id, "service").alias("src"), end(ex_id, "exchange").alias("dst"),
                  F.lit("publish").alias("kind")))
              .unionByName(pubs.where(F.coalesce("queue", F.lit("")) != "").select(
-                 "repo", s_id(F.col("service")).alias("src"), q_id(F.col("queue")).alias("dst"),
+                 "repo", end(s_id, "service").alias("src"), end(q_id, "queue").alias("dst"),
                  F.lit("send").alias("kind")))
              .unionByName(cons.where(F.coalesce("queue", F.lit("")) != "").select(
-                 "repo", q_id(F.col("queue")).alias("src"), s_id(F.col("service")).alias("dst"),
+                 "repo", end(q_id, "queue").alias("src"), end(s_id, "service").alias("dst"),
                  F.lit("consume").alias("kind")))
-             .unionByName(msg_pubs.select("repo", s_id(F.col("service")).alias("src"),
-                                          msg_id(F.col("message")).alias("dst"), F.lit("message_publish").alias("kind")))
-             .unionByName(msg_cons.select("repo", msg_id(F.col("message")).alias("src"),
-                                          c_id(F.col("consumer")).alias("dst"), F.lit("message_consume").alias("kind")))
+             .unionByName(msg_pubs.select("repo", end(s_id, "service").alias("src"),
+                                          end(msg_id, "message").alias("dst"), F.lit("message_publish").alias("kind")))
+             .unionByName(msg_cons.select("repo", end(msg_id, "message").alias("src"),
+                                          end(c_id, "consumer").alias("dst"), F.lit("message_consume").alias("kind")))
              .groupBy("repo", "src", "dst", "kind").agg(F.count("*").alias("n")))
+    ends = (nodes.select("repo", "at").unionByName(edges.select("repo", F.col("src").alias("at")))
+            .unionByName(edges.select("repo", F.col("dst").alias("at"))))
+    first = ends.groupBy("repo", F.col("at.id").alias("_id")).agg(F.min("at.name").alias("_first"))
+
+    def shown(df, c):
+        # names that come to one id: the first keeps it, the others end in a hash
+        own = F.when(F.col(f"{c}.name") == F.col("_first"), F.col("_id")).otherwise(
+            F.concat("_id", F.lit("_"), F.substring(F.md5(F.col(f"{c}.name").cast("binary")), 1, 8)))
+        return df.withColumn("_id", F.col(f"{c}.id")).join(first, ["repo", "_id"]).withColumn(c, own).drop("_id", "_first")
+    nodes = shown(nodes, "at").select("repo", F.col("at").alias("id"), "kind", "label")
+    edges = shown(shown(edges, "src"), "dst").select("repo", "src", "dst", "kind", "n")
     return nodes, edges

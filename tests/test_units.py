@@ -243,6 +243,24 @@ def test_json_configs_stay_out_of_python(spark):
     assert yaml_as_json("1: {2: [.inf, 2020-01-02]}") == '{"1": {"2": ["inf", "2020-01-02"]}}'
 
 
+def test_graph_nodes_of_names_with_one_id(spark):
+    from codegrid.operators import messaging
+    empty = "repo string, file string, kind string, ord long, name string, type string, queue string, exchange string, routing_key string"
+    infra = spark.createDataFrame([("r", "i", "queue", 0, "q", None, None, None, None)], empty)
+    amqp = spark.createDataFrame([("r", f, "send_to_queue", 0, None, None, q, None, None) for f, q in
+                                  (("a/b.js", "q"), ("a_b.js", "q"), ("a_b.js", "q"), ("a_b.js", "x.y"), ("a_b.js", "x-y"))], empty)
+    endpoints = spark.createDataFrame([], "repo string, file string, queue string, consumers array<string>, sagas array<string>")
+    ops = spark.createDataFrame([], "repo string, file string, op string, message string")
+    cons = spark.createDataFrame([], "repo string, file string, consumer string, message string")
+    sends = spark.createDataFrame([], "repo string, file string, endpoint string")
+    nodes, edges = messaging.integration_graph(infra, amqp, endpoints, ops, cons, sends)
+    label = {r.id: r.label for r in nodes.collect()}
+    assert sorted(label.values()) == ["Queue q", "Service a/b.js", "Service a_b.js"] and label["S_a_b_js"] == "Service a/b.js"
+    other = next(i for i, t in label.items() if t == "Service a_b.js")
+    got = {(r.src, r.dst): r.n for r in edges.collect()}
+    assert len(got) == 4 and sum(got.values()) == 5 and got["S_a_b_js", "Q_q"] == 1 and got[other, "Q_q"] == 2
+
+
 def test_parents_lose_line_breaks(spark):
     from pyspark.sql import functions as F
     from codegrid.operators.extract import strip_space
