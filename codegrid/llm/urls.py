@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from codegrid.llm.common import staged
 
-#: itemsets are combinations of at most this many tokens and the label
+#: the item that marks a blocked row; itemsets of any length are mined
 LABEL = "label:block"
 SALTS = 32
 
