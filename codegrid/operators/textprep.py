@@ -336,7 +336,7 @@ def attach_generations(prompts: DataFrame, responses: DataFrame, key: list[str],
 
 
 # ------------------------------------------------------------------ T8
-def assemble_documents(files: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+def assemble_documents(files: DataFrame) -> DataFrame:
     """(repo, section, sort_key, line): Markdown lines of each repo's
     document -- title, files per language, a section per language with
     one entry per file. Written in (section, sort_key) order."""
