@@ -30,6 +30,7 @@ DEP_CLASS = r"(Service|Repository|Consumer|Handler)$"
 
 SCAN_SCHEMA = ("repo string, file string, class string, class_ord long, class_attrs string, has_body boolean, "
                "method string, method_ord long, method_attrs string, body string")
+SCAN_ROWS = 2000  # rows that a scan sends on at once
 
 
 def _all(col: Column, pattern: str, group: int) -> Column:
@@ -44,6 +45,9 @@ def _scan_batches(batches):
         for repo, file, content in zip(b["repo"], b["file"], b["content"]):
             for r in scan_cs_services(content or ""):
                 rows.append((repo, file) + tuple(r))
+            if len(rows) >= SCAN_ROWS:  # what a worker holds does not grow with the rows of a batch
+                yield pd.DataFrame(rows, columns=cols)
+                rows = []
         yield pd.DataFrame(rows, columns=cols)
 
 
@@ -91,12 +95,10 @@ def controllers(scan: DataFrame) -> DataFrame:
 def services_and_interfaces(scan: DataFrame) -> DataFrame:
     """(repo, kind, name): distinct service / repository class names and
     class names starting with ``I``."""
-    c = cs_classes(scan)
-    svc = c.where(F.col("class").rlike("(Service|Repository)$")).select(
-        "repo", F.lit("service").alias("kind"), F.col("class").alias("name"))
-    itf = c.where(F.col("class").startswith("I") & (F.length("class") > 1)).select(
-        "repo", F.lit("interface").alias("kind"), F.col("class").alias("name"))
-    return svc.unionByName(itf).distinct()
+    name = F.col("class")  # both kinds in one pass over the scan
+    kinds = F.array_compact(F.array(F.when(name.rlike("(Service|Repository)$"), F.lit("service")),
+                                    F.when(name.startswith("I") & (F.length(name) > 1), F.lit("interface"))))
+    return scan.select("repo", F.explode(kinds).alias("kind"), name.alias("name")).distinct()
 
 
 # ------------------------------------------------------------------ V4
@@ -296,15 +298,16 @@ def app_sequence(ctrls: DataFrame, scan: DataFrame, eps: DataFrame, ctrl_deps: D
     svc = services_and_interfaces(scan).groupBy("repo").agg(
         F.min(F.when(F.col("kind") == "service", F.col("name"))).alias("s"),
         F.min(F.when(F.col("kind") == "interface", F.col("name"))).alias("i"))
-    svc = svc.select("repo", F.coalesce("s", "i").alias("service"))
+    # one row per repo: sent to the endpoints, which a join by the repo alone would bring into one task
+    svc = F.broadcast(svc.select("repo", F.coalesce("s", "i").alias("service")))
     steps = flows.select("repo", "controller", "method", "step_ord", "step",
                          F.regexp_extract("step", STEP_MESSAGE, 1).alias("msg"),
                          F.regexp_extract("step", STEP_CONSUMER, 1).alias("cons"))
-    any_cons = steps.where(F.col("cons") != "").select("repo").distinct().withColumn("has_cons", F.lit(True))
+    any_cons = F.broadcast(steps.where(F.col("cons") != "").select("repo").distinct().withColumn("has_cons", F.lit(True)))
     queue = None
     if mq_flows is not None:
-        queue = (mq_flows.where(F.coalesce("queue", F.lit("")) != "")
-                 .groupBy("repo").agg(F.min_by("queue", F.struct("file", "ord")).alias("mq_queue")))
+        queue = F.broadcast(mq_flows.where(F.coalesce("queue", F.lit("")) != "")
+                            .groupBy("repo").agg(F.min_by("queue", F.struct("file", "ord")).alias("mq_queue")))
     first = eps
     if max_endpoints is not None:
         w = Window.partitionBy("repo").orderBy("file", "class_ord", "method_ord")
@@ -327,15 +330,19 @@ def app_sequence(ctrls: DataFrame, scan: DataFrame, eps: DataFrame, ctrl_deps: D
     st = F.coalesce("st", F.array().cast("array<struct<step_ord:long,msg:string,cons:string>>"))
     msgs = F.transform(F.filter(st, lambda x: x["msg"] != ""), lambda x: x["msg"])
     cons = F.transform(F.filter(st, lambda x: x["cons"] != ""), lambda x: x["cons"])
-    t = _seq_id(F.col("controller"))
     label = F.trim(F.concat(F.array_join("verbs", ", "), F.lit(" "), F.col("route")))
 
     def row(src, dst, lab):
         return F.struct(src.alias("src"), dst.alias("dst"), lab.alias("label"))
-    sd, rd, sv, q = _seq_id(service_dep), _seq_id(repo_dep), _seq_id(F.col("service")), _seq_id(F.col("queue"))
-    handle = F.when(service_dep.isNotNull(), F.concat(
+    # names are made once an endpoint, not in every line that shows them
+    e = e.withColumns({"_sd": service_dep, "_rd": repo_dep, "_msgs": msgs, "_cons": cons})
+    e = e.withColumns({"_t": _seq_id(F.col("controller")), "_sdn": _seq_id(F.col("_sd")), "_rdn": _seq_id(F.col("_rd")),
+                       "_sv": _seq_id(F.col("service")), "_q": _seq_id(F.col("queue")),
+                       "_cn": F.transform("_cons", _seq_id)})
+    t, sd, rd, sv, q, msgs, cons = (F.col(c) for c in ("_t", "_sdn", "_rdn", "_sv", "_q", "_msgs", "_cn"))
+    handle = F.when(F.col("_sd").isNotNull(), F.concat(
         F.array(row(t, sd, F.lit("Handle"))),
-        F.when(repo_dep.isNotNull(), F.array(row(sd, rd, F.lit("Query Save")), row(rd, sd, F.lit("Result"))))
+        F.when(F.col("_rd").isNotNull(), F.array(row(sd, rd, F.lit("Query Save")), row(rd, sd, F.lit("Result"))))
         .otherwise(F.array().cast("array<struct<src:string,dst:string,label:string>>")),
         F.array(row(sd, t, F.lit("Result"))))).when(
         F.col("service").isNotNull() & (F.col("controller") != F.col("service")),
@@ -343,9 +350,9 @@ def app_sequence(ctrls: DataFrame, scan: DataFrame, eps: DataFrame, ctrl_deps: D
         F.array().cast("array<struct<src:string,dst:string,label:string>>"))
     publish = F.when(F.col("queue").isNotNull(), F.flatten(F.transform(msgs, lambda m: F.concat(
         F.array(row(t, q, _seq_msg(F.concat(F.lit("Publish Send "), m)))),
-        F.transform(cons, lambda c: row(q, _seq_id(c), _seq_msg(F.concat(F.lit("Consume "), m)))))))).otherwise(
+        F.transform(cons, lambda c: row(q, c, _seq_msg(F.concat(F.lit("Consume "), m)))))))).otherwise(
         F.flatten(F.transform(msgs, lambda m: F.transform(
-            cons, lambda c: row(t, _seq_id(c), _seq_msg(F.concat(F.lit("Publish Send "), m)))))))
+            cons, lambda c: row(t, c, _seq_msg(F.concat(F.lit("Publish Send "), m)))))))
     rows = F.concat(F.array(row(F.lit("Client"), t, _seq_msg(F.when(label == "", F.lit("Request")).otherwise(label)))),
                     handle, publish, F.array(row(t, F.lit("Client"), F.lit("Response"))))
     out = e.select("repo", "file", "class_ord", "method_ord", F.posexplode(rows).alias("pos", "x"))
