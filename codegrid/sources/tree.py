@@ -24,11 +24,36 @@ from .tables import language_of, suffix_of
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
+TASKS = 8  # tasks a core that read a tree
+
+
+def _raw(spark: SparkSession, location) -> DataFrame:
+    """The binary files under a folder. Spark puts 32 small files into a task; here the tasks are some to each core, whatever the number of files."""
+    df = spark.read.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", "true").load(location)
+    return df.coalesce(TASKS * spark.sparkContext.defaultParallelism)
+
+
 def _scan(spark: SparkSession, location, max_mb: float) -> DataFrame:
-    df = (spark.read.format("binaryFile").schema(BINARY_SCHEMA)
-          .option("recursiveFileLookup", "true").load(location))
     # pushed into the scan: oversized files are skipped by metadata
-    return df.where(F.col("length") <= F.lit(int(max_mb * 1024 * 1024)))
+    return _raw(spark, location).where(F.col("length") <= F.lit(int(max_mb * 1024 * 1024)))
+
+
+def _scan_glob(spark: SparkSession, path: str, max_mb: float) -> DataFrame:
+    """``_scan`` of a path or glob. A glob that ends in ``/*`` and else holds only ``*`` and ``?`` is read folder by folder: expanded, every
+    file would be a path of its own to list, and its listing would pass the driver."""
+    parent = path[:-2]
+    if not path.endswith("/*") or not parent.rsplit("/", 1)[-1] or re.search(r"[\[\]{}\\,]", path):
+        return _scan(spark, path, max_mb)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(parent).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = [s.getPath() for s in fs.globStatus(hadoop.Path(parent)) or [] if s.isDirectory()]
+    if not any(fs.listStatusIterator(f).hasNext() for f in folders):
+        return _scan(spark, path, max_mb)  # raises, as the listing does
+    # a recursive listing passes over hidden folders, which the glob names
+    hidden = [s.getPath().toString() for p in "_." for s in fs.globStatus(hadoop.Path(f"{parent}/{p}*")) or [] if s.isDirectory()]
+    depth = re.sub(r"^file:(//)?", "", parent).replace("*", "\0").replace("?", "\1")
+    under = "^" + re.escape(depth).replace("\0", "[^/]*").replace("\1", "[^/]") + "/"
+    return _scan(spark, [f.toString() for f in folders] + hidden, max_mb).where(_strip_scheme(F.col("path")).rlike(under))
 
 
 def _strip_scheme(path):
@@ -109,7 +134,7 @@ def rejected_files(spark: SparkSession, root: str, repo: str | None = None,
     content are rows of the reason ``unreadable``. Together with the rows read, every file that is not empty is accounted for once; Spark's
     file sources list no files of zero bytes, so these are in neither."""
     root_clean = _clean_root(root)
-    meta = (spark.read.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", "true").load(root_clean)
+    meta = (_raw(spark, root_clean)
             .select(_strip_scheme(F.col("path")).alias("path"), "modificationTime", "length"))
     path = F.col("path")
     reason = (F.when(~known_extension(path, extensions), "extension").when(not_included(path, include), "not included")
@@ -134,7 +159,7 @@ def read_single_file(spark: SparkSession, path: str, include: Sequence[str] | No
     """One file (or a glob of files) read without the suffix test;
     excluded, not included or oversized files give no row. A missing path
     raises, as listing does."""
-    df = _scan(spark, path, max_mb).withColumn("path", _strip_scheme(F.col("path")))
+    df = _scan_glob(spark, path, max_mb).withColumn("path", _strip_scheme(F.col("path")))
     df = filter_paths(df, include, exclude)
     name = F.element_at(F.split("path", "/"), -1)
     # a single file has no relative path of its own: its name is used
