@@ -172,12 +172,10 @@ def doc_prompts(files: DataFrame, units: DataFrame, imports: DataFrame, types: D
                 heritage: DataFrame, members: DataFrame, comments: DataFrame) -> DataFrame:
     """(repo, file, chunk, system_prompt, user_prompt): the documentation
     request of each (single-chunk) file, assembled from its symbol tables
-    with grouped ordered lists and left joins."""
+    with grouped ordered lists and left joins. ``imports`` has a list of (ord, import) per file (``extract.import_lists``)."""
     key = ["repo", "file"]
     base = files.select("repo", F.col("relative_path").alias("file"), "language")
-    imp = (imports.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "import"))).alias("i"))
-           .select(*key, F.array_join(F.transform("i", lambda x: F.concat(F.lit("- "), x["import"])), "\n")
-                   .alias("imports_txt")))
+    imp = imports.select(*key, F.array_join(F.transform("i", lambda x: F.concat(F.lit("- "), x["import"])), "\n").alias("imports_txt"))
     cls = types.where(F.col("kind") == "class")
     ext = heritage.where(F.col("kind") == "class").groupBy("repo", "file", "type").agg(
         F.array_sort(F.collect_list(F.struct("ord", "relation", "parent"))).alias("h"))
@@ -205,16 +203,15 @@ def doc_prompts(files: DataFrame, units: DataFrame, imports: DataFrame, types: D
                .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("c"))
                .select(*key, F.array_join("c.line", "").alias("classes_txt")))
 
-    def names(kind):
-        return (types.where(F.col("kind") == kind).groupBy(*key)
-                .agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("n"))
-                .select(*key, F.array_join(F.transform("n", lambda x: F.concat(F.lit("- "), x["name"], F.lit("\n"))),
-                                           "").alias(f"{kind}_txt")))
-
+    # all other kinds in one grouping; a kind that a file has not stays null
+    kinds = ["interface", "enum", "type"]
+    listed = types.where(F.col("kind").isin(*kinds)).groupBy(*key).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("ord", "name")))).alias(k) for k in kinds])
+    names = listed.select(*key, *[F.when(F.size(k) > 0, F.array_join(F.transform(k, lambda x: F.concat(F.lit("- "), x["name"], F.lit("\n"))), ""))
+                                  .alias(f"{k}_txt") for k in kinds])
     ncom = comments.groupBy(*key).agg(F.count("*").alias("n_comments"))
     out = (base.join(units.select(*key, "namespace"), key, "left").join(imp, key, "left")
-           .join(cls_txt, key, "left").join(names("interface"), key, "left").join(names("enum"), key, "left")
-           .join(names("type"), key, "left").join(ncom, key, "left"))
+           .join(cls_txt, key, "left").join(names, key, "left").join(ncom, key, "left"))
     ns_label = _lang_map(NS_LABEL)
     imp_label = _lang_map(IMPORT_LABEL)
     user = F.concat(

@@ -4,10 +4,11 @@ import time
 
 from pyspark.sql import functions as F
 
+from codegrid.functions import body
 from codegrid.functions.body import scan_cs_services
-from codegrid.operators import catalog, deps
+from codegrid.operators import catalog, deps, extract
 from codegrid.plans.materialize import checkpoint
-from codegrid.plans.registry import Catalog, Graph
+from codegrid.plans.registry import Catalog, Graph, REGISTRY
 from codegrid.sources import tree
 from codegrid.sources.tables import files_from
 from codegrid.streaming import files as streaming
@@ -107,3 +108,23 @@ def test_stream_lists_files_in_few_tasks(spark, tmp_path):
     assert spark.read.parquet(out).count() == 1200
     assert len(seen) == 1 and seen[0] <= 12  # one batch, some hundred files a task
     assert spark.conf.get("spark.sql.files.openCostInBytes") != "256k"
+
+
+def test_prompts_build_their_corpus_once(spark, sf_dir):
+    plan = REGISTRY["txt_prompts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and plan.count("MapInPandas") == 1
+
+
+def test_import_lists_of_repeated_files(spark):
+    files = make_files(spark, [("A.java", "import b.C;\nimport a.D;\nclass A {\n}\n"), ("A.java", "import z.Z;\n"), ("B.java", "class B {\n}\n")])
+    got = [(r.file, [tuple(x) for x in r.i]) for r in extract.import_lists(extract.symbol_table(files)).collect()]
+    assert got == [("A.java", [(0, "b.C"), (0, "z.Z"), (1, "a.D")])]
+
+
+def test_text_in_front_of_headers_is_not_searched():
+    at = time.time()
+    assert list(body.scan_members("java", " " * 40000 + "x")) == []
+    assert time.time() - at < 1
+    for code in ("class A { int x; }", "import subclass.X;\n  final \n class A { int x; } enum E {A, B}", "public  interface I { void f() { } }\nclass", "x class\nclass\tB { }"):
+        for d in body.LANGUAGES["java"]:
+            assert [m.span() for m in body._headers(d.header, code)] == [m.span() for m in d.header.finditer(code)]
