@@ -110,6 +110,15 @@ def test_stream_lists_files_in_few_tasks(spark, tmp_path):
     assert spark.conf.get("spark.sql.files.openCostInBytes") != "256k"
 
 
+def test_distinct_imports_are_found_once(spark, monkeypatch):
+    seen, rules = [], deps.import_rules
+    monkeypatch.setattr(deps, "import_rules", lambda wanted, *rest: (seen.append(wanted), rules(wanted, *rest))[1])
+    g = Graph(make_files(spark, [("p/A.java", "package p;\nimport p.B;\nclass A {\n}\n"), ("p/B.java", "package p;\nimport p.B;\nclass B {\n}\n")]))
+    assert [(r.imp, r.rule, r.target) for r in g.rules.collect()] == [("p.B", 1, "p/B.java")]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan  # staged, so that no rule searches the imports again
+
+
 def test_prompts_build_their_corpus_once(spark, sf_dir):
     plan = REGISTRY["txt_prompts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and plan.count("MapInPandas") == 1
