@@ -9,9 +9,11 @@ pair meets under an equal key.
 
 Work for copies stays linear. Documents of equal sets are one class. Within a key, members are compared with the
 smallest one (each with that of the key it shares most with); what these stars link is one component, and only members of
-*different* components under a key are then paired, each pair under the first key it shares only, filtered by size and by the
-distance of a longer signature of one-bit components (made for these members alone) and confirmed, so no link between
-different texts is lost.
+*different* components under a key are then paired, each pair under the first key it shares only, filtered by size, by parities
+and by the distance of a longer signature of one-bit components (both made for these members alone) and confirmed, so no link
+between different texts is lost. The parities bound the shingles in which two sets differ from below, so they drop no link;
+for sets of up to about ``FULL`` shingles they leave little but pairs at the threshold, where the longer signature would let
+through most of a group whose texts lie a little below it. Larger sets are left to the longer signature.
 
 Nulls and texts without words have an empty set: 0 shingles, own component. A null doc_id counts as no row of the
 graph: it keeps its own row with a null component and is kept. Repeated rows of a doc_id are one document if their
@@ -36,6 +38,7 @@ _MUL = _SEED.integers(0, 1 << 63, FULL, dtype=np.uint64) * U64(2) + U64(1)
 _ADD = _SEED.integers(0, 1 << 63, FULL, dtype=np.uint64)
 LANES = [f"s{i}" for i in range(K // 4)]
 BITS = [f"w{i}" for i in range(FULL // 64)]
+PARITIES = [f"x{i}" for i in range(FULL // 64)]
 _PER_TASK = 2000
 
 
@@ -61,6 +64,12 @@ def signature(shingles: np.ndarray, k: int = K) -> np.ndarray:
     return (mix(low) & U64(0xFFFF)).astype(np.uint16)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """``FULL`` bits, each the parity of the shingles that fall to it. The bits in which two sets differ are the parities of their symmetric
+    difference, so they are never more than the shingles in which the sets differ."""
+    return (np.bincount((shingles % U64(FULL)).astype(np.int64), minlength=FULL) & 1).astype(np.uint8)
+
+
 def index_keys(sigs: np.ndarray, plan: list[list[int]]) -> np.ndarray:
     """The keys of each signature, one row per document."""
     s = sigs.astype(U64)
@@ -86,15 +95,17 @@ def _signatures(width: int):
 
 
 def _long_signatures(width: int):
-    """The components of the index, four in a long, and the lowest bits of the longer signature, 64 in a long."""
+    """The components of the index, four in a long, the lowest bits of the longer signature and the parities, 64 in a long."""
     def run(frames):
         for pdf in batches(frames, 500_000):
             sets = shingle_sets(pdf["text"].tolist(), width)
             sigs = np.array([signature(s, FULL) for s in sets])
             lanes = np.ascontiguousarray(sigs[:, :K]).astype("<u2").view("<i8")
             bits = np.packbits((sigs & 1).astype(np.uint8), axis=1, bitorder="little").view("<i8")
+            odd = np.packbits(np.array([parities(s) for s in sets]), axis=1, bitorder="little").view("<i8")
             yield pd.DataFrame({"id": pdf["id"].to_numpy(), "n_shingles": [len(s) for s in sets],
-                                **{c: lanes[:, i] for i, c in enumerate(LANES)}, **{c: bits[:, i] for i, c in enumerate(BITS)}})
+                                **{c: lanes[:, i] for i, c in enumerate(LANES)}, **{c: bits[:, i] for i, c in enumerate(BITS)},
+                                **{c: odd[:, i] for i, c in enumerate(PARITIES)}})
     return run
 
 
@@ -108,10 +119,10 @@ def _entries(plan: list[list[int]]):
     return run
 
 
-def _bit_distance(a: str, b: str):
-    """Components of the longer signature whose bits differ, computed in the join."""
+def _bit_distance(a: str, b: str, columns: list[str]):
+    """Bits of the columns that differ, computed in the join."""
     total = F.lit(0)
-    for c in BITS:
+    for c in columns:
         total = total + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
     return total
 
@@ -217,21 +228,23 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         again = _best(open_.where("c <> m.c").select(F.col("id").alias("a"), F.col("m.id").alias("b")))
         links = confirmed(again, texts, width, percent, links)
         comp = staged(connected_components(links), "mh-comp")
-    # what is still apart: every pair under a key that its longer signature and its sizes let through
+    # what is still apart: every pair under a key that its sizes, its parities and its longer signature let through
     step = math.log(100 / percent)
     x = open_.select("key", "j", "id").join(comp, "id", "left").select("key", "j", "id", F.coalesce("component", "id").alias("c"))
     mixed = x.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
     x_keys = staged(x.join(mixed, "key", "left_semi"), "mh-apart")
     need = x_keys.select("id").distinct()
     long_ = staged(texts.join(need, "id", "left_semi").select("id", "text").mapInPandas(
-        _long_signatures(width), "id long, n_shingles long, " + ", ".join(f"{c} long" for c in (*LANES, *BITS))).distinct(), "mh-long")
+        _long_signatures(width), "id long, n_shingles long, " + ", ".join(f"{c} long" for c in (*LANES, *BITS, *PARITIES))).distinct(), "mh-long")
     x = x_keys.join(long_, "id").withColumn("size", F.floor(F.log("n_shingles") / step))
     # the sizes of a pair are at most one class apart
     p = x.alias("p")
     q = x.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).alias("q")
     near = ((F.col("p.key") == F.col("q.key")) & (F.col("p.size") == F.col("q.size")) & (F.col("p.c") < F.col("q.c"))
             & (100 * F.least("p.n_shingles", "q.n_shingles") >= percent * F.greatest("p.n_shingles", "q.n_shingles"))
-            & (_bit_distance("p", "q") <= radius(percent, FULL, 0.5)) & _first_shared("p", "q", plan))
+            # sets of n shingles in all that differ in d reach the threshold if 100 * (n - d) >= percent * (n + d)
+            & ((100 + percent) * _bit_distance("p", "q", PARITIES) <= (100 - percent) * (F.col("p.n_shingles") + F.col("q.n_shingles")))
+            & (_bit_distance("p", "q", BITS) <= radius(percent, FULL, 0.5)) & _first_shared("p", "q", plan))
     pairs = p.join(q, near).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
     links = confirmed(pairs, texts, width, percent, links)
     comp = staged(connected_components(links), "mh-comp")

@@ -65,6 +65,28 @@ def test_a_pair_is_taken_under_one_shared_key(spark):
     assert len(met) > 40 and all(r.n == 1 for r in met)
 
 
+def test_pairs_just_below_the_threshold_are_not_confirmed(spark, monkeypatch):
+    core = " ".join(f"core{i}" for i in range(100))
+    # any two of a group have 98 of 122 shingles in common, 0.80; the last ones are near copies of some of the group
+    rows = [(i, core + " " + " ".join(f"own{i}x{n}" for n in range(12))) for i in range(60)]
+    rows += [(100 + i, rows[i][1].replace(f"own{i}x11", "other")) for i in (7, 31, 58)]
+    asked, before = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *rest: (asked.append(pairs.distinct().count()), before(pairs, *rest))[1])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - 100 if i >= 100 else i for i, _ in rows}
+    assert sum(asked) < 10 * len(rows)  # of 1953 pairs
+
+
+def test_parities_differ_in_no_more_bits_than_the_sets_in_shingles():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 300, 3000):
+        both, a, b = (rng.integers(0, 1 << 64, k, dtype=np.uint64) for k in (n, n // 7, n // 5))
+        x, y = (minhash.parities(np.union1d(both, own)) for own in (a, b))
+        differing = int((x != y).sum())
+        assert differing <= len(a) + len(b) and (n > 300 or differing >= 0.8 * (len(a) + len(b)))
+
+
 def _spans(rows, depth):
     first = {}
     for i, t in rows:
