@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from codegrid.llm.common import U64, batches, binomial_tail, bucketed, connected_components, drop, mix, partitions, shingle_sets, staged
+from codegrid.llm.common import U64, batches, binomial_tail, bucketed, connected_components, drop, lean, mix, partitions, shingle_sets, staged
 
 K = 64  # components that the index is made of
 FULL = 1024  # one-bit components of the longer signature, which filters the last pairs
@@ -83,6 +83,7 @@ def index_keys(sigs: np.ndarray, plan: list[list[int]]) -> np.ndarray:
 
 
 def _signatures(width: int):
+    @lean
     def run(frames):
         for pdf in batches(frames, 500_000):
             sets = shingle_sets(pdf["text"].tolist(), width)
@@ -96,6 +97,7 @@ def _signatures(width: int):
 
 def _long_signatures(width: int):
     """The components of the index, four in a long, the lowest bits of the longer signature and the parities, 64 in a long."""
+    @lean
     def run(frames):
         for pdf in batches(frames, 500_000):
             sets = shingle_sets(pdf["text"].tolist(), width)
@@ -110,6 +112,7 @@ def _long_signatures(width: int):
 
 
 def _entries(plan: list[list[int]]):
+    @lean
     def run(frames):
         for pdf in frames:
             if len(pdf):
@@ -153,6 +156,7 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 
 def _set_blobs(width: int):
+    @lean
     def run(frames):
         for pdf in batches(frames, 500_000):
             yield pd.DataFrame({"id": pdf["id"], "blob": [s.tobytes() for s in shingle_sets(pdf["text"].tolist(), width)]})
@@ -160,6 +164,7 @@ def _set_blobs(width: int):
 
 
 def _compare(percent: int):
+    @lean
     def run(frames):
         hub, base = None, None
         for pdf in frames:

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
+from codegrid.llm.common import lean
+
 SPACE = "▁"
 INF = float("inf")
 #: bytes, about, that the paths of factors take in a Python worker, and bytes of the table of pair weights
@@ -331,6 +333,7 @@ def _ids(found: list) -> pa.ListArray:
 
 
 def _encode(name: str, check: bool):
+    @lean
     def run(batches):
         m = _model(name)
         for whole in batches:
@@ -354,6 +357,7 @@ def encode(docs: DataFrame, model_path: str, *, ids: str = "ids") -> DataFrame:
 
 
 def _decode(name: str):
+    @lean
     def run(batches):
         m = _model(name)
         for whole in batches:

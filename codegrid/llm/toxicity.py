@@ -24,7 +24,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from codegrid.llm.common import batches, drop, staged
+from codegrid.llm.common import batches, drop, lean, staged
 from codegrid.llm.stats import NAMES, statistics
 
 SAMPLE, WORDS, FOLDS = 30_000, 256, 3
@@ -38,6 +38,7 @@ def words(text: str | None) -> set[str]:
 
 def _word_counts(categories: list[str]):
     """How many of this batch's documents hold a word, in all and of each category."""
+    @lean
     def run(frames):
         for pdf in batches(frames, 500_000):
             got: dict[str, np.ndarray] = {}
@@ -83,6 +84,7 @@ def features(texts, vocabulary: dict[str, int]) -> np.ndarray:
 
 def _inputs(vocabulary: dict[str, int], categories: list[str]):
     """Rows of inputs, a few hundred at a time: they are far wider than the texts' own columns."""
+    @lean
     def run(frames):
         for pdf in batches(frames, 500_000):
             for a in range(0, len(pdf), 256):
@@ -153,6 +155,7 @@ class Chain:
 
 
 def _score(chain: Chain, keep_text: bool):
+    @lean
     def run(frames):
         for pdf in frames:
             for a in range(0, len(pdf), 512):

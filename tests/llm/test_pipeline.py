@@ -1,4 +1,8 @@
 """The pipeline and the queries that SQL can express."""
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -42,3 +46,33 @@ def test_oracle(spark, sf_dir, name):
     want = sorted(tuple(r[i] for i in order) for r in want.fetchall())
     got = sorted(tuple(r) for r in QUERIES[name](spark, sf_dir).select(*columns).collect())
     assert got == want and got
+
+
+def test_tasks_give_memory_back():
+    """What a Python worker keeps of its tasks stands beside the executor's heap through all later stages."""
+    code = """
+import numpy as np, pandas as pd, pyarrow as pa
+from codegrid.llm import minhash, suffix
+
+def held():
+    return sum(int(l.split()[1]) for l in open("/proc/self/smaps_rollup") if l.startswith("Pss_Anon")) / 1024
+
+def frames():
+    draw = np.random.default_rng(7)
+    words = [f"w{i}x" for i in range(20000)]
+    for a in range(0, 6000, 3000):
+        texts = [" ".join(words[i] for i in draw.integers(0, 20000, 450)) for _ in range(3000)]
+        yield pd.DataFrame({"id": np.arange(a, a + 3000), "dup": 0, "no_id": False, "text": texts, "raw": [t.encode() for t in texts]})
+
+def run(task):
+    return sum(len(pdf) for pdf in task(frames()))
+
+run(lambda rows: rows)
+before = held()
+assert run(minhash._signatures(5)) == 6000 and run(suffix._all_runs(50, 8)) > 0
+print(held() - before)
+"""
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert float(out.stdout.split()[-1]) < 70
