@@ -34,6 +34,9 @@ CODES, RECALL, TRIALS = 4, 0.95, 4000
 ROUNDS = 40
 FEW = 256
 BLOCK = 1 << 20  # components of a block in which all pairs are compared
+#: joins by id or by chunk are between tables as large as the vectors; a table just small enough to be sent whole, or judged so by its size before
+#: its rows are entered under all their chunks, would pass the driver
+BY_ID = "merge"
 
 
 def _sums(frames):
@@ -147,7 +150,7 @@ def candidates(coded: DataFrame, q: Quantiser) -> DataFrame:
         first = first & ((F.col("x.t") <= i) | (F.bit_count(_chunk(apart[c], lo, hi)) > 1))
     on = ((F.col("x.label") == F.col("y.label")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.v") == F.col("y.v"))
           & (F.col("x.id") < F.col("y.id")) & (bits <= q.radius) & first)
-    return base.join(look, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return base.join(look.hint(BY_ID), on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def compared(units: DataFrame, d: int, cosine: float) -> DataFrame:
@@ -187,7 +190,8 @@ def _links(units: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
 
     u = units.select("id", "u")
     pairs = candidates(staged(units.select("id", "label", codes("u").alias("codes")), "itq-codes"), q)
-    pairs = pairs.join(u.withColumnsRenamed({"id": "a", "u": "ua"}), "a").join(u.withColumnsRenamed({"id": "b", "u": "ub"}), "b")
+    pairs = (pairs.join(u.withColumnsRenamed({"id": "a", "u": "ua"}).hint(BY_ID), "a")
+             .join(u.withColumnsRenamed({"id": "b", "u": "ub"}).hint(BY_ID), "b"))
 
     @F.pandas_udf("double")
     def cosines(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -211,14 +215,14 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93) -> DataFrame:
     links = classes.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"))
     for r in classes.groupBy(F.size("u").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect():  # one row a length
         links = links.union(_links(classes.where(F.size("u") == r.d).select("id", "label", "u"), r.d, r.n, cosine))
-    comp = staged(connected_components(links), "itq-comp")
-    size = classes.select("id", "n")
+    comp = staged(connected_components(links, by=BY_ID), "itq-comp")
+    size = classes.select("id", "n").hint(BY_ID)
     both = links.where("a <> b").union(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = (both.join(size.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "id"))
-    info = (classes.select("h1", "h2", "label", "id", "n").join(degree, "id", "left").join(comp, "id", "left")
+    info = (classes.select("h1", "h2", "label", "id", "n").join(degree.hint(BY_ID), "id", "left").join(comp.hint(BY_ID), "id", "left")
             .select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("label").alias("cl"),
                     (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component")))
-    out = rows.join(info, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("label") == F.col("cl")), "left")
+    out = rows.join(info.hint(BY_ID), (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("label") == F.col("cl")), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       F.coalesce("component", "vec_id").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
