@@ -1,8 +1,8 @@
-"""Reading source trees (S1-S3) with the ``binaryFile`` source.
+"""Reading source trees (S1-S3): listed by tasks (``listing``), or with the ``binaryFile`` source where only Spark reaches them.
 
 Listing, suffix, include / exclude and size filters run on the file
 metadata columns (``path``, ``length``) *before* the content column is
-decoded; the size predicate is pushed into the scan, so the bytes of
+read or decoded, so the bytes of
 oversized files are never read. Decoding is lossy UTF-8 (invalid bytes are
 dropped) and never fails a task.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import DEFAULT_MAX_FILE_MB
 from ..schemas import FILE_COLUMNS
+from . import listing
 from .filters import excluded_by, filter_extensions, filter_paths, known_extension, not_included
 from .tables import language_of, suffix_of
 
@@ -28,7 +29,11 @@ TASKS = 8  # tasks a core that read a tree
 
 
 def _raw(spark: SparkSession, location) -> DataFrame:
-    """The binary files under a folder. Spark puts 32 small files into a task; here the tasks are some to each core, whatever the number of files."""
+    """The binary files under a folder; what tasks have listed comes without ``content``, which ``_files`` reads after the filters. Spark puts 32 small
+    files into a task; here the tasks are some to each core, whatever the number of files."""
+    folder = listing.local_folder(spark, location)
+    if folder is not None:
+        return listing.listed(spark, [folder], TASKS * spark.sparkContext.defaultParallelism)
     df = spark.read.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", "true").load(location)
     return df.coalesce(TASKS * spark.sparkContext.defaultParallelism)
 
@@ -44,6 +49,12 @@ def _scan_glob(spark: SparkSession, path: str, max_mb: float) -> DataFrame:
     parent = path[:-2]
     if not path.endswith("/*") or not parent.rsplit("/", 1)[-1] or re.search(r"[\[\]{}\\,]", path):
         return _scan(spark, path, max_mb)
+    local = listing.local_folders(spark, parent)
+    if local is not None:
+        if not any(listing.has_entries(f) for f in local):
+            return _scan(spark, path, max_mb)  # raises, as the listing does
+        df = listing.listed(spark, local, TASKS * spark.sparkContext.defaultParallelism, every=True)
+        return df.where(F.col("length") <= F.lit(int(max_mb * 1024 * 1024)))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(parent).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     folders = [s.getPath() for s in fs.globStatus(hadoop.Path(parent)) or [] if s.isDirectory()]
@@ -71,6 +82,8 @@ def decode_utf8(content):
 
 
 def _files(df: DataFrame, repo, relative) -> DataFrame:
+    if "content" not in df.columns:
+        df = listing.with_content(df, gone=df.isStreaming)
     ext = suffix_of(relative)
     return df.select(
         repo.alias("repo"),
@@ -97,7 +110,7 @@ def tree_files(raw: DataFrame, root: str, repo: str | None = None,
                include: Sequence[str] | None = None, exclude: Sequence[str] | None = None,
                max_mb: float = DEFAULT_MAX_FILE_MB,
                extensions: dict[str, list[str]] | None = None) -> DataFrame:
-    """The S1 transformation on a raw ``binaryFile`` frame (batch or stream)."""
+    """The S1 transformation on a raw ``binaryFile`` frame, or one of listed files (batch or stream)."""
     root_clean = _clean_root(root)
     repo = repo or root_clean.rsplit("/", 1)[-1]
     df = raw.where(F.col("length") <= F.lit(int(max_mb * 1024 * 1024)))
