@@ -72,6 +72,30 @@ def test_components(spark, monkeypatch, block):
     assert {(r.repo, r.file, r.scc) for r in got} == {(r, f, c) for r, es in graphs.items() for f, c in components(es)}
 
 
+def test_large_component_goes_first(spark, monkeypatch):
+    """Edges that follow no blocks: a large component with files before and behind it, and small cycles apart."""
+    monkeypatch.setattr(cycles, "BLOCK", 100)
+    monkeypatch.setattr(cycles, "SENT", 20)  # paths go on by both kinds of join
+    rng = random.Random(11)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(600)] + [(200 + i, rng.randrange(200)) for i in range(20)]
+    edges += [(rng.randrange(200), 220 + i) for i in range(20)] + [(a, b) for i in range(240, 300, 2) for a, b in ((i, i + 1), (i + 1, i))]
+    order = list(range(300))
+    rng.shuffle(order)
+    edges = [(f"f{order[a]:03}", f"f{order[b]:03}") for a, b in edges if a != b]
+    cores, find = [], cycles._core
+    monkeypatch.setattr(cycles, "_core", lambda *a: cores.append(find(*a)) or cores[-1])
+    got = {(r.file, r.scc) for r in cycles.strongly_connected(table(spark, {"r": edges}), checkpoint).collect()}
+    assert got == components(edges) and [c.count() > 150 for c in cores] == [True]
+
+
+def test_long_paths_give_the_large_component_up(spark):
+    ring = spark.createDataFrame([(i, (i + 1) % 300) for i in range(300)], "src long, dst long")
+    assert cycles._core(ring, 300, checkpoint) is None
+    assert cycles._core(spark.createDataFrame([(0, 1), (0, 2)], "src long, dst long"), 3, checkpoint) is None
+    pair = cycles._core(spark.createDataFrame([(3, 1), (1, 3), (1, 2)], "src long, dst long"), 4, checkpoint)
+    assert sorted(tuple(r) for r in pair.collect()) == [(1, 1), (3, 1)]
+
+
 def test_labels_spread_over_blocks(spark, monkeypatch):
     """The round of colouring by itself, on rings that no block holds."""
     monkeypatch.setattr(cycles, "BLOCK", 3)
